@@ -26,6 +26,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_and_decode
 
@@ -39,6 +45,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("token").cast("long").alias("n_chars"), F.sha2(F.col("token").cast("binary"), 256).alias("token_sha256"), "kind", "score", "is_secret")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -51,6 +64,43 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_sentencepiece, op5_decontamination, op6_quality_rules)}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_turns, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for k, r in enumerate(("user", "assistant"))])))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return read_back(format_turns(turns))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+    from .quality_model import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs))
+    return found.select("doc_id", held_out(1, 3).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_main_text, op3_sentencepiece, op4_secrets, op5_decontamination,
+        op6_quality_rules, op7_token_counts, op8_quality_model, op9_chat_format, op10_language,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
