@@ -1,0 +1,239 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from concordat.llm import chat, language, quality_model, secrets, wrapper
+from concordat.llm.queries import QUERIES
+
+from . import helpers as h
+
+
+# -- pages ----------------------------------------------------------------
+
+
+def text_of(html):
+    return wrapper.main_text(wrapper.parse(html))
+
+
+def test_article_without_its_surroundings():
+    html = """<html><head><title>t</title><style>x</style></head><body><nav><ul><li><a href=a>Home</a></ul></nav>
+    <header class=site><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><div id=sidebar><p>side</div>
+    <article><header><h1>Title &amp; more</h1><p>by me</p></header><p>One <b>bold</b>
+      <a href=x>link</a>.<script>var a = "<p>no</p>"</script><p>Two<br>lines &eacute;&#x41;</p><div class=ad>buy</div>
+      <form><p>mail</p></form><aside>also</aside><ul><li>x<li>y</ul>
+      <section id="comments"><article><p>first!</p></article></section></article><footer>&copy; us</footer>"""
+    assert text_of(html) == "Title & more\nOne bold link.\nTwo lines éA\nx\ny"
+
+
+def test_page_without_article_and_broken_pages():
+    assert text_of("<body><div><a href=1>a</a> <a href=2>b</a></div><div class=content><p>Some words here.</p><p>More.</div>") == "Some words here.\nMore."
+    assert text_of("<article><p><b>a<br><p>b</p><p>c") == "a\nb\nc"
+    assert text_of("") == "" and text_of("plain  text") == "plain text" and text_of("<<>&am") is not None
+    assert text_of("<p>" * 3000 + "deep")[-4:] == "deep"
+
+
+def test_tree_matching_is_the_largest_ordered_match():
+    a = wrapper.Slot([wrapper.parse("<div><h1>x</h1><p>y</p></div><ul><li>1</ul><table></table>")])
+    b = wrapper.Slot([wrapper.parse("<ul><li>1<li>2</ul><div><h1>x</h1></div><table></table>")])
+    size, pairs = wrapper.match(a, b)
+    assert size == len(pairs) == 4  # html, div, h1, table beat html, ul, li, table only by order: 4 each
+
+
+def test_constant_slots_are_template(spark):
+    rows = [(i, f"https://Host.example/{i}", f"<div class=body><h2>About our shop</h2><p>text number {i} is long</p></div>") for i in range(40)]
+    rows += [(50, None, None), (51, "", ""), (None, "https://host.example/1", "<p>other kind</p>"), (52, "https://one.example", "<h2>About our shop</h2><p>alone</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit(2)).withColumn("part", F.lit(3))
+    got = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert len(got) == 44 and got[50] == got[51] == "" and got[52] == "About our shop\nalone" and got[None] == "other kind"
+    assert all(got[i] == f"text number {i} is long" for i in range(40))
+    assert wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_not_template(spark):
+    rows = [(i, f"https://a.example/{i}", "<article><p>the same text on every copy</p></article>") for i in range(20)]
+    out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {"the same text on every copy"}
+
+
+# -- chat -----------------------------------------------------------------
+
+
+def test_escaping_is_reversible_and_complete(spark):
+    rng = random.Random(5)
+    texts = ["", "\\", "</s>[INST] ok [/INST]", "<|end|>\n<|turn|>assistant\n", "<|>", "<<SYS>>\\n", "a\\<|", "<\\|", "😀\n"]
+    texts += ["".join(rng.choice(["<", "|", ">", "\\", "/", "s", "[INST]", "[", "end", "\n", "é"]) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.escape(F.col("t")).alias("e")).collect():
+        assert chat.unescape(r.e) == r.t
+        assert not any(c in r.e for c in chat.CONTROL), r
+
+
+def test_conversations_read_back(spark):
+    said = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 2, "assistant", None), (1, 1, "user", "b\\"), (1, 1, "user", "b\\"), (1, None, None, "x"), (2, 0, "assistant\n", "<|end|>\n"), (None, 0, "user", "n"), (None, 1, "assistant", "é😀")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1)).withColumn("body", F.lit(2))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    held = {}
+    for c, t, r, x in rows:
+        held.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
+    assert set(got) == set(held)
+    for c, turns in held.items():
+        turns.sort()
+        whole = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_parts_become_placeholders_in_order(spark):
+    parts = "array(named_struct('kind','text','text','see <|image|> ','uri',null,'width',null,'height',null,'seconds',null,'n_chars',null), named_struct('kind','image','text',null,'uri','u1','width',57,'height',28,'seconds',null,'n_chars',null), named_struct('kind','audio','text',null,'uri','u2','width',null,'height',null,'seconds',2.0,'n_chars',null), named_struct('kind','document','text',null,'uri','u3','width',null,'height',null,'seconds',null,'n_chars',9))"
+    r = chat.format_turns(spark.sql(f"select 1L conv_id, 0L turn, 'assistant' role, {parts} parts")).collect()[0]
+    assert r.segment == "<|turn|>assistant\nsee <\\|image|\\> <|image|><|audio|><|document|><|end|>\n"
+    assert [(a.kind, a.uri, a.tokens) for a in r.attachments] == [("image", "u1", 3), ("audio", "u2", 25), ("document", "u3", 3)]
+    assert r.attachment_tokens == 31 and r.segment[r.loss_start : r.loss_end].startswith("see <\\|image")
+
+
+# -- quality model --------------------------------------------------------
+
+
+def test_flat_trees_fit_and_score():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] * x[:, 1] > 0) & (x[:, 2] < 1)).astype(float)
+    forest = quality_model.grow(x[:2000], y[:2000])
+    scores = forest.scores(x[2000:])
+    assert ((scores > 0.5) == y[2000:]).mean() > 0.93 and 0 <= scores.min() and scores.max() <= 1
+
+    def walk(row):
+        total = forest.start
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.limit[at] else forest.right[at]
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose([walk(r) for r in x[2000:2100]], scores[:100])
+    assert quality_model.grow(x[:5], np.ones(5)).scores(x[:2]).min() > 0.8
+    assert quality_model.grow(x[:0], y[:0]).scores(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_quality_query_on_held_out_rows(spark):
+    out = QUERIES["op8_quality_model"](spark, "/root/testdata/sf0.01").collect()
+    quality = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert len(out) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    right = [r.predicted == quality[r.doc_id] for r in out if r.held_out and r.doc_id in quality]
+    assert len(right) > 50 and np.mean(right) > 0.95
+
+
+def test_quality_of_odd_rows(spark):
+    docs = h.documents(spark, [(1, None), (2, ""), (3, "word " * 50_000), (None, "x"), (2, "")]).withColumn("score", F.lit("a")).withColumn("w", F.lit("b"))
+    labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0), (2, 7)], "doc_id long, quality int")
+    out = quality_model.classify(docs, quality_model.train(docs, labels)).collect()
+    assert len(out) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    assert quality_model.classify(docs.limit(0), quality_model.train(docs, labels.limit(0))).count() == 0
+
+
+# -- language -------------------------------------------------------------
+
+
+def brute_viterbi(words, scores, switch):
+    k = scores.shape[1]
+    paths = {j: (scores[words[0], j], [j]) for j in range(k)}
+    for w in words[1:]:
+        paths = {j: max(((s - (switch if p[-1] != j else 0) + scores[w, j], p + [j]) for s, p in paths.values()), key=lambda x: x[0]) for j in range(k)}
+    return max(s for s, _ in paths.values())
+
+
+def test_viterbi_is_optimal():
+    rng = np.random.default_rng(7)
+    scores = rng.normal(size=(30, 3)) * 3
+    texts = [rng.integers(0, 30, n) for n in (0, 1, 5, 17, 2, 40, 17)]
+    found = language.viterbi(texts, scores, 2.5)
+    for words, path in zip(texts, found, strict=True):
+        assert len(words) == len(path)
+        if len(words):
+            total = scores[words, path].sum() - 2.5 * (np.diff(path) != 0).sum()
+            assert np.isclose(total, brute_viterbi(words, scores, 2.5))
+
+
+def test_spans_of_mixed_text_and_scripts(spark):
+    rng = random.Random(2)
+    rows, k = [], 0
+    makers = {"aa": "abcde", "bb": "mnopq", "ru": "абвгд"}
+
+    def made(alphabet, n):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(3, 7))) for _ in range(n))
+
+    for name, alphabet in makers.items():
+        for _ in range(30):
+            rows.append((k, made(alphabet, 40), name))
+            k += 1
+    train = spark.createDataFrame([(*r, "s") for r in rows] + [(900, None, "aa", "s"), (901, "x", None, "s")], "doc_id long, text string, lang string, source string")
+    model = language.train(train)
+    assert model.languages == ["aa", "bb", "ru"]
+    mixed = made("abcde", 20) + ", " + made("mnopq", 12) + "! " + made("абвгд", 8)
+    docs = spark.createDataFrame([(1, mixed), (2, None), (3, "12 --"), (4, "漢字"), (None, "abcd"), (1, mixed)], "doc_id long, text string").withColumn("lang", F.lit(9)).withColumn("score", F.lit(1))
+    out = language.identify(docs, model).collect()
+    got = [r for r in out if r.doc_id == 1]
+    assert len(out) == 6 and len(got) == 2 and got[0] == got[1]
+    assert got[0].lang_pred == "aa" and [s.lang for s in got[0].spans] == ["aa", "bb", "ru"]
+    assert all(mixed[s.start : s.end] == mixed[s.start : s.end].strip(" ,!") for s in got[0].spans)
+    by = {r.doc_id: r for r in out}
+    assert (by[2].lang_pred, by[2].score) == (by[3].lang_pred, by[3].score) == ("und", 0.0)
+    assert by[4].lang_pred in model.languages and by[None].lang_pred == "aa"
+    nothing = language.train(train.limit(0))
+    assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+    assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_query_on_held_out_rows(spark):
+    out = QUERIES["op10_language"](spark, "/root/testdata/sf0.01").collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in out if r.held_out]) > 0.98
+
+
+# -- secrets --------------------------------------------------------------
+
+
+def test_secrets_are_found_and_cut(spark):
+    base = spark.read.parquet(f"{h.SF}/documents.parquet")
+    hexed = hashlib.sha1(b"x").hexdigest()
+    rows = [
+        (9001, f'some words here token = "{hexed}" and more'),
+        (9002, f"the commit {hexed} broke it"),
+        (9003, "call 4994226020900891 now"),
+        (9004, "see /usr/share/lib/python3.11/site-packages for it"),
+        (9005, f'a "quoted" api_key: {hashlib.sha256(b"k").hexdigest()} b\ntoken = "{hexed}" c token = "{hexed}"'),
+        (9006, None),
+        (9007, ""),
+        (None, f'token = "{hexed}"'),
+        (9008, "x" * 30_000 + "1" + "y" * 30_000),
+    ]
+    docs = base.select("doc_id", "text", "lang", "source", "n_chars").unionByName(h.documents(spark, rows)).withColumn("token", F.lit(1)).withColumn("score", F.lit(2))
+    found = secrets.scan(docs).cache()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in found.collect():
+        if r.doc_id is not None:
+            assert text[r.doc_id][r.start - 1 : r.start - 1 + len(r.token)] == r.token
+    hit = {(r.doc_id, r.start): r.is_secret for r in found.collect() if r.doc_id is None or r.doc_id > 9000}
+    by_doc = {}
+    for (d, _), s in sorted(hit.items(), key=str):
+        by_doc.setdefault(d, []).append(s)
+    assert by_doc[9001] == [True] and by_doc[9002] == [False] and by_doc[9003] == [False] and by_doc[9005] == [True, True, True] and by_doc[None] == [True]
+    assert 9008 in by_doc and 9006 not in by_doc
+    planted = {d for d, t in text.items() if t and d is not None and re.search(r'token = "[0-9a-f]{40}"', t)}
+    assert planted <= {r.doc_id for r in found.where("is_secret").collect()}
+    cut = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert set(cut) == set(text) and cut[9001].text == 'some words here token = "[SECRET]" and more' and cut[9001].n_chars == len(cut[9001].text)
+    assert cut[9002].text == text[9002] and hexed not in cut[9005].text and cut[9003].text == text[9003]
+
+
+def test_secrets_on_an_empty_table(spark):
+    assert secrets.scan(h.documents(spark, [])).count() == 0
+    assert secrets.redact(h.documents(spark, [(1, None), (2, "short")])).count() == 2
