@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -81,8 +82,8 @@ class PieceModel:
         if trainer.model_type != 2 or kinds & {4, 5} or trainer.treat_whitespace_as_suffix or model.denormalizer_spec.precompiled_charsmap:
             raise ValueError("only BPE models with marks in front, without user-defined or unused pieces, are read")
         self.names = [p.piece for p in model.pieces]
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
-        self.scores = [p.score for p in model.pieces]
+        self.costs = {p.piece: -p.score for p in model.pieces if p.type == 1}
+        self.pieces = {p.piece: i + (len(p.piece.encode("utf-8")) << 32) for i, p in enumerate(model.pieces) if p.type == 1}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.unknown_text = trainer.unk_surface if trainer.HasField("unk_surface") else " ⁇ "
         self.control = {i for i, p in enumerate(model.pieces) if p.type == 3}
@@ -90,7 +91,7 @@ class PieceModel:
         self.byte_ids = {b: i for i, b in self.byte_of.items()} if trainer.byte_fallback else {}
         self.map = CharacterMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        inside = any(MARK in p.lstrip(MARK) for p in self.ids)
+        inside = any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.parts = re.compile(f"(?s).+" if inside else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.plain = [p.replace(MARK, " ") for p in self.names]
         for i in self.control:
@@ -98,7 +99,7 @@ class PieceModel:
         self.plain[self.unknown] = self.unknown_text
         self.special = np.zeros(len(self.names), bool)
         self.special[list(self.byte_of) + [self.unknown]] = True
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     # -- normalisation ----------------------------------------------------
 
@@ -159,9 +160,44 @@ class PieceModel:
 
     # -- encoding ---------------------------------------------------------
 
-    def _merge(self, word: str) -> tuple[bytes, bytes]:
-        """Ids and lengths in normalised bytes of one part, as int32 arrays' bytes."""
-        ids, scores = self.ids, self.scores
+    def _merge(self, word: str) -> bytes:
+        """The pieces of one part as int64 numbers: the length in normalised bytes, then 32 bits of id."""
+        symbols = self._merge_short(word) if len(word) <= 48 else self._merge_long(word)
+        pieces, out = self.pieces, array("q")
+        for s in symbols:
+            found = pieces.get(s)
+            if found is not None:
+                out.append(found)
+                continue
+            raw = s.encode("utf-8")
+            if self.byte_ids:
+                out.extend([self.byte_ids[b] for b in raw])
+                out[-1] += len(raw) << 32
+            else:
+                out.append(self.unknown + (len(raw) << 32))
+        return out.tobytes()
+
+    def _merge_short(self, word: str) -> list[str]:
+        """Merges by a plain list of the pairs' costs; the first least one is the leftmost best pair."""
+        cost, none = self.costs.get, float("inf")
+        symbols = list(word)
+        pairs = [cost(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost(symbols[i - 1] + symbols[i], none)
+            if i < len(pairs):
+                pairs[i] = cost(symbols[i] + symbols[i + 1], none)
+        return symbols
+
+    def _merge_long(self, word: str) -> list[str]:
+        """The same with a queue, for parts that a list would make quadratic."""
+        costs = self.costs
         symbols = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n)) + [-1]
@@ -170,9 +206,9 @@ class PieceModel:
         def offer(left: int, right: int) -> None:
             if left >= 0 and right >= 0:
                 joined = symbols[left] + symbols[right]
-                found = ids.get(joined)
+                found = costs.get(joined)
                 if found is not None:
-                    heapq.heappush(queue, (-scores[found], left, right, joined))
+                    heapq.heappush(queue, (found, left, right, joined))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -186,38 +222,24 @@ class PieceModel:
                 before[after[right]] = left
             offer(before[left], left)
             offer(left, after[left])
-        out, sizes = [], []
-        for s in symbols:
-            if not s:
-                continue
-            raw = s.encode("utf-8")
-            found = ids.get(s)
-            if found is not None:
-                out.append(found)
-                sizes.append(len(raw))
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                out.append(self.unknown)
-                sizes.append(len(raw))
-        return np.array(out, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
+        return [s for s in symbols if s]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and each piece's first byte and end in the original UTF-8 text."""
         even, ends, sources = self.normalise(text)
-        known, found = self.known, []
-        for part in self.parts.findall(even):
-            got = known.get(part)
-            if got is None:
-                got = self._merge(part)
-                if len(part) < 200:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = got
-            found.append(got)
-        ids = np.frombuffer(b"".join([a for a, _ in found]), np.int32)
-        sizes = np.frombuffer(b"".join([b for _, b in found]), np.int32)
+        known, parts = self.known, self.parts.findall(even)
+        found = list(map(known.get, parts))
+        if None in found:
+            for k, part in enumerate(parts):
+                if found[k] is None:
+                    # A word may come twice in a text.
+                    found[k] = known.get(part) or self._merge(part)
+                    if len(part) < 200:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[part] = found[k]
+        both = np.frombuffer(b"".join(found), np.int64)
+        ids, sizes = both.astype(np.int32), both >> 32
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         at = sources[np.searchsorted(ends, bounds, "right") - 1].astype(np.int32)
         return ids, at[:-1], at[1:]
@@ -225,18 +247,17 @@ class PieceModel:
     # -- decoding ---------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:
-        plain = self.plain
-        out = [plain[i] for i in ids.tolist()]
+        listed = ids.tolist()
+        out = list(map(self.plain.__getitem__, listed))
         if self.special[ids].any():
-            out = self._with_bytes(ids.tolist(), out)
+            out = self._with_bytes(listed, out)
         if self.prefix or self.squeeze:
             # The space mark that encoding put in front goes, from the first piece that shows anything.
-            for k, (i, s) in enumerate(zip(ids.tolist(), out, strict=False)):
-                if i in self.control:
-                    continue
-                if s and i not in self.byte_of and i != self.unknown and self.names[i].startswith(MARK):
-                    out[k] = s[1:]
-                break
+            k = 0
+            while k < len(listed) and listed[k] in self.control:
+                k += 1
+            if k < len(listed) and listed[k] not in self.byte_of and listed[k] != self.unknown and self.names[listed[k]].startswith(MARK):
+                out[k] = out[k][1:]
         return "".join(out)
 
     def _with_bytes(self, ids: list[int], out: list[str]) -> list[str]:
