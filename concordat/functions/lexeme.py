@@ -117,7 +117,7 @@ def display_matches(actual, expected) -> Column:
 def normalise_percent(text, fmt) -> Column:
     """F-35: the percent and plus-minus signs of formats other than LaTeX, written as LaTeX does."""
     t = _c(text)
-    return F.when(_c(fmt) == "latex", t).otherwise(F.replace(F.regexp_replace(t, r"(?<!\\)%", r"\\\\%"), F.lit("±"), F.lit("\\pm")))
+    return F.when(_c(fmt) == "latex", t).otherwise(F.replace(F.regexp_replace(t, r"(?<!\\)%", r"\\%"), F.lit("±"), F.lit("\\pm")))
 
 
 def canonical_scientific(text) -> Column:

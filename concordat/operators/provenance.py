@@ -49,7 +49,7 @@ def export_states(states: DataFrame, exports: DataFrame) -> DataFrame:
 
 
 def contract_matches(saved: DataFrame, sources: DataFrame) -> DataFrame:
-    """J-27, C-20: (definition, source, matches): format and key equal, and every saved column declared with the same type."""
+    """J-27, C-20: (definition, source, matches) of saved definitions and the source each names: format and key equal, and every saved column declared with the same type."""
     met = saved.join(sources.select("source", F.col("format").alias("f"), F.col("primary_key").alias("k"), F.col("columns").alias("c")), "source")
     inside = F.forall(F.map_entries("columns"), lambda e: F.coalesce(F.try_element_at("c", e["key"]) == e["value"], F.lit(False)))
     same = (F.col("format") == F.col("f")) & (F.array_sort("primary_key") == F.array_sort("k")) & inside

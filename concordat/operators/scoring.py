@@ -65,7 +65,7 @@ def count_guard(metrics: DataFrame, edges: DataFrame, declared: DataFrame) -> Da
     own = metrics.select(F.col("metric").alias("leaf"), "n").join(declared.select(F.col("metric").alias("leaf"), "expected_count"), "leaf", "left")
     lone = metrics.select(F.col("metric").alias("root"), F.col("metric").alias("leaf"))
     spread = lone.join(edges, F.col("root") == F.col("src"), "left_anti").unionByName(leaves(edges).select("root", "leaf")).distinct()
-    return spread.join(own, "leaf").groupBy(F.col("root").alias("metric")).agg(F.coalesce(F.expr("bool_and(expected_count = n)"), F.lit(False)).alias("guarded"))
+    return spread.join(own, "leaf").groupBy(F.col("root").alias("metric")).agg(F.expr("bool_and(coalesce(expected_count = n, false))").alias("guarded"))
 
 
 def positions(before: DataFrame, after: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def suggest(choices: DataFrame, locations: DataFrame, aliases: DataFrame | None
     """
     terms = choices.select("choice", "field", F.map_keys("identity").alias("columns"), F.explode("identity").alias("column", "term"))
     if aliases is not None:
-        clean = aliases.join(alias_conflicts(aliases).select("column", "label"), (F.lower(F.trim(aliases["label"])) == F.col("label")) & (aliases["column"] == F.col("column")), "left_anti")
+        conflicts = alias_conflicts(aliases).select(F.col("column").alias("c"), F.col("label").alias("l"))
+        clean = aliases.join(conflicts, (F.lower(F.trim("label")) == F.col("l")) & (F.col("column") == F.col("c")), "left_anti")
         more = terms.join(clean.select(F.col("column").alias("c"), F.col("label").alias("l"), F.col("value").alias("v")), (F.col("column") == F.col("c")) & (F.col("term") == F.col("v"))).select("choice", "field", "columns", "column", F.col("l").alias("term"))
         terms = terms.unionByName(more)
     first = F.try_element_at(F.filter(F.split(plain(F.col("term")), r"(?U)[^\w]+"), lambda x: x != ""), F.lit(1))

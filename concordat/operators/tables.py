@@ -23,7 +23,7 @@ def latex_cells(documents: DataFrame) -> DataFrame:
     multirow, and rows whose cells have unbalanced braces (a separator stood
     inside braces), are unsupported: the whole table gives no cells.
     """
-    body = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{tabular\*?\}(?:\{[^}]*\}){1,2}(.*?)\\end\{tabular\*?\}"), F.lit(1))
+    body = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{tabular(?:\}|\*\}\{[^}]*\})\{[^}]*\}(.*?)\\end\{tabular\*?\}"), F.lit(1))
     tables = documents.select("doc_id", F.posexplode(body).alias("table_id", "body")).where(~F.col("body").rlike(r"\\multi(?:column|row)\b"))
     rows = tables.select("doc_id", "table_id", F.posexplode(F.split("body", r"(?<!\\)\\\\(?:\[[^\]]*\])?")).alias("row", "line")).where(clean(F.col("line")) != "")
     w = Window.partitionBy("doc_id", "table_id")
@@ -95,8 +95,8 @@ def row_prefixes(cells: DataFrame) -> DataFrame:
     """X-10: (doc_id, table_id, row, prefix, error): for each row the fewest leading cells that no other row of tables with these headers shares."""
     rows = keyed_rows(cells)
     tried = rows.select("doc_id", "table_id", "row", "headers", F.explode(F.transform(F.sequence(F.lit(1), F.size("values")), lambda k: F.slice("values", F.lit(1), k))).alias("prefix"))
-    same = tried.groupBy("doc_id", "headers", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    one = tried.join(same, (tried.doc_id == same.doc_id) & tried.headers.eqNullSafe(same.headers) & (tried.prefix == same.prefix)).select(tried.doc_id, "table_id", "row", tried.prefix)
+    # A prefix that one row alone has is known by its only row.
+    one = tried.groupBy("doc_id", "headers", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("table_id").alias("table_id"), F.min("row").alias("row")).where("n = 1")
     least = one.groupBy("doc_id", "table_id", "row").agg(F.min_by("prefix", F.size("prefix")).alias("prefix"))
     return rows.select("doc_id", "table_id", "row").join(least, ["doc_id", "table_id", "row"], "left").withColumn("error", F.when(F.col("prefix").isNull(), "ANCHOR_AMBIGUOUS"))
 

@@ -192,10 +192,10 @@ def apply_patches(documents: DataFrame, changes: DataFrame) -> DataFrame:
     text at a change is no longer ``before``.
     """
     own = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before", "after"))).alias("c"))
-    met = documents.join(own, "doc_id", "left")
+    met = documents.select("doc_id", F.col("text").alias("old")).join(own, "doc_id", "left")
     c = F.col("c")
     clash = F.exists(F.transform(c, lambda x, i: F.coalesce(F.get(c, i - 1)["end"] > x["start"], F.lit(False))), lambda x: x)
-    stale = F.exists(c, lambda x: F.coalesce(F.substring("text", x["start"] + 1, x["end"] - x["start"]) != x["before"], F.lit(True)))
-    error = F.when(c.isNull(), None).when(F.exists(c, lambda x: (x["start"] < 0) | (x["end"] > F.length("text")) | (x["start"] > x["end"])), "PATCH_RANGE").when(clash, "PATCH_OVERLAP").when(stale, "PATCH_STALE")
-    done = F.aggregate(F.reverse(c), F.col("text"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["after"], F.substring(t, x["end"] + 1, F.length(t))))
-    return met.select("doc_id", F.when(c.isNotNull() & error.isNull(), done).otherwise(F.col("text")).alias("text"), error.alias("error"), (c.isNotNull() & error.isNull()).alias("changed"))
+    stale = F.exists(c, lambda x: F.coalesce(F.substring("old", x["start"] + 1, x["end"] - x["start"]) != x["before"], F.lit(True)))
+    error = F.when(c.isNull(), None).when(F.exists(c, lambda x: (x["start"] < 0) | (x["end"] > F.length("old")) | (x["start"] > x["end"])), "PATCH_RANGE").when(clash, "PATCH_OVERLAP").when(stale, "PATCH_STALE")
+    done = F.aggregate(F.reverse(c), F.col("old"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["after"], F.substring(t, x["end"] + 1, F.length(t))))
+    return met.select("doc_id", F.when(c.isNotNull() & error.isNull(), done).otherwise(F.col("old")).alias("text"), error.alias("error"), (c.isNotNull() & error.isNull()).alias("changed"))

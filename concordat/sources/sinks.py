@@ -33,7 +33,7 @@ def write_sarif(findings: DataFrame, path: str) -> None:
 def fragments(values: DataFrame) -> DataFrame:
     """S-20, F-37: (fragment, text): bound values (fragment, ord, label, value, format) as lines of LaTeX or Markdown, in order."""
     latex = F.col("format") == "latex"
-    label = F.when(latex, F.regexp_replace("label", "_", r"\\\\_")).otherwise(F.regexp_replace("label", r"([_*])", r"\\\\$1"))
+    label = F.when(latex, F.regexp_replace("label", "_", r"\\_")).otherwise(F.regexp_replace("label", r"([_*])", r"\\$1"))
     shown = F.when(latex, F.concat(F.lit("\\ensuremath{"), "value", F.lit("}"))).otherwise(F.col("value"))
     line = F.when(latex, F.concat(label, F.lit(" & "), shown, F.lit(r" \\"))).otherwise(F.concat(F.lit("| "), label, F.lit(" | "), shown, F.lit(" |")))
     rows = values.groupBy("fragment").agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), line.alias("line")))).alias("lines"))
