@@ -57,26 +57,64 @@ def trigrams(word: str) -> list[str]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: trigram: log-probabilities by language
-    table: dict[str, np.ndarray]
-    #: log-probabilities of a trigram that was never seen
-    unseen: np.ndarray
+    #: trigram: its row in ``table``
+    rows: dict[str, int]
+    #: log-probabilities by language; the last row is that of a trigram never seen
+    table: np.ndarray
     #: script: whether each language is written in it
     scripts: dict[str, np.ndarray]
     switch: float
     #: the most that one word may speak for one language over another
     most: float
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a word by language, the best one 0; impossible scripts far below."""
-        total = np.zeros(len(self.languages))
-        for g in trigrams(word[:64]):
-            total += self.table.get(g, self.unseen)
-        allowed = self.scripts.get(script(word))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.languages))
-        total = np.maximum(total - total[allowed].max(), -self.most)
-        return np.where(allowed, total, -1e6)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language, the best one 0; impossible scripts far below."""
+        get, other = self.rows.get, len(self.table) - 1
+        places, starts, allowed = [], [], []
+        everywhere = np.ones(len(self.languages), bool)
+        unknown = np.zeros(len(words), bool)
+        for k, word in enumerate(words):
+            starts.append(len(places))
+            places += [get(g, other) for g in trigrams(word[:64])]
+            own = self.scripts.get(script(word))
+            unknown[k] = own is None or not own.any()
+            allowed.append(everywhere if unknown[k] else own)
+        total = np.add.reduceat(self.table[places], starts, axis=0)
+        fit = np.stack(allowed)
+        best = np.where(fit, total, -np.inf).max(axis=1, keepdims=True)
+        scores = np.where(fit, np.maximum(total - best, -self.most), -1e6)
+        scores[unknown] = 0
+        return scores
+
+
+class _Words:
+    """The words of a worker process with their scores, in a table that starts anew beyond a bound."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.languages)))
+        self.letters = np.zeros(0, np.int64)
+
+    def take(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's words as rows of the table."""
+        if len(self.places) > REMEMBERED:
+            self.clear()
+        places, new, out = self.places, [], []
+        for text in texts:
+            found = WORD.findall(text)
+            for w in found:
+                if w not in places:
+                    places[w] = len(places)
+                    new.append(w)
+            out.append(np.fromiter(map(places.__getitem__, found), np.int64, len(found)))
+        if new:
+            self.scores = np.concatenate([self.scores, self.model.words(new)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int64, len(new))])
+        return out
 
 
 def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -137,7 +175,7 @@ def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 40
         some = usable.where(F.col("lang") == name).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         ids = some if ids is None else ids.union(some)
     if ids is None:
-        return LanguageModel([], {}, np.zeros(0), {}, switch, most)
+        return LanguageModel([], {}, np.zeros((1, 0)), {}, switch, most)
 
     def count(batches):
         counts: dict[tuple[str, str], int] = {}
@@ -169,7 +207,9 @@ def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 40
     written = {r.name: np.array([r.n.get(n, 0) for n in names], float) for r in kinds}
     totals = sum(written.values(), np.zeros(len(names)))
     scripts = {s: n > 0.01 * np.maximum(totals, 1) for s, n in written.items()}
-    return LanguageModel(names, {r.name: logs[i] for i, r in enumerate(rows)}, np.full(len(names), unseen.mean()), scripts, switch, most)
+    # A trigram never seen says nothing for one language over another.
+    table = np.concatenate([logs, np.full((1, len(names)), unseen.mean())])
+    return LanguageModel(names, {r.name: i for i, r in enumerate(rows)}, table, scripts, switch, most)
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start int, end int, lang string>>"
@@ -190,28 +230,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches):
         model = shared.value
         names = model.languages
-        known: dict[str, int] = {}
-        sizes: list[int] = []
-        scores: list[np.ndarray] = []
+        words = _Words(model)
         for batch in batches:
             for part in slices([batch], rows=4096, chars=CHARS):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                if len(known) > REMEMBERED:
-                    known, sizes, scores = {}, [], []
-                indexed = []
-                for text in texts:
-                    own = []
-                    for w in WORD.findall(text) if names else ():
-                        at = known.get(w)
-                        if at is None:
-                            at = known[w] = len(sizes)
-                            sizes.append(len(w))
-                            scores.append(model.word(w))
-                        own.append(at)
-                    indexed.append(np.array(own, np.int64))
-                if scores:
-                    paths = viterbi(indexed, np.stack(scores), model.switch)
-                    letters = np.array(sizes)
+                indexed = words.take(texts) if names else [np.zeros(0, np.int64)] * len(texts)
+                paths = viterbi(indexed, words.scores, model.switch) if names else indexed
+                letters = words.letters
                 out = []
                 for i, (text, own) in enumerate(zip(texts, indexed, strict=True)):
                     if not len(own):
