@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import Scratch, slices, text_or_empty
 from .quality_model import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -194,8 +194,10 @@ def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 40
     # The ids are at most sample_docs for each language: a proven bound.
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
     summed = sample.mapInArrow(count, "lang string, kind string, name string, n long").groupBy("kind", "name", "lang").agg(F.sum("n").alias("n"))
+    # Saved, as it is read twice below.
     by_name = summed.groupBy("kind", "name").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    rows = by_name.orderBy("kind", F.desc("all"), "name").where("kind = 'gram'").limit(most_trigrams).collect()
+    by_name = Scratch(docs.sparkSession, "language").save(by_name, "counts")
+    rows = by_name.where("kind = 'gram'").orderBy(F.desc("all"), "name").limit(most_trigrams).collect()
     kinds = by_name.where("kind = 'script'").limit(len(_RANGES)).collect()
     place = {n: i for i, n in enumerate(names)}
     counts = np.zeros((len(rows), len(names)))
