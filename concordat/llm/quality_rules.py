@@ -3,16 +3,21 @@
 A document first has to pass rules on itself (enough words, few repeated
 5-word windows).  Then its lines are compared with those of its host: lines
 are normalised (lower case, white space collapsed) and hashed, and a line that
-occurs in more than ``max_docs`` different documents of the host is boilerplate
-and removed.  A document that loses more than half of its words is depleted
-and rejected.
+occurs in more than ``max_docs`` different documents of the host, and in more
+than ``max_docs_percent`` percent of them, is boilerplate and removed.  The
+share keeps the verdict from depending on how many rows a host has; the number
+is its floor on small hosts.  A document that loses more than half of its words
+is depleted and rejected.
 
 Copies of a document are not different documents: equal texts count once, and
-a line only counts as boilerplate if the texts that share it are mostly
-unlike each other.  Unlike texts are told apart by the least and greatest line
-hash of a text, which near copies mostly share: there must be at least half as
-many such marks as texts.  Otherwise a group of near copies, which the dedup
-step reduces to one, would be wiped out here.
+of each group of near copies (5-word shingles, similarity 0.8, as in the dedup
+step) one counts.  Otherwise a group of near copies, which the dedup step
+reduces to one, would be wiped out here.  A host's documents are counted as
+different texts; near copies are looked for only among the texts that hold a
+line over the limit, as only they can lose one.  A text is compared with the
+most shared text under each of its ``KEYS`` least shingle hashes, and links are
+confirmed on full shingle sets; near copies that reach each other only by
+texts that are no such centre count apart.
 
 Scale: one scan computes the rules and the line hashes into a narrow scratch
 table; all shuffles carry only hashes.  A line shared by a third of all
@@ -26,9 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, text_or_empty
+from .near_dedup import components
 
 _GAP = "[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
+#: A large host's number of texts is joined in this many parts.
+PARTS = 64
+#: Shingle hashes of a text under which near copies meet; a pair of similarity 0.8 shares none with probability below 1e-10.
+KEYS = 16
 
 
 def _count_of(text, characters: str):
@@ -67,8 +77,27 @@ def _hashed_line(line):
     return F.struct(F.xxhash64(even).alias("h"), (_count_of(even, " ") + 1).alias("n"))
 
 
+def _near_groups(texts: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, group): one row for each id of ``texts`` (id, body); near copies have one group."""
+    w = F.col("words")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))
+    shingles = F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, width)))))
+    one = texts.groupBy("id").agg(F.first("body").alias("body"))
+    sets = scratch.save(one.select("id", F.split(F.trim(F.lower("body"), F.lit(SPACES)), _GAP).alias("words")).select("id", shingles.alias("shingles")), "sets")
+    keys = sets.select("id", F.explode(F.slice("shingles", 1, KEYS)).alias("key"))
+    shared = scratch.save(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared")
+    scored = shared.join(shared.groupBy("id").agg(F.sum("n").alias("score")), "id")
+    hubs = scored.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("a"))
+    pairs = shared.join(hubs, "key").where("a != id").select("a", F.col("id").alias("b")).distinct()
+    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    links = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    found = components(scratch.save(links, "links"), scratch, "groups")
+    return sets.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("group"))
+
+
 def quality_rules(
-    docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, max_docs: int = 10, max_removed_percent: int = 50, clean: bool = False
+    docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, max_docs: int = 10, max_removed_percent: int = 50, clean: bool = False, max_docs_percent: int = 5
 ) -> DataFrame:
     """The counts and the verdict for every row of ``docs`` (doc_id, text, the host column).
 
@@ -92,13 +121,21 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = scratch.save(based.select("doc_id", "host", "key_a", "key_b", *counts, failed.alias("base_failed"), "lines"), "rows")
 
-    mark = F.xxhash64(F.array_min("lines.h"), F.array_max("lines.h")).alias("mark")
     line = F.xxhash64("host", "h").alias("line")
-    held = rows.select("host", "key_a", "key_b", mark, F.explode(F.array_distinct("lines.h")).alias("h")).select(line, "mark", "key_a", "key_b")
-    texts = held.distinct().groupBy("line", "mark").agg(F.count(F.lit(1)).alias("n"))
-    spread = texts.groupBy("line").agg(F.count(F.lit(1)).alias("marks"), F.sum("n").alias("texts"))
-    common = spread.where((F.col("marks") > max_docs) & (2 * F.col("marks") >= F.col("texts"))).select("line")
-    hit = held.join(common, "line").groupBy("key_a", "key_b").agg(F.collect_set("line").alias("common"))
+    held = rows.select("host", "key_a", "key_b", F.explode(F.array_distinct("lines.h")).alias("h")).select(line, F.xxhash64("host").alias("site"), "key_a", "key_b").distinct()
+    lines = held.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).withColumn("part", F.pmod("line", F.lit(PARTS)).cast("int"))
+    sites = rows.select(F.xxhash64("host").alias("site"), "key_a", "key_b").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
+    parts = sites.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    often = scratch.save(lines.join(parts, ["site", "part"]).where(100 * F.col("n") > max_docs_percent * F.col("of")).select("line", "of"), "often")
+    holders = scratch.save(held.join(often, "line").select("line", "of", "key_a", "key_b"), "holders")
+    chosen = holders.select("key_a", "key_b").distinct()
+    if holders.limit(1).count():
+        texts = scratch.save(keyed.join(chosen, ["key_a", "key_b"], "left_semi").select(F.col("key_a").alias("id"), "body"), "texts")
+        groups = _near_groups(texts, scratch).withColumnRenamed("id", "key_a")
+        different = holders.join(groups, "key_a").select("line", "of", "group").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
+        common = different.where((F.col("n") > max_docs) & (100 * F.col("n") > max_docs_percent * F.col("of"))).select("line")
+        holders = holders.join(common, "line")
+    hit = holders.groupBy("key_a", "key_b").agg(F.collect_set("line").alias("common"))
 
     at = F.col("common")
     gone = F.aggregate(F.filter("lines", lambda x: F.array_contains(at, F.xxhash64("host", x["h"]))), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])

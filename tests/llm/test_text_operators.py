@@ -180,6 +180,29 @@ def test_quality_rules_on_odd_tables(spark):
     assert quality_rules(df.drop("source")).count() == 4
 
 
+def test_common_lines_are_a_share_of_the_host_and_near_copies_count_once(spark):
+    rng = random.Random(14)
+
+    def body(lines):
+        return "\n".join(" ".join(h.words(rng, 12)) for _ in range(lines))
+
+    # 20 of 500 texts share a line by chance; 60 of 500 have a footer.
+    rows = [(d, ("les.\n" if d < 20 else "") + body(3) + ("\nall rights reserved" if d >= 440 else ""), "large") for d in range(500)]
+    # Two of three lines are a template and hold each text's extremes, so the own line never shows in them.
+    low, high = "first template line of ten words is here for all", "second template line of ten words is here for all"
+    rows += [(d, f"{low}\n{high}\n{body(1)}", "template") for d in range(1000, 1030)]
+    # 40 near copies of a text: each has other words at another place of it, and shares most lines.
+    base = [h.words(rng, 12) for _ in range(12)]
+    for d in range(2000, 2040):
+        lines = [list(x) for x in base]
+        lines[d % 12][d % 7] = f"edit{d}"
+        rows.append((d, "\n".join(" ".join(x) for x in lines), "near"))
+    got = {r.doc_id: r for r in quality_rules(h.documents(spark, rows)).collect()}
+    assert all(got[d].n_removed_words == (3 if d >= 440 else 0) for d in range(500))
+    assert all(got[d].n_removed_words == 20 for d in range(1000, 1030))
+    assert all(got[d].n_removed_words == 0 and got[d].kept for d in range(2000, 2040))
+
+
 # -- decontamination ------------------------------------------------------
 
 
