@@ -9,6 +9,9 @@ all items within Hamming distance 47 are among the candidates.  At a weighted
 Jaccard similarity of 0.8 the expected distance is 19 with a deviation of 4.
 Candidates are confirmed by that similarity, computed exactly.
 
+A document of fewer words than an item is one window as a whole, so an item
+that was cut short at an end is found as well.
+
 Windows that share no shingle at all with any item have similarity 0 and
 can't be confirmed, so no fingerprint is made of them; this drops nothing and
 saves the work on clean text.
@@ -100,11 +103,15 @@ class Index:
                 for n in lengths[at[place]]:
                     wanted.setdefault(n, []).append(place)
             for n, places in wanted.items():
-                if min(self.width, n) == k and n <= len(words):
-                    out += self._windows(shingles, np.array(places), n, n - k + 1, least)
+                if min(self.width, n) == k:
+                    out += self._windows(shingles, np.array(places), n, min(n, len(words)), k, least)
         return out
 
-    def _windows(self, shingles, places, n, size, least):
+    def _windows(self, shingles, places, n, held, k, least):
+        """The best windows of ``held`` words for the items of n words; a shorter document is one window."""
+        size, whole = held - k + 1, n - k + 1
+        if size < least * whole:  # so few shingles can't be as similar
+            return []
         last = len(shingles) - size
         starts = np.unique(np.clip((places[:, None] - np.arange(size)[None, :]).ravel(), 0, last)) if len(places) * size < 2_000_000 else np.arange(last + 1)
         rows, prints, blocks = self.lengths[n]
@@ -133,14 +140,14 @@ class Index:
                 at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                 shared = np.bincount(at[values[at] == own], minlength=len(values))
                 both = int(np.minimum(shared, counts).sum())
-                similarity = both / (2 * size - both)
+                similarity = both / (size + whole - both)
                 if similarity >= least:
                     checked.append((-similarity, start, distance))
             taken: list[int] = []
             for minus, start, distance in sorted(checked):
-                if all(abs(start - t) >= n for t in taken):
+                if all(abs(start - t) >= held for t in taken):
                     taken.append(start)
-                    out.append((item_id, start, n, distance, -minus))
+                    out.append((item_id, start, held, distance, -minus))
         return out
 
 
@@ -150,7 +157,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     Columns: doc_id, item_id, start_word and n_words of the passage,
     SimHash distance and similarity.  Of overlapping windows the most similar
     one is given, the earlier one at a tie.  Items of fewer than ``width``
-    words are one shingle; items and documents without words match nothing.
+    words are one shingle; a document shorter than an item is one passage;
+    items and documents without words match nothing.
     Null doc_ids and item_ids are passed through, repeated rows give repeated
     rows, other columns are not looked at.
     """

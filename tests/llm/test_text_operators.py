@@ -251,6 +251,20 @@ def test_contamination_against_brute_force(spark):
     assert dc.contamination(df, benchmark.limit(0)).count() == 0 and dc.contamination(df.limit(0), benchmark).count() == 0
 
 
+def test_items_cut_short_at_an_end_are_found(spark):
+    rng = random.Random(33)
+    item = h.words(rng, 100)
+    cut = {1: item[:95], 2: item[3:], 3: item[:85], 4: item[:80], 5: item[:99], 6: item, 7: item[2:98]}
+    docs = h.documents(spark, [(d, " ".join(w)) for d, w in cut.items()])
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(h.words(rng, 20)))], "item_id long, text string")
+    found = {r.doc_id: r for r in dc.contamination(docs, benchmark).collect()}
+    assert set(found) == {1, 2, 3, 5, 6, 7}  # 76 of 96 shingles are too few
+    for d, r in found.items():
+        assert (r.item_id, r.start_word, r.n_words) == (1, 0, len(cut[d]))
+        assert abs(r.similarity - (len(cut[d]) - 4) / 96) < 1e-12
+    assert {r.doc_id for r in dc.decontaminate(docs, benchmark).collect()} == {4}
+
+
 def test_windows_within_the_radius_are_candidates():
     import numpy as np
 
