@@ -1,6 +1,8 @@
 """Secret scanning with a random forest over candidates (operator 4), in DataFrame functions only.
 
-Candidates are runs of 16 or more key characters with a digit.  Each is
+Candidates are runs of 16 or more key characters with a digit, and issued keys
+of known form without one.  Other values without a digit or under 16 such
+characters (short passwords, passwords with signs) are not looked at.  Each is
 described by its length, the shares and changes of character classes, common
 letter pairs, the share covered by dictionary words, path marks, and the words
 and signs around it.  A random forest, trained from labelled findings, tells
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_or_empty
 
 _T, _L = "[A-Za-z0-9+/_-]", "[A-Za-z+/_-]"
-_START = rf"(?<!{_T})(?={_L}*+[0-9])(?={_T}{{16}})"
+# Issued keys in full; by chance such a key has no digit (3.6 % of AKIA keys).
+ISSUED = f"(?:AKIA|ASIA)[A-Z2-7]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|npm_[A-Za-z0-9]{{36}}|[sr]k_live_[A-Za-z0-9]{{24,}}|glpat-[A-Za-z0-9_-]{{20}}|AIza[A-Za-z0-9_-]{{35}}"
+_START = rf"(?<!{_T})(?:(?={_L}*+[0-9])(?={_T}{{16}})|(?=(?:{ISSUED})(?!{_T})))"
 HAS_CANDIDATE = _START
 CANDIDATE = rf"(?s){_START}(?<=(\A.{{0,48}}|.{{48}}))({_T}{{16,}}+={{0,2}})(?=(.{{0,16}}))"
 
