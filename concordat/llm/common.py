@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,22 @@ class Scratch:
     """Tables in the folder that driver and executors share.
 
     A saved table cuts lineage and survives lost executors.  The folder is
-    ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary one is taken.
+    ``spark.checkpoint.dir``.  Only a local master, as in tests, may leave that
+    unset and gets a temporary one; on a cluster a machine-local folder would
+    be unreadable to others, so there it is an error.  What was saved goes when
+    the driver's process ends; tables that no later plan reads are dropped
+    before that.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = _local_root()
         self.spark = spark
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.drop, "")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -46,13 +53,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove saved tables that no later plan reads."""
-        jvm = self.spark._jvm
+        """Remove saved tables that no later plan reads; "" stands for all of them."""
+        if self.spark.sparkContext._jsc is None:  # the session has ended
+            return
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names with as many _ behind them as keep them apart from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,20 +9,14 @@ share keeps the verdict from depending on how many rows a host has; the number
 is its floor on small hosts.  A document that loses more than half of its words
 is depleted and rejected.
 
-Copies of a document are not different documents: equal texts count once, and
-of each group of near copies (5-word shingles, similarity 0.8, as in the dedup
-step) one counts.  Otherwise a group of near copies, which the dedup step
-reduces to one, would be wiped out here.  A host's documents are counted as
-different texts; near copies are looked for only among the texts that hold a
-line over the limit, as only they can lose one.  A text is compared with the
-most shared text under each of its ``KEYS`` least shingle hashes, and links are
-confirmed on full shingle sets; near copies that reach each other only by
-texts that are no such centre count apart.
+A host's documents are its different texts: copies of a text count once.  Near
+copies are different texts, so a group of them that exceeds both limits in one
+host loses the lines it shares, as pages of one template do.
 
 Scale: one scan computes the rules and the line hashes into a narrow scratch
-table; all shuffles carry only hashes.  A line shared by a third of all
-documents is pre-aggregated before each shuffle or sits in a join whose skewed
-side Spark splits.
+table; all shuffles of the counting carry only hashes.  A line shared by a
+third of all documents is pre-aggregated before each shuffle or sits in a join
+whose skewed side Spark splits.
 """
 
 from __future__ import annotations
@@ -30,15 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, text_or_empty
-from .near_dedup import components
+from .common import SPACES, Scratch, free, text_or_empty
 
 _GAP = "[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
 #: A large host's number of texts is joined in this many parts.
 PARTS = 64
-#: Shingle hashes of a text under which near copies meet; a pair of similarity 0.8 shares none with probability below 1e-10.
-KEYS = 16
 
 
 def _count_of(text, characters: str):
@@ -77,25 +68,6 @@ def _hashed_line(line):
     return F.struct(F.xxhash64(even).alias("h"), (_count_of(even, " ") + 1).alias("n"))
 
 
-def _near_groups(texts: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, group): one row for each id of ``texts`` (id, body); near copies have one group."""
-    w = F.col("words")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))
-    shingles = F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, width)))))
-    one = texts.groupBy("id").agg(F.first("body").alias("body"))
-    sets = scratch.save(one.select("id", F.split(F.trim(F.lower("body"), F.lit(SPACES)), _GAP).alias("words")).select("id", shingles.alias("shingles")), "sets")
-    keys = sets.select("id", F.explode(F.slice("shingles", 1, KEYS)).alias("key"))
-    shared = scratch.save(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared")
-    scored = shared.join(shared.groupBy("id").agg(F.sum("n").alias("score")), "id")
-    hubs = scored.groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("a"))
-    pairs = shared.join(hubs, "key").where("a != id").select("a", F.col("id").alias("b")).distinct()
-    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-    found = components(scratch.save(links, "links"), scratch, "groups")
-    return sets.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("group"))
-
-
 def quality_rules(
     docs: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, max_docs: int = 10, max_removed_percent: int = 50, clean: bool = False, max_docs_percent: int = 5
 ) -> DataFrame:
@@ -112,7 +84,7 @@ def quality_rules(
     repeats included; equal rows get equal verdicts.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    source = F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")
+    source = F.coalesce(F.col(host).cast("string"), F.lit("\0")) if host in docs.columns else F.lit("")
     body = docs.select("doc_id", text_or_empty().alias("body"), source.alias("host"))
     keyed = body.select("doc_id", "body", "host", F.xxhash64("host", "body").alias("key_a"), F.hash("body", "host").alias("key_b"))
     lined = keyed.withColumn("own_lines", F.filter(F.split("body", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""))
@@ -126,16 +98,8 @@ def quality_rules(
     lines = held.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).withColumn("part", F.pmod("line", F.lit(PARTS)).cast("int"))
     sites = rows.select(F.xxhash64("host").alias("site"), "key_a", "key_b").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     parts = sites.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    often = scratch.save(lines.join(parts, ["site", "part"]).where(100 * F.col("n") > max_docs_percent * F.col("of")).select("line", "of"), "often")
-    holders = scratch.save(held.join(often, "line").select("line", "of", "key_a", "key_b"), "holders")
-    chosen = holders.select("key_a", "key_b").distinct()
-    if holders.limit(1).count():
-        texts = scratch.save(keyed.join(chosen, ["key_a", "key_b"], "left_semi").select(F.col("key_a").alias("id"), "body"), "texts")
-        groups = _near_groups(texts, scratch).withColumnRenamed("id", "key_a")
-        different = holders.join(groups, "key_a").select("line", "of", "group").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
-        common = different.where((F.col("n") > max_docs) & (100 * F.col("n") > max_docs_percent * F.col("of"))).select("line")
-        holders = holders.join(common, "line")
-    hit = holders.groupBy("key_a", "key_b").agg(F.collect_set("line").alias("common"))
+    common = lines.join(parts, ["site", "part"]).where(100 * F.col("n") > max_docs_percent * F.col("of")).select("line")
+    hit = held.join(common, "line").groupBy("key_a", "key_b").agg(F.collect_set("line").alias("common"))
 
     at = F.col("common")
     gone = F.aggregate(F.filter("lines", lambda x: F.array_contains(at, F.xxhash64("host", x["h"]))), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
@@ -148,13 +112,12 @@ def quality_rules(
     if not clean:
         return judged.select("doc_id", *counts, "base_failed", "n_removed_words", "depleted", "kept")
 
-    # One verdict for a text of a host, however many rows have it.
-    verdicts = judged.groupBy("key_a", "key_b").agg(F.first("kept").alias("_kept"), F.first("common").alias("_common")).where("_kept").drop("_kept")
-    keyed = docs.withColumns({"_body": text_or_empty(), "_host": source})
-    keyed = keyed.withColumns({"key_a": F.xxhash64("_host", "_body"), "key_b": F.hash("_body", "_host")})
-    found = F.col("_common")
-    left = F.array_join(F.filter(F.split("_body", "\n"), lambda x: ~F.array_contains(found, F.xxhash64("_host", _hashed_line(x)["h"]))), "\n")
-    cut = keyed.join(verdicts, ["key_a", "key_b"]).withColumn("text", F.when(found.isNull(), F.col("text")).otherwise(left))
+    # One verdict for a text of a host, however many rows have it; the names below clash with none of docs.
+    text, site, a, b, found = free(docs.columns, "body", "host", "key_a", "key_b", "common")
+    verdicts = judged.groupBy("key_a", "key_b").agg(F.first("kept").alias("kept"), F.first("common").alias(found)).where("kept").select(F.col("key_a").alias(a), F.col("key_b").alias(b), found)
+    keyed = docs.withColumns({text: text_or_empty(), site: source}).withColumns({a: F.xxhash64(site, text), b: F.hash(text, site)})
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(found, F.xxhash64(site, _hashed_line(x)["h"]))), "\n")
+    cut = keyed.join(verdicts, [a, b]).withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(found.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        cut = cut.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return cut.select(*docs.columns)

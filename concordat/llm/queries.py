@@ -103,4 +103,23 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP6_SQL = rf"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as body, coalesce(source, chr(1)) as host, {_WORDS.format("coalesce(text, '')")} as words from documents),
+  win as (select rid, unnest(range(1, len(words) - 3)) as i, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) as five from d where len(words) >= 5),
+  again as (select rid, i, count(*) over (partition by rid, five) as times from win),
+  placed as (select rid, coalesce(least(lead(i) over (partition by rid order by i) - i, 5), 5) as step from again where times > 1),
+  repeats as (select rid, sum(step) as n_repeat_words from placed group by 1),
+  line as (select rid, host, body, unnest(string_split(body, chr(10))) as line from d),
+  held as (select rid, host, body, line, lower(array_to_string({_WORDS.format("line")}, ' ')) as even, len({_WORDS.format("line")}) as n from line where len({_WORDS.format("line")}) > 0),
+  dups as (select rid, count(*) - count(distinct line) as n_dup_lines from held group by 1),
+  texts as (select host, count(distinct body) as of from d group by 1),
+  common as (select host, even from held join texts using (host) group by 1, 2, of having count(distinct body) > 10 and 100 * count(distinct body) > 5 * of),
+  gone as (select rid, sum(n) as n_removed_words from held semi join common using (host, even) group by 1),
+  counted as (select rid, doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(body) - length(translate(body, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    coalesce(n_removed_words, 0)::bigint as n_removed_words from d left join repeats using (rid) left join dups using (rid) left join gone using (rid)),
+  judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 100 * n_removed_words > 50 * n_words as depleted from counted)
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, depleted, not base_failed and not depleted as kept from judged"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _OP6_SQL}
