@@ -1,11 +1,12 @@
 """Language identification of mixed texts (operator 10).
 
-Each word is scored for each language by the character trigrams of the marked
-word, with log-probabilities learned from labelled texts.  The script of the
-word's first letter narrows the candidates to languages written in it.  A
-Viterbi pass over the words, with a penalty for each change of language, labels
-the whole text; runs of equal labels are spans.  The predicted language is the
-one with the most letters.
+A word is a run of letters of one script, cut into pieces of 64 letters where it
+is longer, as in scripts written without spaces.  Each word is scored for each
+language by the character trigrams of the marked word, with log-probabilities
+learned from labelled texts.  Its script narrows the candidates to languages
+written in it.  A Viterbi pass over the words, with a penalty for each change
+of language, labels the whole text; runs of equal labels are spans.  The
+predicted language is the one with the most letters.
 
 The pass runs over many texts at once: step t handles word t of every text
 that has one, in numpy, so its cost in Python is that of the longest text of a
@@ -19,18 +20,19 @@ a shuffle.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, text_or_empty
 from .quality_model import held_out
 
-WORD = re.compile(r"[^\W\d_]+")
 # First code points of script ranges; the gaps between them count as the range before.
 _RANGES = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"),
@@ -41,10 +43,46 @@ _RANGES = [
     (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [a for a, _ in _RANGES]
+#: Letters of a word; longer runs are several words.
+LETTERS = 64
 REMEMBERED = 300_000
 CHARS = 8_000_000
 
 
+def _letter_runs() -> dict[str, str]:
+    """script: its letters (of Unicode's letter categories) as the inside of a character class."""
+    out: dict[str, list[str]] = {}
+    bounds = [*_STARTS[1:], sys.maxunicode + 1]
+    for (first, name), end in zip(_RANGES, bounds, strict=True):
+        start = None
+        for c in range(first, end + 1):
+            if c < end and chr(c).isalpha():
+                start = c if start is None else start
+            elif start is not None:
+                out.setdefault(name, []).append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+                start = None
+    return {name: "".join(runs) for name, runs in out.items()}
+
+
+_PIECE = re.compile("|".join(f"[{runs}]{{1,{LETTERS}}}" for runs in _letter_runs().values()))
+#: A run of letters, and of numbers like ½ and Ⅷ that the pattern language counts with them; most are one word.
+RUN = re.compile(r"[^\W\d_]+")
+
+
+def whole(run: str) -> bool:
+    """Whether a run is one word: short, of letters only, and of one script."""
+    return len(run) <= LETTERS and (run.isascii() or (run.isalpha() and len({script(c) for c in run}) == 1))
+
+
+def words_of(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every word."""
+    for m in RUN.finditer(text):
+        if whole(m.group()):
+            yield m.span()
+        else:
+            yield from (p.span() for p in _PIECE.finditer(text, m.start(), m.end()))
+
+
 def script(word: str) -> str:
     return _RANGES[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
@@ -75,7 +113,7 @@ class LanguageModel:
         unknown = np.zeros(len(words), bool)
         for k, word in enumerate(words):
             starts.append(len(places))
-            places += [get(g, other) for g in trigrams(word[:64])]
+            places += [get(g, other) for g in trigrams(word)]
             own = self.scripts.get(script(word))
             unknown[k] = own is None or not own.any()
             allowed.append(everywhere if unknown[k] else own)
@@ -96,24 +134,48 @@ class _Words:
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.model.languages)))
-        self.letters = np.zeros(0, np.int64)
+        self.words: list[str] = []
+        self.broken: list[np.ndarray] = []
+        # Grown by doubling; rows beyond those of self.words are not in use.
+        self.scores = np.zeros((1024, len(self.model.languages)))
+        self.letters = np.zeros(1024, np.int64)
 
     def take(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's words as rows of the table."""
         if len(self.places) > REMEMBERED:
             self.clear()
         places, new, out = self.places, [], []
+
+        def place(word: str) -> int:
+            if word not in places:
+                places[word] = len(self.words)
+                self.words.append(word)
+                new.append(word)
+            return places[word]
+
         for text in texts:
-            found = WORD.findall(text)
-            for w in found:
-                if w not in places:
-                    places[w] = len(places)
-                    new.append(w)
-            out.append(np.fromiter(map(places.__getitem__, found), np.int64, len(found)))
+            found = RUN.findall(text)
+            for run in found:
+                if run not in places:
+                    if whole(run):
+                        place(run)
+                    else:
+                        # A run of several words stands for them by a negative number.
+                        own = [place(w) for w in _PIECE.findall(run)]
+                        self.broken.append(np.array(own, np.int64))
+                        places[run] = -len(self.broken)
+            at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
+            if len(at) and at.min() < 0:
+                at = np.concatenate([self.broken[-k - 1] if k < 0 else [k] for k in at.tolist()]).astype(np.int64)
+            out.append(at)
         if new:
-            self.scores = np.concatenate([self.scores, self.model.words(new)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int64, len(new))])
+            n = len(self.words)
+            if n > len(self.letters):
+                size = 1 << n.bit_length()
+                self.scores = np.concatenate([self.scores, np.zeros((size - len(self.scores), self.scores.shape[1]))])
+                self.letters = np.concatenate([self.letters, np.zeros(size - len(self.letters), np.int64)])
+            self.scores[n - len(new) : n] = self.model.words(new)
+            self.letters[n - len(new) : n] = np.fromiter(map(len, new), np.int64, len(new))
         return out
 
 
@@ -161,38 +223,43 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float) -> list[
     return out
 
 
-def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 4000, most_trigrams: int = 60_000, switch: float = 12.0, most: float = 8.0) -> LanguageModel:
+def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 4000, most_trigrams: int = 60_000, switch: float = 12.0, most: float = 8.0, most_languages: int = 500) -> LanguageModel:
     """A model from text and lang of documents that aren't held out.
 
     Fit on at most ``sample_docs`` documents of each language, those with the
     least hashes of their doc_id, and on the ``most_trigrams`` most frequent
-    trigrams.  Null texts and null langs are left out.
+    trigrams; a doc_id that occurs again with the same lang counts once, by its
+    least text.  Of more than ``most_languages`` values of lang those with the
+    most sampled documents are learned (in a tie the first by name).  Null
+    texts and null langs are left out.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(out_part, of))
-    names = sorted(r.lang for r in usable.select("lang").distinct().collect())
-    ids = None
-    for name in names:
-        some = usable.where(F.col("lang") == name).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-        ids = some if ids is None else ids.union(some)
-    if ids is None:
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(out_part, of)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = usable.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs).drop("rank")
+    ids = Scratch(docs.sparkSession, "language").save(ids, "ids")
+    learned = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    names = sorted(r.lang for r in learned.collect())
+    if not names:
         return LanguageModel([], {}, np.zeros((1, 0)), {}, switch, most)
+    ids = ids.where(F.col("lang").isin(names))
 
     def count(batches):
         counts: dict[tuple[str, str], int] = {}
         letters: dict[tuple[str, str], int] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for w in WORD.findall(text):
+                for start, end in words_of(text):
+                    w = text[start:end]
                     s = script(w)
                     letters[lang, s] = letters.get((lang, s), 0) + len(w)
-                    for g in trigrams(w[:64]):
+                    for g in trigrams(w):
                         counts[lang, g] = counts.get((lang, g), 0) + 1
         for rows, kind in ((counts, "gram"), (letters, "script")):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows]), pa.array([kind] * len(rows)), pa.array([b for _, b in rows]), pa.array(list(rows.values()), pa.int64())], ["lang", "kind", "name", "n"])
 
-    # The ids are at most sample_docs for each language: a proven bound.
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # The ids are at most sample_docs for each of most_languages: a proven bound, and Spark picks the join by their size.
+    sample = usable.join(ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     summed = sample.mapInArrow(count, "lang string, kind string, name string, n long").groupBy("kind", "name", "lang").agg(F.sum("n").alias("n"))
     # Saved, as it is read twice below.
     by_name = summed.groupBy("kind", "name").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
@@ -259,11 +326,11 @@ def _spans(text: str, path: np.ndarray, names: list[str]) -> list[dict]:
     """Runs of equal labels; the words' places are only looked up where there is more than one."""
     turns = np.flatnonzero(np.diff(path)) + 1
     if not len(turns):
-        first = WORD.search(text).start()
+        first = next(words_of(text))[0]
         end = len(text)
-        while not WORD.match(text[end - 1]):
+        while not text[end - 1].isalpha():
             end -= 1
         return [{"start": first, "end": end, "lang": names[int(path[0])]}]
-    places = [m.span() for m in WORD.finditer(text)]
+    places = list(words_of(text))
     bounds = [0, *turns.tolist(), len(path)]
     return [{"start": places[a][0], "end": places[b - 1][1], "lang": names[int(path[a])]} for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -147,13 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, out_part: int = 2, of: int = 4, sa
     ``labels`` (doc_id, quality) may name up to ``sample_rows`` documents that
     are used: those with the least hashes of their doc_id, whatever the size of
     the tables.  Labels other than 0 and 1 are left out; a document with both
-    labels counts with each.
+    labels counts with each.  A doc_id that occurs again with another text
+    counts once, by its least statistics.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(out_part, of)).distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     # At most sample_rows rows of two integers: a proven bound.
-    rows = statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).distinct().join(F.broadcast(chosen), "doc_id")
-    table = rows.orderBy("doc_id", "quality", *STATISTICS).limit(4 * sample_rows).toArrow()
+    found = statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"))
+    one = found.groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("least")).select("doc_id", "least.*")
+    table = one.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality").toArrow()
     x = np.stack([np.asarray(table.column(s)) for s in STATISTICS], axis=1) if table.num_rows else np.zeros((0, len(STATISTICS)))
     return grow(x, np.asarray(table.column("quality"), dtype=float), **options)
 

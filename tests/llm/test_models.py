@@ -138,6 +138,16 @@ def test_quality_of_odd_rows(spark):
     assert quality_model.classify(docs.limit(0), quality_model.train(docs, labels.limit(0))).count() == 0
 
 
+def test_repeated_training_rows_count_once(spark):
+    def docs(copies):
+        rows = [(d, ("good words of a text. " if d % 2 else "bad!!! ### ") * (5 + d % 7)) for d in range(40)]
+        return h.documents(spark, rows + [(3, rows[3][1])] * copies + [(5, "z " * 400)] * copies)
+
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
+    one, many = (quality_model.train(docs(n), labels, sample_rows=24) for n in (1, 200))
+    assert all(np.array_equal(getattr(one, f), getattr(many, f)) for f in ("feature", "limit", "left", "right", "value", "roots"))
+
+
 # -- language -------------------------------------------------------------
 
 
@@ -191,6 +201,28 @@ def test_spans_of_mixed_text_and_scripts(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_letters_scripts_and_long_runs(spark):
+    def words(text):
+        return [text[a:b] for a, b in language.words_of(text)]
+
+    assert words("½ ² Ⅷ 12 _") == []
+    assert words("aбв漢字kana é́z x½y") == ["a", "бв", "漢字", "kana", "é", "z", "x", "y"]
+    run = "ab" * 50
+    assert words(run) == [run[:64], run[64:]]
+    every = "".join(c for c in map(chr, range(0x30000)) if c.isalpha())
+    assert "".join(words(every)) == every and all(len({language.script(c) for c in w}) == 1 for w in words(every))
+    rows = [(k, t * 40, lang) for k, (t, lang) in enumerate([("漢字文", "zh"), ("假名本", "ja")] * 10)]
+    model = language.train(spark.createDataFrame(rows + [(90, "x y", "rare")], "doc_id long, text string, lang string"), most_languages=2)
+    assert model.languages == ["ja", "zh"]
+    # Behind the first 64 letters the run goes on in the other language, and there is more of it.
+    text = "漢字文" * 90 + "假名本" * 150
+    docs = spark.createDataFrame([(1, text), (2, "½ ² Ⅷ"), (3, "漢字文" * 70_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert got[1].lang_pred == "ja" and [s.lang for s in got[1].spans] == ["zh", "ja"]
+    assert (got[2].lang_pred, got[2].score, got[2].spans) == ("und", 0.0, [])
+    assert got[3].lang_pred == "zh" and got[3].spans[0].end == 210_000
+
+
 def test_language_query_on_held_out_rows(spark):
     out = QUERIES["op10_language"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
