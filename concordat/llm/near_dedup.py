@@ -21,9 +21,9 @@ member of the least id; the confirmed links are contracted to components, and
 only pairs between different components of a bucket are looked at afterwards,
 in tasks that hold one cell of bounded size at a time and give out only links
 that join components, never candidate pairs.
-Large buckets of many components are split by a second pigeonhole key, and any
-bucket that is still large is dealt into a grid of cells; no bucket is ever
-collected into one task and none is cut short.
+Large buckets of many components are split by a second pigeonhole key that
+keeps the guarantee, and any bucket that is still large is dealt into a grid of
+cells; no bucket is ever collected into one task and none is cut short.
 """
 
 from __future__ import annotations
@@ -37,15 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, shingle_hashes, slices, text_or_empty, word_hashes
+from .common import Scratch, free, mix, shingle_hashes, slices, text_or_empty, word_hashes
 
 CHUNKS, CHUNK_LEN, ERRORS = 12, 6, 1
 #: A task holds the members of one cell; buckets of more members are split into several.
 BUCKET = 1500
 #: The same for the shingles of its members.
 SHINGLES = 1_500_000
-#: Rows in an Arrow batch of pairs with their shingle sets.
-PAIRS_A_BATCH = 256
+#: Rows with their shingle sets that a task takes up at once; Spark bounds the bytes of each Arrow batch.
+SETS_AT_ONCE = 1024
 
 _rng = np.random.default_rng(7)
 _MULTIPLIERS = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,25 +116,27 @@ def _keys(chunks: int, chunk_len: int, errors: int):
 
 
 def _second_keys(chunks: int, chunk_len: int, errors: int):
-    """For rows of a large bucket: the bucket's key together with each key of the row's signature.
+    """For rows of a large bucket: the bucket's key together with keys of the row's other chunks.
 
-    A pair that shares the bucket's chunk shares another one too, if it is
-    within ``(chunks - 1) * (errors + 1) - 1`` symbols.  The bucket's own chunk
-    would leave the bucket as it is, so keys equal to the bucket's are skipped.
+    A pair within ``chunks * (errors + 1) - 1`` symbols that shares the bucket
+    has at most that many unequal symbols in the other ``chunks - 1`` chunks,
+    so one of them holds at most ``errors + 1``: with one symbol more left out
+    of each key no such pair is lost.  The bucket's own chunk, which ``slot``
+    names, would leave the bucket as it is and is skipped.
     """
+    choices = len(list(combinations(range(chunk_len), errors)))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 signs = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
-                own = chunk_keys(signs, chunks, chunk_len, errors)
-                old = np.asarray(part.column("key")).view(np.uint64)
-                other = ~(own == old[:, None, None]).any(axis=2)
-                rows, at_chunk = np.nonzero(other)
-                keys = mix(own[rows, at_chunk] ^ mix(old[rows])[:, None])
-                repeat = np.repeat(rows, keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("id").take(pa.array(repeat)), part.column("comp").take(pa.array(repeat)), part.column("size").take(pa.array(repeat)), pa.array(np.full(len(repeat), -1, np.int16))], ["key", "id", "comp", "size", "slot"])
+                keys = chunk_keys(signs, chunks, chunk_len, errors + 1)
+                own = np.asarray(part.column("slot")) // choices
+                rows, at_chunk = np.nonzero(np.arange(chunks)[None, :] != own[:, None])
+                keys = mix(keys[rows, at_chunk] ^ mix(np.asarray(part.column("key")).view(np.uint64)[rows])[:, None])
+                repeat = pa.array(np.repeat(rows, keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[part.column(n).take(repeat) for n in ("id", "comp", "size")], pa.array(np.full(len(repeat), -1, np.int16))], ["key", "id", "comp", "size", "slot"])
 
     return run
 
@@ -377,13 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
 
     def links(near: DataFrame, name: str) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = spark.conf.get(limit)
-        spark.conf.set(limit, PAIRS_A_BATCH)
-        try:
-            return scratch.save(near.join(a, "a").join(b, "b").where(confirmed("set_a", "set_b")).select("a", "b"), name)
-        finally:
-            spark.conf.set(limit, before)
+        return scratch.save(near.join(a, "a").join(b, "b").where(confirmed("set_a", "set_b")).select("a", "b"), name)
 
     # A pair of the asked similarity is farther apart with probability 2e-6 or less.
     p = 1 - percent / 100
@@ -399,20 +395,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
     crowded = (F.col("n") > BUCKET) & (F.col("across") > 4 * BUCKET * BUCKET)
     cells = _grid(mixed.where(~crowded))
     if mixed.where(crowded).limit(1).count():
-        again = mixed.where(crowded).join(signs, "id").select("key", "id", "comp", "size", "signature").mapInArrow(_second_keys(chunks, chunk_len, errors), "key long, id long, comp long, size int, slot short")
+        again = mixed.where(crowded).join(signs, "id").select("key", "id", "comp", "size", "slot", "signature").mapInArrow(_second_keys(chunks, chunk_len, errors), "key long, id long, comp long, size int, slot short")
         cells = cells.union(_grid(_mixed(scratch.save(again, "again"))))
     cell, work = ["key", "row", "col"], _Cells(most, percent, chunks, chunk_len, errors)
     member = "key long, row int, col int, own int, id long, comp long, size int, slot short"
     dealt = cells.join(signs, "id").repartition(*cell).sortWithinPartitions(*cell)
     used = scratch.save(dealt.select(*cells.columns, "signature").mapInArrow(work.run(work.members_with_pairs, 20_000), member), "used")
     with_sets = used.join(signs, "id").join(sets, "id").repartition(*cell).sortWithinPartitions(*cell)
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, 4 * PAIRS_A_BATCH)
-    try:
-        more = scratch.save(with_sets.select(*used.columns, "signature", "shingles").mapInArrow(work.run(work.links, 4 * PAIRS_A_BATCH), "a long, b long").distinct(), "more")
-    finally:
-        spark.conf.set(limit, before)
+    more = scratch.save(with_sets.select(*used.columns, "signature", "shingles").mapInArrow(work.run(work.links, SETS_AT_ONCE), "a long, b long").distinct(), "more")
+    # A doc_id with several texts is one document: it ties their sets together.
+    several = texts.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    tied = texts.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(distinct.select("set_a", "set_b", "id"), ["set_a", "set_b"]).where("id != doc_id")
+    more = scratch.save(more.union(tied.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), "all")
     final = components(star.union(more), scratch, "final") if more.limit(1).count() else first
 
     reps = distinct.join(final, "id", "left").select("set_a", "set_b", F.coalesce("comp", "id").alias("comp"))
@@ -427,8 +421,14 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     Rows without doc_id stay.  Of rows that repeat a kept doc_id one stays, the
     one with the least text.
     """
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")
-    one = named.groupBy(F.col("doc_id").alias("_id")).agg(row).select("_row.*")
-    return docs.where("doc_id is null").unionByName(one)
+    (key,) = free(docs.columns, "kept_id")
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    kept = Scratch(docs.sparkSession, "kept").save(kept, "ids")
+
+    def named(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.select(key), docs["doc_id"].cast("long") == ids[key], "left_semi")
+
+    # Whole rows are only grouped where a doc_id occurs again.
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit("")))
+    again = named(kept.where("n > 1")).groupBy(F.col("doc_id").cast("long").alias(key)).agg(row.alias("one")).select("one.*")
+    return docs.where("doc_id is null").unionByName(named(kept.where("n = 1"))).unionByName(again)

@@ -71,6 +71,50 @@ def test_large_buckets_are_split_without_loss(spark, monkeypatch, bucket):
     assert {d: c for d, (_, c, _) in got.items()} == expected
 
 
+def test_second_keys_keep_the_distance_of_a_crowded_bucket():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    chunks, length, errors = 6, 4, 1
+    most, choices = chunks * (errors + 1) - 1, 4
+    split = nd._second_keys(chunks, length, errors)
+    for _ in range(300):
+        a = rng.integers(0, 2**16, chunks * length).astype(np.uint16)
+        b = a.copy()
+        b[rng.permutation(chunks * length)[: int(rng.integers(0, most + 1))]] ^= 1
+        keys = nd.chunk_keys(np.stack([a, b]), chunks, length, errors)
+        shared = np.argwhere(keys[0] == keys[1])
+        assert len(shared)
+        for chunk, choice in shared[:2]:
+            rows = pa.RecordBatch.from_pydict({"key": keys[:, chunk, choice].view(np.int64), "id": [1, 2], "comp": [1, 2], "size": pa.array([9, 9], pa.int32()), "slot": pa.array([chunk * choices + choice] * 2, pa.int16()), "signature": [a.tobytes(), b.tobytes()]})
+            out = pa.Table.from_batches(list(split([rows]))).to_pydict()
+            held = {i: {k for k, j in zip(out["key"], out["id"], strict=True) if j == i} for i in (1, 2)}
+            assert held[1] & held[2]
+
+
+def test_crowded_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BUCKET", 4)  # every bucket of some size is crowded
+    rng = random.Random(19)
+    base, texts = h.words(rng, 60), {}
+    for d in range(70):
+        own = list(base)
+        for _ in range(rng.choice([3, 4, 5, 6, 9])):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(40)}"
+        texts[d] = " ".join(own)
+    got = rows_of(nd.near_duplicates(h.documents(spark, texts.items()), width=4))
+    assert {d: c for d, (_, c, _) in got.items()} == h.components(texts, 4)
+
+
+def test_a_repeated_doc_id_ties_its_texts(spark):
+    a, b, c = (" ".join(h.words(random.Random(k), 30)) for k in (1, 2, 3))
+    rows = [(3, a), (5, a), (5, b), (8, c), (9, b), (11, c), (11, a + " z"), (12, "alone")]
+    df = h.documents(spark, rows).withColumn("kept_id", F.lit(1)).withColumn("n", F.lit("own")).withColumn("one", F.lit(2)).withColumn("_row", F.lit(3))
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (8, 3, False), (9, 3, False), (11, 3, False), (11, 3, False), (12, 12, True)]
+    kept = nd.deduplicate(df.unionByName(df.where("doc_id = 12")))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 12] and {r.n for r in kept.collect()} == {"own"}
+
+
 def test_odd_rows(spark):
     long = " ".join(h.words(random.Random(1), 30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, long), (7, long + " x"), (7, long + " x"), (None, "one"), (None, None)]
