@@ -297,10 +297,23 @@ def test_windows_within_the_radius_are_candidates():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 256, (200, 16), dtype=np.uint8)
-    for _ in range(200):
-        i = int(rng.integers(200))
-        bits = np.unpackbits(a[i])
-        bits[rng.permutation(128)[: int(rng.integers(0, dc.RADIUS + 1))]] ^= 1
-        b = np.packbits(bits)
-        assert any(dc._NEAR[a[i, k], b[k]] for k in range(dc.BLOCKS))
+    a = rng.integers(0, 256, (200, dc.BITS // 8), dtype=np.uint8)
+    index = dc.MultiIndex(a)
+    for _ in range(40):
+        own = rng.integers(200, size=5)
+        bits = np.unpackbits(a[own], axis=1)
+        for row in bits:
+            row[rng.permutation(dc.BITS)[: int(rng.integers(0, dc.RADIUS + 1))]] ^= 1
+        rows, items = index.candidates(np.packbits(bits, axis=1))
+        pairs = set(zip(rows.tolist(), items.tolist(), strict=True))
+        assert len(pairs) == len(rows) and all((k, int(i)) in pairs for k, i in enumerate(own))
+
+
+def test_repeated_items_and_long_documents(spark):
+    rng = random.Random(41)
+    item = " ".join(h.words(rng, 30))
+    benchmark = spark.createDataFrame([(1, item)] * 500 + [(2, item)], "item_id long, text string")
+    long = " ".join(h.words(rng, 60_000))
+    docs = h.documents(spark, [(1, f"{long} {item} {long}"), (1, item), (2, long)])
+    found = Counter((r.doc_id, r.item_id, r.start_word) for r in dc.contamination(docs, benchmark, items_a_pass=1).collect())
+    assert found == Counter({(1, 1, 60_000): 1, (1, 2, 60_000): 1, (1, 1, 0): 1, (1, 2, 0): 1})
