@@ -1,21 +1,22 @@
 """Secret scanning with a random forest over candidates (operator 4), in DataFrame functions only.
 
-Candidates are runs of 16 or more key characters with a digit, and issued keys
-of known form without one.  Other values without a digit or under 16 such
-characters (short passwords, passwords with signs) are not looked at.  Each is
-described by its length, the shares and changes of character classes, common
-letter pairs, the share covered by dictionary words, path marks, and the words
-and signs around it.  A random forest, trained from labelled findings, tells
-secrets from the hashes, identifiers, numbers and paths that look alike.
+Candidates are runs of 16 or more key characters with a digit, issued keys of
+known form, and values of 8 or more signs assigned to a name like password,
+secret or token.  Each is described by its length, the shares and changes of
+character classes, common letter pairs, the share covered by dictionary words,
+path marks, and the words and signs around it.  A random forest, trained from
+labelled findings, tells secrets from the hashes, identifiers, numbers, paths
+and plain words that look alike.
 
 The labelled findings are made from a bounded sample of the corpus: real
 neighbouring words of ``sample_docs`` documents, with tokens of known kind put
-in (see ``POSITIVE`` and ``NEGATIVE``).  The dictionary is the words of that
-sample.  Only this model depends on the sample; every row is scanned whole.
+in (see ``POSITIVE`` and ``NEGATIVE``).  The dictionary is counted over the
+whole texts of all documents.
 
-Scale: one scan finds the candidates, which are few, and only they are
-joined.  A token repeated in a third of all rows sits in a join whose skewed
-side Spark splits.
+Scale: one scan cuts the texts with candidates into pieces, and only candidates
+are joined.  Verdicts are tied to texts by hash, so copies are judged once and
+rows without doc_id like all others.  A token repeated in a third of all rows
+sits in a join whose skewed side Spark splits.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, free
 
 _T, _L = "[A-Za-z0-9+/_-]", "[A-Za-z+/_-]"
 # Issued keys in full; by chance such a key has no digit (3.6 % of AKIA keys).
 ISSUED = f"(?:AKIA|ASIA)[A-Z2-7]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|npm_[A-Za-z0-9]{{36}}|[sr]k_live_[A-Za-z0-9]{{24,}}|glpat-[A-Za-z0-9_-]{{20}}|AIza[A-Za-z0-9_-]{{35}}"
-_START = rf"(?<!{_T})(?:(?={_L}*+[0-9])(?={_T}{{16}})|(?=(?:{ISSUED})(?!{_T})))"
-HAS_CANDIDATE = _START
-CANDIDATE = rf"(?s){_START}(?<=(\A.{{0,48}}|.{{48}}))({_T}{{16,}}+={{0,2}})(?=(.{{0,16}}))"
+# What a value is assigned behind: a secret name, a quote that ends it, = or :, an opening quote.
+ASSIGNED = "(?=[PpSsTtAa])(?i:pass(?:word|wd|phrase)|pwd|secret|token|api_?key|access_key|private_key)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"'`]?"
+_SIGN = "\\s\"'`<>,;"
+CANDIDATE = rf"({ASSIGNED})([^{_SIGN}]{{7,}}[^{_SIGN}.:)!?])|(?<!{_T})((?={_L}*+[0-9]){_T}{{16,}}+={{0,2}}|(?:{ISSUED})(?!{_T}))"
+#: Put around tokens to cut texts at them; no text holds it, as this noncharacter is read as a space.
+_CUT = "\uffff"
 
 # Words around a key that speak for and against a secret, beginnings of issued keys, common letter pairs.
 SECRET_WORDS = "pass|pwd|secret|token|key|auth|cred|bearer|private|access"
@@ -57,6 +61,10 @@ POSITIVE = [
     (" client_secret\": \"", "substring(B, 3, 32)", "\","),
     (" auth token: ", "substring(H, 1, 48)", " "),
     (" private_key=", "H", " "),
+    (" password = \"", "concat(upper(substring(B, 1, 1)), substring(H, 2, 4), '!', substring(B, 7, 5), '$')", "\" "),
+    (" passwd: ", "concat(substring(B, 1, 6), '@', substring(N, 1, 3), '%')", "\n"),
+    (" secret: ", "translate(substring(B, 1, 24), '0123456789+/', 'ghijklmnopqr')", " "),
+    (" pwd=", "translate(substring(B, 9, 10), '+/', '#&')", " "),
 ]
 NEGATIVE = [
     (" commit ", "substring(H, 1, 40)", " "),
@@ -75,17 +83,71 @@ NEGATIVE = [
     (" password = ", "concat('example_password_', substring(N, 1, 4))", " "),
     (" order number ", "substring(N, 1, 18)", " "),
     (" ", "concat(w1, '_', w2, '_', w3, '_', substring(N, 1, 2))", " "),
+    (" password: ", "w1", " "),
+    (" token = ", "concat(w1, '_', w2, '_', w3)", " "),
+    (" secret: ", "concat(w1, w2)", ". "),
+    (" password = ", "concat('get_', w1, '_', w2, '()')", "\n"),
+    (" token: ", "concat('${', upper(w1), '_', upper(w2), '}')", " "),
+    (" password=", "substring('********************', 1, 8 + cast(substring(N, 1, 1) as int))", " "),
 ]
 
 
+def _body(text: str = "text") -> Column:
+    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _CUT, " ")
+
+
+def _pieces(body: Column) -> Column:
+    """The text cut at its candidates: those are the pieces of odd places, counted from 0."""
+    return F.split(F.regexp_replace(body, CANDIDATE, f"$1{_CUT}$2$3{_CUT}"), _CUT, -1)
+
+
+def _key(body: Column) -> list[Column]:
+    return [F.xxhash64(body).alias("key_a"), F.hash(F.lit(1), body).alias("key_b")]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, token, before, after) of every candidate; start counts characters from 1."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).where(F.col("body").rlike(HAS_CANDIDATE))
-    pattern = F.lit(CANDIDATE)
-    found = held.select("doc_id", "body", *[F.regexp_extract_all("body", pattern, F.lit(i)).alias(n) for i, n in ((1, "before"), (2, "token"), (3, "after"))])
-    # Tokens come in order, so each is looked for behind the one before it.
-    placed = found.withColumn("start", F.expr("aggregate(token, cast(array() as array<int>), (a, t) -> array_append(a, locate(t, body, coalesce(try_element_at(a, -1) + length(token[size(a) - 1]), 1))))"))
-    return placed.select("doc_id", F.explode(F.arrays_zip("start", "token", "before", "after")).alias("c")).select("doc_id", "c.*")
+    """(key_a, key_b, place, token, before, after) of every candidate of every different text.
+
+    key_a and key_b stand for the text; place counts the pieces it is cut into.
+    """
+    body = docs.select(_body().alias("body")).where(F.col("body").rlike(CANDIDATE))
+    cut = body.select(*_key(F.col("body")), _pieces(F.col("body")).alias("p"))
+    p = F.col("p")
+
+    def end(piece):
+        return F.coalesce(F.right(piece, F.lit(48)), F.lit(""))
+
+    def found(i):
+        # Seven pieces hold 48 characters: each token has 8 or more, each gap but the first one or more.
+        behind = F.right(F.concat(*[end(F.get(p, i - k)) for k in range(7, 0, -1)]), F.lit(48))
+        return F.struct(i.alias("place"), F.get(p, i).alias("token"), behind.alias("before"), F.left(F.concat(*[F.coalesce(F.left(F.get(p, i + k), F.lit(16)), F.lit("")) for k in (1, 2, 3)]), F.lit(16)).alias("after"))
+
+    each = cut.select("key_a", "key_b", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), found)).alias("c"))
+    return each.select("key_a", "key_b", "c.*").distinct()
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(key_a, key_b, place, start) of the candidates: start counts characters from 1, by a running sum of the pieces' lengths."""
+    body = docs.select(_body().alias("body")).where(F.col("body").rlike(CANDIDATE))
+    # The hashes are taken before the pieces become rows, once for each text.
+    cut = body.select(*_key(F.col("body")), F.transform(_pieces(F.col("body")), F.length).alias("sizes"))
+    sizes = cut.select("key_a", "key_b", F.posexplode("sizes").alias("place", "n")).distinct()
+    before = Window.partitionBy("key_a", "key_b").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("start", (F.sum("n").over(before) + 1).cast("int")).where("place % 2 = 1").drop("n")
+
+
+def dictionary(docs: DataFrame, tokens: DataFrame, least: int = 3) -> DataFrame:
+    """(word): runs of four or more letters of ``tokens`` (token) that stand as words of their own in ``least`` documents, and placeholder words."""
+    runs = tokens.select(F.explode(_runs()).alias("word")).distinct()
+    free_standing = F.regexp_extract_all(F.lower("text"), F.lit("(?<![^\\s(\"'])[a-z]{4,}+(?![^\\s.,;:!?)\"'])"), F.lit(0))
+    said = docs.where("text is not null").select(F.explode(F.array_distinct(free_standing)).alias("word")).join(runs, "word", "left_semi")
+    own = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in PLACEHOLDER_WORDS])).alias("word"))
+    return own.union(fixed).distinct()
+
+
+def _runs() -> Column:
+    return F.regexp_extract_all(F.lower("token"), F.lit("[a-z]{4,}"), F.lit(0))
 
 
 def _share(pattern: str) -> Column:
@@ -94,7 +156,7 @@ def _share(pattern: str) -> Column:
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
     """Adds the columns ``FEATURES``; ``words`` (word) is the dictionary."""
-    runs = found.select("token").distinct().select("token", F.explode(F.regexp_extract_all(F.lower("token"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    runs = found.select("token").distinct().select("token", F.explode(_runs()).alias("word"))
     covered = runs.join(words, "word").groupBy("token").agg(F.sum(F.length("word")).alias("covered"))
     near = F.lower("before")
     return found.join(covered, "token", "left").withColumns(
@@ -103,10 +165,10 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
             "f_digits": _share("[0-9]"),
             "f_upper": _share("[A-Z]"),
             "f_lower": _share("[a-z]"),
-            "f_signs": _share("[+/_=-]"),
+            "f_signs": _share("[^A-Za-z0-9]"),
             "f_changes": _share("(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])"),
             "f_pairs": _share(f"(?i){PAIRS}"),
-            "f_distinct": F.size(F.array_distinct(F.split(F.substring("token", 1, 256), ""))) / F.least(F.length("token"), F.lit(256)),
+            "f_distinct": F.size(F.array_distinct(F.split("token", ""))) / F.length("token"),
             "f_hex": F.col("token").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
             "f_words": F.coalesce(F.col("covered") / F.length("token"), F.lit(0.0)),
             "f_slashes": F.regexp_count("token", F.lit("/")).cast("double"),
@@ -120,11 +182,14 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     ).drop("covered")
 
 
-def labelled_findings(docs: DataFrame, sample_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(findings with token, before, after, label; the dictionary), both from the same bounded sample."""
+def labelled_findings(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """(token, before, after, label): tokens of known kind in the words of ``sample_docs`` documents, those with the least hashes of their doc_id."""
     scratch = Scratch(docs.sparkSession, "findings")
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    words = F.expr("filter(split(substring(text, 1, 2000), '[^\\\\p{L}]+'), w -> length(w) > 2)")
+    usable = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = scratch.save(usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs), "ids")
+    # The ids are a bounded number; a doc_id that occurs again counts by its least text.
+    chosen = usable.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    words = F.expr("filter(split(text, '[^\\\\p{L}]+'), w -> length(w) > 2)")
     sample = scratch.save(chosen.select("doc_id", words.alias("w")).where("size(w) > 8"), "sample")
     seed = "cast(doc_id as string)"
     base = sample.selectExpr("doc_id", "w", f"sha2({seed}, 256) as H", f"substring(base64(unhex(sha2(concat({seed}, 'b'), 256))), 1, 43) as B", f"translate(sha2(concat({seed}, 'n'), 256), 'abcdef', '183746') as N")
@@ -138,34 +203,25 @@ def labelled_findings(docs: DataFrame, sample_docs: int) -> tuple[DataFrame, Dat
     findings = made[0]
     for more in made[1:]:
         findings = findings.union(more)
-    counted = sample.select(F.explode(F.array_distinct(F.transform("w", F.lower))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    own = counted.where("n >= 3 and length(word) >= 4").select("word")
-    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in PLACEHOLDER_WORDS])).alias("word"))
-    return scratch.save(findings.where("length(token) >= 16"), "findings"), scratch.save(own.union(fixed).distinct(), "words")
+    return scratch.save(findings.where("length(token) >= 8"), "findings")
 
 
 def train(findings: DataFrame, words: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings (token, before, after, label); the findings are a bounded set."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings, words)).select("features", "label")
-    # The bootstrap draws by partition: one sorted partition makes the model the same on every cluster.
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17).fit(rows.coalesce(1))
-
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings, words))
+    # The bootstrap draws by partition: a fixed number of sorted ones makes the model the same on every cluster.
+    dealt = rows.select("features", "label", F.xxhash64(*FEATURES).alias("h")).repartition(8, "h").sortWithinPartitions("h", "label")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17).fit(dealt.select("features", "label"))
 
-def scan(docs: DataFrame, least: float = 0.5, sample_docs: int = 1500, findings: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
-    """(doc_id, start, token, kind, score, is_secret) of every candidate in ``docs`` (doc_id, text).
 
-    ``findings`` (token, before, after, label) and ``words`` (word) train the
-    forest; without them they are made from ``sample_docs`` documents.  Null
-    and empty texts have no candidates; null doc_ids are passed through and
-    repeated rows give repeated findings; other columns are not looked at.  A
-    corpus with nothing to learn from gives no scores: every candidate of an
-    issued kind is then a secret and no other is.
-    """
+def _judged(docs: DataFrame, least: float, sample_docs: int, findings: DataFrame | None, words: DataFrame | None) -> DataFrame:
+    """The candidates of all different texts with score, kind and is_secret."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    if findings is None:
-        findings, own = labelled_findings(docs, sample_docs)
-        words = own if words is None else words
     found = scratch.save(candidates(docs), "candidates")
+    if findings is None:
+        findings = labelled_findings(docs, sample_docs)
+    if words is None:
+        words = scratch.save(dictionary(docs, found.select("token").union(findings.select("token"))), "words")
     described = features(found, words)
     if findings.select("label").distinct().count() < 2:
         scored = described.withColumn("score", F.col("f_prefix"))
@@ -179,21 +235,43 @@ def scan(docs: DataFrame, least: float = 0.5, sample_docs: int = 1500, findings:
         .when(F.col("token").rlike("[A-Z]") & F.col("token").rlike("[a-z]"), "base64")
         .otherwise("other")
     )
-    return scored.select("doc_id", "start", "token", kind.alias("kind"), "score", (F.col("score") >= least).alias("is_secret"))
+    return scored.select("key_a", "key_b", "place", "token", kind.alias("kind"), "score", (F.col("score") >= least).alias("is_secret"))
+
+
+def scan(docs: DataFrame, least: float = 0.5, sample_docs: int = 1500, findings: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, token, kind, score, is_secret) of every candidate in ``docs`` (doc_id, text).
+
+    ``findings`` (token, before, after, label) train the forest; without them
+    they are made from ``sample_docs`` documents.  ``words`` (word) is the
+    dictionary; without it, it is counted over all documents.  ``start`` counts
+    characters from 1.  Null and empty texts have no candidates; null doc_ids
+    are passed through and repeated rows give repeated findings; other columns
+    are not looked at.  A corpus with nothing to learn from gives no scores:
+    every candidate of an issued kind is then a secret and no other is.
+    """
+    keys = ["key_a", "key_b"]
+    judged = _judged(docs, least, sample_docs, findings, words).join(_places(docs), [*keys, "place"])
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body().alias("body")).where(F.col("body").rlike(CANDIDATE)).select("doc_id", *_key(F.col("body")))
+    return held.join(judged, keys).select("doc_id", "start", "token", "kind", "score", "is_secret")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", least: float = 0.5, sample_docs: int = 1500, findings: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """``docs`` with every found secret replaced by ``mark``; ``n_chars``, if there, is counted again.
 
-    No row is dropped.  Only rows with candidates are joined with findings; the
-    others pass untouched.  Rows without doc_id pass untouched as well, as a
-    finding can't be tied to them.
+    No row is dropped, and rows with null or repeated doc_ids are treated like
+    all others.  Only rows with candidates are joined with findings; the others
+    pass untouched.
     """
-    has = F.coalesce(F.col("text").rlike(HAS_CANDIDATE) & F.col("doc_id").isNotNull(), F.lit(False))
-    secret = scan(docs, **options).where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("token"), lambda a, b: F.length(b) - F.length(a)).alias("_found"))
-    held = docs.where(has).join(secret, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    cut = F.aggregate("_found", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    held = held.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(cut))
+    body, a, b, flags = free(docs.columns, "body", "key_a", "key_b", "flags")
+    has = F.coalesce(_body().rlike(CANDIDATE), F.lit(False))
+    judged = _judged(docs, least, sample_docs, findings, words)
+    # One flag for each candidate of a text, in order.
+    in_order = F.array_sort(F.collect_list(F.struct("place", "is_secret")))
+    by_text = judged.groupBy("key_a", "key_b").agg(in_order.alias("f"), F.bool_or("is_secret").alias("any")).where("any").select(F.col("key_a").alias(a), F.col("key_b").alias(b), F.col("f.is_secret").alias(flags))
+    held = docs.where(has).withColumn(body, _body())
+    held = held.withColumns(dict(zip((a, b), _key(F.col(body)), strict=True))).join(by_text, [a, b], "left")
+    cut = F.array_join(F.transform(_pieces(F.col(body)), lambda p, i: F.when((i % 2 == 1) & F.get(flags, ((i - 1) / 2).cast("int")), mark).otherwise(p)), "")
+    held = held.withColumn("text", F.when(F.col(flags).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        held = held.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        held = held.withColumn("n_chars", F.when(F.col(flags).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return docs.where(~has).select(*docs.columns).unionByName(held.select(*docs.columns))
