@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from concordat.llm import chat, language, quality_model, secrets, wrapper
@@ -16,7 +18,7 @@ from . import helpers as h
 
 
 def text_of(html):
-    return wrapper.main_text(wrapper.parse(html))
+    return wrapper.main_text(wrapper.Aligned(wrapper.parse(html), None, {}), None)
 
 
 def test_article_without_its_surroundings():
@@ -36,11 +38,80 @@ def test_page_without_article_and_broken_pages():
     assert text_of("<p>" * 3000 + "deep")[-4:] == "deep"
 
 
-def test_tree_matching_is_the_largest_ordered_match():
-    a = wrapper.Slot([wrapper.parse("<div><h1>x</h1><p>y</p></div><ul><li>1</ul><table></table>")])
-    b = wrapper.Slot([wrapper.parse("<ul><li>1<li>2</ul><div><h1>x</h1></div><table></table>")])
-    size, pairs = wrapper.match(a, b)
-    assert size == len(pairs) == 4  # html, div, h1, table beat html, ul, li, table only by order: 4 each
+def all_matches(a, b, x=0, y=0):
+    """The size of the largest ordered match by trying all of them."""
+    if a.labels[x] != b.labels[y]:
+        return 0
+
+    def best(left, right):
+        if not left or not right:
+            return 0
+        here = all_matches(a, b, left[0], right[0])
+        return max(best(left[1:], right), best(left, right[1:]), here + best(left[1:], right[1:]))
+
+    return 1 + best(a.children[x], b.children[y])
+
+
+def random_slots(rng):
+    labels, parents = ["r"], [-1]
+    for i in range(1, rng.randint(1, 11)):
+        parents.append(max(parents[-1], rng.randrange(i)))  # each parent before its children, children together
+        labels.append(rng.choice("ab"))
+    return wrapper.Slots(labels, parents)
+
+
+@pytest.mark.parametrize("pairs, cells", [(40_000, 4_000_000), (40_000, 2)])
+def test_tree_matching_against_all_ordered_matches(monkeypatch, pairs, cells):
+    monkeypatch.setattr(wrapper, "SHAPE_PAIRS", pairs)
+    monkeypatch.setattr(wrapper, "CELLS", cells)
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = random_slots(rng), random_slots(rng)
+        found = wrapper.Matching(a, b).pairs()
+        assert len(found) == all_matches(a, b) == wrapper.Matching(a, b).weight(0, 0)
+        assert len(set(found)) == len({i for i, _ in found}) == len({j for _, j in found})
+        for i, j in found:
+            assert a.labels[i] == b.labels[j] and (i == j == 0 or (a.parents[i], b.parents[j]) in found)
+        assert all((i < k) == (j < m) for i, j in found for k, m in found if a.parents[i] == a.parents[k] and i != k)
+
+
+def test_deep_and_wide_pages_are_aligned_in_time(monkeypatch):
+    start = time.perf_counter()
+    deep = ["<div>" * 5000 + t + "</div></x>" * 5000 for t in ("<p>a<h2>b</h2>", "<h2>c</h2><p>d")]
+    wide = ["".join(f"<p>{k}</p><h2>{k}</h2>" for k in range(n)) for n in (2500, 2400)]
+    for one, two in (deep, wide):
+        a, b = (wrapper.Slots.of(wrapper.Page.load(wrapper.parse(x).dump()))[0] for x in (one, two))
+        assert len(wrapper.Matching(a, b).pairs()) >= len(b.labels) - 3
+        assert text_of(two)
+    monkeypatch.setattr(wrapper, "SHAPE_PAIRS", 400)  # their children have more pairs of shapes
+    different = ["".join("<div>" + "<p>x</p><h2>y</h2>" * (k % 60 + shift) + "</div><h3>z</h3>" for k in range(600)) for shift in (0, 1)]
+    a, b = (wrapper.Slots.of(wrapper.parse(x))[0] for x in different)
+    assert len(wrapper.Matching(a, b).pairs()) > 1000
+    assert time.perf_counter() - start < 15
+
+
+def site(host, k, words):
+    """A page of div soup without telling names; its footer is longer than its article."""
+    menu = "".join(f"<li><a href=/{x}>{x} things</a></li>" for x in "abc")
+    footer = f"<div><p>{'All of this belongs to the owners of ' + host + ', and so on. ' * 12}</p><p>Write to us at any time.</p></div>"
+    return f"<body><div><ul>{menu}</ul></div><div><h1>Head {k}</h1><div><p>{words}</p><p>more of {k}</p></div></div>{footer}</body>"
+
+
+def test_induction_finds_the_article_on_small_hosts(spark):
+    rng = random.Random(12)
+    rows, wanted = [], {}
+    for host, n in (("two.example", 2), ("three.example", 3), ("five.example", 5), ("many.example", 40)):
+        for _ in range(n):
+            k, words = len(rows), " ".join(h.words(rng, 12))
+            rows.append((k, f"http://{host}/{k}", site(host, k, words)))
+            wanted[k] = f"Head {k}\n{words}\nmore of {k}"
+    rows += [(100 + k, f"http://copies.example/{k}", site("copies.example", 7, "a b c d e f g h i j k l m n o p")) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert {k: got[k] for k in wanted} == wanted
+    assert all("Head 7" in got[100 + k] for k in range(6))  # copies are one page, on which nothing is constant
+    alone = {r.page_id: r.text for r in wrapper.extract(df, induce=False).collect()}
+    assert all(alone[k] != wanted[k] for k in wanted)
 
 
 def test_constant_slots_are_template(spark):
