@@ -11,12 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import exact
 from concordat.functions import lexeme as lx
+from concordat.operators.declared import declared
+from concordat.operators.scratch import Scratch
 
 
 @dataclass
@@ -80,43 +81,43 @@ def reduced(n: Column, nulls: Column, bad: Column, how: Column, expected: Column
     )
 
 
-def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str], health: DataFrame | None = None) -> DataFrame:
-    """J-01 with A-01..A-08, A-23, A-24: one row (metric, value, unit, error, n, fingerprint, statistics) for each metric.
+def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str], health: DataFrame | None = None, fingerprints: bool = True) -> DataFrame:
+    """J-01 with A-01..A-08, A-23, A-24: one row (ord, metric, source, value, unit, error, n, fingerprint, statistics) for each metric.
 
     ``evidence`` has the declared columns as text.  Metrics with the same set
-    of selector columns share one join, and each field is read once; nothing is
-    collected.  Sums run in DECIMAL and partially before the shuffle; a metric
-    with a number outside DECIMAL(24,12), or with statistics, goes to the exact
-    lane as one list of lexemes for each metric.  ``health`` (source, error)
-    makes every metric of a failed source unknown.
+    of selector columns share one scan and one aggregation.  Sums run in
+    DECIMAL, partially before the shuffle.  Numbers outside DECIMAL(24,12) and
+    statistics are counted by value first and then summed exactly by
+    partition, so no metric's rows are ever gathered.  ``health`` (source,
+    error) makes every metric of a failed source unknown.  Without
+    ``fingerprints`` the marks of the selected rows are not computed.
     """
     spark = evidence.sparkSession
     wrong = contract_errors(metrics, types)
     good = [m for m in metrics if m.name not in wrong]
-    parts = []
-    for signature, group in groupby(sorted(good, key=lambda m: (sorted(m.where), bool(m.seed_column), m.seed_column or "")), key=lambda m: (sorted(m.where), m.seed_column)):
-        parts.append(_selected(spark, evidence, list(group), signature[0], signature[1], types))
-    declared = spark.createDataFrame(
-        [(i, m.name, m.source, m.unit, m.reduce, m.expected_count, m.expected_seeds, m.ddof, m.level, wrong.get(m.name)) for i, m in enumerate(metrics)],
-        "ord int, metric string, source string, unit string, reduce string, expected_count long, expected_seeds array<string>, ddof int, level string, declared_error string",
+    shape = lambda m: (sorted(m.where), m.seed_column or "")
+    found = None
+    for (keys, seed), group in groupby(sorted(good, key=shape), key=shape):
+        part = _selected(evidence, list(group), keys, seed or None, types, fingerprints)
+        found = part if found is None else found.unionByName(part)
+    conf = declared(
+        spark,
+        [(i, m.name, m.source, m.unit, m.reduce, m.expected_count, m.expected_seeds is not None, m.ddof, m.level, wrong.get(m.name)) for i, m in enumerate(metrics)],
+        "ord int, metric string, source string, unit string, reduce string, expected_count long, has_seeds boolean, ddof int, level string, declared_error string",
     )
-    empty = spark.createDataFrame([], "metric string, n long, nulls long, bad long, wide long, total decimal(34,12), seeds array<string>, digest string, lexemes array<string>")
-    found = empty
-    for p in parts:
-        found = found.unionByName(p, allowMissingColumns=True)
-    joined = declared.join(found, "metric", "left")
+    if found is None:
+        found = declared(spark, [], f"metric string, {_FOUND}")
+    joined = conf.join(found, "metric", "left")
     if health is not None:
         joined = joined.join(health.select("source", F.col("error").alias("health_error")), "source", "left")
     else:
         joined = joined.withColumn("health_error", F.lit(None).cast("string"))
-    seeds_ok = F.when(F.col("expected_seeds").isNotNull(), (F.size(F.coalesce("seeds", F.array())) == F.size(F.array_distinct(F.coalesce("seeds", F.array())))) & (F.array_sort(F.array_distinct(F.coalesce("seeds", F.array().cast("array<string>")))) == F.array_sort("expected_seeds")))
+    seeds_ok = F.when(F.col("has_seeds"), F.coalesce("seeds_ok", F.lit(False)))
     error = F.coalesce("health_error", "declared_error", reduced(F.col("n"), F.col("nulls"), F.col("bad"), F.col("reduce"), F.col("expected_count"), seeds_ok))
     judged = joined.withColumn("error", error)
-    stats = exact.moments_column(F.when(F.col("error").isNull() & (F.col("reduce") == "statistics"), F.col("lexemes")), F.col("ddof"), F.col("level"))
-    judged = judged.withColumn("statistics", stats)
-    total = F.when(F.col("wide") > 0, F.expr("aggregate(lexemes, cast(null as string), (a, x) -> x)")).otherwise(F.col("total").cast("string"))
-    exact_total = _exact_sum(F.when(F.col("wide") > 0, F.col("lexemes")))
-    judged = judged.withColumn("sum_text", F.coalesce(exact_total, total))
+    asked = F.col("error").isNull() & (F.col("reduce") == "statistics")
+    judged = judged.withColumn("statistics", exact.moments_column(F.col("exact_n"), F.when(asked, F.col("exact_total")), F.col("exact_square"), F.col("limit"), F.col("ddof"), F.col("level")))
+    judged = judged.withColumn("sum_text", F.when(F.col("wide") > 0, exact.sum_column(F.col("exact_total"))).otherwise(F.col("total").cast("string")))
     value = (
         F.when(F.col("reduce") == "count", F.col("n").cast("string"))
         .when(F.col("reduce") == "statistics", F.col("statistics.mean"))
@@ -127,47 +128,57 @@ def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str],
     return judged.select("ord", "metric", "source", F.when(F.col("error").isNull(), value).alias("value"), "unit", "error", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("error").isNull(), F.col("digest")).alias("fingerprint"), "statistics")
 
 
-def _exact_sum(lexemes: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series([exact.add(list(x)) if x is not None else None for x in v], dtype=object)
+_FOUND = "n long, nulls long, bad long, wide long, total decimal(34,12), digest string, exact_n long, exact_total string, exact_square string, limit boolean, seeds_ok boolean"
 
-    return run(lexemes)
 
-
-def _selected(spark: SparkSession, evidence: DataFrame, group: list[Metric], keys: list[str], seed: str | None, types: dict[str, str]) -> DataFrame:
+def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: str | None, types: dict[str, str], fingerprints: bool) -> DataFrame:
+    """The columns ``_FOUND`` of the metrics of one selector shape."""
+    spark = evidence.sparkSession
     fields = sorted({m.field for m in group})
-    rows = [(m.name, m.field, m.reduce, *[_typed_text(m.where[k], types[k]) for k in keys]) for m in group]
-    conf = spark.createDataFrame(rows, ", ".join(["metric string", "field string", "reduce string", *[f"`k{i}` string" for i in range(len(keys))]]))
+    rows = [(m.name, m.field, m.reduce, m.expected_seeds, *[_typed_text(m.where[k], types[k]) for k in keys]) for m in group]
+    names = ["metric", "field", "reduce", "expected_seeds", *[f"k{i}" for i in range(len(keys))]]
+    conf = declared(spark, rows, "metric string, field string, reduce string, expected_seeds array<string>" + "".join(f", k{i} string" for i in range(len(keys))))
     typed = [F.when(F.lit(types[k] == "string"), F.col(k)).otherwise(_typed_column(F.col(k), types[k])).alias(f"k{i}") for i, k in enumerate(keys)]
     identity = [c for c in evidence.columns if c in types and c not in fields]
-    row_key = lx.fingerprint(*identity) if identity else F.lit("")
-    cells = evidence.select(*typed, row_key.alias("row_key"), (F.col(seed) if seed else F.lit(None).cast("string")).alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
-    met = cells.join(conf, ["field", *[f"k{i}" for i in range(len(keys))]])
-    gate = lx.decimal_gate("lexeme")
-    kind = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(types[f]))])[F.col("field")]
-    value = met.withColumns({"bad": F.col("lexeme").isNotNull() & (kind != "string") & gate["error"].isNotNull(), "fast": lx.fast("lexeme"), "canon": F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))})
-    wide = F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & (kind != "string")
-    keeps = F.col("reduce") == "statistics"
-    first = value.groupBy("metric", F.pmod(F.xxhash64("row_key"), F.lit(64)).alias("part")).agg(
+    marks = [lx.fingerprint(*identity).alias("row_key") if identity else F.lit("").alias("row_key")] if fingerprints else []
+    lexemes = [F.lit(fields[0]).alias("field"), F.col(fields[0]).cast("string").alias("lexeme")] if len(fields) == 1 else [F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme")]
+    cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None).cast("string")).alias("seed"), *lexemes)
+    met = cells.join(conf, ["field", *names[4:]])
+    numeric = [f for f in fields if types[f] != "string"]
+    is_number = F.col("field").isin(numeric)
+    value = met.withColumns({"bad": F.col("lexeme").isNotNull() & is_number & lx.decimal_gate("lexeme")["error"].isNotNull(), "fast": lx.fast("lexeme")})
+    wide = F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & is_number
+    canon = F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))
+    # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
+    sums = [F.sum(F.xxhash64("row_key", canon).cast("decimal(38,0)")).alias("mark_a"), F.sum(F.xxhash64(canon, "row_key", F.lit(1)).cast("decimal(38,0)")).alias("mark_b")] if fingerprints else []
+    whole = value.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("lexeme").isNull()).alias("nulls"),
         F.count_if("bad").alias("bad"),
         F.count_if(wide).alias("wide"),
-        F.expr("try_sum(fast)").alias("total"),
-        F.collect_list("seed").alias("seeds"),
-        F.sum(F.xxhash64("row_key", "canon").cast("decimal(38,0)")).alias("mark_a"),
-        F.sum(F.xxhash64("canon", "row_key", F.lit(1)).cast("decimal(38,0)")).alias("mark_b"),
+        F.expr("try_sum(fast)").cast("decimal(34,12)").alias("total"),
+        *sums,
     )
-    # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
-    whole = first.groupBy("metric").agg(
-        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.sum("bad").alias("bad"), F.sum("wide").alias("wide"), F.expr("try_sum(total)").cast("decimal(34,12)").alias("total"),
-        F.flatten(F.collect_list("seeds")).alias("seeds"), F.concat_ws(":", F.sum("n"), F.sum("mark_a"), F.sum("mark_b")).alias("marks"),
-    )
-    selector = conf.select("metric", lx.fingerprint(*conf.columns[1:]).alias("selector"))
-    lists = value.where(wide | keeps).select("metric").distinct().join(value, "metric").groupBy("metric").agg(F.collect_list("lexeme").alias("lexemes"))
-    out = whole.join(selector, "metric").join(lists, "metric", "left")
-    return out.select("metric", "n", "nulls", "bad", "wide", "total", "seeds", lx.sha256(F.concat_ws("|", "selector", "marks")).alias("digest"), "lexemes")
+    selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"))
+    digest = lx.sha256(F.concat_ws("|", "selector", F.concat_ws(":", "n", "mark_a", "mark_b"))) if fingerprints else F.lit(None).cast("string")
+    out = whole.join(selector, "metric").withColumn("digest", digest)
+    # To the exact lane go all numbers of statistics, and of other metrics those too wide for DECIMAL(24,12).
+    statistics = [m.name for m in group if m.reduce == "statistics"]
+    sent = value.where((wide | F.col("metric").isin(statistics)) & ~F.col("bad") & F.col("lexeme").isNotNull()).groupBy("metric", "lexeme").agg(F.count(F.lit(1)).alias("times"))
+    slow = exact.partial_sums(sent).select("metric", F.col("n").alias("exact_n"), F.col("total").alias("slow_total"), F.col("square").alias("exact_square"), "limit")
+    out = out.join(slow, "metric", "left")
+    # The numbers that fit were summed natively; the wide ones are added to them, except where statistics sent all.
+    both = exact.join_sums(F.when(~F.col("metric").isin(statistics), F.col("total").cast("string")), F.col("slow_total"))
+    out = out.withColumn("exact_total", F.when(F.col("slow_total").isNotNull(), both))
+    wanted = [m for m in group if m.expected_seeds is not None]
+    if wanted and seed:
+        # Each expected seed once and no other: by counts of each seed.
+        each = value.where("expected_seeds is not null and seed is not null").groupBy("metric", "seed").agg(F.count(F.lit(1)).alias("c"), F.first("expected_seeds").alias("e"))
+        ok = each.groupBy("metric").agg((F.bool_and((F.col("c") == 1) & F.array_contains(F.col("e"), F.col("seed"))) & (F.count(F.lit(1)) == F.max(F.size("e")))).alias("seeds_ok"))
+        out = out.join(ok, "metric", "left")
+    else:
+        out = out.withColumn("seeds_ok", F.lit(None).cast("boolean"))
+    return out.select("metric", *[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def _typed_text(value: str, kind: str) -> str:
@@ -211,24 +222,32 @@ def batch_matrix(evidence: DataFrame, group_by: list[str], fields: list[str], ho
 
 
 def derive(metrics: DataFrame, derived: list[Derived]) -> DataFrame:
-    """J-03 with F-05..F-09: adds derived metrics to (metric, value, unit, error), level by level of their dependencies.
+    """J-03 with F-05..F-09, A-12, U-05: adds derived metrics to (metric, value, unit, error), level by level of their dependencies.
 
     An error of either side is the error of the derived metric.
+    ``dependencies`` are the two metrics it is made of, ``evidence`` the
+    different fingerprints (without those, names) of all source metrics below
+    it.  Each level is saved, so that it is computed once.
     """
     spark = metrics.sparkSession
-    out = metrics.select("metric", "value", "unit", "error", F.array().cast("array<string>").alias("dependencies"))
-    known, left = {r for r in ()}, list(derived)
-    names = {d.name for d in derived}
+    scratch = Scratch(spark, "derived")
+    own = F.array(F.coalesce("fingerprint", "metric") if "fingerprint" in metrics.columns else F.col("metric"))
+    columns = ["metric", "value", "unit", "error", "dependencies", "evidence"]
+    out = scratch.save(metrics.select("metric", "value", "unit", "error", F.array().cast("array<string>").alias("dependencies"), own.alias("evidence")), "0")
+    known, left, names, level = set(), list(derived), {d.name for d in derived}, 0
     while left:
         ready = [d for d in left if d.left not in names - known and d.right not in names - known]
         if not ready:
             raise ValueError(f"derived metrics form a cycle: {sorted(d.name for d in left)}")
-        conf = spark.createDataFrame([(d.name, d.op, d.left, d.right) for d in ready], "metric string, op string, l string, r string")
-        a, b = (out.select(F.col("metric").alias(k), F.col("value").alias(f"{k}_value"), F.col("unit").alias(f"{k}_unit"), F.col("error").alias(f"{k}_error"), F.lit(True).alias(f"{k}_there")) for k in "lr")
+        level += 1
+        conf = declared(spark, [(d.name, d.op, d.left, d.right) for d in ready], "metric string, op string, l string, r string")
+        a, b = (out.select(F.col("metric").alias(k), F.struct("value", "unit", "error", "evidence").alias(f"{k}_side")) for k in "lr")
         met = conf.join(a, "l", "left").join(b, "r", "left")
-        error = F.when(F.col("l_there").isNull() | F.col("r_there").isNull(), "UNKNOWN_METRIC").otherwise(F.coalesce("l_error", "r_error"))
-        met = met.withColumn("d", exact.derive_column(F.col("op"), F.when(error.isNull(), F.col("l_value")), F.col("l_unit"), F.col("r_value"), F.col("r_unit"))).withColumn("error", F.coalesce(error, "d.error"))
-        out = out.unionByName(met.select("metric", F.col("d.value").alias("value"), F.col("d.unit").alias("unit"), "error", F.array("l", "r").alias("dependencies")))
+        error = F.when(F.col("l_side").isNull() | F.col("r_side").isNull(), "UNKNOWN_METRIC").otherwise(F.coalesce("l_side.error", "r_side.error"))
+        met = met.withColumn("d", exact.derive_column(F.col("op"), F.when(error.isNull(), F.col("l_side.value")), F.col("l_side.unit"), F.col("r_side.value"), F.col("r_side.unit")))
+        evidence = F.array_union(F.coalesce("l_side.evidence", F.array().cast("array<string>")), F.coalesce("r_side.evidence", F.array().cast("array<string>")))
+        new = met.select("metric", F.col("d.value").alias("value"), F.col("d.unit").alias("unit"), F.coalesce(error, "d.error").alias("error"), F.array("l", "r").alias("dependencies"), evidence.alias("evidence"))
+        out = out.unionByName(scratch.save(new.select(columns), str(level)))
         known |= {d.name for d in ready}
         left = [d for d in left if d.name not in known]
     return out

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """Writes and rereads Parquet under ``spark.checkpoint.dir``; only where that is unset, as in tests, under a temporary folder."""
+    """Writes and rereads Parquet under ``spark.checkpoint.dir``.
+
+    Only a local master, as in tests, may leave that unset and gets a temporary
+    folder.  What was saved goes when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = _local_root()
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # the session is still there
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -1,4 +1,6 @@
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,9 +85,35 @@ def test_student_t():
     assert abs(exact.float_t(2001, 0.95) - float(exact.t_critical(2000, "0.95", 15))) < 1e-5
 
 
-def test_moments():
-    got, error = exact.moments(["80", "81", "82", "83", "84"], 1, "0.95")
+def moments(values, ddof, level):
+    numbers = [Fraction(v) for v in values]
+    return exact.moments(len(numbers), sum(numbers, Fraction(0)), sum((x * x for x in numbers), Fraction(0)), ddof, level)
+
+
+def test_moments(spark):
+    got, error = moments(["80", "81", "82", "83", "84"], 1, "0.95")
     assert error is None and Decimal(got["mean"]) == 82 and abs(Decimal(got["sd"]) ** 2 - Decimal("2.5")) < Decimal("1e-60")
     assert abs(Decimal(got["upper"]) - Decimal(got["mean"]) - Decimal("2.776445105") * Decimal(got["se"])) < Decimal("1e-8")
-    assert exact.moments(["1"], 1, None) == (None, "STATISTICS_COUNT")
-    assert exact.moments(["1", "1e300"], 1, None) == (None, "STATISTICS_LIMIT")
+    assert moments(["1"], 1, None) == (None, "STATISTICS_COUNT")
+    assert exact.beyond_limits("1e300") and exact.beyond_limits("1" * 101) and not exact.beyond_limits("1.5e100")
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice(["0.1", "1e-60", "-3", "12345678901234567890123456789.5"]), rng.randint(1, 5)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "metric string, lexeme string, times long").repartition(7)
+    for r in exact.partial_sums(df).collect():
+        own = [Fraction(x) for m, x, k in rows if m == r.metric for _ in range(k)]
+        assert (r.n, Fraction(r.total), Fraction(r.square), r.limit) == (len(own), sum(own), sum(x * x for x in own), False)
+
+
+def test_rounding_against_decimals():
+    rng = random.Random(8)
+    for _ in range(2000):
+        x = Decimal(rng.randint(-10**6, 10**6)).scaleb(-rng.randint(0, 5))
+        for places in (0, 1, 3):
+            for rule, name in ((ROUND_HALF_UP, "half_up"), (ROUND_HALF_EVEN, "half_even")):
+                wanted = x.quantize(Decimal(1).scaleb(-places), rule)
+                assert exact.render(str(x), "scalar", "decimal", places, name, False)[0] == f"{abs(wanted) if wanted == 0 else wanted:.{places}f}"
+                if x:
+                    text = exact.render(str(x), "scalar", "scientific", places, name, False)[0]
+                    wanted = x.scaleb(-x.adjusted()).quantize(Decimal(1).scaleb(-places), rule).scaleb(x.adjusted())
+                    assert Decimal(text) == wanted and text == f"{wanted:.{places}E}", (x, text)
+        assert Fraction(exact.text_of(Fraction(x))) == Fraction(x)
