@@ -138,7 +138,8 @@ def _places(docs: DataFrame) -> DataFrame:
 
 def dictionary(docs: DataFrame, tokens: DataFrame, least: int = 3) -> DataFrame:
     """(word): runs of four or more letters of ``tokens`` (token) that stand as words of their own in ``least`` documents, and placeholder words."""
-    runs = tokens.select(F.explode(_runs()).alias("word")).distinct()
+    # Saved, so that Spark knows its size and broadcasts it where it is small, instead of shuffling all words for this join.
+    runs = Scratch(docs.sparkSession, "dictionary").save(tokens.select(F.explode(_runs()).alias("word")).distinct(), "runs")
     free_standing = F.regexp_extract_all(F.lower("text"), F.lit("(?<![^\\s(\"'])[a-z]{4,}+(?![^\\s.,;:!?)\"'])"), F.lit(0))
     said = docs.where("text is not null").select(F.explode(F.array_distinct(free_standing)).alias("word")).join(runs, "word", "left_semi")
     own = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
