@@ -13,7 +13,7 @@ from concordat.operators.metrics import Derived, Metric, derive, evaluate
 
 @dataclass
 class Report:
-    """C-01: the tables of one check; all lazy."""
+    """C-01: the tables of one check; the metrics are computed, the rest is lazy and reads them."""
 
     metrics: DataFrame
     bindings: DataFrame
@@ -26,8 +26,8 @@ class Report:
 
 def check(evidence: DataFrame, types: dict[str, str], metrics: list[Metric], derived: list[Derived], bindings: DataFrame, located: DataFrame, claims: DataFrame, health: DataFrame | None = None) -> Report:
     """C-01: metrics, derived metrics, binding and claim states, findings, coverage and exit code."""
-    own = evaluate(evidence, metrics, types, health)
-    all_ = derive(own.select("metric", "value", "unit", "error"), derived)
+    # Derived metrics are saved level by level, so the evidence is read once, whatever is asked of the report.
+    all_ = derive(evaluate(evidence, metrics, types, health, fingerprints=False).select("metric", "value", "unit", "error"), derived)
     b = states.binding_states(bindings, all_, located)
     c = states.claim_states(claims, all_)
     found = states.findings(b, c)

@@ -9,6 +9,7 @@ from concordat.functions import exact
 from concordat.functions import lexeme as lx
 from concordat.operators import metrics as mx
 from concordat.operators import profile, states
+from concordat.operators.declared import declared
 from concordat.operators.metrics import Derived, Metric
 from concordat.plans.check import check
 from concordat.plans.register import Register
@@ -81,36 +82,34 @@ def _sql_metric(how: str, value: str, error: str = "null") -> str:
 
 @query(_sql_metric("mean", "round(cast(total as double) / n, 6)"))
 def metric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("mean", "discount", "fraction"), TYPES))
+    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("mean", "discount", "fraction"), TYPES, fingerprints=False))
 
 
 @query(_sql_metric("sum", "round(cast(total as double), 6)"))
 def metric_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("sum", "discount"), TYPES))
+    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("sum", "discount"), TYPES, fingerprints=False))
 
 
 @query(_sql_metric("count", "cast(n as double)"))
 def metric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("count", "discount", "count"), TYPES))
+    return _shown(mx.evaluate(evidence(spark, sf_dir), _named("count", "discount", "count"), TYPES, fingerprints=False))
 
 
-@query(f"""with {_EVIDENCE}, keys as (select * from (values ('1'),('2'),('3'),('7'),('32'),('33')) k(k)),
-  r as (select k, count(e.seed) as n, min(quantity) as value from keys left join evidence e on cast(order_key as varchar) = k and e.seed = 1 group by 1)
-  select 'unique_' || k as metric, case when n = 1 then cast(value as double) end as value,
-  case when n = 0 then 'EMPTY_SELECTION' when n > 1 then 'AMBIGUOUS_SELECTION' end as error, n from r""")
+@query(f"""with {_EVIDENCE}, r as (select order_key, count(*) as n, min(quantity) as value from evidence group by 1)
+  select order_key, n, case when n = 1 then cast(value as double) end as value, case when n > 1 then 'AMBIGUOUS_SELECTION' end as error from r""")
 def metric_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = [Metric(f"unique_{k}", "quantity", "unique", where={"order_key": k, "seed": "1"}) for k in ("1", "2", "3", "7", "32", "33")]
-    return _shown(mx.evaluate(evidence(spark, sf_dir), wanted, TYPES))
+    """A-01 for every order as a declared selection of its own."""
+    out = mx.batch_matrix(evidence(spark, sf_dir), ["order_key"], ["quantity"], how="unique")
+    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", "value", "error")
 
 
 @query(f"""with {_EVIDENCE}, {_PAIRS}, r as (select g.model, g.split, count(e.seed) as n, avg(cast(quantity as double)) as mean, stddev_samp(cast(quantity as double)) as sd
-    from groups g left join (select * from evidence where order_key <= 400) e using (model, split) group by 1, 2)
+    from groups g left join evidence e using (model, split) group by 1, 2)
   select 'statistics_' || model || '_' || split as metric, case when n > 1 then round(mean, 6) end as mean, case when n > 1 then round(sd, 6) end as sd,
   case when n > 1 then round(sd / sqrt(n), 6) end as se, case when n = 0 then 'EMPTY_SELECTION' when n = 1 then 'STATISTICS_COUNT' end as error, n from r""")
 def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact moments; the selection of 400 orders is what the declared metrics ask for."""
-    rows = evidence(spark, sf_dir).where(F.col("order_key").cast("long") <= 400)
-    out = mx.evaluate(rows, _named("statistics", "quantity", level="0.95"), TYPES)
+    """Exact moments of all rows."""
+    out = mx.evaluate(evidence(spark, sf_dir), _named("statistics", "quantity", level="0.95"), TYPES, fingerprints=False)
     return out.select("metric", *[F.round(F.col(f"statistics.{c}").cast("double"), 6).alias(c) for c in ("mean", "sd", "se")], "error", "n")
 
 
@@ -148,14 +147,16 @@ def experiment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("order_key").alias("experiments"))
 
 
-@query("select cast(count(distinct (l_returnflag, l_linestatus)) as integer) as metrics, true as equal from lineitem")
+@query("""with c as (select l_returnflag as model, l_linestatus as split, count(*) as n, count(*) filter (where l_orderkey % 7 = 1) as changed from lineitem group by 1, 2)
+  select 'sum_' || model || '_' || split as metric, n, true as reordered_same, changed = 0 as edited_same from c""")
 def fingerprint_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-11: reordered evidence gives the same fingerprints, evidence without one row of each group gives others."""
+    """A-11: reordered evidence gives the same fingerprints; evidence with some values edited gives others wherever a selected row was edited."""
     rows = evidence(spark, sf_dir)
     wanted = _named("sum", "discount")
-    a = mx.evaluate(rows, wanted, TYPES).select("metric", F.col("fingerprint").alias("a"))
-    b = mx.evaluate(rows.repartition(7, "quantity"), wanted, TYPES).select("metric", F.col("fingerprint").alias("b"))
-    return a.where("a is not null").join(b, "metric").agg(F.count(F.lit(1)).cast("int").alias("metrics"), F.expr("bool_and(a = b)").alias("equal"))
+    edited = rows.withColumn("discount", F.when(F.col("order_key").cast("long") % 7 == 1, F.concat("discount", F.lit("1"))).otherwise(F.col("discount")))
+    a, b, c = (mx.evaluate(x, wanted, TYPES).select("metric", "n", F.col("fingerprint").alias(k)) for k, x in (("a", rows), ("b", rows.repartition(7, "quantity")), ("c", edited)))
+    met = a.where("a is not null").join(b.drop("n"), "metric").join(c.drop("n"), "metric")
+    return met.select("metric", "n", (F.col("a") == F.col("b")).alias("reordered_same"), (F.col("a") == F.col("c")).alias("edited_same"))
 
 
 # -- derived values and displays ------------------------------------------
@@ -164,14 +165,15 @@ def fingerprint_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_EVIDENCE}, m as (select model, cast(sum(discount) as double) / count(*) as v from evidence group by 1)
   select 'pp_' || a.model || '_' || b.model as metric, round((a.v - b.v) * 100, 6) as value, 'percentage_point' as unit, cast(null as varchar) as error from m a join m b on a.model < b.model
   union all select 'ratio_' || a.model || '_' || b.model, round(a.v / b.v, 6), 'ratio', null from m a join m b on a.model < b.model
-  union all select 'change_' || a.model || '_' || b.model, round((a.v - b.v) / b.v * 100, 6), 'percent', null from m a join m b on a.model < b.model""")
+  union all select 'change_' || a.model || '_' || b.model, round((a.v - b.v) / b.v * 100, 6), 'percent', null from m a join m b on a.model < b.model
+  union all select 'level2', round((select v from m where model = 'A') / (select v from m where model = 'N') - (select v from m where model = 'A') / (select v from m where model = 'R'), 6), 'ratio', null""".replace("select 'pp_'", "select 2 as sources, 'pp_'", 1).replace("select 'ratio_'", "select 2, 'ratio_'").replace("select 'change_'", "select 2, 'change_'").replace("select 'level2'", "select 3, 'level2'"))
 def derived_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-03 with F-06 to F-09."""
+    """J-03 with F-06 to F-09, A-12 and U-05: also a second level, and of how many source metrics the evidence is."""
     own = mx.evaluate(evidence(spark, sf_dir), [Metric(m, "discount", "mean", "fraction", {"model": m}) for m in "ANR"], TYPES)
     pairs = [("A", "N"), ("A", "R"), ("N", "R")]
     ops = {"pp": "percentage_point_difference", "ratio": "ratio", "change": "relative_change_percent"}
-    out = mx.derive(own, [Derived(f"{k}_{a}_{b}", op, a, b) for a, b in pairs for k, op in ops.items()])
-    return out.where("size(dependencies) > 0").select("metric", F.round(F.col("value").cast("double"), 6).alias("value"), "unit", "error")
+    out = mx.derive(own, [*[Derived(f"{k}_{a}_{b}", op, a, b) for a, b in pairs for k, op in ops.items()], Derived("level2", "difference", "ratio_A_N", "ratio_A_R")])
+    return out.where("size(dependencies) > 0").select("metric", F.round(F.col("value").cast("double"), 6).alias("value"), "unit", "error", F.size("evidence").alias("sources"))
 
 
 @query("""select o_orderkey, cast(cast(round(cast(o_totalprice as decimal(18,2)), 1) as decimal(18,1)) as varchar) as half_up, cast(cast(case when abs(cast(o_totalprice as decimal(18,2)) * 100) % 10 = 5
@@ -183,22 +185,23 @@ def rendered_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *shown.values())
 
 
-@query("""select l_orderkey, l_linenumber, cast(cast(cast(l_discount as decimal(18,2)) * 100 as decimal(18,1)) as varchar) || '\\%' as shown, true as matches from lineitem""")
+@query("""select l_orderkey, l_linenumber, cast(cast(cast(l_discount as decimal(18,2)) * 100 as decimal(18,1)) as varchar) || '\\%' as shown, l_discount = l_tax as matches from lineitem""")
 def percent_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-11, F-03, F-04: a fraction shown in percent reads back as itself with a spaced percent sign."""
-    value = F.col("l_discount").cast("decimal(18,2)")
-    shown = lx.render(value, F.lit("fraction"), F.lit("percent"), F.lit(1), F.lit("half_up"), True)["text"]
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"))
-    return rows.withColumn("matches", lx.display_matches("shown", F.replace("shown", F.lit("\\%"), F.lit("0\\,\\%"))))
+    """F-11, F-03, F-04: a discount shown in percent against the tax written in another way: with more places and a spaced percent sign."""
+    shown, other = (lx.render(F.col(c).cast("decimal(18,2)"), F.lit("fraction"), F.lit("percent"), F.lit(n), F.lit("half_up"), True)["text"] for c, n in (("l_discount", 1), ("l_tax", 3)))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"), F.replace(other, F.lit("\\%"), F.lit("\\,\\%")).alias("other"))
+    return rows.select("l_orderkey", "l_linenumber", "shown", lx.display_matches("shown", "other").alias("matches"))
 
 
-@query("""select s_suppkey, case when s_acctbal = 0 then '0' else 'n' end as zero, true as same from supplier""")
+@query("""with x as (select s_suppkey, cast(s_acctbal as decimal(18,2)) as v, cast(abs(cast(s_acctbal as decimal(18,2))) * 100 as bigint) as cents from supplier),
+  d as (select *, regexp_replace(cast(cents as varchar), '0+$', '') as bare from x)
+  select s_suppkey, case when cents = 0 then '0' else (case when v < 0 then '-' else '' end) || bare || 'e' || (length(cast(cents as varchar)) - length(bare) - 2) end as canonical, 1 as forms from d""")
 def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-23: equal numbers written in different ways have one canonical text."""
     x = F.col("s_acctbal").cast("decimal(18,2)").cast("string")
     ways = [x, F.concat(x, F.lit("000")), F.concat(x, F.lit("e0")), F.concat(x, F.lit("E+00"))]
-    same = F.size(F.array_distinct(F.array(*[lx.canonical(w) for w in ways]))) == 1
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(lx.canonical(x) == "0", "0").otherwise("n").alias("zero"), same.alias("same"))
+    forms = F.size(F.array_distinct(F.array(*[lx.canonical(w) for w in ways])))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", lx.canonical(x).alias("canonical"), forms.alias("forms"))
 
 
 # -- claims ---------------------------------------------------------------
@@ -230,25 +233,31 @@ def best_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(n, "kind").select("kind", "brand", ((F.col("v") == F.col("top.v")) & (F.col("top.ties") == 1)).alias("best"))
 
 
-@query(f"""with {_EVIDENCE}, m as (select model, cast(sum(discount) as double) / count(*) * 100 as v from evidence group by 1),
-  pp as (select (select v from m where model = 'A') - (select v from m where model = 'R') as v)
-  select 'gain' as subject, case when printf('%.2f', round(v, 2)) in ('0.01', '-0.01', '0.00', '-0.00') and false then 'pass' else 'mismatch' end as status from pp
-  union all select 'mean_' || model, 'pass' from m union all select 'claim_order', case when (select v from m where model = 'A') >= (select v from m where model = 'R') then 'pass' else 'mismatch' end""")
+@query(f"""with {_EVIDENCE}, m as (select model, round(cast(sum(discount) as double) * 100 / count(*), 2) as v, round(cast(sum(discount) filter (where seed <= 6) as double) * 100 / count(*) filter (where seed <= 6), 2) as old,
+    cast(sum(discount) as double) * 100 / count(*) as whole from evidence group by 1),
+  shown as (select 'mean_' || model as subject, printf('%.2f', old) || '\\%' as actual, printf('%.2f', v) || '\\%' as expected from m
+    union all select 'gain', (select printf('%.2f', a.old - r.old) from m a, m r where a.model = 'A' and r.model = 'R'), (select printf('%.2f', round(a.whole - r.whole, 2) + 0.0) from m a, m r where a.model = 'A' and r.model = 'R'))
+  select subject, case when cast(replace(actual, '\\%', '') as decimal(18,2)) = cast(replace(expected, '\\%', '') as decimal(18,2)) then 'pass' else 'mismatch' end as status, actual, cast(cast(replace(expected, '\\%', '') as decimal(18,2)) as varchar) || (case when contains(expected, '%') then '\\%' else '' end) as expected from shown
+  union all select 'claim_order', case when (select whole from m where model = 'A') >= (select whole from m where model = 'R') then 'pass' else 'mismatch' end, null, null""")
 def check_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-01, the flagship: means and their difference against reported numbers and a claim.
+    """C-01, the flagship: means and their difference against reported numbers, and a claim.
 
-    The reported means are rendered from an independent aggregate, the reported gain is a wrong number.
+    The reported numbers are those of an older evaluation, without the seed 7,
+    so which of them still hold depends on the evidence.
     """
     rows = evidence(spark, sf_dir)
     wanted = [Metric(f"mean_{m}", "discount", "mean", "fraction", {"model": m}) for m in "ANR"]
     gain = Derived("gain", "percentage_point_difference", "mean_A", "mean_R")
-    reported = rows.groupBy("model").agg((F.sum(F.col("discount").cast("decimal(18,2)")).cast("decimal(34,14)") / F.count(F.lit(1))).alias("v"))
-    shown = reported.select(F.concat(F.lit("mean_"), "model").alias("binding"), F.concat(F.round((F.col("v") * 100).cast("decimal(30,12)"), 2).cast("decimal(20,2)").cast("string"), F.lit("\\%")).alias("actual"))
-    located = shown.unionByName(spark.range(1).select(F.lit("gain").alias("binding"), F.lit("77.77").alias("actual"))).withColumn("error", F.lit(None).cast("string"))
-    bindings = spark.createDataFrame([(n, n, "decimal" if n == "gain" else "percent", 2, "half_up", n != "gain", "latex") for n in ("mean_A", "mean_N", "mean_R", "gain")], "binding string, metric string, kind string, places int, rounding string, percent_symbol boolean, format string")
-    claim = spark.createDataFrame([("claim_order", "greater_equal", "mean_A", "mean_R", None, None, None, None, None)], "claim string, op string, left string, right string, threshold string, threshold_unit string, candidates array<string>, direction string, allow_ties boolean")
+    d = F.col("discount").cast("decimal(18,2)")
+    old = rows.where(F.col("seed").cast("int") <= 6).groupBy("model").agg(F.round((F.sum(d).cast("decimal(30,2)") * 100 / F.count(F.lit(1))).cast("decimal(30,10)"), 2).cast("decimal(20,2)").alias("v"))
+    means = old.select(F.concat(F.lit("mean_"), "model").alias("binding"), F.concat(F.col("v").cast("string"), F.lit("\\%")).alias("actual"))
+    difference = old.agg((F.max(F.when(F.col("model") == "A", F.col("v"))) - F.max(F.when(F.col("model") == "R", F.col("v")))).cast("string").alias("actual")).select(F.lit("gain").alias("binding"), "actual")
+    located = means.unionByName(difference).withColumn("error", F.lit(None).cast("string"))
+    bindings = declared(spark, [(n, n, "decimal" if n == "gain" else "percent", 2, "half_up", n != "gain", "latex") for n in ("mean_A", "mean_N", "mean_R", "gain")], "binding string, metric string, kind string, places int, rounding string, percent_symbol boolean, format string")
+    claim = declared(spark, [("claim_order", "greater_equal", "mean_A", "mean_R", None, None, None, None, None)], "claim string, op string, left string, right string, threshold string, threshold_unit string, candidates array<string>, direction string, allow_ties boolean")
     report = check(rows, TYPES, wanted, [gain], bindings, located, claim)
-    return report.bindings.select(F.col("binding").alias("subject"), "status").unionByName(report.claims.select(F.col("claim").alias("subject"), "status"))
+    none = F.lit(None).cast("string")
+    return report.bindings.select(F.col("binding").alias("subject"), "status", "actual", "expected").unionByName(report.claims.select(F.col("claim").alias("subject"), "status", none.alias("actual"), none.alias("expected")))
 
 
 # -- keys and profiles ----------------------------------------------------
