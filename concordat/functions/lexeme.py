@@ -194,3 +194,29 @@ def render(value, unit, kind, places, rounding, percent_symbol=False, most_place
         text = F.when(n == i, one) if text is None else text.when(n == i, one)
     text = F.concat(text, F.when((k == "percent") & sign, "\\%").otherwise(""))
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+
+
+def plain_decimal(text) -> Column:
+    """A decimal lexeme within DECIMAL(38,18) in full: no exponent, no sign of zero, no zeros at the end of its fraction."""
+    fixed = F.coalesce(_c(text).try_cast("decimal(38,18)").cast("decimal(38,18)"), F.lit(None).cast("decimal(38,18)")).cast("string")
+    bare = F.regexp_replace(F.regexp_replace(F.format_string("%s", fixed), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(_c(text).try_cast("decimal(38,18)").isNotNull(), F.when(bare == "-0", "0").otherwise(bare))
+
+
+def exact_json(fields: dict[str, tuple[Column, str]]) -> Column:
+    """F-25: a JSON object with sorted keys; strings are quoted, integers and decimals stand as exact numbers, nulls as null."""
+
+    def value(x: Column, kind: str) -> Column:
+        if kind == "string":
+            text = F.to_json(F.array(x))
+            return F.substring(text, F.lit(2), F.length(text) - 2)
+        return plain_decimal(x) if kind == "decimal" else x.cast("string")
+
+    parts = [F.concat(F.lit('"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'), F.when(x.isNull(), "null").otherwise(value(x, kind))) for name, (x, kind) in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def location_label(file, fmt, line, table, row, column) -> Column:
+    """F-36: where a number stands, for people: by line, by table cell, or by file alone."""
+    cell = F.format_string("%s, table %s, row %s, column %s", _c(file), _c(table), _c(row), _c(column))
+    return F.when(_c(table).isNotNull(), cell).when(_c(fmt).isin("latex", "markdown") & _c(line).isNotNull(), F.format_string("%s:%s", _c(file), _c(line))).otherwise(_c(file))

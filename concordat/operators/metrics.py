@@ -262,6 +262,14 @@ def duplicate_keys(evidence: DataFrame, key: list[str]) -> DataFrame:
     return n.where(missing | (F.col("n") > 1)).withColumn("error", F.when(missing, "MISSING_VALUE").otherwise("DUPLICATE_KEY"))
 
 
+def reconciled(records: DataFrame, locations: DataFrame, key: list[str]) -> DataFrame:
+    """J-28: (key, records, locations, error): whether each record has exactly one location and the other way round."""
+    a, b = (t.groupBy(*key).agg(F.count(F.lit(1)).alias(n)) for t, n in ((records, "records"), (locations, "locations")))
+    met = a.join(b, key, "full").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("records", "locations")})
+    error = F.when(F.col("locations") == 0, "LOCATION_MISSING").when(F.col("records") == 0, "RECORD_MISSING").when((F.col("records") > 1) | (F.col("locations") > 1), "RECORD_COUNT")
+    return met.select(*key, "records", "locations", error.alias("error"))
+
+
 def source_health(cells: DataFrame) -> DataFrame:
     """A-23: (source, error): the error of the first bad line of each source; ``cells`` has source, line and error."""
     return cells.where("error is not null").groupBy("source").agg(F.min_by("error", F.struct("line", "error")).alias("error"))

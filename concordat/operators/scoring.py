@@ -80,6 +80,15 @@ def positions(before: DataFrame, after: DataFrame, gold: DataFrame, found: DataF
     return met.select("target", outcome.alias("outcome"))
 
 
+def containers(gold: DataFrame, boxes: DataFrame) -> DataFrame:
+    """E-04: (target, boxes, outcome) of gold tokens (as in ``boxes_holding``): supported in exactly one container with their text, else ambiguous or missed."""
+    from concordat.operators.intervals import boxes_holding
+
+    n = boxes_holding(gold, boxes).groupBy("token_id").agg(F.count(F.lit(1)).alias("boxes"))
+    met = gold.select("token_id").join(n, "token_id", "left").withColumn("boxes", F.coalesce("boxes", F.lit(0)))
+    return met.select(F.col("token_id").alias("target"), "boxes", F.when(F.col("boxes") == 1, "supported").when(F.col("boxes") > 1, "ambiguous").otherwise("missed").alias("outcome"))
+
+
 # The fault scenarios, as what is done to (role, value, seed) rows and what must come of it.
 SCENARIOS = [
     ("unchanged", "pass"), ("changed_test", "mismatch"), ("low_bit_change", "mismatch"), ("unrelated_model", "pass"), ("changed_train", "pass"),

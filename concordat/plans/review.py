@@ -144,3 +144,35 @@ def producer_records(cells: DataFrame, files: DataFrame) -> DataFrame:
     """C-15: (path, record): a record for each notebook from its saved cells and the files' identities, to be confirmed."""
     good = cells.groupBy("path").agg(F.expr("bool_and(status in ('saved_outputs', 'not_code'))").alias("complete"), F.array_sort(F.collect_list(F.struct("ord", "source_hash", "outputs_hash"))).alias("cells"))
     return good.where("complete").join(files.select("path", "sha256"), "path").select("path", fingerprint("sha256", F.to_json("cells")).alias("record"))
+
+
+def staged(columns: DataFrame, declared: DataFrame, metrics: DataFrame, existing: DataFrame) -> DataFrame:
+    """C-23: (stage, name, error) of declarations about to be added, each checked now.
+
+    ``columns`` (source, column, type) is what the sources hold, ``declared``
+    (source, column, type) what they are declared to hold, ``metrics`` (name,
+    source, field, expected_count, seen) the metrics with the rows their
+    selection has now; ``existing`` (name) are the names in use.
+    """
+    held = columns.select("source", "column", F.col("type").alias("found"))
+    kinds = declared.join(held, ["source", "column"], "left")
+    source_error = F.when(F.col("found").isNull(), "MISSING_COLUMN").when((F.col("type") != "string") & (F.col("found") != F.col("type")) & ~((F.col("type") == "decimal") & (F.col("found") == "integer")), "COLUMN_TYPE")
+    sources = kinds.select(F.lit("source").alias("stage"), F.concat_ws(".", "source", "column").alias("name"), source_error.alias("error"))
+    met = metrics.join(declared.select("source", F.col("column").alias("field"), "type"), ["source", "field"], "left").join(existing.select("name", F.lit(True).alias("used")).distinct(), "name", "left")
+    metric_error = F.when(F.col("used"), "NAME_CONFLICT").when(F.col("type").isNull(), "MISSING_COLUMN").when(F.col("type") == "string", "COLUMN_TYPE").when(F.coalesce("seen", F.lit(0)) == 0, "EMPTY_SELECTION").when(F.col("seen") != F.col("expected_count"), "RECORD_COUNT")
+    return sources.unionByName(met.select(F.lit("metric").alias("stage"), "name", metric_error.alias("error")))
+
+
+def rebuilt_draft(chosen: DataFrame, edges: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """C-26, U-04: (name, state, changed): chosen declarations after their inputs changed.
+
+    ``edges`` (src, dst) go from a declaration to what it needs, ``before`` and
+    ``after`` (name, fingerprint) are the inputs on both sides.  A choice is
+    kept, is to be checked again because an input of it changed, or is lost
+    because one is gone; ``changed`` lists these inputs.
+    """
+    need = graphs.closure(edges, chosen.select(F.col("name").alias("root"))).select(F.col("root").alias("choice"), F.col("node").alias("name"))
+    moved = states.declaration_diff(before, after, ["name"]).where("change <> 'added'").select("name", "change")
+    hit = need.join(moved, "name").groupBy("choice").agg(F.array_sort(F.collect_set("name")).alias("changed"), F.max((F.col("change") == "removed").cast("int")).alias("gone"))
+    out = chosen.select("name").join(hit.withColumnRenamed("choice", "name"), "name", "left")
+    return out.select("name", F.when(F.col("changed").isNull(), "kept").when(F.col("gone") == 1, "lost").otherwise("check_again").alias("state"), F.coalesce("changed", F.array().cast("array<string>")).alias("changed"))
