@@ -262,6 +262,22 @@ def duplicate_keys(evidence: DataFrame, key: list[str]) -> DataFrame:
     return n.where(missing | (F.col("n") > 1)).withColumn("error", F.when(missing, "MISSING_VALUE").otherwise("DUPLICATE_KEY"))
 
 
+def fast_statistics(evidence: DataFrame, by: list[str], field: str, level: float = 0.95) -> DataFrame:
+    """A-05, F-14 in the fast lane: (by, n, mean, sd, se, lower, upper) from exact DECIMAL sums of values and squares; only the last steps are floating.
+
+    For values of up to 14 digits with two places.  The bounds take the
+    quantile of the normal distribution that t tends to: for groups of more
+    than 2,000 rows.
+    """
+    q = F.col(field).cast("decimal(16,2)")
+    sums = evidence.groupBy(*by).agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum((q * q).cast("decimal(28,4)")).alias("ss"))
+    mean = F.col("s").cast("double") / F.col("n")
+    spread = (F.col("ss").cast("double") - F.col("s").cast("double") * F.col("s").cast("double") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
+    out = sums.select(*by, "n", mean.alias("mean"), F.sqrt(spread).alias("sd")).withColumn("se", F.col("sd") / F.sqrt("n"))
+    reach = F.lit(exact.float_t(10**9, level)) * F.col("se")
+    return out.withColumns({"lower": F.col("mean") - reach, "upper": F.col("mean") + reach})
+
+
 def reconciled(records: DataFrame, locations: DataFrame, key: list[str]) -> DataFrame:
     """J-28: (key, records, locations, error): whether each record has exactly one location and the other way round."""
     a, b = (t.groupBy(*key).agg(F.count(F.lit(1)).alias(n)) for t, n in ((records, "records"), (locations, "locations")))

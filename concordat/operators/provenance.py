@@ -11,15 +11,20 @@ def identities(expected: DataFrame, files: DataFrame) -> DataFrame:
     return expected.select("path").distinct().join(files.select("path", "sha256"), "path", "left").select("path", F.coalesce("sha256", F.lit("unavailable:FILE_UNAVAILABLE")).alias("identity"))
 
 
-def record_states(records: DataFrame, current: DataFrame) -> DataFrame:
-    """J-11, J-12, J-19: (record, status, changed, missing) of records (record, inputs map path to hash) against (path, identity).
+def input_states(inputs: DataFrame, current: DataFrame) -> DataFrame:
+    """J-11, J-12: adds ``state`` to recorded inputs (record, path, recorded) by (path, identity): same, changed or missing."""
+    gone = F.col("identity").isNull() | F.col("identity").startswith("unavailable:")
+    return inputs.join(current, "path", "left").select("record", "path", F.when(gone, "missing").when(F.col("identity") != F.col("recorded"), "changed").otherwise("same").alias("state"))
+
 
-    An input that can't be read makes the record unknown, which outweighs a mismatch.
+def record_states(inputs: DataFrame, current: DataFrame) -> DataFrame:
+    """J-11, J-12, J-19: (record, status, changed, missing): how many inputs of each record differ from or lack their identities.
+
+    An input that can't be read makes the record unknown, which outweighs a
+    mismatch.  The paths themselves are the rows of ``input_states``.
     """
-    each = records.select("record", F.explode_outer("inputs").alias("path", "recorded")).join(current, "path", "left")
-    gone = F.col("identity").isNull() | F.col("identity").startswith("unavailable:")
-    out = each.groupBy("record").agg(F.array_sort(F.collect_set(F.when(~gone & (F.col("identity") != F.col("recorded")), F.col("path")))).alias("changed"), F.array_sort(F.collect_set(F.when(gone & F.col("path").isNotNull(), F.col("path")))).alias("missing"))
-    return out.select("record", F.when(F.size("missing") > 0, "unknown").when(F.size("changed") > 0, "mismatch").otherwise("pass").alias("status"), "changed", "missing")
+    n = input_states(inputs, current).groupBy("record").agg(F.count_if(F.col("state") == "changed").alias("changed"), F.count_if(F.col("state") == "missing").alias("missing"))
+    return n.select("record", F.when(F.col("missing") > 0, "unknown").when(F.col("changed") > 0, "mismatch").otherwise("pass").alias("status"), "changed", "missing")
 
 
 def producer_cells(records: DataFrame, cells: DataFrame) -> DataFrame:

@@ -103,11 +103,13 @@ def exit_code(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.max(level), F.lit(0)).alias("exit_code"))
 
 
-def actions(found: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """A-18: (ord, kind, subjects, findings): findings as work of twelve kinds.
+def actions(found: DataFrame, details: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """A-18: (ord, kind, subject, id): findings as work of twelve kinds, one row for each.
 
     ``details`` (subject, blocked, format) tells what blocks a mismatch and
-    where it stands.
+    where it stands.  ``coverage`` is one row (unbound, unregistered): where
+    numbers are unbound or figures unregistered, the project itself needs
+    complete_coverage, without a finding.
     """
     stale = found.where("rule = 'EXPORT_STALE'").select("subject", F.lit(True).alias("stale")).distinct()
     met = found.join(stale, "subject", "left")
@@ -129,7 +131,16 @@ def actions(found: DataFrame, details: DataFrame | None = None) -> DataFrame:
         .otherwise("resolve_evidence")
     )
     order = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("kind"))
-    return met.withColumn("kind", kind).groupBy("kind").agg(F.array_sort(F.collect_set("subject")).alias("subjects"), F.array_sort(F.collect_set("id")).alias("findings")).select(order.cast("int").alias("ord"), "kind", "subjects", "findings")
+    out = met.select(kind.alias("kind"), "subject", "id").distinct()
+    if coverage is not None:
+        lacking = coverage.where("unbound > 0 or unregistered > 0").select(F.lit("complete_coverage").alias("kind"), F.lit("project").alias("subject"), F.lit(None).cast("string").alias("id"))
+        out = out.unionByName(lacking)
+    return out.select(order.cast("int").alias("ord"), "kind", "subject", "id")
+
+
+def action_counts(work: DataFrame) -> DataFrame:
+    """A-18: (ord, kind, subjects, findings): how many different subjects and findings each kind of work has."""
+    return work.groupBy("ord", "kind").agg(F.count_distinct("subject").alias("subjects"), F.count_distinct("id").alias("findings"))
 
 
 # -- comparisons over time ------------------------------------------------
@@ -191,8 +202,8 @@ def declaration_diff(before: DataFrame, after: DataFrame, keys: list[str], mark:
     return met.withColumn("change", change).where("change is not null").select(*keys, "change", "before", "after")
 
 
-def impact_groups(edges: DataFrame, metrics: DataFrame, bindings: DataFrame, claims: DataFrame, paths: DataFrame, figures: DataFrame) -> DataFrame:
-    """J-17, C-05: for each root metric (one without dependencies) all that hangs on it; roots without consumers are left out.
+def impact_members(edges: DataFrame, metrics: DataFrame, bindings: DataFrame, claims: DataFrame, paths: DataFrame, figures: DataFrame) -> DataFrame:
+    """J-17, C-05: (root, kind, name): for each root metric (one without dependencies) all that hangs on it; roots without consumers are left out.
 
     ``edges`` (src, dst) go from a metric to what it depends on; ``paths``
     (metric, path) and ``figures`` (figure, path) tell shared files.
@@ -200,14 +211,15 @@ def impact_groups(edges: DataFrame, metrics: DataFrame, bindings: DataFrame, cla
     up = graphs.closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), metrics.select(F.col("metric").alias("root"))).select("root", F.col("node").alias("metric"))
     roots = metrics.join(edges, F.col("metric") == F.col("src"), "left_anti").select(F.col("metric").alias("root"))
     reach = up.join(roots, "root", "left_semi")
-    m = reach.groupBy("root").agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
-    b = reach.join(bindings.select("binding", "metric"), "metric").groupBy("root").agg(F.array_sort(F.collect_set("binding")).alias("bindings"))
-    c = reach.join(claims.select("claim", F.explode("refs").alias("metric")), "metric").groupBy("root").agg(F.array_sort(F.collect_set("claim")).alias("claims"))
-    f = roots.join(paths, F.col("root") == F.col("metric")).join(figures, "path").groupBy("root").agg(F.array_sort(F.collect_set("figure")).alias("figures"))
-    out = m.join(b, "root", "left").join(c, "root", "left").join(f, "root", "left")
-    none = F.array().cast("array<string>")
-    out = out.select("root", "metrics", *[F.coalesce(x, none).alias(x) for x in ("bindings", "claims", "figures")])
-    return out.where((F.size("bindings") > 0) | (F.size("claims") > 0) | (F.size("figures") > 0))
+
+    def of(rows: DataFrame, kind: str, name: str) -> DataFrame:
+        return rows.select("root", F.lit(kind).alias("kind"), F.col(name).alias("name")).distinct()
+
+    used = of(reach.join(bindings.select("binding", "metric"), "metric"), "binding", "binding")
+    used = used.unionByName(of(reach.join(claims.select("claim", F.explode("refs").alias("metric")), "metric"), "claim", "claim"))
+    used = used.unionByName(of(roots.join(paths, F.col("root") == F.col("metric")).join(figures, "path"), "figure", "figure"))
+    held = of(reach, "metric", "metric").join(used.select("root").distinct(), "root", "left_semi")
+    return held.unionByName(used)
 
 
 def reviews(claims: DataFrame, history: DataFrame) -> DataFrame:

@@ -119,13 +119,16 @@ def barred_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(F.split("line", r" \| "))).alias("cells"))
 
 
-@query()
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where contains(text, ' | ')),
+  b as (select doc_id, cast(row_number() over (partition by doc_id order by i) as integer) as "row", trim(string_split(line, ' | ')[1]) as head from l where contains(line, ' | ')),
+  bad as (select distinct doc_id from b where contains(head, '|'))
+  select doc_id, 0 as table_id, "row", head || ' | [value]' as row_text, 'number' as column_header from b where doc_id not in (select doc_id from bad)""")
 def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-04, W-07, X-11 on documents turned into pipe tables: barred lines under a header and a separator."""
+    """X-04, W-07, X-11 on documents turned into pipe tables: barred lines under a header and a separator, their numbers' places in words."""
     barred = documents(spark, sf_dir).where(F.contains("text", F.lit(" | ")))
     body = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" | "))), lambda x: F.concat(F.lit("| "), F.element_at(F.split(x, r" \| "), 1), F.lit(" | "), F.size(F.split(x, r" \| ")), F.lit(" |"))), "\n")
     made = barred.select("doc_id", F.concat(F.lit("Table 1. Parts\n\n| part | number |\n|---|---:|\n"), body).alias("text"))
-    return tables.location_context(tables.pipe_cells(made))
+    return tables.location_context(tables.pipe_cells(made)).where("col = 1").drop("col")
 
 
 @query("""select n_name as choice, count(*) as locations from nation join customer on n_nationkey = c_nationkey group by 1""")

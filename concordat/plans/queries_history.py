@@ -41,11 +41,12 @@ def baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.baseline_changes(_as_metrics(new), _as_metrics(old)).select("metric", "change")
 
 
-@query(f"with {_SIDES} select o_custkey from before except select o_custkey from after")
+@query("select o_orderkey, o_custkey from orders where o_orderpriority <> '1-URGENT' except select o_orderkey, o_custkey from orders where o_orderstatus = 'O'")
 def removed_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U-03."""
-    old, new = _sides(spark, sf_dir)
-    return states.removed(new, old, ["o_custkey"])
+    """U-03: orders that aren't urgent and no open ones."""
+    o = table(spark, sf_dir, "orders")
+    old = o.where("o_orderpriority <> '1-URGENT'")
+    return states.removed(o.where("o_orderstatus = 'O'"), old, ["o_orderkey", "o_custkey"])
 
 
 
@@ -102,8 +103,8 @@ def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = edges.select(F.col("src").alias("metric")).union(edges.select("dst")).distinct()
     bindings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("binding"), F.concat(F.lit("c"), "o_custkey").alias("metric"))
     none = spark.createDataFrame([], "claim string, refs array<string>")
-    out = states.impact_groups(edges, names, bindings, none, spark.createDataFrame([], "metric string, path string"), spark.createDataFrame([], "figure string, path string"))
-    return out.select("root", F.size("metrics").cast("long").alias("metrics"), F.size("bindings").cast("long").alias("bindings"))
+    out = states.impact_members(edges, names, bindings, none, spark.createDataFrame([], "metric string, path string"), spark.createDataFrame([], "figure string, path string"))
+    return out.groupBy("root").agg(F.count_if(F.col("kind") == "metric").alias("metrics"), F.count_if(F.col("kind") == "binding").alias("bindings"))
 
 
 @query("""with bad as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT'), open as (select o_orderkey, o_custkey from orders where o_orderstatus = 'F')
@@ -138,14 +139,16 @@ def revision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with f as (select case event_type when 'click' then 'VALUE_MISMATCH' when 'view' then 'ANCHOR_MISSING' when 'purchase' then 'CLAIM_FALSE' else 'SEED_SET' end as rule, case event_type when 'purchase' then 'claim:' else 'occurrence:' end || user_id as subject from events)
-  select case rule when 'VALUE_MISMATCH' then 'update_numbers' when 'ANCHOR_MISSING' then 'repair_bindings' when 'CLAIM_FALSE' then 'review_claims' else 'resolve_evidence' end as kind, count(distinct subject) as subjects, count(distinct subject || '/' || rule) as findings from f group by 1""")
+  select case rule when 'VALUE_MISMATCH' then 'update_numbers' when 'ANCHOR_MISSING' then 'repair_bindings' when 'CLAIM_FALSE' then 'review_claims' else 'resolve_evidence' end as kind, count(distinct subject) as subjects, count(distinct subject || '/' || rule) as findings from f group by 1
+  union all select 'complete_coverage', 1, 0 where (select count(*) from events where value > 50) > 0""")
 def action_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-18."""
     t = F.col("event_type")
     rule = F.when(t == "click", "VALUE_MISMATCH").when(t == "view", "ANCHOR_MISSING").when(t == "purchase", "CLAIM_FALSE").otherwise("SEED_SET")
     subject = F.concat(F.when(t == "purchase", "claim:").otherwise("occurrence:"), F.col("user_id"))
     found = events(spark, sf_dir).select(rule.alias("rule"), subject.alias("subject"), F.concat(subject, F.lit("/"), rule).alias("id"), F.lit("error").alias("severity"))
-    return states.actions(found).select("kind", F.size("subjects").cast("long").alias("subjects"), F.size("findings").cast("long").alias("findings"))
+    loose = events(spark, sf_dir).agg(F.count_if(F.col("value") > 50).alias("unbound"), F.lit(0).alias("unregistered"))
+    return states.action_counts(states.actions(found, coverage=loose)).select("kind", "subjects", "findings")
 
 
 # -- provenance -----------------------------------------------------------
@@ -165,10 +168,10 @@ def producer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-11, J-12, J-19: records of all documents of a source, some since changed and some gone."""
     d = table(spark, sf_dir, "documents")
     path, now = F.concat(F.lit("d"), "doc_id"), lx.sha256("text")
-    records = d.groupBy(F.concat_ws(":", "lang", "source").alias("record")).agg(F.map_from_entries(F.collect_list(F.struct(path, F.when(F.col("doc_id") % 20 == 3, "old").otherwise(now)))).alias("inputs"))
+    records = d.select(F.concat_ws(":", "lang", "source").alias("record"), path.alias("path"), F.when(F.col("doc_id") % 20 == 3, "old").otherwise(now).alias("recorded"))
     current = d.where(F.col("doc_id") % 50 != 7).select(path.alias("path"), now.alias("identity"))
     out = provenance.record_states(records, current)
-    return out.select("record", "status", F.size("changed").cast("long").alias("changed"), F.size("missing").cast("long").alias("missing"))
+    return out
 
 
 @query("""with s as (select c_mktsegment as metric, n_name as file, bool_and(c_acctbal > -900) as ok, bool_or(c_acctbal > 9900) as open from customer join nation on c_nationkey = n_nationkey group by 1, 2),
@@ -259,11 +262,12 @@ def input_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.conflicting_inputs(o).select("path", F.col("error").alias("sha256"))
 
 
-@query("""select case when lower(lang) = 'en' then 'r1' else 'r2' end as fragment, count(*) as lines from documents where n_chars > 5000 group by 1""")
+@query("""select case when lang = 'en' then 'r1' else 'r2' end as fragment, doc_id as ord, case when lang = 'en' then replace(source, '_', '\\_') || ' & \\ensuremath{' || n_chars || '} \\\\' else '| ' || replace(replace(source, '_', '\\_'), '*', '\\*') || ' | ' || n_chars || ' |' end as line from documents""")
 def rendered_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-20: long documents' sizes as fragments' lines."""
-    d = table(spark, sf_dir, "documents").where("n_chars > 5000").select(F.when(F.col("lang") == "en", "r1").otherwise("r2").alias("fragment"), F.col("doc_id").alias("ord"), F.col("source").alias("label"), F.col("n_chars").cast("string").alias("value"), F.when(F.col("lang") == "en", "latex").otherwise("markdown").alias("format"))
-    return sinks.fragments(d).select("fragment", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    """S-20, F-37: documents' sizes as fragments' lines."""
+    en = F.col("lang") == "en"
+    d = table(spark, sf_dir, "documents").select(F.when(en, "r1").otherwise("r2").alias("fragment"), F.col("doc_id").alias("ord"), F.col("source").alias("label"), F.col("n_chars").cast("string").alias("value"), F.when(en, "latex").otherwise("markdown").alias("format"))
+    return sinks.fragment_lines(d)
 
 
 @query("""select 'd' || doc_id as path, strlen(text) as bytes, 'sha256:' || sha256(text) as sha256, length(text) > 4096 as truncated, false as missing from documents union all select 'none', null, null, null, true""")
@@ -274,13 +278,13 @@ def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.bundle_manifest(files, required).select("path", "bytes", "sha256", "truncated", "missing")
 
 
-@query()
+@query("""select conv_id || '/' || turn // 50 as path, case role when 'system' then 'not_code' when 'assistant' then 'saved_outputs' else 'unexecuted' end as status, count(*) as n from conversations group by 1, 2""")
 def notebook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-14: conversations as notebooks, assistant turns as executed cells."""
+    """S-14: conversations as notebooks of fifty turns, assistant turns as executed cells."""
     c = table(spark, sf_dir, "conversations")
     outputs = F.when(F.col("role") == "assistant", F.array(F.struct(F.lit("stream").alias("output_type"), F.col("text").alias("text"))))
     cell = F.struct(F.col("turn").alias("o"), F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("role") == "system", "markdown").otherwise("code").alias("cell_type"), F.col("text").alias("source"), outputs.alias("outputs"), F.when(F.col("role") == "assistant", F.col("turn")).alias("execution_count")).alias("x"))
-    books = c.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(cell), lambda a, b: (a["o"] - b["o"]).cast("int")), lambda s: s["x"]).alias("cells"))
+    books = c.groupBy(F.concat_ws("/", "conv_id", F.floor(F.col("turn") / 50)).alias("path")).agg(F.transform(F.array_sort(F.collect_list(cell), lambda a, b: (a["o"] - b["o"]).cast("int")), lambda s: s["x"]).alias("cells"))
     return docs_.notebook_cells(books.select("path", F.to_json(F.struct("cells")).alias("text"))).groupBy("path", "status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -116,15 +116,9 @@ def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_EVIDENCE} select model, split, count(*) as n, round(avg(cast(quantity as double)), 6) as mean, round(stddev_samp(cast(quantity as double)), 6) as sd,
   round(avg(cast(quantity as double)) - 1.959963984540054 * stddev_samp(cast(quantity as double)) / sqrt(count(*)), 4) as lower from evidence group by 1, 2""")
 def statistics_fast_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-05 and F-14 natively over all rows, from exact sums of values and squares, with the normal quantile that t tends to at these sizes."""
-    q = F.col("quantity").cast("decimal(18,2)")
-    sums = evidence(spark, sf_dir).groupBy("model", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(q).alias("s"), F.sum((q * q).cast("decimal(30,4)")).alias("ss"))
-    mean = F.col("s").cast("double") / F.col("n")
-    # n * sum of squares - square of the sum is exact in decimals; only the last steps are floating.
-    spread = (F.col("ss").cast("decimal(28,4)").cast("double") - F.col("s").cast("double") * F.col("s").cast("double") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-    sd = F.sqrt(spread)
-    lower = mean - F.lit(exact.float_t(10**9, 0.95)) * sd / F.sqrt("n")
-    return sums.select("model", "split", "n", F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(lower, 4).alias("lower"))
+    """A-05 and F-14 natively over all rows."""
+    out = mx.fast_statistics(evidence(spark, sf_dir), ["model", "split"], "quantity")
+    return out.select("model", "split", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("lower", 4).alias("lower"))
 
 
 @query(f"""with {_EVIDENCE}, r as (select order_key, count(*) as n, list_sort(list(seed)) = [1, 2, 3] as whole, sum(quantity) as total from evidence group by 1)
@@ -143,8 +137,9 @@ def batch_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_EVIDENCE} select model, count(*) as n, count(distinct order_key) as experiments from evidence group by 1""")
 def experiment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-09."""
-    return evidence(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("order_key").alias("experiments"))
+    """A-09: the groups that a batch makes of the orders, counted by model."""
+    groups = mx.batch_matrix(evidence(spark, sf_dir), ["model", "order_key"], ["discount"], how="count")
+    return groups.groupBy("model").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("experiments"))
 
 
 @query("""with c as (select l_returnflag as model, l_linestatus as split, count(*) as n, count(*) filter (where l_orderkey % 7 = 1) as changed from lineitem group by 1, 2)
@@ -223,14 +218,18 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with m as (select p_brand as brand, p_type as kind, max(cast(p_retailprice as decimal(18,2))) as v from part group by 1, 2),
-  top as (select kind, brand, v, v = max(v) over (partition by kind) and count(*) filter (where true) over (partition by kind, v) = 1 as best from m)
-  select kind, brand, best from top""")
+  top as (select kind, brand, count(*) over (partition by kind) as of, rank() over (partition by kind order by v desc) as r, count(*) over (partition by kind, v) as ties from m)
+  select kind || '/' || brand as claim, case when r = 1 and ties = 1 then 'pass' else 'mismatch' end as status from top where of > 1""")
 def best_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-10, T-09 for every brand in its kind: the highest price, ties lose; by one aggregate instead of pairs."""
-    v = F.col("p_retailprice").cast("decimal(18,2)")
-    m = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).agg(F.max(v).alias("v"))
-    n = m.groupBy("kind", "v").agg(F.count(F.lit(1)).alias("ties")).groupBy("kind").agg(F.max(F.struct("v", "ties")).alias("top"))
-    return m.join(n, "kind").select("kind", "brand", ((F.col("v") == F.col("top.v")) & (F.col("top.ties") == 1)).alias("best"))
+    """P-10, T-09: every brand is claimed to have the highest price of its kind among all brands of it; ties lose."""
+    v = F.max(F.col("p_retailprice").cast("decimal(18,2)"))
+    own = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind"), F.concat_ws("/", "p_type", "p_brand").alias("metric")).agg(v.cast("string").alias("value"))
+    kinds = own.groupBy("kind").agg(F.collect_set("metric").alias("all"))  # the brands of a kind: a few dozen
+    claims = own.join(kinds, "kind").where(F.size("all") > 1).select(
+        F.col("metric").alias("claim"), F.lit("best_in_set").alias("op"), F.col("metric").alias("left"), *[F.lit(None).cast("string").alias(c) for c in ("right", "threshold", "threshold_unit")],
+        F.array_except("all", F.array("metric")).alias("candidates"), F.lit("maximize").alias("direction"), F.lit(False).alias("allow_ties"),
+    )
+    return states.claim_states(claims, own.select("metric", "value", F.lit("scalar").alias("unit"), F.lit(None).cast("string").alias("error"))).select("claim", "status")
 
 
 @query(f"""with {_EVIDENCE}, m as (select model, round(cast(sum(discount) as double) * 100 / count(*), 2) as v, round(cast(sum(discount) filter (where seed <= 6) as double) * 100 / count(*) filter (where seed <= 6), 2) as old,

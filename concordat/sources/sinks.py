@@ -30,14 +30,19 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     sarif_results(findings).select(F.col("result").alias("value")).write.text(path)
 
 
-def fragments(values: DataFrame) -> DataFrame:
-    """S-20, F-37: (fragment, text): bound values (fragment, ord, label, value, format) as lines of LaTeX or Markdown, in order."""
+def fragment_lines(values: DataFrame) -> DataFrame:
+    """S-20, F-37: (fragment, ord, line): bound values (fragment, ord, label, value, format) as lines of LaTeX or Markdown."""
     latex = F.col("format") == "latex"
     label = F.when(latex, F.regexp_replace("label", "_", r"\\_")).otherwise(F.regexp_replace("label", r"([_*])", r"\\$1"))
     shown = F.when(latex, F.concat(F.lit("\\ensuremath{"), "value", F.lit("}"))).otherwise(F.col("value"))
     line = F.when(latex, F.concat(label, F.lit(" & "), shown, F.lit(r" \\"))).otherwise(F.concat(F.lit("| "), label, F.lit(" | "), shown, F.lit(" |")))
-    rows = values.groupBy("fragment").agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), line.alias("line")))).alias("lines"))
-    return rows.select("fragment", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    return values.select("fragment", "ord", line.alias("line"))
+
+
+def write_fragments(values: DataFrame, path: str) -> None:
+    """S-20: the lines of each fragment in order, in files below ``fragment=<name>``; the order of the files' names is that of the lines."""
+    lines = fragment_lines(values).repartitionByRange("fragment", "ord").sortWithinPartitions("fragment", "ord")
+    lines.select("fragment", F.col("line").alias("value")).write.partitionBy("fragment").text(path)
 
 
 def bundle_manifest(files: DataFrame, required: DataFrame, preview: int = 4096) -> DataFrame:

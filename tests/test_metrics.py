@@ -120,7 +120,7 @@ def test_check_end_to_end(spark):
     edges = spark.createDataFrame([("gain", "Ours"), ("gain", "Baseline")], "src string, dst string")
     blocked = {r.binding: r.blocked_by for r in states.blocked_by(report.bindings, report.claims, edges).collect()}
     assert blocked == {"b2": ["claim:big", "claim:tie", "claim:units"]}
-    kinds = [r.kind for r in states.actions(report.findings).orderBy("ord").collect()]
+    kinds = [r.kind for r in states.action_counts(states.actions(report.findings)).orderBy("ord").collect()]
     assert kinds == ["resolve_evidence", "repair_bindings", "review_claims", "update_numbers"]
     scope = spark.createDataFrame([("c", "gain", {"split": "test"}), ("d", "gain", {"split": "train"})], "claim string, metric string, scope map<string,string>")
     selectors = spark.createDataFrame([("Ours", {"split": "test"}), ("Baseline", {"split": "test"})], "metric string, where map<string,string>")

@@ -38,18 +38,22 @@ def test_impact_groups(spark):
     claims = spark.createDataFrame([("c1", ["a", "gain"])], "claim string, refs array<string>")
     paths = spark.createDataFrame([("a", "r.csv"), ("idle", "q.csv")], "metric string, path string")
     figures = spark.createDataFrame([("fig", "r.csv")], "figure string, path string")
-    got = {r.root: r for r in states.impact_groups(edges, metrics, bindings, claims, paths, figures).collect()}
-    assert set(got) == {"a", "b"}
-    assert (got["a"].metrics, got["a"].bindings, got["a"].claims, got["a"].figures) == (["a", "gain", "ratio"], ["o1"], ["c1"], ["fig"])
-    assert (got["b"].bindings, got["b"].claims, got["b"].figures) == (["o1", "o2"], ["c1"], [])
+    got = {}
+    for r in states.impact_members(edges, metrics, bindings, claims, paths, figures).collect():
+        got.setdefault((r.root, r.kind), set()).add(r.name)
+    assert got == {("a", "metric"): {"a", "gain", "ratio"}, ("a", "binding"): {"o1"}, ("a", "claim"): {"c1"}, ("a", "figure"): {"fig"}, ("b", "metric"): {"b", "gain", "ratio"}, ("b", "binding"): {"o1", "o2"}, ("b", "claim"): {"c1"}}
 
 
 def test_actions_reviews_and_revisions(spark):
     found = spark.createDataFrame([("occurrence:a", "VALUE_MISMATCH"), ("occurrence:a", "EXPORT_STALE"), ("occurrence:b", "VALUE_MISMATCH"), ("occurrence:c", "VALUE_MISMATCH"), ("occurrence:d", "VALUE_MISMATCH"), ("claim:e", "CLAIM_FALSE"), ("figure:f", "X"), ("provenance:g", "X"), ("fragment:h", "X"), ("x:i", "ANCHOR_MISSING"), ("x:j", "EXCLUSION_CHANGED"), ("project", "NO_BINDINGS"), ("m:k", "SEED_SET"), ("watch", "WATCH_PENDING")], "subject string, rule string").withColumns({"id": F.concat_ws("/", "subject", "rule"), "severity": F.lit("error")})
     details = spark.createDataFrame([("occurrence:b", True, "latex"), ("occurrence:c", False, "pdf"), ("occurrence:d", False, "latex")], "subject string, blocked boolean, format string")
-    out = states.actions(found, details).orderBy("ord").collect()
+    work = states.actions(found, details)
+    out = states.action_counts(work).orderBy("ord").collect()
     assert [r.kind for r in out] == states.ACTIONS
-    assert {r.kind: r.subjects for r in out}["review_claims"] == ["claim:e", "occurrence:b"]
+    assert {r.subject for r in work.where("kind = 'review_claims'").collect()} == {"claim:e", "occurrence:b"}
+    for unbound, unregistered, there in ((0, 0, 0), (1, 0, 1), (0, 2, 1)):
+        loose = spark.createDataFrame([(unbound, unregistered)], "unbound long, unregistered long")
+        assert states.actions(found.limit(0), coverage=loose).where("kind = 'complete_coverage' and subject = 'project' and id is null").count() == there
     claims = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "claim string, fingerprint string")
     seen = spark.createDataFrame([("a", "0"), ("a", "1"), ("b", "0")], "claim string, fingerprint string")
     assert {r.claim: r.review for r in states.reviews(claims, seen).collect()} == {"a": "reviewed", "b": "superseded", "c": "unreviewed"}
@@ -62,8 +66,9 @@ def test_provenance(spark):
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
     now = provenance.identities(wanted, files)
     assert {r.path: r.identity for r in now.collect()} == {"a": "h1", "b": "h2", "c": "unavailable:FILE_UNAVAILABLE"}
-    records = spark.createDataFrame([("ok", {"a": "h1"}), ("old", {"a": "h1", "b": "x"}), ("gone", {"b": "x", "c": "h"})], "record string, inputs map<string,string>")
-    assert {r.record: (r.status, r.changed, r.missing) for r in provenance.record_states(records, now).collect()} == {"ok": ("pass", [], []), "old": ("mismatch", ["b"], []), "gone": ("unknown", ["b"], ["c"])}
+    inputs = spark.createDataFrame([("ok", "a", "h1"), ("old", "a", "h1"), ("old", "b", "x"), ("gone", "b", "x"), ("gone", "c", "h")], "record string, path string, recorded string")
+    assert {r.record: (r.status, r.changed, r.missing) for r in provenance.record_states(inputs, now).collect()} == {"ok": ("pass", 0, 0), "old": ("mismatch", 1, 0), "gone": ("unknown", 1, 1)}
+    assert {(r.record, r.path) for r in provenance.input_states(inputs, now).where("state = 'changed'").collect()} == {("old", "b"), ("gone", "b")}
     times = spark.createDataFrame([("a", "2024-01-01T00:00:00Z", "2024-01-01T01:00:00+00:00", "2024-01-02T00:00:00Z"), ("b", "2024-01-01T00:00:00", "2024-01-01T01:00:00Z", "2024-01-02T00:00:00Z"), ("c", "2024-01-01T02:00:00Z", "2024-01-01T02:00:00+01:00", "2024-01-02T00:00:00Z")], "record string, started string, finished string, recorded string")
     assert {r.record: r.error for r in provenance.timestamps(times).collect()} == {"a": None, "b": "TIMESTAMP_ZONE", "c": "TIMESTAMP_ORDER"}
     states_ = spark.createDataFrame([("src", "m", "pass"), ("pdf", "m", "pass"), ("src", "n", "pass"), ("pdf", "n", "mismatch"), ("src", "o", "mismatch"), ("pdf", "o", "pass"), ("src", "p", "pass")], "file string, metric string, status string")
