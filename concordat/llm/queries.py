@@ -122,4 +122,30 @@ _OP6_SQL = rf"""with d as (select row_number() over () as rid, doc_id, coalesce(
   judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 100 * n_removed_words > 50 * n_words as depleted from counted)
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, depleted, not base_failed and not depleted as kept from judged"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _OP6_SQL}
+_OP1_SQL = rf"""with recursive d as (select row_number() over () as rid, doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+  sets as (select rid, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as sh from d),
+  each as (select rid, doc_id, len(sh) as n, hash(x) as x from (select rid, doc_id, sh, unnest(sh) as x from sets)),
+  near as (select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.rid <> b.rid group by a.rid, b.rid, a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  links as (select distinct a, b from near),
+  reach(id, node) as (select distinct doc_id, doc_id from sets union select r.id, l.b from reach r join links l on r.node = l.a),
+  least as (select id, min(node) as component_id from reach group by 1)
+  select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join least on id = doc_id"""
+
+
+def _escaped_sql(text: str) -> str:
+    from .chat import CONTROL
+
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_OP9_SQL = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  s as (select *, '<|turn|>' || replace({_escaped_sql("role")}, chr(10), '\\' || chr(10)) || chr(10) || {_escaped_sql("text")} || '<|end|>' || chr(10) as segment from t)
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, segment)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, segment) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(length(segment))::bigint as formatted_chars, 0::bigint as attachment_tokens from s group by conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _OP1_SQL, "op6_quality_rules": _OP6_SQL, "op9_chat_format": _OP9_SQL}
