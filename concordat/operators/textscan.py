@@ -14,19 +14,40 @@ from concordat.functions.lexeme import NATIVE_TOKEN, TOKEN, sha256
 from concordat.operators import intervals
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that a running sum collects before it starts a new part; appending to an array copies it.
+PART = 512
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each element of an array of integers the sum of those before it; in parts, so that long arrays don't cost their square."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def run(part):
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def body(all_):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda k: run(F.slice(all_, k * PART + 1, F.lit(PART))))
+        return _let(cut, lambda parts: F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["at"]))["out"], lambda p, o: F.transform(p["out"], lambda x: x + o))))
+
+    return _let(sizes, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(body(v)))
+
+
 def _spans(text: Column, pattern: Column) -> Column:
     """array<struct<start,end,text>> of all matches."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
+    def placed(x, before):
+        begin = before + x["gap"]
+        return F.struct(begin.alias("start"), (begin + F.length(x["hit"])).alias("end"), x["hit"].alias("text"))
 
-    return F.aggregate(F.filter(zipped, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+    return _let(zipped, lambda z: F.zip_with(z, _sums_before(F.transform(z, lambda x: x["gap"] + F.length(x["hit"]))), placed))
 
 
 def number_tokens(documents: DataFrame, native: bool = False, context: int = 90) -> DataFrame:
@@ -85,9 +106,9 @@ def literal_hits(documents: DataFrame, literals: DataFrame) -> DataFrame:
     """X-06: (anchor_id, doc_id, start, end) of every non-overlapping occurrence of an exact literal; ``literals`` has anchor_id, doc_id and exact."""
     met = documents.select("doc_id", "text").join(literals.where("length(exact) > 0"), "doc_id")
     gaps = F.transform(F.split("text", F.concat(F.lit("\\Q"), F.replace("exact", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1), lambda g: F.length(g))
-    n = F.length("exact")
-    starts = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, g: F.struct((a["at"] + g + n).alias("at"), F.array_append(a["out"], a["at"] + g).alias("out")), lambda a: a["out"])
-    return met.select("anchor_id", "doc_id", F.explode(starts).alias("start"), n.alias("n")).select("anchor_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    n = F.col("n")
+    starts = _let(gaps, lambda all_: _let(F.slice(all_, F.lit(1), F.size(all_) - 1), lambda g: F.zip_with(g, _sums_before(F.transform(g, lambda x: x + n)), lambda x, before: x + before)))
+    return met.withColumn("n", F.length("exact")).select("anchor_id", "doc_id", F.explode(starts).alias("start"), "n").select("anchor_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) -> DataFrame:
@@ -99,7 +120,7 @@ def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) ->
     quoted = F.concat(F.lit("(?=\\Q"), F.replace("prefix", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     pieces = F.transform(F.split("text", quoted, -1), lambda p: F.length(p))
     # Splitting before each hit gives pieces whose lengths add up to the hits' places; a hit at 0 makes no empty piece.
-    starts = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, g: F.struct((a["at"] + g).alias("at"), F.array_append(a["out"], a["at"] + g).alias("out")), lambda a: a["out"])
+    starts = _let(pieces, lambda all_: _let(F.slice(all_, F.lit(1), F.greatest(F.size(all_) - 1, F.lit(0))), lambda g: F.zip_with(g, _sums_before(g), lambda x, before: x + before)))
     starts = F.when(F.startswith("text", F.col("prefix")), F.array_distinct(F.array_prepend(starts, F.lit(0)))).otherwise(starts)
     hit = met.select("anchor_id", "doc_id", "text", "suffix", F.explode(starts).alias("p"), F.length("prefix").alias("n")).withColumn("start", F.col("p") + F.col("n"))
     end = F.expr("locate(suffix, text, start + 1) - 1")

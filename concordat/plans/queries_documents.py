@@ -92,12 +92,14 @@ def position_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select item_id, count(d.doc_id) as documents, coalesce(sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text)), 0) as hits from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def literal_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-06 for benchmark items in all documents: each item's first three words join it to the documents that may hold it."""
+    """X-06 for benchmark items in all documents: an item's longest word but the first and last, which has the same neighbours in every hit, joins it to the documents that may hold it."""
     docs = documents(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("exact")).withColumn("start3", F.array_join(F.slice(F.split(F.regexp_replace("exact", "\n", " "), " "), 1, 3), " "))
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    runs = docs.withColumn("w", words).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))).alias("start3"))
-    pairs = runs.join(items, "start3").select("doc_id", "item_id", "exact")
+    gap = "[ \n]"
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("exact"))
+    inner = F.slice(F.split("exact", gap), F.lit(2), F.greatest(F.size(F.split("exact", gap)) - 2, F.lit(0)))
+    keyed = items.select("item_id", "exact", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"].alias("key"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", gap))).alias("key"))
+    pairs = words.join(keyed.where("key is not null"), "key").select("doc_id", "item_id", "exact")
     hits = textscan.literal_hits(docs, pairs.select(F.struct("doc_id", "item_id").alias("anchor_id"), "doc_id", "exact"))
     n = hits.groupBy(F.col("anchor_id.item_id").alias("item_id")).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("hits"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("hits", F.lit(0)).alias("hits"))

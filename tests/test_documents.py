@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,23 @@ def test_coverage_with_exclusions(spark):
     errors = {r.ord: r.error for r in ck.active_exclusions(d, bound, marked).collect()}
     assert errors == {1: None, 2: "EXCLUSION_CHANGED", 3: "EXCLUSION_BOUND", 4: "EXCLUSION_OVERLAP"}
     assert {r.token: r.state for r in ck.coverage(d, bound, marked).collect()} == {"1": "bound", "2": "excluded", "3": "unbound", "4": "unbound"}
+
+
+def test_sums_before(spark):
+    rng = random.Random(6)
+    rows = [[], [5], *[[rng.randint(0, 9) for _ in range(n)] for n in (2, 511, 512, 513, 1024, 1600)]]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<int>")
+    for given, got in ((r.v, r.b) for r in df.select("v", textscan._sums_before(F.col("v")).alias("b")).collect()):
+        assert got == [sum(given[:k]) for k in range(len(given))]
+
+
+def test_long_texts_are_linear(spark):
+    n = 60_000
+    text = " ".join(f"{k % 1000} ab" for k in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    out = textscan.number_tokens(docs, context=0).agg(F.count("ord").alias("n"), F.max("end").alias("last")).first()
+    assert (out.n, out.last) == (n, len(text) - 3)
+    hits = textscan.literal_hits(docs, docs.select(F.lit("a").alias("anchor_id"), "doc_id", F.lit("ab").alias("exact")))
+    assert tuple(hits.agg(F.count("start"), F.max("end")).first()) == (n, len(text))
+    assert time.perf_counter() - start < 60
