@@ -67,8 +67,8 @@ def typed_gate(text, kind) -> Column:
 def fast(text) -> Column:
     """The lexeme as DECIMAL(24,12), or null where that would lose digits."""
     t = _c(text)
-    fits = t.rlike(r"^[+\-]?[0-9]{0,12}(\.[0-9]{0,12}0*)?$") & t.rlike("[0-9]")
-    return F.when(fits, F.try_to_number(F.lit("0"), F.lit("9")).cast(FAST) + t.try_cast(FAST)).cast(FAST)
+    fits = t.rlike(r"^[+\-]?(?:[0-9]{1,12}(?:\.[0-9]{0,12}0*)?|\.[0-9]{1,12}0*)$")
+    return F.when(fits, t.try_cast(FAST))
 
 
 def canonical(text) -> Column:

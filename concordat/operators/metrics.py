@@ -146,7 +146,7 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     met = cells.join(conf, ["field", *names[4:]])
     numeric = [f for f in fields if types[f] != "string"]
     is_number = F.col("field").isin(numeric)
-    value = met.withColumns({"bad": F.col("lexeme").isNotNull() & is_number & lx.decimal_gate("lexeme")["error"].isNotNull(), "fast": lx.fast("lexeme")})
+    value = _gated(met, is_number)
     wide = F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & is_number
     canon = F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))
     # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
@@ -159,17 +159,21 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
         F.expr("try_sum(fast)").cast("decimal(34,12)").alias("total"),
         *sums,
     )
+    whole = Scratch(spark, "metrics").save(whole, "sums")
     selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"))
     digest = lx.sha256(F.concat_ws("|", "selector", F.concat_ws(":", "n", "mark_a", "mark_b"))) if fingerprints else F.lit(None).cast("string")
     out = whole.join(selector, "metric").withColumn("digest", digest)
     # To the exact lane go all numbers of statistics, and of other metrics those too wide for DECIMAL(24,12).
     statistics = [m.name for m in group if m.reduce == "statistics"]
-    sent = value.where((wide | F.col("metric").isin(statistics)) & ~F.col("bad") & F.col("lexeme").isNotNull()).groupBy("metric", "lexeme").agg(F.count(F.lit(1)).alias("times"))
-    slow = exact.partial_sums(sent).select("metric", F.col("n").alias("exact_n"), F.col("total").alias("slow_total"), F.col("square").alias("exact_square"), "limit")
-    out = out.join(slow, "metric", "left")
-    # The numbers that fit were summed natively; the wide ones are added to them, except where statistics sent all.
-    both = exact.join_sums(F.when(~F.col("metric").isin(statistics), F.col("total").cast("string")), F.col("slow_total"))
-    out = out.withColumn("exact_total", F.when(F.col("slow_total").isNotNull(), both))
+    if statistics or whole.where("wide > 0").limit(1).count():
+        sent = value.where((wide | F.col("metric").isin(statistics)) & ~F.col("bad") & F.col("lexeme").isNotNull()).groupBy("metric", "lexeme").agg(F.count(F.lit(1)).alias("times"))
+        slow = exact.partial_sums(sent).select("metric", F.col("n").alias("exact_n"), F.col("total").alias("slow_total"), F.col("square").alias("exact_square"), "limit")
+        out = out.join(slow, "metric", "left")
+        # The numbers that fit were summed natively; the wide ones are added to them, except where statistics sent all.
+        both = exact.join_sums(F.when(~F.col("metric").isin(statistics), F.col("total").cast("string")), F.col("slow_total"))
+        out = out.withColumn("exact_total", F.when(F.col("slow_total").isNotNull(), both))
+    else:
+        out = out.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in _FOUND.split(", ") if c.split()[0] in ("exact_n", "exact_total", "exact_square", "limit")})
     wanted = [m for m in group if m.expected_seeds is not None]
     if wanted and seed:
         # Each expected seed once and no other: by counts of each seed.
@@ -181,6 +185,13 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     return out.select("metric", *[c.split()[0] for c in _FOUND.split(", ")])
 
 
+def _gated(rows: DataFrame, is_number: Column) -> DataFrame:
+    """Adds ``fast``, the lexeme as DECIMAL(24,12), and ``bad``; the full gate is only run on what doesn't fit."""
+    rows = rows.withColumn("fast", lx.fast("lexeme"))
+    odd = F.col("fast").isNull() | (F.length("lexeme") > lx.MAX_DIGITS)
+    return rows.withColumn("bad", F.col("lexeme").isNotNull() & is_number & odd & lx.decimal_gate("lexeme")["error"].isNotNull())
+
+
 def _typed_text(value: str, kind: str) -> str:
     if kind == "integer":
         return str(int(value))
@@ -206,7 +217,7 @@ def batch_matrix(evidence: DataFrame, group_by: list[str], fields: list[str], ho
     """
     ids = [F.col(c) for c in group_by]
     long = evidence.select(*ids, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
-    long = long.withColumns({"fast": lx.fast("lexeme"), "bad": F.col("lexeme").isNotNull() & lx.decimal_gate("lexeme")["error"].isNotNull()})
+    long = _gated(long, F.lit(True))
     grouped = long.groupBy(*group_by, "field").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("lexeme").isNull()).alias("nulls"), F.count_if("bad").alias("bad"), F.expr("try_sum(fast)").alias("total"),
         F.count("seed").alias("seeds"), F.array_sort(F.collect_set("seed")).alias("seed_set"),
