@@ -193,6 +193,46 @@ def test_flat_trees_fit_and_score():
     assert quality_model.grow(x[:0], y[:0]).scores(x[:2]).tolist() == [0.5, 0.5]
 
 
+def brute_statistics(text):
+    words, lines = h.WORD.findall(text), [x for x in text.split("\n") if h.WORD.search(x)]
+    n, c, k = max(1, len(words)), max(1, len(text)), max(1, len(lines))
+
+    def count(chars):
+        return sum(text.count(x) for x in chars)
+
+    return {
+        "words": np.log1p(len(words)), "characters": np.log1p(len(text)), "word_length": sum(map(len, words)) / n, "distinct_words": len(set(words)) / n, "symbols": count("#*$%&|<>") / c,
+        "digits": count("0123456789") / c, "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, "exclamations": count("!?") / n, "bars": count("|{}[]=_~^\\") / n, "stops": count(".,;:") / n,
+        "lines": np.log1p(len(lines)), "line_words": len(words) / k, "repeated_lines": (len(lines) - len(set(lines))) / k, "closed_lines": sum(x.rstrip(" ")[-1] in '.!?")]' for x in lines) / k,
+        "letters": sum(x.isalpha() for x in text) / c, "accented": (len(text.encode()) - len(text)) / c,
+    }
+
+
+def test_statistics_against_brute_force(spark):
+    rng = random.Random(15)
+    texts = ["", " \n\t", "A b. C!\nA b. C!\n é漢 12|=", "x " * 30_000] + ["".join(rng.choice(["Ab", "é", " ", "\n", ".", "!", "7", "|", "漢", "z)"]) for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    for r in quality_model.statistics(h.documents(spark, list(enumerate(texts)))).collect():
+        wanted = brute_statistics(texts[r.doc_id])
+        assert all(abs(r[s] - wanted[s]) < 1e-9 for s in quality_model.STATISTICS), (texts[r.doc_id][:80], {s: (r[s], wanted[s]) for s in wanted if abs(r[s] - wanted[s]) > 1e-9})
+
+
+def test_first_split_is_the_best_of_all(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(10):
+        x = rng.integers(0, 12, (60, 3)).astype(float)
+        y = (x[:, 1] + rng.normal(size=60) > 6).astype(float)
+        forest = quality_model.grow(x, y, trees=1, depth=1, ridge=1.0, least_rows=8)
+        p = (y.sum() + 0.5) / 61
+        g, hess = p - y, np.full(60, p * (1 - p))
+
+        def gain(rows):
+            return g[rows].sum() ** 2 / (hess[rows].sum() + 1) + g[~rows].sum() ** 2 / (hess[~rows].sum() + 1)
+
+        splits = {(j, c): gain(x[:, j] <= c) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) if 8 <= (x[:, j] <= c).sum() <= 52}
+        root = int(forest.roots[0])
+        assert np.isclose(splits[int(forest.feature[root]), float(forest.limit[root])], max(splits.values()))
+
+
 def test_quality_query_on_held_out_rows(spark):
     out = QUERIES["op8_quality_model"](spark, "/root/testdata/sf0.01").collect()
     quality = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}

@@ -67,3 +67,30 @@ def test_stages_against_brute_force(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     got = {r.doc_id: (r.ids, r.decoded_sha256) for r in docs.collect()}
     assert got == {d: (library.encode(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in wanted.items()}
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    rng = random.Random(5)
+    long = "\n".join(" ".join(h.words(rng, 14)) for _ in range(6))
+    other = "\n".join(" ".join(h.words(rng, 14)) for _ in range(6))
+    rows = [(None, long), (None, None), (1, long), (2, other), (2, other + " more"), (3, ""), (4, f'{other[::-1]} token = "{SECRET}"'), (None, f'token = "{SECRET}" {long[::-1]}')]
+    full = h.documents(spark, rows)
+    for name in ("key_a", "body", "kept_id", "flags", "one", "_row", "common", "host"):
+        full = full.withColumn(name, F.lit(f"own {name}"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for label, docs in (("odd", full), ("empty", full.limit(0))):
+        names = docs.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert docs.columns == names, name
+                docs.write.parquet(str(tmp_path / f"{label}{k}"))
+                docs = spark.read.parquet(str(tmp_path / f"{label}{k}"))
+                if k == 3:
+                    left = docs.collect()
+        if label == "empty":
+            assert docs.count() == 0
+            continue
+        assert all(r[c] == f"own {c}" for r in left for c in names[5:])
+        assert not any(SECRET in r.text for r in left)
+        assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "4", "None", "None"]
