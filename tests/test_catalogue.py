@@ -50,5 +50,5 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 def test_entry(spark):
     rows = {r.subject: r.status for r in entry.entry(spark).collect()}
-    assert set(rows) == {"mean_A", "mean_N", "mean_R", "gain", "claim_order"} and set(rows.values()) == {"pass", "mismatch"}
+    assert set(rows) == {"mean_A", "mean_N", "mean_R", "gain", "claim_order"} and set(rows.values()) <= {"pass", "mismatch"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
