@@ -95,11 +95,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(1, 3).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codebooks import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_main_text, op3_sentencepiece, op4_secrets, op5_decontamination,
         op6_quality_rules, op7_token_counts, op8_quality_model, op9_chat_format, op10_language,
+        op11_top_k, op12_vector_codes, op13_source_divergence,
     )
 }
 
@@ -148,4 +167,52 @@ _OP9_SQL = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coal
     coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, segment) filter (where role = 'assistant'), '')) as loss_sha256,
     sum(length(segment))::bigint as formatted_chars, 0::bigint as attachment_tokens from s group by conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _OP1_SQL, "op6_quality_rules": _OP6_SQL, "op9_chat_format": _OP9_SQL}
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+_OP11_SQL = f"""with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as w from embeddings where {_FINITE}),
+  scored as (select q.rid, q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.rid <> c.rid where q.vec_id % 20 = 0),
+  ranked as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from scored)
+  select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20"""
+
+
+def _op12_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """The rounds one after the other; part p of a vector w is w[p * len / 8 + 1 : (p + 1) * len / 8]."""
+    ctes = [
+        f"v as (select row_number() over (order by vec_id) as rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as w from embeddings where {_FINITE})",
+        f"cut as (select rid, p, w[p * len(w) // {parts} + 1:(p + 1) * len(w) // {parts}] as x from v, range({parts}) as r(p))",
+        f"book0 as (select p, rid - 1 as e, x as y from cut where rid <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"""near{k} as (select rid, p, x, arg_min(e, d * {entries} + e) as e, min(d) as d from (select rid, cut.p as p, x, e, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+            from cut join book{k} b on cut.p = b.p) group by rid, p, x)"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""mean{k} as (select p, e, list(m order by i) as y from (select p, e, i, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) as m
+                from (select p, e, unnest(x) as c, unnest(range(len(x))) as i from near{k}) group by p, e, i) group by p, e)"""
+            )
+            ctes.append(f"book{k + 1} as (select b.p, b.e, coalesce(list_transform(m.y, lambda c: c::bigint), b.y) as y from book{k} b left join mean{k} m on b.p = m.p and b.e = m.e)")
+    ctes.append(f"sha as (select sha256(string_agg(array_to_string(y, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})")
+    ctes.append(f"coded as (select rid, string_agg(lpad(lower(hex(e)), 2, '0'), '' order by p) as code, sum(d)::bigint as error from (select rid, p, e::utinyint as e, d from near{rounds}) group by rid)")
+    return "with " + ",\n  ".join(ctes) + "\n  select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join v using (rid), sha"
+
+
+_OP13_SQL = r"""with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+  t as (select rid, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+  vocab as (select lang, term, count(*) as total from t group by 1, 2 having count(distinct rid) >= 10),
+  groups as (select distinct lang, source from d),
+  langs as (select lang, count(*) as v, sum(total) as n_lang from vocab group by 1),
+  used as (select lang, source, term, count(*) as n from t semi join vocab using (lang, term) group by all),
+  sizes as (select g.lang, g.source, coalesce(s.n, 0) as n_source, coalesce(v, 0) as v, coalesce(n_lang, 0) as n_lang from groups g left join (select lang, source, sum(n) as n from used group by 1, 2) s using (lang, source) left join langs using (lang)),
+  dense as (select s.lang, s.source, term, coalesce(u.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(u.n, 0) + 2)) // (n_source + 2 * v) as p, 1 + (1000000000::hugeint * (total + 2)) // (n_lang + 2 * v) as q
+    from sizes s join vocab using (lang) left join used u using (lang, source, term)),
+  far as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+  pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+  special as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from dense where n > 0 and p > q),
+  ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pair union all select * from special))
+  select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": _OP1_SQL, "op6_quality_rules": _OP6_SQL, "op9_chat_format": _OP9_SQL, "op11_top_k": _OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_source_divergence": _OP13_SQL,
+}
