@@ -45,6 +45,8 @@ POSTINGS = 512
 NON_ESSENTIAL = 3, 10
 #: Terms probed between two tests of what is still competitive.
 PROBED = 8
+#: Above the high limb of any sum of products of doubles; added to it, all of these have as many hex digits and sort as text.
+_HIGHEST = 2**2400
 
 
 def _best(query: np.ndarray, score: np.ndarray, place: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +85,8 @@ def search(queries: np.ndarray, shard: np.ndarray, own: np.ndarray, k: int) -> t
         order = np.argsort(bound, axis=1, kind="stable")
         rising = np.cumsum(np.take_along_axis(bound, order, 1), axis=1)
         started = bar > -np.inf
-        spare = np.where(bar > 0, (rising * NON_ESSENTIAL[1] <= (bar * NON_ESSENTIAL[0])[:, None]).sum(axis=1), 0)
+        share = np.where(started, bar, 0) * NON_ESSENTIAL[0]
+        spare = np.where(share > 0, (rising * NON_ESSENTIAL[1] <= share[:, None]).sum(axis=1), 0)
         ranks = np.empty_like(order)
         np.put_along_axis(ranks, order, np.arange(width)[None, :].repeat(n, 0), 1)
         essential = np.where(ranks >= spare[:, None], queries, 0)
@@ -121,7 +124,7 @@ def search(queries: np.ndarray, shard: np.ndarray, own: np.ndarray, k: int) -> t
 
 def _cell(key, asked: pa.Table, held: pa.Table, k: int, scale: int) -> pa.Table:
     """One block of queries against one shard of candidates."""
-    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.int64()), ("beyond", pa.string()), ("low", pa.int64())])
     if not asked.num_rows or not held.num_rows:
         return schema.empty_table()
     held = held.sort_by([("vec_id", "ascending"), ("row", "ascending")])
@@ -133,11 +136,13 @@ def _cell(key, asked: pa.Table, held: pa.Table, k: int, scale: int) -> pa.Table:
     own = np.where(rows[by_row[spot]] == mine, by_row[spot], -1)
     query, score, place = search(values[0], values[1], own, k)
     if score.dtype == object:
-        high, low = [int(s) >> 62 for s in score], [int(s) & (2**62 - 1) for s in score]
+        limbs = [divmod(int(s), 2**62) for s in score]
+        high, low = [max(-(2**63), min(2**63 - 1, h)) for h, _ in limbs], [rest for _, rest in limbs]
+        beyond = ["" if h == c else f"{h + _HIGHEST:x}" for (h, _), c in zip(limbs, high, strict=True)]
     else:
         whole = score.astype(np.int64)
-        high, low = whole >> 62, whole & (2**62 - 1)
-    return pa.table([pa.array(mine[query]), asked.column("vec_id").take(pa.array(query)), held.column("vec_id").take(pa.array(place)), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=schema)
+        high, low, beyond = whole >> 62, whole & (2**62 - 1), [""] * len(whole)
+    return pa.table([pa.array(mine[query]), asked.column("vec_id").take(pa.array(query)), held.column("vec_id").take(pa.array(place)), pa.array(high, pa.int64()), pa.array(beyond, pa.string()), pa.array(low, pa.int64())], schema=schema)
 
 
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -172,9 +177,9 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard
     found = (
         queries.groupBy("block", "shard")
         .cogroup(candidates.groupBy("block", "shard"))
-        .applyInArrow(partial(_cell, k=k, scale=scale), "query_row long, query_id long, vec_id long, high long, low long")
+        .applyInArrow(partial(_cell, k=k, scale=scale), "query_row long, query_id long, vec_id long, high long, beyond string, low long")
     )
-    best = Window.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), F.asc_nulls_last("vec_id"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("high"), F.desc("beyond"), F.desc("low"), F.asc_nulls_last("vec_id"))
     score = F.when(F.col("high").between(-2, 1), F.shiftleft("high", 62).bitwiseOR(F.col("low")))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
