@@ -8,16 +8,17 @@ missing or invalid numbers.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions import exact
+from concordat.functions import exact, limbs
 from concordat.functions import lexeme as lx
 from concordat.operators.declared import declared
-from concordat.operators.scratch import Scratch
 
 
 @dataclass
@@ -49,8 +50,6 @@ class Derived:
 
 def contract_errors(metrics: list[Metric], types: dict[str, str]) -> dict[str, str]:
     """P-03, P-07, P-08, P-17: errors that the declaration alone shows, by metric name."""
-    import re
-
     out = {}
     for m in metrics:
         columns = [m.field, *m.where, *([m.seed_column] if m.seed_column else [])]
@@ -85,12 +84,12 @@ def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str],
     """J-01 with A-01..A-08, A-23, A-24: one row (ord, metric, source, value, unit, error, n, fingerprint, statistics) for each metric.
 
     ``evidence`` has the declared columns as text.  Metrics with the same set
-    of selector columns share one scan and one aggregation.  Sums run in
-    DECIMAL, partially before the shuffle.  Numbers outside DECIMAL(24,12) and
-    statistics are counted by value first and then summed exactly by
-    partition, so no metric's rows are ever gathered.  ``health`` (source,
-    error) makes every metric of a failed source unknown.  Without
-    ``fingerprints`` the marks of the selected rows are not computed.
+    of selector columns share one scan and one aggregation with exact partial
+    sums (``functions.limbs``).  One job computes all of them and gives one row
+    for each declared metric, from which the values are made at once: the
+    result is a local table.  ``health`` (source, error) makes every metric of
+    a failed source unknown.  Without ``fingerprints`` the marks of the
+    selected rows are not computed.
     """
     spark = evidence.sparkSession
     wrong = contract_errors(metrics, types)
@@ -114,21 +113,26 @@ def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str],
         joined = joined.withColumn("health_error", F.lit(None).cast("string"))
     seeds_ok = F.when(F.col("has_seeds"), F.coalesce("seeds_ok", F.lit(False)))
     error = F.coalesce("health_error", "declared_error", reduced(F.col("n"), F.col("nulls"), F.col("bad"), F.col("reduce"), F.col("expected_count"), seeds_ok))
-    judged = joined.withColumn("error", error)
-    asked = F.col("error").isNull() & (F.col("reduce") == "statistics")
-    judged = judged.withColumn("statistics", exact.moments_column(F.col("exact_n"), F.when(asked, F.col("exact_total")), F.col("exact_square"), F.col("limit"), F.col("ddof"), F.col("level")))
-    judged = judged.withColumn("sum_text", F.when(F.col("wide") > 0, exact.sum_column(F.col("exact_total"))).otherwise(F.col("total").cast("string")))
-    value = (
-        F.when(F.col("reduce") == "count", F.col("n").cast("string"))
-        .when(F.col("reduce") == "statistics", F.col("statistics.mean"))
-        .when(F.col("reduce") == "mean", exact.mean_column(F.col("sum_text"), F.col("n")))
-        .otherwise(F.col("sum_text"))
-    )
-    judged = judged.withColumn("error", F.coalesce("error", "statistics.error"))
-    return judged.select("ord", "metric", "source", F.when(F.col("error").isNull(), value).alias("value"), "unit", "error", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("error").isNull(), F.col("digest")).alias("fingerprint"), "statistics")
+    return declared(spark, [_result(r) for r in joined.withColumn("error", error).collect()], f"ord int, metric string, source string, value string, unit string, error string, n long, fingerprint string, statistics struct<{exact.STATISTICS}>")
+
 
+_FOUND = "n long, nulls long, bad long, wide long, limit long, total decimal(38,12), limbs array<struct<power int, limb decimal(38,0)>>, high decimal(38,0), cross decimal(38,0), low decimal(38,0), squares array<struct<power int, limb decimal(38,0)>>, digest string, seeds_ok boolean"
 
-_FOUND = "n long, nulls long, bad long, wide long, total decimal(34,12), digest string, exact_n long, exact_total string, exact_square string, limit boolean, seeds_ok boolean"
+
+def _result(r) -> tuple:
+    """The row of ``evaluate`` for one declared metric, from its sums and its error."""
+    error, value, statistics = r.error, None, None
+    if error is None and r.reduce == "count":
+        value = str(r.n)
+    elif error is None:
+        total = limbs.total(r)
+        if r.reduce == "statistics":
+            got, error = (None, "STATISTICS_LIMIT") if r.limit else exact.moments(r.n, total, limbs.square(r), r.ddof, r.level)
+            statistics = (*((got or {}).get(k) for k in exact.MOMENTS), error)
+            value = got and got["mean"]
+        else:
+            value = exact.text_of(total / r.n if r.reduce == "mean" else total)
+    return r.ord, r.metric, r.source, value if error is None else None, r.unit, error, r.n or 0, r.digest if error is None else None, statistics
 
 
 def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: str | None, types: dict[str, str], fingerprints: bool) -> DataFrame:
@@ -142,54 +146,34 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     identity = [c for c in evidence.columns if c in types and c not in fields]
     marks = [lx.fingerprint(*identity).alias("row_key") if identity else F.lit("").alias("row_key")] if fingerprints else []
     lexemes = [F.lit(fields[0]).alias("field"), F.col(fields[0]).cast("string").alias("lexeme")] if len(fields) == 1 else [F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme")]
-    cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None).cast("string")).alias("seed"), *lexemes)
-    met = cells.join(conf, ["field", *names[4:]])
-    numeric = [f for f in fields if types[f] != "string"]
-    is_number = F.col("field").isin(numeric)
-    value = _gated(met, is_number)
-    wide = F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & is_number
+    cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *lexemes)
+    value = limbs.gated(cells.join(conf, ["field", *names[4:]]), F.col("field").isin([f for f in fields if types[f] != "string"]))
     canon = F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))
-    # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
-    sums = [F.sum(F.xxhash64("row_key", canon).cast("decimal(38,0)")).alias("mark_a"), F.sum(F.xxhash64(canon, "row_key", F.lit(1)).cast("decimal(38,0)")).alias("mark_b")] if fingerprints else []
-    whole = value.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("lexeme").isNull()).alias("nulls"),
-        F.count_if("bad").alias("bad"),
-        F.count_if(wide).alias("wide"),
-        F.expr("try_sum(fast)").cast("decimal(34,12)").alias("total"),
-        *sums,
-    )
-    whole = Scratch(spark, "metrics").save(whole, "sums")
-    selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"))
+    more: dict[str, tuple[Column, str]] = {}
+    if fingerprints:
+        # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
+        more |= {"mark_a": (F.xxhash64("row_key", canon).cast("decimal(28,0)"), "sum"), "mark_b": (F.xxhash64(canon, "row_key", F.lit(1)).cast("decimal(28,0)"), "sum")}
+    seeded = bool(seed) and any(m.expected_seeds is not None for m in group)
+    if seeded:
+        more |= _seed_counts(F.col("expected_seeds"))
+    statistics = F.col("reduce") == "statistics" if any(m.reduce == "statistics" for m in group) else None
+    out = limbs.sums(value, ["metric"], statistics, more)
+    selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"), F.size("expected_seeds").alias("seeds_expected"))
+    out = out.join(selector, "metric")
     digest = lx.sha256(F.concat_ws("|", "selector", F.concat_ws(":", "n", "mark_a", "mark_b"))) if fingerprints else F.lit(None).cast("string")
-    out = whole.join(selector, "metric").withColumn("digest", digest)
-    # To the exact lane go all numbers of statistics, and of other metrics those too wide for DECIMAL(24,12).
-    statistics = [m.name for m in group if m.reduce == "statistics"]
-    if statistics or whole.where("wide > 0").limit(1).count():
-        sent = value.where((wide | F.col("metric").isin(statistics)) & ~F.col("bad") & F.col("lexeme").isNotNull()).groupBy("metric", "lexeme").agg(F.count(F.lit(1)).alias("times"))
-        slow = exact.partial_sums(sent).select("metric", F.col("n").alias("exact_n"), F.col("total").alias("slow_total"), F.col("square").alias("exact_square"), "limit")
-        out = out.join(slow, "metric", "left")
-        # The numbers that fit were summed natively; the wide ones are added to them, except where statistics sent all.
-        both = exact.join_sums(F.when(~F.col("metric").isin(statistics), F.col("total").cast("string")), F.col("slow_total"))
-        out = out.withColumn("exact_total", F.when(F.col("slow_total").isNotNull(), both))
-    else:
-        out = out.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in _FOUND.split(", ") if c.split()[0] in ("exact_n", "exact_total", "exact_square", "limit")})
-    wanted = [m for m in group if m.expected_seeds is not None]
-    if wanted and seed:
-        # Each expected seed once and no other: by counts of each seed.
-        each = value.where("expected_seeds is not null and seed is not null").groupBy("metric", "seed").agg(F.count(F.lit(1)).alias("c"), F.first("expected_seeds").alias("e"))
-        ok = each.groupBy("metric").agg((F.bool_and((F.col("c") == 1) & F.array_contains(F.col("e"), F.col("seed"))) & (F.count(F.lit(1)) == F.max(F.size("e")))).alias("seeds_ok"))
-        out = out.join(ok, "metric", "left")
-    else:
-        out = out.withColumn("seeds_ok", F.lit(None).cast("boolean"))
-    return out.select("metric", *[c.split()[0] for c in _FOUND.split(", ")])
+    ok = _seeds_hold(F.col("seeds_expected")) if seeded else F.lit(None).cast("boolean")
+    return out.withColumns({"digest": digest, "seeds_ok": ok}).select("metric", *limbs.SUMS, "digest", "seeds_ok")
+
+
+def _seed_counts(expected: Column) -> dict[str, tuple[Column, str]]:
+    """What is counted of a selection's seeds: all, those expected, and which of these there are, a set no longer than the declared list."""
+    there = F.array_contains(expected, F.col("seed"))
+    return {"seeds": (F.when(F.col("seed").isNotNull(), 1).otherwise(0), "sum"), "seeds_known": (F.when(there, 1).otherwise(0), "sum"), "seed_set": (F.when(there, F.col("seed")), "collect_set")}
 
 
-def _gated(rows: DataFrame, is_number: Column) -> DataFrame:
-    """Adds ``fast``, the lexeme as DECIMAL(24,12), and ``bad``; the full gate is only run on what doesn't fit."""
-    rows = rows.withColumn("fast", lx.fast("lexeme"))
-    odd = F.col("fast").isNull() | (F.length("lexeme") > lx.MAX_DIGITS)
-    return rows.withColumn("bad", F.col("lexeme").isNotNull() & is_number & odd & lx.decimal_gate("lexeme")["error"].isNotNull())
+def _seeds_hold(expected: Column) -> Column:
+    """A-07: each expected seed once, and no other."""
+    return (F.col("seeds") == expected) & (F.col("seeds_known") == expected) & (F.size("seed_set") == expected)
 
 
 def _typed_text(value: str, kind: str) -> str:
@@ -210,58 +194,55 @@ def _typed_column(text: Column, kind: str) -> Column:
 
 
 def batch_matrix(evidence: DataFrame, group_by: list[str], fields: list[str], how: str = "mean", expected_count: int | None = None, seed: str | None = None, expected_seeds: list[str] | None = None) -> DataFrame:
-    """A-09, A-10: one metric for each experiment group and field, from one scan and one aggregation.
+    """A-09, A-10: one metric for each experiment group and field, from one scan with exact partial sums.
 
-    Returns the group columns, field, n, total, value, error.  A group with a
-    null identity is an error row of its own (MISSING_IDENTITY).
+    Returns the group columns, field, n, value and error; ``value`` is the
+    exact lexeme of a number of any length.  A group with a null identity is an
+    error row of its own (MISSING_IDENTITY).
     """
-    ids = [F.col(c) for c in group_by]
-    long = evidence.select(*ids, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
-    long = _gated(long, F.lit(True))
-    grouped = long.groupBy(*group_by, "field").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("lexeme").isNull()).alias("nulls"), F.count_if("bad").alias("bad"), F.expr("try_sum(fast)").alias("total"),
-        F.count("seed").alias("seeds"), F.array_sort(F.collect_set("seed")).alias("seed_set"),
-    )
-    wanted = F.lit(None).cast("array<string>") if expected_seeds is None else F.array(*map(F.lit, sorted(expected_seeds)))
-    seeds_ok = F.when(wanted.isNotNull(), (F.col("seeds") == F.size("seed_set")) & (F.col("seed_set") == wanted))
-    missing = None
-    for c in ids:
-        missing = c.isNull() if missing is None else missing | c.isNull()
+    long = evidence.select(*group_by, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
+    wanted = None if expected_seeds is None else F.array(*map(F.lit, expected_seeds)).cast("array<string>")
+    grouped = limbs.sums(limbs.gated(long, F.lit(True)), [*group_by, "field"], more=None if wanted is None else _seed_counts(wanted))
+    seeds_ok = F.lit(None).cast("boolean") if wanted is None else _seeds_hold(F.lit(len(expected_seeds)))
+    missing = F.lit(False)
+    for c in group_by:
+        missing |= F.col(c).isNull()
     error = F.when(missing, "MISSING_IDENTITY").otherwise(reduced(F.col("n"), F.col("nulls"), F.col("bad"), F.lit(how), F.lit(expected_count), seeds_ok))
-    value = F.col("n").cast("double") if how == "count" else F.col("total").cast("double") / F.when(F.lit(how == "mean"), F.col("n")).otherwise(1)
-    return grouped.select(*group_by, "field", "n", "total", F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    value = F.col("n").cast("string") if how == "count" else exact.reduced_column(F.when(error.isNull(), F.col("total")), F.col("limbs"), F.col("n") if how == "mean" else F.lit(1))
+    return grouped.select(*group_by, "field", "n", F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
 def derive(metrics: DataFrame, derived: list[Derived]) -> DataFrame:
-    """J-03 with F-05..F-09, A-12, U-05: adds derived metrics to (metric, value, unit, error), level by level of their dependencies.
+    """J-03 with F-05..F-09, A-12, U-05: adds derived metrics to (metric, value, unit, error), in the order of their dependencies.
 
     An error of either side is the error of the derived metric.
     ``dependencies`` are the two metrics it is made of, ``evidence`` the
     different fingerprints (without those, names) of all source metrics below
-    it.  Each level is saved, so that it is computed once.
+    it.  The rows of the metrics that the declarations name, two for each of
+    these at most, are taken at once; the rest of ``metrics`` is passed on.
     """
     spark = metrics.sparkSession
-    scratch = Scratch(spark, "derived")
     own = F.array(F.coalesce("fingerprint", "metric") if "fingerprint" in metrics.columns else F.col("metric"))
-    columns = ["metric", "value", "unit", "error", "dependencies", "evidence"]
-    out = scratch.save(metrics.select("metric", "value", "unit", "error", F.array().cast("array<string>").alias("dependencies"), own.alias("evidence")), "0")
-    known, left, names, level = set(), list(derived), {d.name for d in derived}, 0
-    while left:
-        ready = [d for d in left if d.left not in names - known and d.right not in names - known]
-        if not ready:
-            raise ValueError(f"derived metrics form a cycle: {sorted(d.name for d in left)}")
-        level += 1
-        conf = declared(spark, [(d.name, d.op, d.left, d.right) for d in ready], "metric string, op string, l string, r string")
-        a, b = (out.select(F.col("metric").alias(k), F.struct("value", "unit", "error", "evidence").alias(f"{k}_side")) for k in "lr")
-        met = conf.join(a, "l", "left").join(b, "r", "left")
-        error = F.when(F.col("l_side").isNull() | F.col("r_side").isNull(), "UNKNOWN_METRIC").otherwise(F.coalesce("l_side.error", "r_side.error"))
-        met = met.withColumn("d", exact.derive_column(F.col("op"), F.when(error.isNull(), F.col("l_side.value")), F.col("l_side.unit"), F.col("r_side.value"), F.col("r_side.unit")))
-        evidence = F.array_union(F.coalesce("l_side.evidence", F.array().cast("array<string>")), F.coalesce("r_side.evidence", F.array().cast("array<string>")))
-        new = met.select("metric", F.col("d.value").alias("value"), F.col("d.unit").alias("unit"), F.coalesce(error, "d.error").alias("error"), F.array("l", "r").alias("dependencies"), evidence.alias("evidence"))
-        out = out.unionByName(scratch.save(new.select(columns), str(level)))
-        known |= {d.name for d in ready}
-        left = [d for d in left if d.name not in known]
-    return out
+    given = metrics.select("metric", "value", "unit", "error", F.array().cast("array<string>").alias("dependencies"), own.alias("evidence"))
+    names = {d.name for d in derived}
+    asked = sorted({x for d in derived for x in (d.left, d.right)} - names)
+    known = {r.metric: tuple(r) for r in given.join(declared(spark, [(x,) for x in asked], "metric string"), "metric", "left_semi").collect()}
+    order = TopologicalSorter({d.name: {d.left, d.right} & names for d in derived})
+    try:
+        sequence = list(order.static_order())
+    except CycleError as e:
+        raise ValueError(f"derived metrics form a cycle: {sorted(set(e.args[1]))}") from None
+    rows, by_name = [], {d.name: d for d in derived}
+    for d in (by_name[n] for n in sequence):
+        left, right = known.get(d.left), known.get(d.right)
+        value = unit = None
+        error = "UNKNOWN_METRIC" if left is None or right is None else left[3] or right[3]
+        if error is None:
+            value, unit, error = exact.derive(d.op, left[1], left[2], right[1], right[2])
+        sources = dict.fromkeys([*(left[5] if left else []), *(right[5] if right else [])])
+        known[d.name] = (d.name, value, unit, error, [d.left, d.right], list(sources))
+        rows.append(known[d.name])
+    return given.unionByName(declared(spark, rows, "metric string, value string, unit string, error string, dependencies array<string>, evidence array<string>"))
 
 
 def duplicate_keys(evidence: DataFrame, key: list[str]) -> DataFrame:
@@ -273,20 +254,19 @@ def duplicate_keys(evidence: DataFrame, key: list[str]) -> DataFrame:
     return n.where(missing | (F.col("n") > 1)).withColumn("error", F.when(missing, "MISSING_VALUE").otherwise("DUPLICATE_KEY"))
 
 
-def fast_statistics(evidence: DataFrame, by: list[str], field: str, level: float = 0.95) -> DataFrame:
-    """A-05, F-14 in the fast lane: (by, n, mean, sd, se, lower, upper) from exact DECIMAL sums of values and squares; only the last steps are floating.
+def group_statistics(evidence: DataFrame, by: list[str], field: str, level: str | None = None, ddof: int = 1) -> DataFrame:
+    """A-05, F-14 for every group: (by, statistics, error) from exact native sums of values and squares.
 
-    For values of up to 14 digits with two places.  The bounds take the
-    quantile of the normal distribution that t tends to: for groups of more
-    than 2,000 rows.
+    The last steps of a group (one row: a root and a quantile) run in Arrow
+    batches; groups of equal size share the quantile.
     """
-    q = F.col(field).cast("decimal(16,2)")
-    sums = evidence.groupBy(*by).agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum((q * q).cast("decimal(28,4)")).alias("ss"))
-    mean = F.col("s").cast("double") / F.col("n")
-    spread = (F.col("ss").cast("double") - F.col("s").cast("double") * F.col("s").cast("double") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-    out = sums.select(*by, "n", mean.alias("mean"), F.sqrt(spread).alias("sd")).withColumn("se", F.col("sd") / F.sqrt("n"))
-    reach = F.lit(exact.float_t(10**9, level)) * F.col("se")
-    return out.withColumns({"lower": F.col("mean") - reach, "upper": F.col("mean") + reach})
+    long = limbs.gated(evidence.select(*by, F.col(field).cast("string").alias("lexeme")), F.lit(True))
+    grouped = limbs.sums(long, by, F.lit(True))
+    error = reduced(F.col("n"), F.col("nulls"), F.col("bad"), F.lit("statistics"), F.lit(None), F.lit(None).cast("boolean"))
+    error = F.coalesce(error, F.when(F.col("limit") > 0, "STATISTICS_LIMIT"))
+    got = exact.moments_column(F.when(error.isNull(), F.struct(*limbs.SUMS)), ddof, level)
+    out = grouped.withColumn("error", error).withColumn("statistics", got)
+    return out.select(*by, F.struct(*[f"statistics.{c}" for c in exact.MOMENTS]).alias("statistics"), F.coalesce("error", "statistics.error").alias("error"))
 
 
 def reconciled(records: DataFrame, locations: DataFrame, key: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import exact
@@ -100,7 +100,7 @@ def metric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-01 for every order as a declared selection of its own."""
     out = mx.batch_matrix(evidence(spark, sf_dir), ["order_key"], ["quantity"], how="unique")
-    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", "value", "error")
+    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", F.col("value").cast("double").alias("value"), "error")
 
 
 @query(f"""with {_EVIDENCE}, {_PAIRS}, r as (select g.model, g.split, count(e.seed) as n, avg(cast(quantity as double)) as mean, stddev_samp(cast(quantity as double)) as sd
@@ -116,9 +116,9 @@ def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_EVIDENCE} select model, split, count(*) as n, round(avg(cast(quantity as double)), 6) as mean, round(stddev_samp(cast(quantity as double)), 6) as sd,
   round(avg(cast(quantity as double)) - 1.959963984540054 * stddev_samp(cast(quantity as double)) / sqrt(count(*)), 4) as lower from evidence group by 1, 2""")
 def statistics_fast_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-05 and F-14 natively over all rows."""
-    out = mx.fast_statistics(evidence(spark, sf_dir), ["model", "split"], "quantity")
-    return out.select("model", "split", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("lower", 4).alias("lower"))
+    """A-05 over all rows; the bound takes the normal quantile."""
+    out = mx.group_statistics(evidence(spark, sf_dir), ["model", "split"], "quantity").select("model", "split", *[F.col(f"statistics.{c}").cast("double").alias(c) for c in ("mean", "sd", "se")], F.col("statistics.n").alias("n"))
+    return out.select("model", "split", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.col("mean") - 1.959963984540054 * F.col("se"), 4).alias("lower"))
 
 
 @query(f"""with {_EVIDENCE}, r as (select order_key, count(*) as n, list_sort(list(seed)) = [1, 2, 3] as whole, sum(quantity) as total from evidence group by 1)
@@ -126,13 +126,42 @@ def statistics_fast_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-07 for every order as an experiment: exactly the seeds 1, 2 and 3, each once."""
     out = mx.batch_matrix(evidence(spark, sf_dir), ["order_key"], ["quantity"], seed="seed", expected_seeds=["1", "2", "3"])
-    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", "error", F.round("value", 6).alias("value"))
+    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", "error", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query(f"""with {_EVIDENCE} select model, split, field, count(*) as n, round(cast(sum(x) as double) / count(*), 6) as value, cast(null as varchar) as error
   from (unpivot (select model, split, discount, quantity from evidence) on discount, quantity into name field value x) group by 1, 2, 3""")
 def batch_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.batch_matrix(evidence(spark, sf_dir), ["model", "split"], ["discount", "quantity"]).select("model", "split", "field", "n", F.round("value", 6).alias("value"), "error")
+    return mx.batch_matrix(evidence(spark, sf_dir), ["model", "split"], ["discount", "quantity"]).select("model", "split", "field", "n", F.round(F.col("value").cast("double"), 6).alias("value"), "error")
+
+
+_WIDE = "case l_linenumber % 3 when 0 then '' when 1 then '00000000000' else '0000000000000000000000' end"
+
+
+@query(f"""with x as (select l_returnflag as model, l_orderkey % 100 as bucket, cast(cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)::varchar || {_WIDE} as decimal(38,0)) as v, cast(l_linenumber as varchar) as seed from lineitem)
+  select model, bucket, 'value' as field, count(*) as n, cast(sum(v) as varchar) as value from x group by 1, 2""")
+def batch_wide_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-10 and A-03 with numbers of up to 34 digits, most of them beyond DECIMAL(24,12): exact sums, no rounding anywhere."""
+    cents = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("long").cast("string")
+    zeros = F.element_at(F.array(*[F.repeat(F.lit("0"), F.lit(n)) for n in (0, 11, 22)]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), (F.col("l_orderkey") % 100).alias("bucket"), F.concat(cents, zeros).alias("value"))
+    return mx.batch_matrix(rows, ["model", "bucket"], ["value"], how="sum").select("model", "bucket", "field", "n", "value")
+
+
+# Printed two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
+_STUDENT = "(1, 12.7062047361747), (2, 4.3026527297495), (3, 3.1824463052837), (4, 2.7764451051978), (5, 2.5705818356363), (6, 2.4469118511450), (7, 2.3646242515928), (8, 2.3060041352042), (9, 2.2621571627982), (10, 2.2281388519863), (11, 2.2009851600916), (12, 2.1788128296672), (13, 2.1603686564628), (14, 2.1447866879178), (15, 2.1314495455598), (16, 2.1199052992213), (17, 2.1098155778333), (18, 2.1009220402410), (19, 2.0930240544083), (20, 2.0859634472659), (21, 2.0796138447277), (22, 2.0738730679040), (23, 2.0686576104190), (24, 2.0638985616280), (25, 2.0595385527533), (26, 2.0555294386429), (27, 2.0518305164803), (28, 2.0484071417952), (29, 2.0452296421327), (30, 2.0422724563012)"
+
+
+@query(f"""with {_EVIDENCE}, t as (select * from (values {_STUDENT}) t(df, q)),
+  r as (select order_key, count(*) as n, avg(cast(quantity as double)) as mean, stddev_samp(cast(quantity as double)) / sqrt(count(*)) as se from evidence group by 1)
+  select order_key, n, round(mean, 6) as mean, round(mean - q * se, 4) + 0.0 as lower, round(mean + q * se, 4) as upper, cast(null as varchar) as error from r join t on df = n - 1
+  union all select order_key, n, null, null, null, 'STATISTICS_COUNT' from r where n = 1""")
+def confidence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-13, F-14: Student bounds of every order's mean quantity."""
+    rows = evidence(spark, sf_dir)
+    out = mx.group_statistics(rows, ["order_key"], "quantity", "0.95").join(rows.groupBy("order_key").agg(F.count(F.lit(1)).alias("n")), "order_key")
+    shown = [F.round(F.col(f"statistics.{c}").cast("double"), k).alias(c) for c, k in (("mean", 6), ("lower", 4), ("upper", 4))]
+    return out.select(F.col("order_key").cast("long").alias("order_key"), "n", *shown, "error").withColumn("lower", F.col("lower") + 0.0)
 
 
 @query(f"""with {_EVIDENCE} select model, count(*) as n, count(distinct order_key) as experiments from evidence group by 1""")
@@ -211,8 +240,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("metric"))
     sums = n.join(s.groupBy("s_nationkey").agg(F.sum("x").alias("total"), F.count("x").alias("n")), n.n_nationkey == s.s_nationkey, "left")
     own = sums.select("metric", exact.mean_column(F.col("total"), F.col("n")).alias("value"), F.lit("scalar").alias("unit"), F.when(F.col("n").isNull(), "EMPTY_SELECTION").alias("error"))
-    names = own.select("metric")
-    following = names.alias("a").join(names.alias("b"), F.col("a.metric") < F.col("b.metric")).groupBy(F.col("a.metric").alias("left")).agg(F.min("b.metric").alias("right"))
+    following = own.select(F.col("metric").alias("left"), F.lead("metric").over(Window.partitionBy(F.lit(1)).orderBy("metric")).alias("right")).where("right is not null")  # 25 nations
     declared = following.select(F.concat("left", F.lit(">"), "right").alias("claim"), F.lit("greater_than").alias("op"), "left", "right", *[F.lit(None).cast(t).alias(c) for c, t in (("threshold", "string"), ("threshold_unit", "string"), ("candidates", "array<string>"), ("direction", "string"), ("allow_ties", "boolean"))])
     return states.claim_states(declared, own).select("claim", "status", "error")
 

@@ -233,7 +233,7 @@ def fault_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported = lines.groupBy(F.col("l_orderkey").alias("dataset")).agg(F.round(F.avg("l_discount"), 3).alias("reported"))
     every = reported.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s, _ in scoring.SCENARIOS], "scenario string")))  # ten scenarios
     met = every.join(own, ["dataset", "scenario"], "left")
-    status = F.when(F.col("value").isNull(), "unknown").when(F.abs(F.round("value", 3) - F.col("reported")) < 0.0005, "pass").otherwise("mismatch")
+    status = F.when(F.col("value").isNull(), "unknown").when(F.abs(F.round(F.col("value").cast("double"), 3) - F.col("reported")) < 0.0005, "pass").otherwise("mismatch")
     return met.groupBy("scenario", status.alias("status")).agg(F.count(F.lit(1)).alias("experiments"))
 
 

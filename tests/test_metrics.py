@@ -1,9 +1,11 @@
 import random
-from decimal import Decimal
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from concordat.functions import exact
 from concordat.operators import metrics as mx
 from concordat.operators import profile, states
 from concordat.operators.metrics import Derived, Metric
@@ -80,6 +82,57 @@ def test_long_decimals_go_to_the_exact_lane(spark):
     assert Decimal(got["a"].value) == Decimal("0.8000000000000000000000000000100000000001") and Decimal(got["b"].value) == Decimal("0.9")
 
 
+def wide_number(rng):
+    digits = "".join(rng.choice("0123456789") for _ in range(rng.choice([1, 5, 12, 13, 18, 19, 24, 37, 60, 400, 1024])))
+    point = rng.randrange(len(digits) + 1)
+    text = rng.choice(["", "-", "+"]) + digits[:point] + rng.choice([".", ""]) * (point > 0 or point < len(digits)) + digits[point:]
+    text = text if text.strip("+-.") else "0"
+    return text + rng.choice(["", "", "e5", "E-7", "e-900", "E+700"]) if len(digits) <= 60 else text if len(digits) < 1000 else text.replace(".", "")
+
+
+def exact_fraction(text):
+    mantissa, _, power = text.lower().partition("e")
+    return Fraction(Decimal(mantissa)) * Fraction(10) ** int(power or 0)
+
+
+def test_sums_of_numbers_of_all_lengths(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), wide_number(rng)) for _ in range(300)] + [("d", "1"), ("d", "10000000000000"), ("e", "99999999999.999999999999")] + [("e", "999999999999.999999999999")] * 40 + [("f", "0.000"), ("f", "-0"), ("g", "nan"), ("g", "1e40"), ("h", "1e40"), ("h", None)]
+    df = spark.createDataFrame(rows, "model string, accuracy string").repartition(5)
+    sums = {r.model: r for r in mx.batch_matrix(df, ["model"], ["accuracy"], how="sum").collect()}
+    means = {r.model: r for r in mx.batch_matrix(df, ["model"], ["accuracy"]).collect()}
+    for model in "abcdef":
+        values = [exact_fraction(v) for m, v in rows if m == model]
+        assert sums[model].error is None and sums[model].n == len(values)
+        with localcontext() as c:
+            c.prec = 6000
+            assert exact_fraction(sums[model].value) == sum(values)
+        got, want = exact_fraction(means[model].value), sum(values) / len(values)
+        assert abs(got - want) <= abs(want) * Fraction(1, 10**78)
+    assert means["d"].value == "5000000000000.5" and sums["g"].error == sums["h"].error == "INVALID_NUMBER"
+    whole = results(mx.evaluate(df.withColumn("seed", F.lit("1")), [Metric(m, "accuracy", "sum", where={"model": m}) for m in "abde"], TYPES))
+    assert all(whole[m].value == sums[m].value for m in "abde")
+
+
+def test_statistics_of_long_numbers(spark):
+    rng = random.Random(9)
+    lexemes = [f"{rng.randint(-10**k, 10**k)}.{rng.randint(0, 10**k)}e{rng.randint(-20, 20)}" for k in (2, 8, 11, 20, 30) for _ in range(6)]
+    df = spark.createDataFrame([(x,) for x in lexemes] + [], "accuracy string").withColumn("model", F.lit("m"))
+    got = results(mx.evaluate(df, [Metric("m", "accuracy", "statistics", where={"model": "m"}, level="0.95")], TYPES))["m"].statistics
+    values = [Fraction(Decimal(x)) for x in lexemes]
+    middle = sum(values) / len(values)
+    with localcontext() as c:
+        c.prec = 90
+        variance = sum((v - middle) ** 2 for v in values) / (len(values) - 1)
+        sd = (Decimal(variance.numerator) / variance.denominator).sqrt()
+        assert abs(Decimal(got.sd) / sd - 1) < Decimal("1e-70") and abs(Decimal(got.mean) * middle.denominator / middle.numerator - 1) < Decimal("1e-70")
+        assert abs(Decimal(got.upper) - Decimal(got.mean) - exact.t_critical(29, "0.95") * Decimal(got.se)) < Decimal("1e-40")
+    by_group = mx.group_statistics(df, ["model"], "accuracy", "0.95").first()
+    assert tuple(by_group.statistics) == tuple(got)[:7] and by_group.error is None
+    far = df.withColumn("accuracy", F.concat("accuracy", F.lit("0" * 120)))
+    assert mx.group_statistics(far.where("accuracy not like '%e%'").union(spark.createDataFrame([("1" * 101, "m")], "accuracy string, model string")), ["model"], "accuracy").first().error == "STATISTICS_LIMIT"
+
+
 def test_fingerprints(spark):
     rng = random.Random(1)
     wanted = [mean("Ours")]
@@ -96,7 +149,7 @@ def test_fingerprints(spark):
 def test_batch_matrix_equals_single_metrics(spark):
     batch = {(r.model, r.split): r for r in mx.batch_matrix(evidence(spark, ROWS + [("d", None, "test", "1", "0.1")]), ["model", "split"], ["accuracy"]).collect()}
     single = results(mx.evaluate(evidence(spark), [mean("Ours"), mean("Baseline")], TYPES))
-    assert all(abs(batch[m, "test"].value - float(single[m].value)) < 1e-12 for m in single)
+    assert all(batch[m, "test"].value == single[m].value for m in single)
     assert batch[None, "test"].error == "MISSING_IDENTITY"
 
 
