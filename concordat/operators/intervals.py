@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.operators import scans
+
 WIDTH = 512
 
 
@@ -47,11 +49,14 @@ def innermost(pairs: DataFrame, on: str = "doc_id") -> DataFrame:
 
 
 def union(spans: DataFrame, on: str = "doc_id") -> DataFrame:
-    """W-11: overlapping and touching intervals merged, by gaps and islands."""
-    before = Window.partitionBy(on).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(on).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
-    return spans.select(on, "start", "end").withColumn("_new", new).withColumn("_island", F.sum("_new").over(so_far)).groupBy(on, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """W-11: overlapping and touching intervals merged, by gaps and islands.
+
+    Both running values, the farthest end so far and the number of islands, are
+    segmented scans, so a document may have any number of intervals.
+    """
+    runs = scans.Runs(spans.select(on, "start", "end"), [on], ["start", "end"]).running(inclusive=False, _before=("max", F.col("end")))
+    new = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0).cast("long")
+    return runs.running(_island=("sum", new)).result().groupBy(on, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def positions_match(left: DataFrame, right: DataFrame, across: float = 1.2, down: float = 2.0) -> DataFrame:

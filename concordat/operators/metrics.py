@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import exact, limbs
 from concordat.functions import lexeme as lx
+from concordat.operators import scans
 from concordat.operators.declared import declared
 
 
@@ -283,5 +284,5 @@ def source_health(cells: DataFrame) -> DataFrame:
 
 
 def latency(values: DataFrame, by: list[str], column: str) -> DataFrame:
-    """A-22: number, median and nearest-rank 95th percentile for each group."""
-    return values.groupBy(*by).agg(F.count(column).alias("n"), F.expr(f"percentile(`{column}`, 0.5)").alias("median"), F.expr(f"percentile_disc(0.95) within group (order by `{column}`)").alias("p95"))
+    """A-22: number, median and nearest-rank 95th percentile for each group; a group may be as large as the table."""
+    return scans.quantiles(values, by, column, {"median": ("linear", 0.5), "p95": ("nearest", 0.95)})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import exact
 from concordat.functions import lexeme as lx
-from concordat.operators import graphs
+from concordat.operators import graphs, scans
 
 SEVERITY = {"unknown": 2, "error": 1, "warning": 0}
 # The kinds of work in the order in which they are shown.
@@ -235,19 +235,5 @@ def safe_changes(bindings: DataFrame, blocked: DataFrame) -> DataFrame:
 
 def revision_list(states: DataFrame) -> DataFrame:
     """C-17, T-04, T-05: all states as one queue: unknown first, passed last, then kind and subject; ``rank`` is the place."""
-    from pyspark.sql import Window
-
-    order = [F.col("status") != "unknown", F.col("status") == "pass", "kind", "subject"]
     urgency = F.when(F.col("status") == "unknown", 0).when(F.col("status") == "mismatch", 1).otherwise(2)
-    # Ranks without one global window: places within each (urgency, kind), on top of the sizes of those before.
-    own = Window.partitionBy("urgency", "kind").orderBy("subject")
-    marked = states.withColumn("urgency", urgency)
-    sizes = marked.groupBy("urgency", "kind").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("urgency", "kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    out = marked.withColumn("place", F.row_number().over(own)).join(before, ["urgency", "kind"])
-    return out.withColumn("rank", F.col("place") + F.col("offset")).select("rank", "subject", "kind", "status").orderBy(*order)
-
-
-def error_first(*columns: Column) -> Column:
-    """The first error in the order given."""
-    return F.coalesce(*columns)
+    return scans.numbered(states.withColumn("urgency", urgency), ["urgency", "kind", "subject"]).select("rank", "subject", "kind", "status").orderBy("rank")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions.lexeme import NATIVE_TOKEN, TOKEN, sha256
-from concordat.operators import intervals
+from concordat.operators import intervals, scans
 
 
 def _let(value: Column, body) -> Column:
@@ -197,11 +197,12 @@ def resolve_figures(references: DataFrame, files: DataFrame) -> DataFrame:
 def section_paths(lines: DataFrame) -> DataFrame:
     """W-10: (doc_id, line, path): the headings in force at each line; a shallower heading resets the deeper ones."""
     level = F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1))
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumns({"level": level, "title": F.regexp_extract("text", r"^#{1,6}\s+(.*?)\s*#*$", 1)})
-    for k in range(1, 7):
-        own = F.when((F.col("level") > 0) & (F.col("level") <= k), F.struct((F.col("level") == k).alias("here"), F.col("title").alias("title")))
-        out = out.withColumn(f"h{k}", F.last(own, ignorenulls=True).over(w))
+    marked = lines.withColumns({"level": level, "title": F.regexp_extract("text", r"^#{1,6}\s+(.*?)\s*#*$", 1)})
+
+    def last(k: int):
+        return F.when((F.col("level") > 0) & (F.col("level") <= k), F.struct((F.col("level") == k).alias("here"), F.col("title").alias("title")))
+
+    out = scans.Runs(marked, ["doc_id"], ["line"]).running(**{f"h{k}": ("last", last(k)) for k in range(1, 7)}).result()
     kept = F.array(*[F.when(F.col(f"h{k}.here"), F.col(f"h{k}.title")) for k in range(1, 7)])
     return out.select("doc_id", "line", F.array_join(F.filter(kept, lambda x: x.isNotNull()), " / ").alias("path"))
 
