@@ -31,8 +31,10 @@ def parse(text: Column, component: str, percent: bool = False, show_n: bool = Fa
     bare = F.trim(F.regexp_replace(text, r"\\[,;! ]|~", " "))
     whole = rf"^{pattern(component, percent, show_n)}$"
     good = F.coalesce(bare.rlike(whole), F.lit(False))
-    parts = [lx.canonical(F.replace(F.replace(F.regexp_extract(bare, whole, i + 1), F.lit(",")), F.lit("−"), F.lit("-"))) for i in range(_groups(component, show_n))]
-    return F.struct(F.when(good, F.array(*parts)).alias("parts"), F.when(~good, F.lit("STATISTICAL_DISPLAY")).alias("error"))
+    numbers = F.array(*[F.regexp_extract(bare, whole, i + 1) for i in range(_groups(component, show_n))])
+    # One function over the array: the canonical form written out for each number would be too long to compile.
+    parts = F.transform(numbers, lambda x: lx.canonical(F.replace(F.replace(x, F.lit(",")), F.lit("−"), F.lit("-"))))
+    return F.struct(F.when(good, parts).alias("parts"), F.when(~good, F.lit("STATISTICAL_DISPLAY")).alias("error"))
 
 
 def matches(actual: Column, expected: Column, component: str, percent: bool = False, show_n: bool = False) -> Column:

@@ -85,3 +85,37 @@ def roles(profile: DataFrame) -> DataFrame:
     repeat = F.arrays_overlap(w, F.array(*map(F.lit, REPEAT_WORDS)))
     role = F.when(candidate & repeat, "repeat").when(candidate & (F.col("distinct") > 1), "group_by").when(candidate, "constant").when(F.col("type").isin("integer", "decimal"), "result").otherwise("other")
     return profile.select("column", role.alias("role"))
+
+
+def dependencies(source: DataFrame, columns: list[str], size: int = 2, error: float = 0.02) -> DataFrame:
+    """A-14, A-15: (determinant, dependent) of all minimal functional dependencies of up to ``size`` columns; nulls are values like any other.
+
+    The lattice of column sets is walked level by level.  A set determines a
+    column if both together have no more distinct rows than the set alone.  One
+    pass of sketches over all sets of a level, and those with one column more,
+    rules most candidates out: where the estimates differ by far more than
+    their error.  Only what is left is counted exactly, each set once.
+    """
+    held: list[tuple[tuple[str, ...], str]] = []
+    for k in range(1, size + 1):
+        known = lambda s, c: any(c == b and set(a) <= set(s) for a, b in held)
+        # A set that holds a dependency inside adds nothing to what a smaller one determines.
+        sets = [s for s in combinations(columns, k) if not any(known(tuple(x for x in s if x != c), c) for c in s)]
+        tried = [(s, c) for s in sets for c in columns if c not in s and not known(s, c)]
+        if not tried:
+            continue
+        wanted = list(dict.fromkeys([*(s for s, _ in tried), *(tuple(sorted((*s, c), key=columns.index)) for s, c in tried)]))
+        guess = dict(zip(wanted, source.agg(*[F.approx_count_distinct(F.struct(*w), error).alias(f"n{i}") for i, w in enumerate(wanted)]).first(), strict=True))
+        both = lambda s, c: tuple(sorted((*s, c), key=columns.index))
+        # Estimates off by six deviations on either side are taken as possible.
+        left = [(s, c) for s, c in tried if guess[both(s, c)] * (1 - 6 * error) <= guess[s] * (1 + 6 * error)]
+        needed = list(dict.fromkeys([*(s for s, _ in left), *(both(s, c) for s, c in left)]))
+        if not needed:
+            continue
+        exact = None
+        for i, w in enumerate(needed):
+            one = source.groupBy(*w).agg(F.lit(1).alias("_one")).agg(F.count("_one").alias("n")).select(F.lit(i).alias("i"), "n")
+            exact = one if exact is None else exact.unionByName(one)
+        count = {needed[r.i]: r.n for r in exact.collect()}
+        held += [(s, c) for s, c in left if count[s] == count[both(s, c)]]
+    return source.sparkSession.createDataFrame([(list(s), c) for s, c in held], "determinant array<string>, dependent string")

@@ -7,6 +7,11 @@ text, so running sums of their lengths are the offsets; no Python is involved.
 
 from __future__ import annotations
 
+import uuid
+from functools import lru_cache, partial
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +116,57 @@ def literal_hits(documents: DataFrame, literals: DataFrame) -> DataFrame:
     return met.withColumn("n", F.length("exact")).select("anchor_id", "doc_id", F.explode(starts).alias("start"), "n").select("anchor_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
+#: Characters of the literals that one automaton holds, on average at most.
+BATCH_CHARS = 1_000_000
+
+
+def literals_anywhere(documents: DataFrame, literals: DataFrame, chars: int = BATCH_CHARS) -> DataFrame:
+    """X-06 without a known document: (anchor_id, doc_id, start, end) of every non-overlapping occurrence of each literal (anchor_id, exact) in all documents.
+
+    The different literals are dealt by hash into batches of bounded size; a
+    worker builds one automaton for a batch and reads each text once for all of
+    its literals.  Empty literals are found nowhere.
+    """
+    different = literals.where("length(exact) > 0").select("exact").distinct()
+    size = different.agg(F.coalesce(F.sum(F.length("exact")), F.lit(0))).first()[0]
+    batches = max(1, -(-2 * size // chars)) if size > chars // 2 else 1
+    dealt = different.withColumn("batch", F.pmod(F.xxhash64("exact"), F.lit(batches)).cast("int"))
+    texts = documents.select("doc_id", "text").where("text is not null")
+    kind = documents.select("doc_id").schema[0].dataType.simpleString()
+    found = None
+    for k in range(batches):
+        own = sorted(r.exact for r in dealt.where(F.col("batch") == k).collect())  # one batch, of bounded size
+        one = texts.mapInArrow(partial(_scan, literals=own, key=uuid.uuid4().hex), f"doc_id {kind}, exact string, start int, end int")
+        found = one if found is None else found.unionByName(one)
+    return literals.select("anchor_id", "exact").join(found, "exact").select("anchor_id", "doc_id", "start", "end")
+
+
+@lru_cache(maxsize=2)
+def _automaton(key: str, literals: tuple[str, ...]) -> ahocorasick.Automaton | None:
+    out = ahocorasick.Automaton()
+    for i, x in enumerate(literals):
+        out.add_word(x, (i, len(x)))
+    out.make_automaton()
+    return out if literals else None
+
+
+def _scan(batches, literals: list[str], key: str):
+    automaton = _automaton(key, tuple(literals))
+    for batch in batches:
+        at, which, starts, ends = [], [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist() if automaton else []):
+            last: dict[int, int] = {}
+            for end, (i, size) in automaton.iter(text):
+                start = end + 1 - size
+                if start >= last.get(i, 0):
+                    last[i] = end + 1
+                    at.append(row)
+                    which.append(literals[i])
+                    starts.append(start)
+                    ends.append(end + 1)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(which, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "exact", "start", "end"])
+
+
 def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) -> DataFrame:
     """X-07: (anchor_id, doc_id, start, end) between every occurrence of a prefix and the first suffix within ``most`` characters behind it.
 

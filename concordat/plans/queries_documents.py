@@ -92,19 +92,24 @@ def position_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select item_id, count(d.doc_id) as documents, coalesce(sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text)), 0) as hits from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def literal_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-06 for benchmark items in all documents: an item's longest word but the first and last, which has the same neighbours in every hit, joins it to the documents that may hold it."""
-    docs = documents(spark, sf_dir)
-    gap = "[ \n]"
+    """X-06 for all benchmark items in all documents, items of any length."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("exact"))
-    inner = F.slice(F.split("exact", gap), F.lit(2), F.greatest(F.size(F.split("exact", gap)) - 2, F.lit(0)))
-    keyed = items.select("item_id", "exact", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"].alias("key"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", gap))).alias("key"))
-    pairs = words.join(keyed.where("key is not null"), "key").select("doc_id", "item_id", "exact")
-    hits = textscan.literal_hits(docs, pairs.select(F.struct("doc_id", "item_id").alias("anchor_id"), "doc_id", "exact"))
-    n = hits.groupBy(F.col("anchor_id.item_id").alias("item_id")).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("hits"))
+    hits = textscan.literals_anywhere(documents(spark, sf_dir), items.withColumnRenamed("item_id", "anchor_id"))
+    n = hits.groupBy(F.col("anchor_id").alias("item_id")).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("hits"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+@query("""with w as (select string_split(replace(text, chr(10), ' '), ' ') as w from benchmark), x as (select distinct unnest([w[1], w[1] || ' ' || w[2]]) as exact from w where len(w) > 1),
+    l as (select exact from x where length(exact) > 0)
+  select exact, sum((length(d.text) - length(replace(d.text, exact, ''))) // length(exact)) as hits from l join documents d on contains(d.text, exact) group by 1""")
+def short_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-06 for literals of one and two words: the first of each benchmark item, wherever they stand, also inside words."""
+    w = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    firsts = table(spark, sf_dir, "benchmark").where(F.size(w) > 1).select(F.explode(F.array(F.get(w, F.lit(0)), F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1))))).alias("exact")).distinct()
+    hits = textscan.literals_anywhere(documents(spark, sf_dir), firsts.withColumn("anchor_id", F.col("exact")))
+    return hits.groupBy(F.col("anchor_id").alias("exact")).agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query("""select doc_id, len(string_split(text, chr(10))) as lines, strlen(text) as bytes from documents""")
 def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-13, F-34: the line and byte of each document's end."""
