@@ -1,8 +1,9 @@
 """Closures over declared graphs: metric dependencies, includes and declarations.
 
-Edges are joined round by round until nothing new is reached; each round is an
-ordinary shuffle join on the frontier only, and lineage is cut by a table in
-the shared folder.
+Paths are doubled: each round joins what is reached in fewer than 2**t steps
+with the pairs of nodes that lie 2**t steps apart, so a chain of n nodes takes
+about log2(n) rounds.  Each round's tables are written to the shared folder,
+which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -13,31 +14,28 @@ from pyspark.sql import functions as F
 from concordat.operators.scratch import Scratch
 
 
-def closure(edges: DataFrame, roots: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """J-18, J-31: (root, node, depth): all nodes reachable from each root over ``edges`` (src, dst), itself included at depth 0.
 
-    ``depth`` is the least number of steps.  Cycles end by themselves.
+    ``depth`` is the least number of steps.  Cycles end by themselves: a round
+    that reaches nothing new is the last, however long the paths are.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "closure")
+    scratch = Scratch(edges.sparkSession, "closure")
+    jumps = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "jumps-0")
     if roots is None:
-        roots = edges.select(F.col("src").alias("root")).union(edges.select("dst")).distinct()
-    edges = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    frontier = scratch.save(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "0")
-    reached = [frontier]
-    for depth in range(1, most + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        seen = reached[0]
-        for r in reached[1:]:
-            seen = seen.union(r)
-        frontier = scratch.save(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")), str(depth))
-        if not frontier.limit(1).count():
-            break
-        reached.append(frontier)
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.union(r)
-    return out
+        roots = edges.select(F.col("src").alias("root")).union(edges.select("dst"))
+    reached = scratch.save(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reached-0")
+    count, turn = reached.count(), 0
+    while True:
+        # The least depth of a node is a sum of different powers of two, and the parts of a shortest path are walks of these lengths.
+        step = reached.join(jumps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + F.lit(2**turn)).cast("int").alias("depth"))
+        reached = scratch.save(reached.unionByName(step).groupBy("root", "node").agg(F.min("depth").alias("depth")), f"reached-{turn + 1}")
+        now = reached.count()
+        if now == count:
+            return reached
+        count, turn = now, turn + 1
+        a, b = jumps.alias("a"), jumps.alias("b")
+        jumps = scratch.save(a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct(), f"jumps-{turn}")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

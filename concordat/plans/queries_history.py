@@ -341,4 +341,26 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
+@query("""with m as (select user_id, event_type, event_id, date_trunc('millisecond', ts) as ts from events where ts is not null),
+  e as (select cast(user_id as varchar) as project, ts, event_type, event_id, coalesce(ts >= lag(ts) over w + interval 10 minutes, true) as new from m window w as (partition by user_id order by ts, event_type, event_id)),
+  s as (select *, sum(cast(new as integer)) over (partition by project order by ts, event_type, event_id rows unbounded preceding) as burst from e),
+  b as (select project, burst, min(ts) as began, max(ts) + interval 10 minutes as ended, count(*) as changes from s group by 1, 2)
+  select project, burst as generation, 'running' as state, ended as at, changes from b where ended <= (select max(ts) from events) - interval 1 minute
+    or exists (select 1 from b c where c.project = b.project and c.burst > b.burst)
+  union all select project, burst - 1, 'pending', began, 0 from b""")
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-03, R-06, W-15: users as projects, each event a new content of its type's file; a check runs ten minutes after the last of a burst.
+
+    The feed is sent twice, and the second time changes nothing.
+    """
+    arrivals = _feed(spark, sf_dir).select(F.col("user_id").cast("string").alias("project"), F.concat_ws("/", "event_type", "event_id").alias("path"), F.lit("sha256:1").alias("sha256"), "at", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, feed.STATE_STORE)
+    try:
+        return _drain(feed.verdict_states(arrivals, quiet_ms=600_000), "verdicts").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    finally:
+        spark.conf.set(name, before)
+
+
 QUERIES, ORACLE_SQL = _r.queries, _r.sql

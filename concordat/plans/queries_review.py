@@ -294,6 +294,8 @@ def published_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = feed.publish(lambda: next(reads), lambda batch: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), scratch.root)
     for generation in (1, 2):
         run(events, generation)
+    next_reads = iter([ids, ids])
+    feed.publish(lambda: next(next_reads), lambda batch: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), scratch.root)(events, 1)  # a replay replaces its generation
     results, verdicts = spark.read.parquet(f"{scratch.root}/results"), spark.read.parquet(f"{scratch.root}/verdicts")
     return results.drop("state").join(verdicts, "generation").select(F.col("generation").cast("int").alias("generation"), "event_type", "n", "state", "error")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 CHANGES = "path string, generation long, change string, sha256 string, at timestamp"
 _STATE = "sha256 string, generation long"
@@ -57,6 +58,89 @@ def windowed_metrics(feed: DataFrame, by: list[str], value: str, window: str = "
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "total", F.when(error.isNull(), F.col("total").cast("double") / F.col("n")).alias("mean"), error.alias("error"))
 
 
+#: What ``verdict_states`` needs as ``spark.sql.streaming.stateStore.providerClass``: timers and maps by key live in RocksDB.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERDICTS = "project string, generation long, state string, at timestamp, changes long"
+
+
+class _Watch(StatefulProcessor):
+    """One project's watch: what it last knew of each path, the burst that is open, and the checks begun so far."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.watch = handle.getValueState("watch", "generation long, due long, changes long, began long")
+        self.known = handle.getMapState("known", "path string", "sha256 string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # The rows of one key in one micro-batch, in the order of their times.
+        batch = pd.concat(list(rows)).sort_values(["at", "path", "sha256"], na_position="last")
+        generation, due, changes, began = self.watch.get() if self.watch.exists() else (0, None, 0, None)
+        old, out = due, []
+        for r in batch.itertuples(index=False):
+            at = r.at.value // 1_000_000
+            if due is not None and at >= due:
+                generation += 1
+                out.append((key[0], generation, "running", due, changes))
+                due, changes = None, 0
+            if pd.isna(r.path):
+                out.append((key[0], generation, "stopped", at, changes))
+                due, changes = None, 0
+                continue
+            new = None if pd.isna(r.sha256) else r.sha256
+            last = self.known.getValue((r.path,))[0] if self.known.containsKey((r.path,)) else None
+            if new == last:
+                continue
+            if new is None:
+                self.known.removeKey((r.path,))
+            else:
+                self.known.updateValue((r.path,), (new,))
+            if due is None:
+                began = at
+                out.append((key[0], generation, "pending", at, 0))
+            due, changes = max(due or 0, at + self.quiet), changes + 1
+        if old != due:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.watch.update((generation, due, changes, began))
+        yield _verdict_rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        generation, due, changes, began = self.watch.get()
+        out = []
+        if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append((key[0], generation + 1, "running", due, changes))
+            self.watch.update((generation + 1, None, 0, began))
+        yield _verdict_rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _verdict_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["project", "generation", "state", "at", "changes"])
+    return out.astype({"generation": "int64", "changes": "int64"}).assign(at=pd.to_datetime(out["at"].astype("int64"), unit="ms"))
+
+
+def verdict_states(feed: DataFrame, quiet_ms: int = 500, late: str = "1 minute") -> DataFrame:
+    """R-01 to R-04, R-06, W-15: (project, generation, state, at, changes): the states that a project's verdict goes through.
+
+    ``feed`` streams (project, path, sha256, at); a row without path stops the
+    watch.  ``pending`` when a path's content first differs, which makes the
+    verdict unknown; ``running``, with the next generation and the number of
+    changes in the burst, once nothing has changed for ``quiet_ms`` (an event
+    time timer, so out-of-order rows within ``late`` count); ``stopped`` at the
+    end.  Content that is known already, as in a replayed batch, changes
+    nothing.  A consumer runs the check of a ``running`` row (see ``publish``).
+    """
+    timed = feed.withWatermark("at", late)
+    return timed.groupBy("project").transformWithStateInPandas(statefulProcessor=_Watch(quiet_ms), outputStructType=VERDICTS, outputMode="Append", timeMode="EventTime")
+
+
 def _mark(identities: DataFrame) -> tuple:
     """One row that changes with any path's identity, whatever the order."""
     each = F.xxhash64("path", "sha256").cast("decimal(38,0)")
@@ -69,6 +153,8 @@ def publish(identities: Callable[[], DataFrame], check: Callable[[DataFrame], Da
     The inputs' identities are read before and after the check.  If they
     differ, the result is dropped and the generation is written as pending with
     WATCH_PENDING, which is an unknown; the change itself brings the next batch.
+    A batch that runs again, as it may after a failure, replaces its own
+    generation's folder.
     """
 
     def run(batch: DataFrame, generation: int) -> None:
@@ -76,9 +162,9 @@ def publish(identities: Callable[[], DataFrame], check: Callable[[DataFrame], Da
         try:
             before = _mark(identities())
             result = check(batch).withColumns({"generation": F.lit(generation), "state": F.lit("current")})
-            result.write.mode("append").parquet(f"{target}/results/generation={generation}")
+            result.drop("generation").write.mode("overwrite").parquet(f"{target}/results/generation={generation}")
             state, code = ("current", None) if before == _mark(identities()) else ("pending", "WATCH_PENDING")
-            batch.sparkSession.createDataFrame([(generation, state, code)], "generation long, state string, error string").coalesce(1).write.mode("append").parquet(f"{target}/verdicts")
+            batch.sparkSession.createDataFrame([(state, code)], "state string, error string").coalesce(1).write.mode("overwrite").parquet(f"{target}/verdicts/generation={generation}")
         finally:
             batch.unpersist()
 

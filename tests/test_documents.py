@@ -187,3 +187,30 @@ def test_long_texts_are_linear(spark):
     hits = textscan.literal_hits(docs, docs.select(F.lit("a").alias("anchor_id"), "doc_id", F.lit("ab").alias("exact")))
     assert tuple(hits.agg(F.count("start"), F.max("end")).first()) == (n, len(text))
     assert time.perf_counter() - start < 60
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    n = 5_000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    roots = spark.createDataFrame([(0,), (n - 3,)], "root long")
+    got = {(r.root, r.node): r.depth for r in graphs.closure(edges, roots).collect()}
+    assert got == {(0, k): k for k in range(n + 1)} | {(n - 3, n - 3 + k): k for k in range(4)}
+    ring = spark.range(37).select(F.col("id").alias("src"), ((F.col("id") + 1) % 37).alias("dst"))
+    assert {(r.root, r.node): r.depth for r in graphs.closure(ring).collect()} == {(a, b): (b - a) % 37 for a in range(37) for b in range(37)}
+
+
+def test_literals_anywhere(spark):
+    texts = ["aaaa ba", "", None, "ab ab", "x.*y x.*y é", "aa"]
+    literals = ["aa", "a", "ab", "x.*y", "é", "", "none", "aa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(literals)], "anchor_id string, exact string")
+    want = set()
+    for i, x in enumerate(literals):
+        for d, text in enumerate(texts):
+            at = (text or "").find(x) if x else -1
+            while at >= 0:
+                want.add((f"k{i}", d, at, at + len(x)))
+                at = text.find(x, at + len(x))
+    for chars in (1_000_000, 4):
+        assert {tuple(r) for r in textscan.literals_anywhere(df, wanted, chars).collect()} == want
+    assert textscan.literals_anywhere(df, wanted.where("exact = ''")).collect() == []

@@ -142,3 +142,38 @@ def test_change_stream(spark, tmp_path):
     run.awaitTermination()
     got = sorted((r.path, r.generation, r.change) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", 1, "added"), ("a", 2, "changed"), ("a", 3, "removed"), ("b", 1, "added")]
+
+
+def test_verdict_states_of_a_watched_project(spark, tmp_path):
+    """Two micro-batches, then a replay of the first one: bursts become generations, and what is known changes nothing."""
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    first = [("p", "a", "1", at(0)), ("p", "b", "1", at(0.2)), ("p", "a", "1", at(0.3)), ("p", "a", "2", at(5)), ("q", "a", "1", at(1))]
+    second = [("p", "a", None, at(100)), ("q", None, None, at(101)), ("z", "x", "1", at(300))]
+    schema = "project string, path string, sha256 string, at timestamp"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, feed.STATE_STORE)
+    try:
+        for k, rows in enumerate((first, second, first)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = feed.verdict_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), late="1 second")
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(r.project, []).append((r.at, r.generation, r.state, r.changes))
+    assert sorted(got["p"]) == [(at(0), 0, "pending", 0), (at(0.7), 1, "running", 2), (at(5), 1, "pending", 0), (at(5.5), 2, "running", 1), (at(100), 2, "pending", 0), (at(100.5), 3, "running", 1)]
+    assert sorted(got["q"]) == [(at(1), 0, "pending", 0), (at(1.5), 1, "running", 1), (at(101), 1, "stopped", 0)]
+
+
+def test_publishing_again_replaces_the_generation(spark, tmp_path):
+    ids = spark.createDataFrame([("a", "1")], "path string, sha256 string")
+    batch = spark.range(3).withColumn("x", F.lit("y"))
+    run = feed.publish(lambda: ids, lambda b: b.groupBy("x").agg(F.count(F.lit(1)).alias("n")), str(tmp_path))
+    run(batch, 4)
+    run(batch, 4)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "verdicts")).select("generation", "state").collect()] == [(4, "current")]
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 1
