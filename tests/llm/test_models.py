@@ -3,6 +3,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,6 +32,17 @@ def test_article_without_its_surroundings():
     assert text_of(html) == "Title & more\nOne bold link.\nTwo lines éA\nx\ny"
 
 
+def test_omitted_tags_and_names_of_running_text():
+    article = "<article><h1>Title here</h1><p>First words of it.</p><p>Second words of it.</p></article>"
+    whole = wrapper.main_text(wrapper.Aligned(wrapper.parse(f"<html><head><title>x</title></head><body>{article}</body></html>"), None, {}), None)
+    assert whole == "Title here\nFirst words of it.\nSecond words of it."
+    for html in (f"<html><head><title>x</title><body>{article}", f"<title>x{'</title>'}{article}", f"<html><head><meta charset=utf-8><style>p {{}}</style><script>var a = '<p>';</script>{article}"):
+        assert wrapper.main_text(wrapper.Aligned(wrapper.parse(html), None, {}), None) == whole, html
+    inner = "<p>One <button>go</p><p>Two two two.</p><div class='side-by-side'><p>Kept text.</p></div><p class='share-price'>Shares rose to 5.</p><p class='form'>In form.</p><div class='nav-menu'>Gone</div><div class='ad'>Gone</div><div class='cookie-notice'>Gone</div>"
+    got = wrapper.main_text(wrapper.Aligned(wrapper.parse(f"<body><article><h1>T</h1>{inner}</article>"), None, {}), None)
+    assert got == "T\nOne\nTwo two two.\nKept text.\nShares rose to 5.\nIn form."
+
+
 def test_page_without_article_and_broken_pages():
     assert text_of("<body><div><a href=1>a</a> <a href=2>b</a></div><div class=content><p>Some words here.</p><p>More.</div>") == "Some words here.\nMore."
     assert text_of("<article><p><b>a<br><p>b</p><p>c") == "a\nb\nc"
@@ -306,7 +318,10 @@ def test_spans_of_mixed_text_and_scripts(spark):
     assert all(mixed[s.start : s.end] == mixed[s.start : s.end].strip(" ,!") for s in got[0].spans)
     by = {r.doc_id: r for r in out}
     assert (by[2].lang_pred, by[2].score) == (by[3].lang_pred, by[3].score) == ("und", 0.0)
-    assert by[4].lang_pred in model.languages and by[None].lang_pred == "aa"
+    # A script that was never learned says nothing: every language is as likely.
+    assert by[4].lang_pred in model.languages and abs(by[4].score - 1 / 3) < 1e-9
+    assert by[None].lang_pred == "aa" and 1 / 3 < by[None].score < 1
+    assert got[0].score < 0.7
     nothing = language.train(train.limit(0))
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
@@ -323,8 +338,8 @@ def test_letters_scripts_and_long_runs(spark):
     every = "".join(c for c in map(chr, range(0x30000)) if c.isalpha())
     assert "".join(words(every)) == every and all(len({language.script(c) for c in w}) == 1 for w in words(every))
     rows = [(k, t * 40, lang) for k, (t, lang) in enumerate([("漢字文", "zh"), ("假名本", "ja")] * 10)]
-    model = language.train(spark.createDataFrame(rows + [(90, "x y", "rare")], "doc_id long, text string, lang string"), most_languages=2)
-    assert model.languages == ["ja", "zh"]
+    model = language.train(spark.createDataFrame(rows + [(90, "x y", "rare")], "doc_id long, text string, lang string"))
+    assert model.languages == ["ja", "rare", "zh"]
     # Behind the first 64 letters the run goes on in the other language, and there is more of it.
     text = "漢字文" * 90 + "假名本" * 150
     docs = spark.createDataFrame([(1, text), (2, "½ ² Ⅷ"), (3, "漢字文" * 70_000)], "doc_id long, text string")
@@ -334,6 +349,25 @@ def test_letters_scripts_and_long_runs(spark):
     assert got[3].lang_pred == "zh" and got[3].spans[0].end == 210_000
 
 
+def test_training_against_brute_force(spark):
+    """The sample of each language, its trigrams and the log-probabilities; a rare language keeps its trigrams beside a large one."""
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(12)), name) for k, (name, a) in enumerate([("big", "abcdefgh")] * 300 + [("rare", "stuvw")] * 3)]
+    model = language.train(spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string").repartition(3), sample_docs=40, most_trigrams=400)
+    usable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(r[0],) for r in usable], "doc_id long").select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).collect()}
+    counts = {}
+    for name in ("big", "rare"):
+        own = sorted((r for r in usable if r[2] == name), key=lambda r: (hashes[r[0]], r[0]))[:40]
+        counts[name] = Counter(g for _, text, _ in own for w in text.split() for g in language.trigrams(w))
+    kept = {g for c in counts.values() for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: max(language.LEAST_TRIGRAMS, 200)]}
+    assert set(model.rows) == kept and set(counts["rare"]) <= kept
+    for i, name in enumerate(model.languages):
+        total = sum(n for g, n in counts[name].items() if g in kept) + 0.5 * (len(kept) + 1)
+        for g, row in model.rows.items():
+            assert abs(model.table[row, i] - np.log((counts[name][g] + 0.5) / total)) < 1e-9
+
+
 def test_language_query_on_held_out_rows(spark):
     out = QUERIES["op10_language"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
