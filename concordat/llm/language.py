@@ -19,6 +19,7 @@ a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from bisect import bisect_right
@@ -43,6 +44,8 @@ _RANGES = [
     (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [a for a, _ in _RANGES]
+#: Trigrams of a language at least, however many languages there are.
+LEAST_TRIGRAMS = 300
 #: Letters of a word; longer runs are several words.
 LETTERS = 64
 REMEMBERED = 300_000
@@ -223,25 +226,26 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float) -> list[
     return out
 
 
-def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 4000, most_trigrams: int = 60_000, switch: float = 12.0, most: float = 8.0, most_languages: int = 500) -> LanguageModel:
+def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 4000, most_trigrams: int = 60_000, switch: float = 12.0, most: float = 8.0) -> LanguageModel:
     """A model from text and lang of documents that aren't held out.
 
     Fit on at most ``sample_docs`` documents of each language, those with the
-    least hashes of their doc_id, and on the ``most_trigrams`` most frequent
-    trigrams; a doc_id that occurs again with the same lang counts once, by its
-    least text.  Of more than ``most_languages`` values of lang those with the
-    most sampled documents are learned (in a tie the first by name).  Null
-    texts and null langs are left out.
+    least hashes of their doc_id, and on each language's most frequent
+    trigrams, of which every language has an equal share of ``most_trigrams``
+    (``LEAST_TRIGRAMS`` at least); a doc_id that occurs again with the same lang counts
+    once, by its least text.  Null texts and null langs are left out.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(out_part, of)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs).drop("rank")
-    ids = Scratch(docs.sparkSession, "language").save(ids, "ids")
-    learned = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    names = sorted(r.lang for r in learned.collect())
+    scratch = Scratch(docs.sparkSession, "language")
+    # Only the lower part of the hashes goes to the ranking, about four samples of a language however many documents it has; the least hashes are all in it.
+    sizes = scratch.save(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("of")), "sizes")
+    low = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)) * F.col("of") < 4.0 * sample_docs
+    ids = usable.join(sizes, "lang").where(low).select("doc_id", "lang").distinct()
+    rank = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
+    ids = scratch.save(ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs).drop("rank"), "ids")
+    names = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not names:
         return LanguageModel([], {}, np.zeros((1, 0)), {}, switch, most)
-    ids = ids.where(F.col("lang").isin(names))
 
     def count(batches):
         counts: dict[tuple[str, str], int] = {}
@@ -258,13 +262,14 @@ def train(docs: DataFrame, out_part: int = 1, of: int = 3, sample_docs: int = 40
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows]), pa.array([kind] * len(rows)), pa.array([b for _, b in rows]), pa.array(list(rows.values()), pa.int64())], ["lang", "kind", "name", "n"])
 
-    # The ids are at most sample_docs for each of most_languages: a proven bound, and Spark picks the join by their size.
     sample = usable.join(ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     summed = sample.mapInArrow(count, "lang string, kind string, name string, n long").groupBy("kind", "name", "lang").agg(F.sum("n").alias("n"))
-    # Saved, as it is read twice below.
-    by_name = summed.groupBy("kind", "name").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    by_name = Scratch(docs.sparkSession, "language").save(by_name, "counts")
-    rows = by_name.where("kind = 'gram'").orderBy(F.desc("all"), "name").limit(most_trigrams).collect()
+    summed = scratch.save(summed, "counts")
+    share = max(LEAST_TRIGRAMS, most_trigrams // len(names))
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "name")
+    chosen = summed.where("kind = 'gram'").withColumn("place", F.row_number().over(often)).where(F.col("place") <= share).select("kind", "name").distinct()
+    by_name = summed.groupBy("kind", "name").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    rows = by_name.join(chosen, ["kind", "name"], "left_semi").orderBy("name").collect()
     kinds = by_name.where("kind = 'script'").limit(len(_RANGES)).collect()
     place = {n: i for i, n in enumerate(names)}
     counts = np.zeros((len(rows), len(names)))
@@ -288,7 +293,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, spans) for every row of ``docs`` (doc_id, text).
 
     Spans are code point ranges [start, end) that cover the words from first to
-    last.  ``score`` is the predicted language's share of the letters.  A text
+    last.  ``score`` is the predicted language's share of the letters times its
+    posterior (``_posterior``); in a script that was never learned every
+    language is as likely.  A text
     that is null or without letters is ``und`` with score 0 and no span; so is
     every text if nothing was learned.  At equal shares the first language in
     the alphabet is given.  doc_id is passed through, nulls and repeats too;
@@ -313,7 +320,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                         continue
                     by = np.bincount(paths[i], letters[own], minlength=len(names))
                     best = int(by.argmax())
-                    out.append((names[best], float(by[best] / by.sum()), _spans(text, paths[i], names)))
+                    out.append((names[best], float(by[best] / by.sum()) * _posterior(words.scores[own], best), _spans(text, paths[i], names)))
                 preds, shares, spans = zip(*out, strict=True)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(preds, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
@@ -322,6 +329,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return narrow.mapInArrow(run, SCHEMA)
 
 
+def _posterior(scores: np.ndarray, best: int) -> float:
+    """How likely the language is by the words' scores, which are summed as if only the square root of their number were independent."""
+    total = np.maximum(scores, -50.0).sum(axis=0) / math.sqrt(len(scores))
+    weight = np.exp(total - total.max())
+    return float(weight[best] / weight.sum())
+
+
 def _spans(text: str, path: np.ndarray, names: list[str]) -> list[dict]:
     """Runs of equal labels; the words' places are only looked up where there is more than one."""
     turns = np.flatnonzero(np.diff(path)) + 1
