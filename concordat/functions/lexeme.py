@@ -80,11 +80,6 @@ def canonical(text) -> Column:
     return F.when(~t.rlike(DECIMAL), None).when(bare == "", "0").otherwise(F.concat(sign, bare, F.lit("e"), (exponent(t) + F.length(whole) - F.length(bare)).cast("string")))
 
 
-def canonical_decimal(value) -> Column:
-    """The same for a decimal column."""
-    return canonical(F.format_string("%s", _c(value).cast("string")))
-
-
 def fingerprint(*parts) -> Column:
     """F-23/F-24: sha256 of a canonical text of the parts; the parts' lengths keep them apart."""
     text = F.concat(*[F.coalesce(F.concat(F.length(_c(p).cast("string")).cast("string"), F.lit(":"), _c(p).cast("string")), F.lit("-")) for p in parts])
@@ -108,10 +103,20 @@ def parse_display(text) -> Column:
     return F.struct(F.when(good, lexeme).alias("lexeme"), F.when(good, percent).alias("is_percent"), F.when(~F.coalesce(good, F.lit(False)), F.lit("UNSUPPORTED_DISPLAY")).alias("error"))
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once; its code is not copied to each place of use."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def display_matches(actual, expected) -> Column:
     """F-04/F-21: equal value and equal percent sign; null where either can't be read."""
-    a, b = parse_display(actual), parse_display(expected)
-    return F.when(a["error"].isNull() & b["error"].isNull(), (canonical(a["lexeme"]) == canonical(b["lexeme"])) & (a["is_percent"] == b["is_percent"]))
+    sides = F.transform(F.array(_c(actual), _c(expected)), lambda x: _let(parse_display(x), lambda p: F.struct(_let(p["lexeme"], canonical).alias("value"), p["is_percent"].alias("percent"))))
+
+    def same(s: Column) -> Column:
+        a, b = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+        return F.when(a["value"].isNotNull() & b["value"].isNotNull(), (a["value"] == b["value"]) & (a["percent"] == b["percent"]))
+
+    return _let(sides, same)
 
 
 def normalise_percent(text, fmt) -> Column:
@@ -134,48 +139,6 @@ def measurement(value) -> Column:
     return F.struct(F.when(status == "observed", v).alias("value"), status.alias("status"))
 
 
-# -- units, derived values ------------------------------------------------
-
-
-def aligned(left, left_unit, right, right_unit) -> Column:
-    """F-05: (left, right, error): both in one unit, percent turned into fraction where they differ.  Values are DECIMAL(34,12) at most."""
-    a, b, u, v = _c(left), _c(right), _c(left_unit), _c(right_unit)
-    same = u == v
-    mixed = u.isin("fraction", "percent") & v.isin("fraction", "percent")
-    hundredth = F.lit("0.01").cast("decimal(3,2)")
-    wide = "decimal(37,14)"
-
-    def side(x, unit):
-        return F.when(same, x.cast(wide)).when(mixed & (unit == "percent"), (x.cast("decimal(34,12)") * hundredth).cast(wide)).when(mixed, x.cast(wide))
-
-    return F.struct(side(a, u).alias("left"), side(b, v).alias("right"), F.when(~(same | mixed) | u.isNull() | v.isNull(), F.lit("UNIT_MISMATCH")).alias("error"))
-
-
-def derived(op, left, left_unit, right, right_unit) -> Column:
-    """F-06/F-07 natively: (value, unit, error) of differences; ratios go to the exact lane and give error null, value null here."""
-    o, u, v = _c(op), _c(left_unit), _c(right_unit)
-    al = aligned(left, left_unit, right, right_unit)
-    gap = (al["left"] - al["right"]).try_cast("decimal(34,14)")
-    points = F.when((u == "percent") & (v == "percent"), gap).otherwise((gap.try_cast("decimal(34,14)") * F.lit(100).cast("decimal(3,0)")).try_cast("decimal(37,14)"))
-    error = (
-        F.when(al["error"].isNotNull(), al["error"])
-        .when((o == "percentage_point_difference") & ~u.isin("fraction", "percent"), "UNIT_MISMATCH")
-        .when(o.isin("ratio", "relative_change_percent") & (al["right"] == 0), "ZERO_DENOMINATOR")
-        .when(~o.isin(*OPERATIONS), "UNKNOWN_OPERATION")
-    )
-    unit = F.when(o == "percentage_point_difference", "percentage_point").when(o == "difference", F.when(u == v, u).otherwise("fraction")).when(o == "ratio", "ratio").otherwise("percent")
-    value = F.when(o == "percentage_point_difference", points).when(o == "difference", gap)
-    return F.struct(F.when(error.isNull(), value).alias("value"), F.when(error.isNull(), unit).alias("unit"), error.alias("error"))
-
-
-def compare(op, left, left_unit, right, right_unit) -> Column:
-    """P-09: (verdict, error) of a binary predicate."""
-    al = aligned(left, left_unit, right, right_unit)
-    a, b, o = al["left"], al["right"], _c(op)
-    verdict = F.when(o == "greater_than", a > b).when(o == "greater_equal", a >= b).when(o == "less_than", a < b).when(o == "less_equal", a <= b).when(o == "equal", a == b)
-    return F.struct(F.when(al["error"].isNull(), verdict).alias("verdict"), al["error"].alias("error"))
-
-
 def render(value, unit, kind, places, rounding, percent_symbol=False, most_places: int = 12) -> Column:
     """F-10/F-11: (text, error) of a decimal column; kinds decimal, integer and percent.
 

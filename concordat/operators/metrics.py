@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import exact, limbs
 from concordat.functions import lexeme as lx
-from concordat.operators import scans
+from concordat.operators import digests, scans
 from concordat.operators.declared import declared
 
 
@@ -151,9 +151,6 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     value = limbs.gated(cells.join(conf, ["field", *names[4:]]), F.col("field").isin([f for f in fields if types[f] != "string"]))
     canon = F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))
     more: dict[str, tuple[Column, str]] = {}
-    if fingerprints:
-        # An order-independent mark of the selected (key, value) multiset: two sums of 64-bit hashes and the count.
-        more |= {"mark_a": (F.xxhash64("row_key", canon).cast("decimal(28,0)"), "sum"), "mark_b": (F.xxhash64(canon, "row_key", F.lit(1)).cast("decimal(28,0)"), "sum")}
     seeded = bool(seed) and any(m.expected_seeds is not None for m in group)
     if seeded:
         more |= _seed_counts(F.col("expected_seeds"))
@@ -161,7 +158,12 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     out = limbs.sums(value, ["metric"], statistics, more)
     selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"), F.size("expected_seeds").alias("seeds_expected"))
     out = out.join(selector, "metric")
-    digest = lx.sha256(F.concat_ws("|", "selector", F.concat_ws(":", "n", "mark_a", "mark_b"))) if fingerprints else F.lit(None).cast("string")
+    digest = F.lit(None).cast("string")
+    if fingerprints:
+        # A-11, T-07: the selected (key, value) rows as a multiset; equal numbers written differently are equal.
+        marks_of = value.select("metric", F.sha2(F.concat_ws("|", "row_key", F.coalesce(canon, F.lit("null"))), 256).alias("mark"))
+        out = out.join(digests.merkle(marks_of, ["metric"], "mark").select("metric", F.col("digest").alias("rows_digest")), "metric")
+        digest = lx.sha256(F.concat_ws("|", "selector", F.col("n").cast("string"), "rows_digest"))
     ok = _seeds_hold(F.col("seeds_expected")) if seeded else F.lit(None).cast("boolean")
     return out.withColumns({"digest": digest, "seeds_ok": ok}).select("metric", *limbs.SUMS, "digest", "seeds_ok")
 

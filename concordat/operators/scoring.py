@@ -89,26 +89,31 @@ def containers(gold: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.select(F.col("token_id").alias("target"), "boxes", F.when(F.col("boxes") == 1, "supported").when(F.col("boxes") > 1, "ambiguous").otherwise("missed").alias("outcome"))
 
 
-# The fault scenarios, as what is done to (role, value, seed) rows and what must come of it.
+# The fault scenarios, of evidence, of documents and of patches, and what must come of a binding that passes without them.
 SCENARIOS = [
-    ("unchanged", "pass"), ("changed_test", "mismatch"), ("low_bit_change", "mismatch"), ("unrelated_model", "pass"), ("changed_train", "pass"),
-    ("missing_seed", "unknown"), ("duplicate_key", "unknown"), ("nonfinite", "unknown"), ("empty_selection", "unknown"), ("missing_column", "unknown"),
+    ("unchanged", "pass", None), ("changed_test", "mismatch", None), ("low_bit_change", "mismatch", None), ("unrelated_model", "pass", None), ("changed_train", "pass", None),
+    ("missing_seed", "unknown", "SEED_SET"), ("duplicate_key", "unknown", "SEED_SET"), ("nonfinite", "unknown", "INVALID_NUMBER"), ("empty_selection", "unknown", "UNKNOWN_METRIC"), ("missing_column", "unknown", "INVALID_NUMBER"),
+    ("anchor_missing", "unknown", "ANCHOR_MISSING"), ("ambiguous_anchor", "unknown", "ANCHOR_AMBIGUOUS"), ("unsupported_macro", "unknown", "UNSUPPORTED_DISPLAY"), ("patch_roundtrip", "mismatch", None), ("stale_patch", "mismatch", None),
 ]
+_CHANGED = ("changed_test", "patch_roundtrip", "stale_patch")
 
 
 def inject_faults(evidence: DataFrame) -> DataFrame:
-    """E-05: the evidence (dataset, model, split, seed, value) once for each scenario, with its fault, and ``expected``.
+    """E-05: the evidence (dataset, model, split, seed, value) once for each scenario, with its fault if it is one of evidence.
 
     All scenarios are checked in one job by the scenario's name.
     """
-    spark = evidence.sparkSession
-    names = spark.createDataFrame(SCENARIOS, "scenario string, expected string")
-    all_ = evidence.crossJoin(F.broadcast(names))  # ten scenarios
+    names = evidence.sparkSession.createDataFrame([(s,) for s, _, _ in SCENARIOS], "scenario string")
+    all_ = evidence.crossJoin(F.broadcast(names))  # fifteen scenarios
     target = (F.col("model") == "target") & (F.col("split") == "test")
     s, v = F.col("scenario"), F.col("value")
+
+    def more(x: str):
+        return (v.cast("decimal(24,12)") + F.lit(x).cast("decimal(24,12)")).cast("string")
+
     value = (
-        F.when((s == "changed_test") & target, (v.cast("decimal(24,12)") + F.lit("0.1").cast("decimal(24,12)")).cast("string"))
-        .when((s == "low_bit_change") & target & (F.col("seed") == "1"), (v.cast("decimal(24,12)") + F.lit("0.003").cast("decimal(24,12)")).cast("string"))
+        F.when(s.isin(*_CHANGED) & target, more("0.1"))
+        .when((s == "low_bit_change") & target & (F.col("seed") == "1"), more("0.003"))
         .when((s == "unrelated_model") & (F.col("model") == "decoy"), "0.123")
         .when((s == "changed_train") & (F.col("split") == "train"), "0.321")
         .when((s == "nonfinite") & target & (F.col("seed") == "2"), "NaN")
@@ -119,3 +124,19 @@ def inject_faults(evidence: DataFrame) -> DataFrame:
     changed = all_.withColumn("value", value).where(~gone)
     twice = all_.where((s == "duplicate_key") & target & (F.col("seed") == "1"))
     return changed.unionByName(twice)
+
+
+def inject_text_faults(documents: DataFrame, prefix: str, suffix: str, value: str) -> DataFrame:
+    """E-05: documents (doc_id, scenario, text) with the fault of their scenario, if it is one of text, at ``prefix``, the column ``value``, ``suffix``.
+
+    The context is rewritten, repeated in a comment, or the number wrapped in a
+    macro that nobody knows.
+    """
+    full = F.concat(F.lit(prefix), F.col(value), F.lit(suffix))
+    s = F.col("scenario")
+    faulty = (
+        F.when(s == "anchor_missing", F.concat(F.lit(prefix.replace(" ", " [rewritten] ", 1)), F.col(value), F.lit(suffix)))
+        .when(s == "ambiguous_anchor", F.concat(full, F.lit("\n% as before: "), full, F.lit("\n")))
+        .when(s == "unsupported_macro", F.concat(F.lit(prefix + "\\unknownmacro{"), F.col(value), F.lit("}" + suffix)))
+    )
+    return documents.withColumn("text", F.when(faulty.isNull(), F.col("text")).otherwise(F.replace("text", full, faulty)))

@@ -30,7 +30,7 @@ def binding_states(bindings: DataFrame, metrics: DataFrame, located: DataFrame)
     met = met.withColumn("shown", exact.render_column(F.when(usable, F.col("value")), F.col("unit"), F.col("kind"), F.col("places"), F.col("rounding"), F.col("percent_symbol")))
     actual = lx.normalise_percent(F.col("actual"), F.col("format"))
     first = F.when(F.col("actual").isNull() & F.col("place_error").isNull(), "ANCHOR_MISSING").otherwise(F.col("place_error"))
-    error = F.coalesce(F.when(F.col("there").isNull(), "UNKNOWN_METRIC"), "metric_error", first, "shown.error", lx.parse_display(actual)["error"])
+    error = F.coalesce(F.when(F.col("there").isNull(), "UNKNOWN_METRIC"), "metric_error", first, "shown.error", lx._let(actual, lambda x: lx.parse_display(x)["error"]))
     same = lx.display_matches(actual, F.col("shown.text"))
     status = F.when(error.isNotNull() | same.isNull(), "unknown").when(same, "pass").otherwise("mismatch")
     return met.select("binding", "metric", status.alias("status"), F.when(status == "unknown", F.coalesce(error, F.lit("UNSUPPORTED_DISPLAY"))).alias("error"), "actual", F.col("shown.text").alias("expected"))

@@ -7,13 +7,17 @@ text, so running sums of their lengths are the offsets; no Python is involved.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import lru_cache, partial
+from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from concordat.functions.lexeme import NATIVE_TOKEN, TOKEN, sha256
 from concordat.operators import intervals, scans
@@ -208,25 +212,93 @@ def locate_in_block(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     return unique_or_unknown(anchors, placed)
 
 
+class _Places:
+    """Where the substrings of a text occur, by rolling hashes: one sorted list of hashes for each length that is asked for."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        with np.errstate(over="ignore"):
+            codes = (codes + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+            codes ^= codes >> np.uint64(29)
+            up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 2**64)))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[:-1])])
+        self.down, self.lists = down, {}
+
+    def of(self, start: int, size: int) -> np.ndarray:
+        """All starts of the substring, rising."""
+        if size not in self.lists:
+            with np.errstate(over="ignore"):
+                hashes = (self.sums[size:] - self.sums[: len(self.sums) - size]) * self.down[: len(self.sums) - size]
+            order = np.argsort(hashes, kind="stable")
+            self.lists[size] = hashes, hashes[order], order
+        hashes, rising, order = self.lists[size]
+        left, right = np.searchsorted(rising, hashes[start], "left"), np.searchsorted(rising, hashes[start], "right")
+        return order[left:right]
+
+    def alone(self, start: int, end: int, before: int, after: int, most: int) -> bool:
+        """Whether only here a suffix follows within ``most`` behind a prefix."""
+        ends, suffixes = self.of(start - before, before) + before, self.of(end, after)
+        found = 0
+        for k in range(0, len(ends), 1024):  # mostly settled by the first few
+            part = ends[k : k + 1024]
+            at = np.searchsorted(suffixes, part)
+            gap = suffixes[np.minimum(at, len(suffixes) - 1)] - part
+            held = (at < len(suffixes)) & (gap <= most)
+            found += int(held.sum())
+            if found > 1 or (held & ((part != start) | (gap != end - start))).any():
+                return False
+        return found == 1
+
+
+_CONTEXTS = sorted(((2**i, 2**j) for i in range(10) for j in range(10)), key=lambda c: (c[0] + c[1], c[0]))
+
+
+def _anchored(batches, most: int = 1000):
+    token = re.compile(NATIVE_TOKEN, re.ASCII)
+    for batch in batches:
+        ids, rows = [], []
+        for text, targets in zip(batch.column("text").to_pylist(), batch.column("targets").to_pylist(), strict=True):
+            spans = [m.span() for m in token.finditer(text or "")]
+            nth = {s: i for i, (s, _) in enumerate(spans)}
+            places = None
+            for t in targets:
+                ids.append(t["target_id"])
+                i, found = nth.get(t["start"]), (None, None)
+                if i is not None and t["start"] <= t["end"] <= len(text):
+                    places = places or _Places(text)
+                    low, high = spans[i - 1][1] if i else 0, spans[i + 1][0] if i + 1 < len(spans) else len(text)
+                    tried = set()
+                    for before, after in _CONTEXTS:
+                        size = min(before, t["start"] - low), min(after, high - t["end"])
+                        if min(size) > 0 and size not in tried and places.alone(t["start"], t["end"], *size, most):
+                            found = text[t["start"] - size[0] : t["start"]], text[t["end"] : t["end"] + size[1]]
+                            break
+                        tried.add(size)
+                rows.append(found)
+        yield ids, rows
+
+
 def synthesise_anchors(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """X-09: the smallest (before, after) context from {1, 2, 4 ... 512} that places each target (target_id, doc_id, start, end) uniquely.
 
     Contexts stop at neighbouring numbers (W-06).  One row for each target
-    with prefix and suffix, or the error NO_UNIQUE_ANCHOR.
+    with prefix and suffix, or the error NO_UNIQUE_ANCHOR.  A text is read
+    once, with all of its targets; a context's uniqueness is looked up in lists
+    of hashes, which are made once for each length.
     """
-    tokens = number_tokens(documents, native=True).select("doc_id", "start", "end")
-    w = Window.partitionBy("doc_id").orderBy("start")
-    bounds = tokens.select("doc_id", "start", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("low"), F.lead("start").over(w).alias("high"))
-    sizes = F.array(*[F.lit(2**i) for i in range(10)])
-    grid = targets.join(bounds, ["doc_id", "start"]).select("target_id", "doc_id", "start", "end", "low", "high", F.explode(sizes).alias("before"))
-    grid = grid.withColumn("after", F.explode(sizes))
-    texts = documents.select("doc_id", "text")
-    tried = grid.join(texts, "doc_id").withColumns({"from": F.greatest("low", F.col("start") - F.col("before")), "to": F.least(F.coalesce("high", F.length("text")), F.col("end") + F.col("after"))})
-    tried = tried.withColumns({"prefix": F.substring("text", F.col("from") + 1, F.col("start") - F.col("from")), "suffix": F.substring("text", F.col("end") + 1, F.col("to") - F.col("end"))}).where("length(prefix) > 0 and length(suffix) > 0")
-    tried = tried.select("target_id", "doc_id", "start", "end", "before", "after", "prefix", "suffix", F.concat_ws("/", "target_id", "before", "after").alias("anchor_id"))
-    one = unique_or_unknown(tried, between_hits(documents, tried.select("anchor_id", "doc_id", "prefix", "suffix"))).where("error is null").select("anchor_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    good = tried.join(one, "anchor_id").where("s = start and e = end").groupBy("target_id").agg(F.min_by(F.struct("prefix", "suffix", "before", "after"), F.struct(F.col("before") + F.col("after"), "before")).alias("a"))
-    return targets.select("target_id").join(good, "target_id", "left").select("target_id", "a.prefix", "a.suffix", F.when(F.col("a").isNull(), "NO_UNIQUE_ANCHOR").alias("error"))
+    kind = targets.schema["target_id"].dataType
+    asked = targets.groupBy("doc_id").agg(F.collect_list(F.struct("target_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("targets"))
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for ids, rows in _anchored(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array([p for p, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["target_id", "prefix", "suffix"])
+
+    found = documents.select("doc_id", "text").join(asked, "doc_id").select("text", "targets").mapInArrow(run, f"target_id {kind.simpleString()}, prefix string, suffix string")
+    return targets.select("target_id").join(found, "target_id", "left").select("target_id", "prefix", "suffix", F.when(F.col("prefix").isNull(), "NO_UNIQUE_ANCHOR").alias("error"))
 
 
 def line_and_column(documents: DataFrame, places: DataFrame) -> DataFrame:
@@ -267,13 +339,34 @@ def apply_patches(documents: DataFrame, changes: DataFrame) -> DataFrame:
     """X-14, W-09: documents (doc_id, text) with changes (doc_id, start, end, before, after) put in, or an error and the text as it was.
 
     Refused as a whole where changes overlap, leave the text, or where the
-    text at a change is no longer ``before``.
+    text at a change is no longer ``before``.  A text is cut once at its sorted
+    changes and its pieces joined once, whatever their number.
     """
-    own = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before", "after"))).alias("c"))
-    met = documents.select("doc_id", F.col("text").alias("old")).join(own, "doc_id", "left")
-    c = F.col("c")
-    clash = F.exists(F.transform(c, lambda x, i: F.coalesce(F.get(c, i - 1)["end"] > x["start"], F.lit(False))), lambda x: x)
-    stale = F.exists(c, lambda x: F.coalesce(F.substring("old", x["start"] + 1, x["end"] - x["start"]) != x["before"], F.lit(True)))
-    error = F.when(c.isNull(), None).when(F.exists(c, lambda x: (x["start"] < 0) | (x["end"] > F.length("old")) | (x["start"] > x["end"])), "PATCH_RANGE").when(clash, "PATCH_OVERLAP").when(stale, "PATCH_STALE")
-    done = F.aggregate(F.reverse(c), F.col("old"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["after"], F.substring(t, x["end"] + 1, F.length(t))))
-    return met.select("doc_id", F.when(c.isNotNull() & error.isNull(), done).otherwise(F.col("old")).alias("text"), error.alias("error"), (c.isNotNull() & error.isNull()).alias("changed"))
+    own = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "before", "after"))).alias("c"))
+    met = documents.select("doc_id", "text").join(own, "doc_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            done = [_patched(text, c) for text, c in zip(batch.column("text").to_pylist(), batch.column("c").to_pylist(), strict=True)]
+            texts, errors = zip(*done, strict=True) if done else ((), ())
+            changed = [bool(c) and e is None for c, e in zip(batch.column("c").to_pylist(), errors, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(changed, pa.bool_())], ["doc_id", "text", "error", "changed"])
+
+    return met.mapInArrow(run, f"doc_id {met.schema['doc_id'].dataType.simpleString()}, text string, error string, changed boolean")
+
+
+def _patched(text: str | None, changes: list[dict] | None) -> tuple[str | None, str | None]:
+    if not changes:
+        return text, None
+    size = len(text or "")
+    if any(c["start"] is None or c["end"] is None or not 0 <= c["start"] <= c["end"] <= size for c in changes):
+        return text, "PATCH_RANGE"
+    if any(a["end"] > b["start"] for a, b in pairwise(changes)):
+        return text, "PATCH_OVERLAP"
+    if any(text[c["start"] : c["end"]] != c["before"] for c in changes):
+        return text, "PATCH_STALE"
+    pieces, at = [], 0
+    for c in changes:
+        pieces += [text[at : c["start"]], c["after"] or ""]
+        at = c["end"]
+    return "".join([*pieces, text[at:]]), None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import lexeme as lx
@@ -187,15 +187,48 @@ def export_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.export_states(s, n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("file")).join(after, "k").select("file", "source"))
 
 
-@query("""select event_type as run_id, user_id as metric, row_number() over (partition by event_type, user_id order by ts, event_id) - 1 as record_index, case when value is null then 'missing' else 'observed' end as status, event_id from events""")
+_HISTORY = """e as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as i from events),
+  h as (select u.user_id as run_id, t.event_type as metric, coalesce(i, 0) as record_index, case when e.event_id is null then 'not_logged' when value is null then 'missing' else 'observed' end as status, e.event_id
+    from (select distinct user_id from events) u cross join (select distinct event_type from events) t left join e on e.user_id = u.user_id and e.event_type = t.event_type)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of users as runs and event types as metrics, in pages of 20 entries."""
+    e = events(spark, sf_dir)
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    entry = F.struct(F.col("i").alias("o"), F.struct(F.col("value").cast("string").alias("value"), F.col("event_id").cast("string").alias("step"), F.unix_millis("at").cast("string").alias("timestamp"), *[F.lit(None).cast("string").alias(c) for c in ("model_id", "dataset_name", "dataset_digest")]).alias("x"))
+    numbered = e.withColumn("i", F.row_number().over(order) - 1)
+    return numbered.groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric"), F.floor(F.col("i") / 20).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["x"]).alias("entries"))
+
+
+@query(f"with {_HISTORY} select * from h")
 def history_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-05, W-04: event types as runs, users as metrics, one page each."""
+    """S-05, S-07, W-04: a metric that a run never logged keeps its row."""
     e = events(spark, sf_dir)
-    entry = F.struct(F.date_format("ts", "yyyyMMddHHmmssSSSSSS").alias("o"), F.col("event_id").alias("e"), F.struct(F.col("value").cast("string").alias("value"), F.col("event_id").cast("string").alias("step"), F.unix_millis("at").cast("string").alias("timestamp"), *[F.lit(None).cast("string").alias(c) for c in ("model_id", "dataset_name", "dataset_digest")]).alias("x"))
-    pages = e.groupBy(F.col("event_type").alias("run_id"), F.col("user_id").alias("metric")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["x"]).alias("entries")).withColumn("page", F.lit(0))
-    runs = e.select(F.col("event_type").alias("run_id")).distinct().withColumns({"status": F.lit("FINISHED"), "params": F.create_map(F.lit("a"), F.lit("b"))})
-    out = exports.project_mlflow(runs, pages, e.select(F.col("user_id").alias("metric")), ["a"])
-    return out.where("status <> 'not_logged'").select("run_id", "metric", "record_index", "status", F.col("step").alias("event_id"))
+    runs = e.select(F.col("user_id").alias("run_id")).distinct().withColumns({"status": F.lit("FINISHED"), "params": F.create_map(F.lit("a"), F.lit("b"))})
+    out = exports.project_mlflow(runs, _pages(spark, sf_dir), e.select(F.col("event_type").alias("metric")), ["a"])
+    return out.select("run_id", "metric", "record_index", "status", F.col("step").alias("event_id"))
+
+
+@query("""with p as (select doc_id as page, case when doc_id % 7 = 3 then 'SNAPSHOT_MISSING' when doc_id % 5 = 2 then 'IMPORT_CHANGED' end as error from documents where text is not null),
+  s as (select count(distinct text) as stored from documents where doc_id % 7 <> 3 or exists (select 1 from documents o where o.text = documents.text and o.doc_id % 7 <> 3))
+  select page, case when error = 'SNAPSHOT_MISSING' and exists (select 1 from documents a join documents b on a.text = b.text where a.doc_id = page and b.doc_id % 7 <> 3) then case when page % 5 = 2 then 'IMPORT_CHANGED' end else error end as error from p
+  where case when error = 'SNAPSHOT_MISSING' and exists (select 1 from documents a join documents b on a.text = b.text where a.doc_id = page and b.doc_id % 7 <> 3) then case when page % 5 = 2 then 'IMPORT_CHANGED' end else error end is not null
+  union all select -1, cast(stored as varchar) from s""")
+def import_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-08, S-09, C-21: documents as raw pages, stored twice, some left out and some imported otherwise than they project now; the row -1 has how many contents are stored."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page"), F.col("text").alias("content"))
+    root = f"{Scratch(spark, 'imports').root}/store"
+    part = d.where("page % 7 <> 3")
+    exports.store_pages(part, root)
+    store = exports.store_pages(part.where("page % 2 = 0"), root)
+
+    def project(pages: DataFrame) -> DataFrame:
+        return pages.select("page", F.length("content").alias("n"), F.regexp_count("content", F.lit(" ")).alias("spaces"))
+
+    imported = project(d).withColumn("n", F.when(F.col("page") % 5 == 2, F.col("n") + 1).otherwise(F.col("n")))
+    found = exports.verified_import(imported, d.select("page", lx.sha256("content").alias("sha256")), store, project)
+    return found.unionByName(store.agg(F.lit(-1).cast("long").alias("page"), F.count(F.lit(1)).cast("string").alias("error")))
 
 
 @query("""with p as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as place, lead(turn) over (partition by conv_id order by turn) is null as last, role from conversations),

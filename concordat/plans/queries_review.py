@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from concordat.functions.lexeme import fingerprint, sha256
 from concordat.operators import metrics as mx
-from concordat.operators import scoring, states, suggest
+from concordat.operators import scoring, states, suggest, textscan
 from concordat.operators.scratch import Scratch
+from concordat.plans import check as ck
 from concordat.plans import review
 from concordat.plans.register import Register
 from concordat.plans.vehicles import lineage, table
@@ -216,25 +217,55 @@ def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.positions(before, after, o.select(k.alias("target")), found)
 
 
-@query("""with g as (select l_orderkey from lineitem where l_linenumber <= 3 group by 1 having count(*) = 3 and count(distinct l_linenumber) = 3),
-  s as (select * from (values ('unchanged', 'pass'), ('changed_test', 'mismatch'), ('low_bit_change', 'mismatch'), ('unrelated_model', 'pass'), ('changed_train', 'pass'), ('missing_seed', 'unknown'), ('duplicate_key', 'unknown'),
-    ('nonfinite', 'unknown'), ('empty_selection', 'unknown'), ('missing_column', 'unknown')) v(scenario, status))
-  select scenario, status, (select count(*) from g) as experiments from s""")
+_FAULTS = """l as (select l_orderkey as k, l_linenumber as seed, cast(l_discount as decimal(18,3)) as v from lineitem),
+  g as (select k, list_sort(list(seed)) = [1, 2, 3] as whole, bool_and(seed = 3) as third, sum(v) as total, count(*) as n from l group by 1),
+  s as (select * from (values ('unchanged', 0.0), ('changed_test', 0.1), ('low_bit_change', 0.001), ('unrelated_model', 0.0), ('changed_train', 0.0), ('missing_seed', null), ('duplicate_key', null), ('nonfinite', null),
+    ('empty_selection', null), ('missing_column', null), ('anchor_missing', 0.0), ('ambiguous_anchor', 0.0), ('unsupported_macro', 0.0), ('patch_roundtrip', 0.1), ('stale_patch', 0.1)) v(scenario, shift)),
+  r as (select scenario, k, whole, third, floor(total * 1000 / n + 0.5) as reported, floor(total * 1000 / n + 1000 * shift + 0.5) as now,
+    case when scenario = 'empty_selection' or scenario = 'missing_seed' and third then 'UNKNOWN_METRIC' when scenario in ('missing_seed', 'duplicate_key') or not whole then 'SEED_SET' when scenario in ('nonfinite', 'missing_column') then 'INVALID_NUMBER'
+      when scenario = 'anchor_missing' then 'ANCHOR_MISSING' when scenario = 'ambiguous_anchor' then 'ANCHOR_AMBIGUOUS' when scenario = 'unsupported_macro' then 'UNSUPPORTED_DISPLAY' end as error from g, s)"""
+
+
+@query(f"""with {_FAULTS} select scenario, case when error is not null then 'unknown' when reported = now then 'pass' else 'mismatch' end as status, error, count(*) as experiments,
+    count(*) filter (where scenario = 'patch_roundtrip' and error is null) as patched, count(*) filter (where scenario = 'stale_patch' and error is null) as refused from r group by 1, 2, 3""")
 def fault_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-05: every order of three lines as an experiment, once for each injected fault, checked against the mean reported without it."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
-    whole = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("seeds")).where("n = 3 and seeds = 3")
-    lines = lines.join(whole.select("l_orderkey"), "l_orderkey", "left_semi")
-    value = F.col("l_discount").cast("decimal(18,2)").cast("string")
+    """E-05: every order as an experiment of the seeds 1, 2 and 3 with a document that reports its mean, once for each of fifteen faults of evidence, document or patch.
+
+    A mismatch of the two patch scenarios is patched; the patch must make the
+    document pass, and must be refused where the evidence has moved on since.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    value = F.col("l_discount").cast("decimal(18,3)")
     roles = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("split")) for m, s in (("target", "test"), ("target", "train"), ("decoy", "test"))])
-    rows = lines.select(F.col("l_orderkey").alias("dataset"), F.inline(roles), F.col("l_linenumber").cast("string").alias("seed"), value.alias("value"))
+    rows = lines.select(F.col("l_orderkey").alias("dataset"), F.inline(roles), F.col("l_linenumber").cast("string").alias("seed"), value.cast("string").alias("value"))
     target = scoring.inject_faults(rows).where("model = 'target' and split = 'test'")
-    own = mx.batch_matrix(target, ["dataset", "scenario"], ["value"], expected_count=3, seed="seed", expected_seeds=["1", "2", "3"])
-    reported = lines.groupBy(F.col("l_orderkey").alias("dataset")).agg(F.round(F.avg("l_discount"), 3).alias("reported"))
-    every = reported.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s, _ in scoring.SCENARIOS], "scenario string")))  # ten scenarios
-    met = every.join(own, ["dataset", "scenario"], "left")
-    status = F.when(F.col("value").isNull(), "unknown").when(F.abs(F.round(F.col("value").cast("double"), 3) - F.col("reported")) < 0.0005, "pass").otherwise("mismatch")
-    return met.groupBy("scenario", status.alias("status")).agg(F.count(F.lit(1)).alias("experiments"))
+    scratch = Scratch(spark, "faults")
+    key = F.concat_ws("/", "dataset", "scenario")
+    own = mx.batch_matrix(target, ["dataset", "scenario"], ["value"], seed="seed", expected_seeds=["1", "2", "3"])
+    metrics = scratch.save(own.select(key.alias("metric"), "value", F.lit("scalar").alias("unit"), "error"), "metrics")
+    # The document as written before any fault: the mean of all lines to three places, halves up.
+    mean = F.round((F.sum(value).cast("decimal(30,3)") * 1000 / F.count(F.lit(1))).cast("decimal(38,12)"), 0).cast("decimal(20,0)")
+    reported = lines.groupBy(F.col("l_orderkey").alias("dataset")).agg((mean / 1000).cast("decimal(18,3)").cast("string").alias("shown"))
+    names = spark.createDataFrame([(s,) for s, _, _ in scoring.SCENARIOS], "scenario string")
+    docs = reported.crossJoin(F.broadcast(names)).withColumn("doc_id", key)  # fifteen scenarios
+    docs = docs.withColumn("text", F.concat(F.lit("Order "), "dataset", F.lit(". Mean discount of "), "shown", F.lit(" on the test split.")))
+    docs = scratch.save(scoring.inject_text_faults(docs, "discount of ", " on the", "shown").select("doc_id", "scenario", "text"), "documents")
+    anchors = docs.select(F.col("doc_id").alias("binding"), "doc_id", F.lit(None).cast("string").alias("exact"), F.lit("discount of ").alias("prefix"), F.lit(" on the").alias("suffix"))
+    bindings = docs.select(F.col("doc_id").alias("binding"), F.col("doc_id").alias("metric"), *[F.lit(v).alias(k) for k, v in (("kind", "decimal"), ("places", 3), ("rounding", "half_up"), ("percent_symbol", False), ("format", "latex"))])
+    found = scratch.save(states.binding_states(bindings, metrics, ck.located_texts(docs, anchors)), "states")
+    # The patch of each mismatch, and what it is worth once it is applied.
+    wrong = docs.where("scenario in ('patch_roundtrip', 'stale_patch')").join(found.where("status = 'mismatch'").withColumnRenamed("binding", "doc_id").select("doc_id", "actual", "expected"), "doc_id")
+    place = textscan.between_hits(wrong, wrong.select(F.col("doc_id").alias("anchor_id"), "doc_id", F.lit("discount of ").alias("prefix"), F.lit(" on the").alias("suffix")))
+    changes = place.join(wrong.select("doc_id", "actual", "expected"), "doc_id").select("doc_id", "start", "end", F.col("actual").alias("before"), F.col("expected").alias("after"))
+    after = textscan.apply_patches(wrong.select("doc_id", "text"), changes).where("changed").select("doc_id", "text")
+    again = states.binding_states(bindings.join(after.select(F.col("doc_id").alias("binding")), "binding", "left_semi"), metrics, ck.located_texts(after, anchors.join(after.select("doc_id"), "doc_id", "left_semi")))
+    # Where the evidence has moved on, the value that the patch would write is no longer the metric's.
+    later = metrics.where(F.col("metric").endswith("/stale_patch")).withColumn("value", (F.col("value").cast("decimal(24,12)") + 1).cast("string"))
+    stale = states.binding_states(bindings, later, wrong.select(F.col("doc_id").alias("binding"), F.col("expected").alias("actual"), F.lit(None).cast("string").alias("error"))).where("status = 'mismatch'")
+    done = again.where("status = 'pass'").select("binding", F.lit(True).alias("patched")).join(stale.select("binding", F.lit(True).alias("refused")), "binding", "full")
+    scenario = F.substring_index("binding", "/", -1)
+    met = found.join(done, "binding", "left").withColumn("scenario", scenario)
+    return met.groupBy("scenario", "status", "error").agg(F.count(F.lit(1)).alias("experiments"), F.count_if(F.col("patched") & (F.col("scenario") == "patch_roundtrip")).alias("patched"), F.count_if(F.col("refused") & (F.col("scenario") == "stale_patch")).alias("refused"))
 
 
 @query("""select c_nationkey as k, count(*) as "rows", cast(1 as bigint) as contracts from customer group by 1""")

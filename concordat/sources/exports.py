@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions.lexeme import measurement, sha256
+from concordat.operators.scratch import Scratch
 
 # Run states that may be imported, by tracking system.
 TERMINAL = {"mlflow": ["FINISHED", "FAILED", "KILLED"], "wandb": ["finished", "failed", "killed", "crashed"]}
 
 
+#: Metrics of one import; their list is broadcast.
+MOST_METRICS = 10_000
+
+
 def continuity(pages: DataFrame) -> DataFrame:
     """W-05: (run_id, metric, error) of histories whose pages (run_id, metric, page, token) aren't 0..n-1 with a token on all but the last and none twice."""
     w = Window.partitionBy("run_id", "metric").orderBy("page")
@@ -33,7 +38,10 @@ def project_mlflow(runs: DataFrame, pages: DataFrame, metrics: DataFrame, identi
     dataset_digest)), ``metrics`` (metric) is what to import.  A metric without
     entries gives one row of status not_logged.
     """
-    wanted = terminal(runs, "mlflow").where("error is null").crossJoin(F.broadcast(metrics.select("metric").distinct()))  # the declared metrics of one import: a short list
+    listed = metrics.select("metric").distinct()
+    if listed.limit(MOST_METRICS + 1).count() > MOST_METRICS:
+        raise ValueError(f"an import declares at most {MOST_METRICS} metrics")
+    wanted = terminal(runs, "mlflow").where("error is null").crossJoin(F.broadcast(listed))
     flat = pages.select("run_id", "metric", "page", F.posexplode("entries").alias("pos", "e"))
     met = wanted.join(flat, ["run_id", "metric"], "left")
     w = Window.partitionBy("run_id", "metric").orderBy("page", "pos")
@@ -90,3 +98,42 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 def snapshot(content: DataFrame) -> DataFrame:
     """S-08: adds the content's sha256, under which it is stored."""
     return content.withColumn("sha256", sha256("content"))
+
+
+def store_pages(pages: DataFrame, root: str) -> DataFrame:
+    """S-08, C-21: writes raw pages (page, content) into the store below ``root`` and returns it: (sha256, content), each content once.
+
+    The store is partitioned by the first two digits of the hash, and only the
+    partitions that get something new are written again, whole.  So importing
+    the same pages twice, or running a failed import again, adds nothing.
+    """
+    spark = pages.sparkSession
+    fresh = snapshot(pages.select("content").distinct()).select("sha256", "content", F.substring("sha256", F.lit(8), F.lit(2)).alias("prefix"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        held = spark.read.schema(fresh.schema).parquet(root)
+        fresh = fresh.join(held.select("sha256"), "sha256", "left_anti")
+        scratch = Scratch(spark, "store")
+        new = scratch.save(fresh, "new")
+        # What is read is written elsewhere first: the partitions cannot be read while they are replaced.
+        fresh = scratch.save(held.join(new.select("prefix").distinct(), "prefix", "left_semi").select(*fresh.columns).unionByName(new), "whole")
+    fresh.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(root)
+    return spark.read.schema(fresh.schema).parquet(root).select("sha256", "content")
+
+
+def verified_import(imported: DataFrame, manifest: DataFrame, store: DataFrame, project) -> DataFrame:
+    """S-09, C-21: (page, error) of an import that doesn't hold against its stored raw pages.
+
+    ``manifest`` (page, sha256) names the pages, ``store`` (sha256, content) is
+    what ``store_pages`` keeps, and ``project`` makes the imported rows (page
+    and others) of (page, content).  ``SNAPSHOT_MISSING``: a page is not in the
+    store; ``SNAPSHOT_HASH``: its content is no longer that of its name;
+    ``IMPORT_CHANGED``: projecting it again gives other rows than imported.
+    """
+    met = manifest.select("page", F.col("sha256").alias("named")).join(store.select(F.col("sha256").alias("named"), "content"), "named", "left")
+    there = F.col("content").isNotNull()
+    broken = met.select("page", F.when(~there, "SNAPSHOT_MISSING").when(sha256("content") != F.col("named"), "SNAPSHOT_HASH").alias("error")).where("error is not null")
+    again = project(met.where(there).select("page", "content"))
+    kept = imported.join(met.where(there).select("page"), "page", "left_semi").select(*again.columns)
+    differing = same_rows(kept, again).select("page").distinct().join(broken.select("page"), "page", "left_anti")
+    return broken.unionByName(differing.select("page", F.lit("IMPORT_CHANGED").alias("error")))

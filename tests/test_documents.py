@@ -214,3 +214,43 @@ def test_literals_anywhere(spark):
     for chars in (1_000_000, 4):
         assert {tuple(r) for r in textscan.literals_anywhere(df, wanted, chars).collect()} == want
     assert textscan.literals_anywhere(df, wanted.where("exact = ''")).collect() == []
+
+
+def test_anchors_against_all_contexts(spark):
+    """Every context pair tried by plain search, on texts with few different contexts."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a ", "b ", "ab", ", ", "1 ", "22 ", "é "]) for _ in range(60)) for _ in range(8)]
+    token = re.compile(textscan.NATIVE_TOKEN, re.ASCII)
+    rows = [(f"{d}/{m.start()}", d, *m.span()) for d, text in enumerate(texts) for m in token.finditer(text)]
+    got = {r.target_id: (r.prefix, r.suffix) for r in textscan.synthesise_anchors(docs(spark, *texts), spark.createDataFrame(rows, "target_id string, doc_id long, start int, end int")).collect()}
+    assert len(got) == len(rows)
+    for name, d, start, end in rows:
+        text, spans = texts[d], [m.span() for m in token.finditer(texts[d])]
+        i = spans.index((start, end))
+        low, high = spans[i - 1][1] if i else 0, spans[i + 1][0] if i + 1 < len(spans) else len(text)
+        want = (None, None)
+        for before, after in textscan._CONTEXTS:
+            prefix, suffix = text[max(low, start - before) : start], text[end : min(high, end + after)]
+            if prefix and suffix:
+                ends = [k + len(prefix) for k in range(len(text)) if text.startswith(prefix, k)]
+                hits = [(e, text.find(suffix, e)) for e in ends if text.find(suffix, e) >= e]
+                if hits == [(start, end)]:
+                    want = prefix, suffix
+                    break
+        assert got[name] == want, (text, start)
+
+
+def test_many_changes_of_one_text_and_many_targets(spark):
+    words = [f"w{i} {i}" for i in range(100_000)]
+    text = " ".join(words)
+    at, changes = 0, []
+    for w in words:
+        changes.append((0, at, at + len(w), w, w.upper()))
+        at += len(w) + 1
+    d = docs(spark, text)
+    started = time.time()
+    got = textscan.apply_patches(d, spark.createDataFrame(changes, "doc_id long, start int, end int, before string, after string")).first()
+    assert got.changed and got.text == text.upper() and time.time() - started < 60
+    targets = [(k, 0, m.start(), m.end()) for k, m in enumerate(re.compile(textscan.NATIVE_TOKEN, re.ASCII).finditer(text[:200_000]))]
+    anchored = textscan.synthesise_anchors(docs(spark, text[:200_000]), spark.createDataFrame(targets, "target_id int, doc_id long, start int, end int"))
+    assert anchored.where("error is null").count() > 0.9 * len(targets) and time.time() - started < 180

@@ -106,12 +106,19 @@ def test_fault_scenarios_give_their_expected_states(spark):
     evidence = spark.createDataFrame(rows, "dataset string, model string, split string, seed string, value string")
     types = {"scenario": "string", "dataset": "string", "model": "string", "split": "string", "seed": "integer", "value": "decimal"}
     faulty = scoring.inject_faults(evidence)
-    wanted = [Metric(s, "value", "mean", "fraction", {"scenario": s, "model": "target", "split": "test"}, 3, "seed", ["1", "2", "3"]) for s, _ in scoring.SCENARIOS]
-    out = {r.metric: r for r in evaluate(faulty.drop("expected"), wanted, types).collect()}
-    for scenario, expected in scoring.SCENARIOS:
+    wanted = [Metric(s, "value", "mean", "fraction", {"scenario": s, "model": "target", "split": "test"}, None, "seed", ["1", "2", "3"]) for s, _, _ in scoring.SCENARIOS]
+    out = {r.metric: r for r in evaluate(faulty, wanted, types).collect()}
+    texts = spark.createDataFrame([(s, s, "It is 0.802 here.") for s, _, _ in scoring.SCENARIOS], "doc_id string, scenario string, text string").withColumn("shown", F.lit("0.802"))
+    texts = {r.scenario: r.text for r in scoring.inject_text_faults(texts, "It is ", " here", "shown").collect()}
+    assert texts["anchor_missing"] == "It [rewritten] is 0.802 here." and texts["unsupported_macro"] == "It is \\unknownmacro{0.802} here."
+    assert texts["ambiguous_anchor"].count("It is 0.802 here") == 2 and texts["unchanged"] == "It is 0.802 here."
+    for scenario, expected, error in scoring.SCENARIOS:
         r = out[scenario]
+        if scenario in ("anchor_missing", "ambiguous_anchor", "unsupported_macro"):
+            assert r.error is None and expected == "unknown" and texts[scenario] != texts["unchanged"]
+            continue
         state = "unknown" if r.error else "pass" if abs(float(r.value) - 0.802) < 1e-12 else "mismatch"
-        assert state == expected, (scenario, r)
+        assert state == expected and r.error == ("SEED_SET" if scenario == "empty_selection" else error), (scenario, r)
 
 
 def test_names_pages_and_first_rows(spark):
