@@ -14,6 +14,7 @@ No sum here can overflow below 1e10 rows of a group times 1e9 groups.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def products(text) -> Column:
     return F.flatten(F.transform(small, lambda a: F.transform(small, lambda b: F.struct((a["power"] + b["power"]).alias("power"), (a["limb"] * b["limb"]).cast("decimal(18,0)").alias("limb")))))
 
 
+def canonical_fast(value: Column) -> Column:
+    """``lexeme.canonical`` of a DECIMAL(24,12), without pattern matching."""
+    text = value.cast("string")
+    digits = F.ltrim(F.translate(text, "-.", ""), F.lit("0"))
+    bare = F.rtrim(digits, F.lit("0"))
+    return F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), bare, F.lit("e"), (F.length(digits) - F.length(bare) - 12).cast("string")))
+
+
 def beyond_limits(text) -> Column:
     """Whether a number is too long or too far from one for statistics."""
     power, size = lx.exponent(text), lx.digits(text)
@@ -70,55 +79,50 @@ def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more:
 
     ``squares`` says of which rows sums of squares are wanted.  ``more`` gives
     further columns: what to aggregate for each row, and how: ``sum`` or
-    ``collect_set``.
+    ``bit_or``.
 
-    Two aggregations: by group and power, which takes in all rows, and then of
-    a group's few powers.  Only wide numbers have more than one row in the
-    first.
+    All rows go through one aggregation of plain sums.  Only wide numbers are
+    cut into limbs, summed by group and power, and joined to it.
     """
-    empty = F.array().cast("array<struct<power:int,limb:decimal(18,0)>>")
     wanted = F.lit(False) if squares is None else squares
     more = more or {}
-    parts = F.transform(F.when(F.col("wide"), limbs("lexeme")).otherwise(empty), lambda x: F.struct(x["power"].alias("power"), x["limb"].alias("limb"), F.lit(None).cast("decimal(18,0)").alias("product")))
-    if squares is not None:
-        own = F.transform(F.when(F.col("wide") & wanted & ~beyond_limits("lexeme"), products("lexeme")).otherwise(empty), lambda x: F.struct(x["power"].alias("power"), F.lit(None).cast("decimal(18,0)").alias("limb"), x["limb"].alias("product")))
-        parts = F.concat(parts, own)
-    carried = [c for c in ("lexeme", "fast", "bad", "wide") if c in rows.columns]
-    cells = rows.select(*keys, *carried, *[x.alias(f"more_{k}") for k, (x, _) in more.items()], wanted.alias("wanted"), parts.alias("parts"))
-    cells = cells.select("*", F.posexplode_outer("parts").alias("at", "part")).drop("parts").select("*", F.col("part.power").alias("power"), (F.coalesce("at", F.lit(0)) == 0).alias("first"))
+    cells = rows.select(*keys, "lexeme", "fast", "bad", "wide", *[x.alias(f"more_{k}") for k, (x, _) in more.items()], wanted.alias("wanted"))
     whole = F.col("fast").cast("long").cast("decimal(12,0)")
     rest = ((F.col("fast") - whole) * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(12,0)")
-    asked = F.col("wanted") & F.col("first")
+    nothing = F.lit(None).cast("decimal(38,0)")
 
     def product(a: Column, b: Column) -> Column:
-        return F.sum(F.when(asked, (a * b).cast("decimal(28,0)"))) if squares is not None else F.lit(None).cast("decimal(38,0)")
-
-    combine = {"sum": F.sum, "collect_set": F.collect_set}
-    each = cells.groupBy(*keys, "power").agg(
-        F.count_if("first").alias("n"),
-        F.count_if(F.col("first") & F.col("lexeme").isNull()).alias("nulls"),
-        F.count_if(F.col("first") & F.col("bad")).alias("bad"),
-        F.count_if(F.col("first") & F.col("wide")).alias("wide"),
-        (F.count_if(asked & F.col("wide") & beyond_limits("lexeme")) if squares is not None else F.lit(0).cast("long")).alias("limit"),
-        F.sum(F.when(F.col("first"), F.col("fast").cast("decimal(28,12)"))).alias("total"),
-        F.sum("part.limb").alias("limb"),
-        F.sum("part.product").alias("product"),
+        return F.sum(F.when(F.col("wanted"), (a * b).cast("decimal(28,0)"))) if squares is not None else nothing
+
+    combine = {"sum": F.sum, "bit_or": F.bit_or}
+    main = cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("lexeme").isNull()).alias("nulls"),
+        F.count_if("bad").alias("bad"),
+        F.count_if("wide").alias("wide"),
+        (F.count_if(F.col("wanted") & F.col("wide") & beyond_limits("lexeme")) if squares is not None else F.lit(0).cast("long")).alias("limit"),
+        F.sum(F.col("fast").cast("decimal(28,12)")).alias("total"),
         product(whole, whole).alias("high"), product(whole, rest).alias("cross"), product(rest, rest).alias("low"),
-        *[combine[how](F.when(F.col("first"), F.col(f"more_{k}"))).alias(k) for k, (_, how) in more.items()],
+        *[combine[how](f"more_{k}").alias(k) for k, (_, how) in more.items()],
     )
-    again = {"sum": F.sum, "collect_set": lambda c: F.array_distinct(F.flatten(F.collect_list(c)))}
-    return each.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("n", "nulls", "bad", "wide", "limit", "total")],
+    none = F.lit(None).cast("decimal(18,0)")
+    parts = F.transform(limbs("lexeme"), lambda x: F.struct(x["power"].alias("power"), x["limb"].alias("limb"), none.alias("product")))
+    if squares is not None:
+        own = F.when(F.col("wanted") & ~beyond_limits("lexeme"), products("lexeme")).otherwise(F.array().cast("array<struct<power:int,limb:decimal(18,0)>>"))
+        parts = F.concat(parts, F.transform(own, lambda x: F.struct(x["power"].alias("power"), none.alias("limb"), x["limb"].alias("product"))))
+    each = cells.where("wide").select(*keys, F.explode(parts).alias("part")).groupBy(*keys, F.col("part.power").alias("power")).agg(F.sum("part.limb").alias("limb"), F.sum("part.product").alias("product"))
+    # As many rows of a group as powers.
+    long = each.groupBy(*[F.col(k).alias(f"wide_{k}") for k in keys]).agg(
         F.collect_list(F.when(F.col("limb").isNotNull(), F.struct("power", "limb"))).alias("limbs"),
-        *[F.sum(c).alias(c) for c in ("high", "cross", "low")],
         F.collect_list(F.when(F.col("product").isNotNull(), F.struct("power", F.col("product").alias("limb")))).alias("squares"),
-        *[again[how](k).alias(k) for k, (_, how) in more.items()],
     )
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"wide_{k}")), keys, F.lit(True))
+    return main.join(long, same, "left").select(*keys, *SUMS, *more)
 
 
 def carried(parts) -> Fraction:
-    """The number that summed limbs stand for."""
-    return sum((Fraction(int(limb)) * Fraction(10) ** power for power, limb in parts), Fraction(0))
+    """The number that summed limbs stand for; zero for none."""
+    return sum((Fraction(int(limb)) * Fraction(10) ** power for power, limb in parts or ()), Fraction(0))
 
 
 def total(row) -> Fraction:

@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.operators.scratch import Scratch
+
 #: Children of a node, on average at most, and the hex digits by which a level is shorter than the one below.
 CHILDREN, DIGITS = 4096, 3
 
 
 def merkle(rows: DataFrame, by: list[str], mark: str) -> DataFrame:
     """(by, n, digest): the digest of each group's multiset of ``mark``, a SHA-256 in hex that is null nowhere."""
-    counted = rows.groupBy(*by, F.col(mark).alias("prefix")).agg(F.count(F.lit(1)).alias("times"))
+    # Saved, as the rows may be costly and are asked for their number first.
+    counted = Scratch(rows.sparkSession, "digests").save(rows.groupBy(*by, F.col(mark).alias("prefix")).agg(F.count(F.lit(1)).alias("times")), "counted")
     sizes = counted.groupBy(*by).agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("different"))
     digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("different") / CHILDREN) / 4)).cast("int")
     sizes = sizes.select(*by, "n", digits.alias("digits"))

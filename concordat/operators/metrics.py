@@ -149,11 +149,12 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     lexemes = [F.lit(fields[0]).alias("field"), F.col(fields[0]).cast("string").alias("lexeme")] if len(fields) == 1 else [F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme")]
     cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *lexemes)
     value = limbs.gated(cells.join(conf, ["field", *names[4:]]), F.col("field").isin([f for f in fields if types[f] != "string"]))
-    canon = F.coalesce(lx.canonical("lexeme"), F.col("lexeme"))
+    canon = F.when(F.col("fast").isNotNull(), limbs.canonical_fast(F.col("fast"))).otherwise(F.coalesce(lx.canonical("lexeme"), F.col("lexeme")))
     more: dict[str, tuple[Column, str]] = {}
     seeded = bool(seed) and any(m.expected_seeds is not None for m in group)
     if seeded:
-        more |= _seed_counts(F.col("expected_seeds"))
+        most = max(len(m.expected_seeds or []) for m in group)
+        more |= _seed_counts(F.col("expected_seeds"), most)
     statistics = F.col("reduce") == "statistics" if any(m.reduce == "statistics" for m in group) else None
     out = limbs.sums(value, ["metric"], statistics, more)
     selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"), F.size("expected_seeds").alias("seeds_expected"))
@@ -164,19 +165,22 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
         marks_of = value.select("metric", F.sha2(F.concat_ws("|", "row_key", F.coalesce(canon, F.lit("null"))), 256).alias("mark"))
         out = out.join(digests.merkle(marks_of, ["metric"], "mark").select("metric", F.col("digest").alias("rows_digest")), "metric")
         digest = lx.sha256(F.concat_ws("|", "selector", F.col("n").cast("string"), "rows_digest"))
-    ok = _seeds_hold(F.col("seeds_expected")) if seeded else F.lit(None).cast("boolean")
+    ok = _seeds_hold(F.col("seeds_expected"), most) if seeded else F.lit(None).cast("boolean")
     return out.withColumns({"digest": digest, "seeds_ok": ok}).select("metric", *limbs.SUMS, "digest", "seeds_ok")
 
 
-def _seed_counts(expected: Column) -> dict[str, tuple[Column, str]]:
-    """What is counted of a selection's seeds: all, those expected, and which of these there are, a set no longer than the declared list."""
-    there = F.array_contains(expected, F.col("seed"))
-    return {"seeds": (F.when(F.col("seed").isNotNull(), 1).otherwise(0), "sum"), "seeds_known": (F.when(there, 1).otherwise(0), "sum"), "seed_set": (F.when(there, F.col("seed")), "collect_set")}
+def _seed_counts(expected: Column, most: int) -> dict[str, tuple[Column, str]]:
+    """What is counted of a selection's seeds: all, those expected, and a bit for each expected one that there is; ``most`` is the longest declared list."""
+    place = F.array_position(expected, F.col("seed"))
+    there = place > 0
+    bits = {f"seed_bits_{i}": (F.when(there & (F.floor((place - 1) / 62) == i), F.call_function("shiftleft", F.lit(1).cast("long"), ((place - 1) % 62).cast("int"))), "bit_or") for i in range(-(-most // 62))}
+    return {"seeds": (F.when(F.col("seed").isNotNull(), 1).otherwise(0), "sum"), "seeds_known": (F.when(there, 1).otherwise(0), "sum")} | bits
 
 
-def _seeds_hold(expected: Column) -> Column:
+def _seeds_hold(expected: Column, most: int) -> Column:
     """A-07: each expected seed once, and no other."""
-    return (F.col("seeds") == expected) & (F.col("seeds_known") == expected) & (F.size("seed_set") == expected)
+    different = sum((F.coalesce(F.bit_count(F.col(f"seed_bits_{i}")), F.lit(0)) for i in range(-(-most // 62))), F.lit(0))
+    return (F.col("seeds") == expected) & (F.col("seeds_known") == expected) & (different == expected)
 
 
 def _typed_text(value: str, kind: str) -> str:
@@ -205,8 +209,8 @@ def batch_matrix(evidence: DataFrame, group_by: list[str], fields: list[str], ho
     """
     long = evidence.select(*group_by, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
     wanted = None if expected_seeds is None else F.array(*map(F.lit, expected_seeds)).cast("array<string>")
-    grouped = limbs.sums(limbs.gated(long, F.lit(True)), [*group_by, "field"], more=None if wanted is None else _seed_counts(wanted))
-    seeds_ok = F.lit(None).cast("boolean") if wanted is None else _seeds_hold(F.lit(len(expected_seeds)))
+    grouped = limbs.sums(limbs.gated(long, F.lit(True)), [*group_by, "field"], more=None if wanted is None else _seed_counts(wanted, len(expected_seeds)))
+    seeds_ok = F.lit(None).cast("boolean") if wanted is None else _seeds_hold(F.lit(len(expected_seeds)), len(expected_seeds))
     missing = F.lit(False)
     for c in group_by:
         missing |= F.col(c).isNull()

@@ -193,7 +193,7 @@ def fingerprint_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 'level2', round((select v from m where model = 'A') / (select v from m where model = 'N') - (select v from m where model = 'A') / (select v from m where model = 'R'), 6), 'ratio', null""".replace("select 'pp_'", "select 2 as sources, 'pp_'", 1).replace("select 'ratio_'", "select 2, 'ratio_'").replace("select 'change_'", "select 2, 'change_'").replace("select 'level2'", "select 3, 'level2'"))
 def derived_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-03 with F-06 to F-09, A-12 and U-05: also a second level, and of how many source metrics the evidence is."""
-    own = mx.evaluate(evidence(spark, sf_dir), [Metric(m, "discount", "mean", "fraction", {"model": m}) for m in "ANR"], TYPES)
+    own = mx.evaluate(evidence(spark, sf_dir), [Metric(m, "discount", "mean", "fraction", {"model": m}) for m in "ANR"], TYPES, fingerprints=False)
     pairs = [("A", "N"), ("A", "R"), ("N", "R")]
     ops = {"pp": "percentage_point_difference", "ratio": "ratio", "change": "relative_change_percent"}
     out = mx.derive(own, [*[Derived(f"{k}_{a}_{b}", op, a, b) for a, b in pairs for k, op in ops.items()], Derived("level2", "difference", "ratio_A_N", "ratio_A_R")])
