@@ -160,14 +160,26 @@ def render(value, unit, kind, places, rounding, percent_symbol=False, most_place
 
 
 def plain_decimal(text) -> Column:
-    """A decimal lexeme within DECIMAL(38,18) in full: no exponent, no sign of zero, no zeros at the end of its fraction."""
-    fixed = F.coalesce(_c(text).try_cast("decimal(38,18)").cast("decimal(38,18)"), F.lit(None).cast("decimal(38,18)")).cast("string")
-    bare = F.regexp_replace(F.regexp_replace(F.format_string("%s", fixed), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(_c(text).try_cast("decimal(38,18)").isNotNull(), F.when(bare == "-0", "0").otherwise(bare))
+    """A decimal lexeme of any length in full: no exponent, no sign of zero, no zeros at the end of its fraction; null where the gate refuses it."""
+    t = _c(text)
+    power = exponent(t)
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"^[+\-]?([0-9.]*)", 1), r"[.]", ""), "^0+(?=.)", "")
+
+    def placed(x: Column) -> Column:
+        shift, digits_ = x["power"], x["whole"]
+        longer = F.concat(digits_, F.repeat(F.lit("0"), F.greatest(shift, F.lit(0))))
+        padded = F.lpad(digits_, F.greatest(F.length(digits_), 1 - shift), F.lit("0"))
+        cut = F.length(padded) + shift
+        pointed = F.concat(F.substring(padded, F.lit(1), cut), F.lit("."), F.substring(padded, cut + 1, -shift))
+        return F.when(shift >= 0, longer).otherwise(F.regexp_replace(F.regexp_replace(pointed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+
+    shown = _let(F.struct(power.cast("int").alias("power"), whole.alias("whole")), placed)
+    sign = F.when(t.startswith("-") & ~whole.rlike("^0*$"), "-").otherwise("")
+    return F.when(decimal_gate(t)["value"].isNotNull(), F.when(whole.rlike("^0*$"), "0").otherwise(F.concat(sign, shown)))
 
 
 def exact_json(fields: dict[str, tuple[Column, str]]) -> Column:
-    """F-25: a JSON object with sorted keys; strings are quoted, integers and decimals stand as exact numbers, nulls as null."""
+    """F-25: a JSON object with sorted keys; strings are quoted, integers and decimals stand as exact numbers, nulls as null; no text where a decimal is refused by the gate."""
 
     def value(x: Column, kind: str) -> Column:
         if kind == "string":
@@ -176,7 +188,8 @@ def exact_json(fields: dict[str, tuple[Column, str]]) -> Column:
         return plain_decimal(x) if kind == "decimal" else x.cast("string")
 
     parts = [F.concat(F.lit('"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'), F.when(x.isNull(), "null").otherwise(value(x, kind))) for name, (x, kind) in sorted(fields.items())]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    between = [x for part in parts for x in (F.lit(","), part)][1:]
+    return F.concat(F.lit("{"), *between, F.lit("}"))
 
 
 def location_label(file, fmt, line, table, row, column) -> Column:

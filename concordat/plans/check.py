@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from concordat.operators import intervals, states, textscan
 from concordat.operators.metrics import Derived, Metric, derive, evaluate
+from concordat.plans.scope import active_exclusions, context_hash, selected
+
+
+__all__ = ["Report", "active_exclusions", "check", "context_hash", "coverage", "located_texts"]
 
 
 @dataclass
@@ -44,12 +48,13 @@ def located_texts(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     return one.select(F.col("anchor_id").alias("binding"), F.when(error.isNull(), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("actual"), error.alias("error"))
 
 
-def coverage(documents: DataFrame, bound: DataFrame, exclusions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def coverage(documents: DataFrame, bound: DataFrame, exclusions: DataFrame, scope: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
     """C-04, J-06, J-20, P-13, F-31: (doc_id, start, end, token, state) of all checkable numbers: bound, excluded, outside_scope or unbound.
 
     ``exclusions`` (ord, doc_id, start, end, context_hash) count only if the 80
     characters on both sides are unchanged and they overlap neither a bound
-    span nor an earlier exclusion.
+    span nor an earlier active exclusion.  ``scope`` (doc_id) names the
+    documents under review, ``kinds`` the regions (abstract, table) in them.
     """
     tokens = textscan.number_tokens(documents, context=80)
     spans = textscan.checkable(documents, tokens)
@@ -59,29 +64,9 @@ def coverage(documents: DataFrame, bound: DataFrame, exclusions: DataFrame, scop
         return hit.select("doc_id", "start", "end", F.lit(True).alias(name)).distinct()
 
     out = spans.join(marked(bound, "is_bound"), ["doc_id", "start", "end"], "left").join(marked(good, "is_excluded"), ["doc_id", "start", "end"], "left")
-    if scope is not None:
-        out = out.join(scope.select("doc_id", F.lit(True).alias("in_scope")).distinct(), "doc_id", "left")
-    else:
+    if scope is None and not kinds:
         out = out.withColumn("in_scope", F.lit(True))
+    else:
+        out = out.join(selected(documents, spans, scope, kinds).withColumn("in_scope", F.lit(True)), ["doc_id", "start", "end"], "left")
     state = F.when(F.col("is_bound"), "bound").when(F.col("is_excluded"), "excluded").when(F.col("in_scope").isNull(), "outside_scope").otherwise("unbound")
     return out.select("doc_id", "start", "end", "token", state.alias("state"))
-
-
-def context_hash(documents: DataFrame, spans: DataFrame, size: int = 80) -> DataFrame:
-    """F-31: adds ``context`` of spans (doc_id, start, end), the sha256 of the text from ``size`` characters before to ``size`` behind."""
-    from concordat.functions.lexeme import sha256
-
-    met = spans.join(documents.select("doc_id", "text"), "doc_id", "left")
-    low = F.greatest(F.lit(0), F.col("start") - size)
-    return met.withColumn("context", sha256(F.substring("text", low + 1, F.col("end") + size - low))).drop("text")
-
-
-def active_exclusions(documents: DataFrame, bound: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """J-20, C-24: adds ``error`` to exclusions: EXCLUSION_BOUND, EXCLUSION_OVERLAP (the later one loses) or EXCLUSION_CHANGED."""
-    key = ["ord", "doc_id", "start", "end"]
-    fresh = context_hash(documents, exclusions)
-    over = intervals.overlap_join(exclusions.select(*key), bound.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("ord").distinct().withColumn("bound", F.lit(True))
-    twice = intervals.overlap_join(exclusions.select(*key), exclusions.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("ord").alias("other"))).where("other < ord").select("ord").distinct().withColumn("twice", F.lit(True))
-    met = fresh.join(over, "ord", "left").join(twice, "ord", "left")
-    error = F.when(F.col("bound"), "EXCLUSION_BOUND").when(F.col("twice"), "EXCLUSION_OVERLAP").when(~F.col("context").eqNullSafe(F.col("context_hash")), "EXCLUSION_CHANGED")
-    return met.select(*exclusions.columns, error.alias("error"))
