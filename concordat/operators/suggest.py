@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.operators import scans
+
 
 def plain(text: Column) -> Column:
     """F-26: text for matching: without macros and braces, folded to lower case (and ß to ss)."""
@@ -26,11 +28,13 @@ def suggest(choices: DataFrame, locations: DataFrame, aliases: DataFrame | None
     """J-08, U-11, W-02, W-03: (choice, location, matched, missing, field_match, rank, ties) of all locations that match a choice.
 
     ``choices`` has choice, identity (map of column to value) and field;
-    ``locations`` has location, row_text, column_header and is_table.  Rows are
-    cut into words, and a term's first word joins them; whole terms are then
-    verified, so nothing is compared with everything.  ``rank`` orders by the
-    number of matched columns, the field in the header, tables first, and the
-    location; ``ties`` counts those that share the best rank's merits.
+    ``locations`` has location (unique), row_text, column_header and is_table.
+    Rows are cut into words, and the word of a term that the fewest rows have
+    joins them; whole terms are then verified, so nothing is compared with
+    everything.  Only words and ids meet in that join; the rows' texts come in
+    for the pairs alone.  ``rank`` orders by the number of matched columns, the
+    field in the header, tables first, and the location; ``ties`` counts those
+    that share the best rank's merits.
     """
     terms = choices.select("choice", "field", F.map_keys("identity").alias("columns"), F.explode("identity").alias("column", "term"))
     if aliases is not None:
@@ -38,17 +42,38 @@ def suggest(choices: DataFrame, locations: DataFrame, aliases: DataFrame | None
         clean = aliases.join(conflicts, (F.lower(F.trim("label")) == F.col("l")) & (F.col("column") == F.col("c")), "left_anti")
         more = terms.join(clean.select(F.col("column").alias("c"), F.col("label").alias("l"), F.col("value").alias("v")), (F.col("column") == F.col("c")) & (F.col("term") == F.col("v"))).select("choice", "field", "columns", "column", F.col("l").alias("term"))
         terms = terms.unionByName(more)
-    first = F.try_element_at(F.filter(F.split(plain(F.col("term")), r"(?U)[^\w]+"), lambda x: x != ""), F.lit(1))
-    terms = terms.withColumn("word", first).where("word is not null")
-    rows = locations.withColumns({"row_plain": plain(F.col("row_text")), "head_plain": plain(F.coalesce("column_header", F.lit("")))})
-    worded = rows.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("row_plain", r"(?U)[^\w]+"), lambda x: x != ""))))
-    met = terms.join(worded, "word").where(contains_term(F.col("row_plain"), plain(F.col("term"))))
-    found = met.groupBy("choice", "location").agg(F.array_sort(F.collect_set("column")).alias("matched"), F.first("columns").alias("columns"), F.max(contains_term(F.col("head_plain"), plain(F.col("field"))).cast("int")).alias("field_match"), F.first("is_table").alias("is_table"))
-    merits = [F.desc(F.size("matched")), F.desc("field_match"), F.desc("is_table")]
-    w = Window.partitionBy("choice")
-    ranked = found.withColumns({"rank": F.row_number().over(w.orderBy(*merits, "location")), "merit": F.dense_rank().over(w.orderBy(*merits))})
-    ties = F.sum((F.col("merit") == 1).cast("int")).over(w)
-    return ranked.select("choice", "location", "matched", F.array_sort(F.array_except("columns", "matched")).alias("missing"), "field_match", "is_table", "rank", "merit", ties.alias("ties"))
+    def cut(text: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(text, r"(?U)[^\w]+"), lambda x: x != ""))
+
+    rows = locations.select("location", "is_table", plain(F.coalesce("row_text", F.lit(""))).alias("row_plain"), plain(F.coalesce("column_header", F.lit(""))).alias("head_plain"))
+    asked = terms.withColumn("term_words", cut(plain(F.col("term")))).where(F.size("term_words") > 0)
+    words = asked.select(F.explode("term_words").alias("word")).distinct()
+    held = rows.select("location", F.explode(cut(F.col("row_plain"))).alias("word")).join(words, "word", "left_semi")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # A word that no row has rules its term out: it counts 0 and then meets nothing.
+    each = asked.select("term", F.explode("term_words").alias("word")).distinct().join(often, "word", "left")
+    rarest = each.groupBy("term").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    pairs = asked.drop("term_words").join(rarest, "term").join(held, "word").drop("word")
+    met = pairs.join(rows, "location").where(contains_term(F.col("row_plain"), plain(F.col("term"))))
+    in_head = F.coalesce(F.max(contains_term(F.col("head_plain"), plain(F.col("field"))).cast("int")), F.lit(0))
+    found = met.groupBy("choice", "location").agg(F.array_sort(F.collect_set("column")).alias("matched"), F.first("columns").alias("columns"), in_head.alias("field_match"), F.coalesce(F.first("is_table"), F.lit(False)).alias("is_table"))
+    return ranked(found).select("choice", "location", "matched", F.array_sort(F.array_except("columns", "matched")).alias("missing"), "field_match", "is_table", "rank", "merit", "ties")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """W-02, W-03: adds rank, merit and ties to the locations of each choice (choice, location, matched, field_match, is_table).
+
+    A choice has few different merits, which a window ranks by their counts;
+    the places within one merit are a segmented scan, so a choice may have any
+    number of locations.
+    """
+    by = ["n_matched", "field_match", "is_table"]
+    sized = found.withColumn("n_matched", F.size("matched"))
+    counts = sized.groupBy("choice", *by).agg(F.count(F.lit(1)).alias("same"))
+    w = Window.partitionBy("choice").orderBy(*[F.desc(c) for c in by])
+    steps = counts.select("choice", *by, F.row_number().over(w).alias("merit"), F.coalesce(F.sum("same").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("better"), F.first("same").over(w).alias("ties"))
+    placed = scans.Runs(sized.join(steps, ["choice", *by]), ["choice", "merit"], ["location"]).running(place=("sum", F.lit(1).cast("long"))).result()
+    return placed.withColumn("rank", F.col("better") + F.col("place")).drop("n_matched", "better", "place")
 
 
 def best(ranked: DataFrame, show: int = 3) -> DataFrame:

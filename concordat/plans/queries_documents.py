@@ -147,6 +147,20 @@ def suggest_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggest(choices, rows).groupBy("choice").agg(F.count(F.lit(1)).alias("locations"))
 
 
+@query("""with m as (select n_name as choice, c_custkey as location, cast(c_nationkey = n_nationkey as integer) + cast(c_mktsegment = 'BUILDING' as integer) as matched, cast(c_custkey % 2 = 0 as integer) as field_match, c_custkey % 3 <> 0 as is_table
+    from nation join customer on c_nationkey = n_nationkey or c_mktsegment = 'BUILDING'),
+  r as (select choice, location, matched, row_number() over (partition by choice order by matched desc, field_match desc, is_table desc, location) as rank, dense_rank() over (partition by choice order by matched desc, field_match desc, is_table desc) as merit from m)
+  select *, count(*) filter (where merit = 1) over (partition by choice) as ties from r""")
+def suggestion_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-08, W-02, W-03: customers' rows for choices of a nation and one segment, which a fifth of all rows name; every rank and the ties of the best."""
+    n = table(spark, sf_dir, "nation")
+    choices = n.select(F.col("n_name").alias("choice"), F.create_map(F.lit("nation"), F.col("n_name"), F.lit("segment"), F.lit("BUILDING")).alias("identity"), F.lit("balance").alias("field"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    rows = c.select(k.alias("location"), F.concat(F.lit("row of "), "n_name", F.lit(" in "), "c_mktsegment").alias("row_text"), F.when(k % 2 == 0, "the balance").otherwise("balances").alias("column_header"), (k % 3 != 0).alias("is_table"))
+    return suggest.suggest(choices, rows).select("choice", "location", F.size("matched").alias("matched"), "rank", F.col("merit").cast("long").alias("merit"), "ties")
+
+
 @query("""with r as (select o_custkey, o_orderkey, dense_rank() over w as merit, row_number() over (partition by o_custkey order by o_orderpriority, o_orderkey) as r from orders window w as (partition by o_custkey order by o_orderpriority)),
   t as (select *, count(*) filter (where merit = 1) over (partition by o_custkey) as ties from r) select o_custkey, o_orderkey, ties from t where merit = 1 and r <= 3""")
 def best_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
