@@ -3,6 +3,10 @@
 Offsets are 0-based code points, ends are exclusive.  Tokens are cut out by
 one pattern: the gaps between matches and the matches themselves add up to the
 text, so running sums of their lengths are the offsets; no Python is involved.
+
+Tables that grow together are joined by merge, which is a hint: Spark guesses a
+size from compressed files, and what is made of a few packed numbers can be many
+times that, too much for a broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def number_tokens(documents: DataFrame, native: bool = False, context: int = 90)
 def repeats(tokens: DataFrame) -> DataFrame:
     """A-19, W-01: adds how often a token's text occurs in its document; pre-aggregated, so a very common token is no window of its own."""
     n = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("same_text"))
-    return tokens.join(n, ["doc_id", "token"])
+    return tokens.join(n.hint("merge"), ["doc_id", "token"])
 
 
 # Region kinds and the patterns of what is blocked or has priority.
@@ -105,7 +109,7 @@ def checkable(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     """X-02: tokens outside blocked regions; a document with dynamic macros has none."""
     static = documents.where(~F.col("text").rlike(DYNAMIC)).select("doc_id")
     blocked = intervals.union(regions(documents, BLOCKED)).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return intervals.overlap_join(tokens, blocked, how="left_anti").join(static, "doc_id", "left_semi")
+    return intervals.overlap_join(tokens, blocked, how="left_anti").join(static.hint("merge"), "doc_id", "left_semi")
 
 
 # -- anchors --------------------------------------------------------------
@@ -113,11 +117,16 @@ def checkable(documents: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def literal_hits(documents: DataFrame, literals: DataFrame) -> DataFrame:
     """X-06: (anchor_id, doc_id, start, end) of every non-overlapping occurrence of an exact literal; ``literals`` has anchor_id, doc_id and exact."""
-    met = documents.select("doc_id", "text").join(literals.where("length(exact) > 0"), "doc_id")
+    return _occurrences(documents.select("doc_id", "text").join(literals.where("length(exact) > 0").hint("merge"), "doc_id")).select("anchor_id", "doc_id", "start", "end")
+
+
+def _occurrences(met: DataFrame) -> DataFrame:
+    """Rows with ``text`` and ``exact``, not empty, once for each occurrence, with ``start`` and ``end`` instead of these two."""
     gaps = F.transform(F.split("text", F.concat(F.lit("\\Q"), F.replace("exact", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1), lambda g: F.length(g))
     n = F.col("n")
     starts = _let(gaps, lambda all_: _let(F.slice(all_, F.lit(1), F.size(all_) - 1), lambda g: F.zip_with(g, _sums_before(F.transform(g, lambda x: x + n)), lambda x, before: x + before)))
-    return met.withColumn("n", F.length("exact")).select("anchor_id", "doc_id", F.explode(starts).alias("start"), "n").select("anchor_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    kept = [c for c in met.columns if c not in ("text", "exact")]
+    return met.withColumn("n", F.length("exact")).select(*kept, F.explode(starts).alias("start"), "n").select(*kept, "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 #: Characters of the literals that one automaton holds, on average at most.
@@ -176,7 +185,7 @@ def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) ->
 
     Prefix hits may overlap.  ``anchors`` has anchor_id, doc_id, prefix, suffix.
     """
-    met = documents.select("doc_id", "text").join(anchors.where("length(prefix) > 0 and length(suffix) > 0"), "doc_id").where(F.contains("text", F.col("prefix")))
+    met = documents.select("doc_id", "text").join(anchors.where("length(prefix) > 0 and length(suffix) > 0").hint("merge"), "doc_id").where(F.contains("text", F.col("prefix")))
     quoted = F.concat(F.lit("(?=\\Q"), F.replace("prefix", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     pieces = F.transform(F.split("text", quoted, -1), lambda p: F.length(p))
     # Splitting before each hit gives pieces whose lengths add up to the hits' places; a hit at 0 makes no empty piece.
@@ -190,7 +199,7 @@ def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) ->
 def unique_or_unknown(anchors: DataFrame, hits: DataFrame) -> DataFrame:
     """A-28, N3: (anchor_id, hits, start, end, error): the one place of each anchor, counting every hit, also in comments."""
     n = hits.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("hits"), F.min("start").alias("start"), F.min("end").alias("end"))
-    out = anchors.select("anchor_id").join(n, "anchor_id", "left")
+    out = anchors.select("anchor_id").join(n.hint("merge"), "anchor_id", "left")
     one = F.col("hits") == 1
     return out.select("anchor_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(one, F.col("start")).alias("start"), F.when(one, F.col("end")).alias("end"), F.when(F.col("hits").isNull(), "ANCHOR_MISSING").when(~one, "ANCHOR_AMBIGUOUS").alias("error"))
 
@@ -203,12 +212,9 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 def locate_in_block(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """X-08: places of (anchor_id, doc_id, identity, exact) inside the one block of that identity; none where several blocks have it."""
-    own = blocks(documents)
-    met = anchors.join(own.select("doc_id", "block", F.col("start").alias("b_start"), F.col("text"), "identity"), ["doc_id", "identity"])
-    n = met.groupBy("anchor_id").agg(F.count_distinct("block").alias("n")).where("n = 1")
-    inside = met.join(n, "anchor_id", "left_semi")
-    hits = literal_hits(inside.select(F.col("anchor_id").alias("doc_id"), "text"), inside.select("anchor_id", F.col("anchor_id").alias("doc_id"), "exact"))
-    placed = hits.join(inside.select("anchor_id", F.col("doc_id").alias("d"), "b_start"), "anchor_id").select("anchor_id", F.col("d").alias("doc_id"), (F.col("start") + F.col("b_start")).alias("start"), (F.col("end") + F.col("b_start")).alias("end"))
+    own = blocks(documents).groupBy("doc_id", "identity").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("b_start"), F.min("text").alias("text")).where("n = 1").drop("n")
+    inside = anchors.where("length(exact) > 0").join(own.hint("merge"), ["doc_id", "identity"]).select("anchor_id", "doc_id", "b_start", "text", "exact")
+    placed = _occurrences(inside).select("anchor_id", "doc_id", (F.col("start") + F.col("b_start")).alias("start"), (F.col("end") + F.col("b_start")).alias("end"))
     return unique_or_unknown(anchors, placed)
 
 
@@ -297,14 +303,14 @@ def synthesise_anchors(documents: DataFrame, targets: DataFrame) -> DataFrame:
         for ids, rows in _anchored(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array([p for p, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["target_id", "prefix", "suffix"])
 
-    found = documents.select("doc_id", "text").join(asked, "doc_id").select("text", "targets").mapInArrow(run, f"target_id {kind.simpleString()}, prefix string, suffix string")
-    return targets.select("target_id").join(found, "target_id", "left").select("target_id", "prefix", "suffix", F.when(F.col("prefix").isNull(), "NO_UNIQUE_ANCHOR").alias("error"))
+    found = documents.select("doc_id", "text").join(asked.hint("merge"), "doc_id").select("text", "targets").mapInArrow(run, f"target_id {kind.simpleString()}, prefix string, suffix string")
+    return targets.select("target_id").join(found.hint("merge"), "target_id", "left").select("target_id", "prefix", "suffix", F.when(F.col("prefix").isNull(), "NO_UNIQUE_ANCHOR").alias("error"))
 
 
 def line_and_column(documents: DataFrame, places: DataFrame) -> DataFrame:
     """W-13, F-34: adds line, column (from 1) and byte_start to places (doc_id, start)."""
     head = F.substring("text", F.lit(1), F.col("start"))
-    met = places.join(documents.select("doc_id", "text"), "doc_id")
+    met = places.join(documents.select("doc_id", "text").hint("merge"), "doc_id")
     return met.withColumns({"line": F.regexp_count(head, F.lit("\n")) + 1, "column": F.col("start") - (F.length(head) - F.length(F.substring_index(head, "\n", -1))) + 1, "byte_start": F.octet_length(head)}).drop("text")
 
 
@@ -318,8 +324,8 @@ def resolve_figures(references: DataFrame, files: DataFrame) -> DataFrame:
     folder = F.regexp_extract("file", r"^(.*/)[^/]*$", 1)
     suffixes = F.array(*map(F.lit, ["", ".pdf", ".png", ".jpg", ".jpeg", ".eps"]))
     tries = F.array_distinct(F.flatten(F.transform(F.array(F.lit(""), folder), lambda d: F.transform(suffixes, lambda s: F.concat(d, F.col("target"), s)))))
-    hits = references.select("file", "target", F.explode(tries).alias("path")).join(files.select("path").distinct(), "path").groupBy("file", "target").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))
-    return references.distinct().join(hits, ["file", "target"], "left").select("file", "target", F.when(F.col("n") == 1, F.col("path")).alias("path"), F.when(F.col("n").isNull(), "FIGURE_MISSING").when(F.col("n") > 1, "FIGURE_AMBIGUOUS").alias("error"))
+    hits = references.select("file", "target", F.explode(tries).alias("path")).join(files.select("path").distinct().hint("merge"), "path").groupBy("file", "target").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))
+    return references.distinct().join(hits.hint("merge"), ["file", "target"], "left").select("file", "target", F.when(F.col("n") == 1, F.col("path")).alias("path"), F.when(F.col("n").isNull(), "FIGURE_MISSING").when(F.col("n") > 1, "FIGURE_AMBIGUOUS").alias("error"))
 
 
 def section_paths(lines: DataFrame) -> DataFrame:
@@ -343,7 +349,7 @@ def apply_patches(documents: DataFrame, changes: DataFrame) -> DataFrame:
     changes and its pieces joined once, whatever their number.
     """
     own = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "before", "after"))).alias("c"))
-    met = documents.select("doc_id", "text").join(own, "doc_id", "left")
+    met = documents.select("doc_id", "text").join(own.hint("merge"), "doc_id", "left")
 
     def run(batches):
         for batch in batches:

@@ -254,3 +254,19 @@ def test_many_changes_of_one_text_and_many_targets(spark):
     targets = [(k, 0, m.start(), m.end()) for k, m in enumerate(re.compile(textscan.NATIVE_TOKEN, re.ASCII).finditer(text[:200_000]))]
     anchored = textscan.synthesise_anchors(docs(spark, text[:200_000]), spark.createDataFrame(targets, "target_id int, doc_id long, start int, end int"))
     assert anchored.where("error is null").count() > 0.9 * len(targets) and time.time() - started < 180
+
+
+def test_tables_that_grow_together_are_not_broadcast(spark, capsys):
+    n = spark.range(50)
+    refs = n.select(F.format_string("p/%s.tex", "id").alias("file"), F.format_string("f%s", "id").alias("target"))
+    textscan.resolve_figures(refs, n.select(F.format_string("f%s.pdf", "id").alias("path"))).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_blocks_are_found_without_a_broadcast(spark, capsys):
+    d = spark.range(50).select(F.col("id").alias("doc_id"), F.format_string("Total %s.\n\nNone.", "id").alias("text"))
+    anchors = textscan.blocks(d).where("block = 0").select("doc_id", "identity", F.col("doc_id").alias("anchor_id"), F.col("doc_id").cast("string").alias("exact"))
+    found = textscan.locate_in_block(d, anchors)
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert {(r.hits, r.start, r.error) for r in found.collect()} == {(1, 6, None)}
