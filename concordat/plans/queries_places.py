@@ -104,7 +104,7 @@ def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.format_string("Order %s: [%s]", "k", "p")
     docs = o.select(F.col("k").alias("doc_id"), F.concat(first, F.when(F.col("k") % 5 == 0, F.lit("\n\nOrder 1: [2]")).otherwise(F.format_string("\n\nCustomer %s pays [%s]", "c", "p"))).alias("text"))
     own = textscan.blocks(docs).where("block = 0").select("doc_id", "identity")
-    anchors = o.select(F.col("k").alias("anchor_id"), F.col("k").alias("doc_id"), F.format_string("[%s]", "p").alias("exact")).join(own, "doc_id")
+    anchors = o.select(F.col("k").alias("anchor_id"), F.col("k").alias("doc_id"), F.format_string("[%s]", "p").alias("exact")).join(own.hint("merge"), "doc_id")
     found = textscan.locate_in_block(docs, anchors)
     return found.select("anchor_id", "hits", (F.col("start") + 1).alias("start"), "error")
 
@@ -130,7 +130,7 @@ def anchor_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = F.when(F.col("k") % 3 == 0, F.format_string("Total of %s is paid", "p")).otherwise(F.format_string("Total %s is paid", "p"))
     anchors = o.select(F.col("k").alias("binding"), F.col("k").alias("doc_id"), exact.alias("exact"))
     own = textscan.blocks(docs).where("block = 0").select("doc_id", "identity")
-    previous = o.select(F.col("k").alias("binding"), F.col("k").alias("doc_id"), F.lit(6).alias("offset"), F.lit(6).alias("start"), F.lit(9).alias("end")).join(own, "doc_id")
+    previous = o.select(F.col("k").alias("binding"), F.col("k").alias("doc_id"), F.lit(6).alias("offset"), F.lit(6).alias("start"), F.lit(9).alias("end")).join(own.hint("merge"), "doc_id")
     return review.repairs(anchors, docs, previous).select("binding", "error", "new_start", "new_end")
 
 
