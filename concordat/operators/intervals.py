@@ -51,10 +51,12 @@ def innermost(pairs: DataFrame, on: str = "doc_id") -> DataFrame:
 def union(spans: DataFrame, on: str = "doc_id") -> DataFrame:
     """W-11: overlapping and touching intervals merged, by gaps and islands.
 
+    Equal intervals count once: of two, only the first in an order has a gap
+    before it, and the two passes may not order them alike.
     Both running values, the farthest end so far and the number of islands, are
     segmented scans, so a document may have any number of intervals.
     """
-    runs = scans.Runs(spans.select(on, "start", "end"), [on], ["start", "end"]).running(inclusive=False, _before=("max", F.col("end")))
+    runs = scans.Runs(spans.select(on, "start", "end").distinct(), [on], ["start", "end"]).running(inclusive=False, _before=("max", F.col("end")))
     new = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0).cast("long")
     return runs.running(_island=("sum", new)).result().groupBy(on, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 

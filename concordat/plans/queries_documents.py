@@ -74,7 +74,7 @@ def innermost_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", "start", "end", (F.col("r_end") - F.col("r_start")).alias("width"))
 
 
-@query(f"""with {_SPANS}, o as (select doc_id, s, e, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as before from spans),
+@query(f"""with {_SPANS}, o as (select doc_id, s, e, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as before from (select distinct doc_id, s, e from spans)),
   g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from o)
   select doc_id, min(s) as start, max(e) as "end" from g group by doc_id, island""")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:

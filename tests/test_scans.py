@@ -89,3 +89,12 @@ def test_revision_list_is_one_order(spark):
     rows = [(s, k, f"{k}{i}") for i in range(40) for s, k in (("pass", "claim"), ("unknown", "claim"), ("mismatch", "binding"))]
     got = states.revision_list(spark.createDataFrame(rows, "status string, kind string, subject string")).collect()
     assert [r.rank for r in got] == list(range(1, 121)) and [r.status for r in got] == ["unknown"] * 40 + ["mismatch"] * 40 + ["pass"] * 40
+
+
+def test_union_scans_a_total_order(spark, monkeypatch):
+    """Equal intervals would be ordered by chance, and not alike in both passes."""
+    seen, real = [], scans.Runs
+    monkeypatch.setattr(scans, "Runs", lambda rows, *rest: seen.append(rows) or real(rows, *rest))
+    spans = spark.createDataFrame([("d", 0, 4), ("d", 9, 12), ("d", 9, 12), ("d", 4, 6)], "doc_id string, start int, end int")
+    assert sorted(map(tuple, intervals.union(spans).collect())) == [("d", 0, 6), ("d", 9, 12)]
+    assert seen[0].count() == seen[0].distinct().count() == 3
