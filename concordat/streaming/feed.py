@@ -18,19 +18,21 @@ def content_changes(feed: DataFrame) -> DataFrame:
     """R-01, R-06: (path, generation, change, sha256, at) whenever a path's content identity differs from its last one.
 
     ``feed`` streams (path, sha256, at).  Touches without a new identity are no
-    change; a null identity is a removal.
+    change; a null identity is a removal.  A path's arrivals of one micro-batch
+    come in several Arrow batches where they are many, and are put in the order
+    of their times together.
     """
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, generation = state.get if state.exists else (None, 0)
         rows = []
-        for batch in batches:
-            for r in batch.sort_values(["at", "sha256"]).itertuples(index=False):
-                new = None if pd.isna(r.sha256) else r.sha256
-                if new != last:
-                    generation += 1
-                    rows.append((key[0], generation, "added" if last is None else "removed" if new is None else "changed", new, r.at))
-                    last = new
+        arrived = pd.concat([batch[["at", "sha256"]] for batch in batches]).sort_values(["at", "sha256"])
+        for r in arrived.itertuples(index=False):
+            new = None if pd.isna(r.sha256) else r.sha256
+            if new != last:
+                generation += 1
+                rows.append((key[0], generation, "added" if last is None else "removed" if new is None else "changed", new, r.at))
+                last = new
         state.update((last, generation))
         yield pd.DataFrame(rows, columns=["path", "generation", "change", "sha256", "at"])
 

@@ -144,6 +144,20 @@ def test_change_stream(spark, tmp_path):
     assert got == [("a", 1, "added"), ("a", 2, "changed"), ("a", 3, "removed"), ("b", 1, "added")]
 
 
+def test_changes_in_the_order_of_times_over_several_arrow_batches(spark, tmp_path):
+    rows = [("a", "xy"[i // 4 % 2], dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(40)]
+    schema = "path string, sha256 string, at timestamp"
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    try:
+        feed.content_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.at for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [r[2] for r in rows[::4]]
+
+
 def test_verdict_states_of_a_watched_project(spark, tmp_path):
     """Two micro-batches, then a replay of the first one: bursts become generations, and what is known changes nothing."""
     import datetime
