@@ -158,6 +158,43 @@ def test_changes_in_the_order_of_times_over_several_arrow_batches(spark, tmp_pat
     assert sorted(r.at for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [r[2] for r in rows[::4]]
 
 
+def test_what_is_known_is_asked_for_once_a_batch():
+    """The calls to the state don't grow with the rows."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, []
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append((self.name, call))
+                if call in ("put", "appendList"):
+                    self.held = [*args[0]] if call == "put" else [*self.held, *args[0]]
+                elif call == "update":
+                    self.held = args[0]
+                return bool(self.held) if call == "exists" else self.held
+
+            return run
+
+    class Handle(State):
+        def getValueState(self, name, schema):
+            return State(name)
+
+        getListState = getMapState = getValueState
+
+    watch = feed._Watch(500)
+    watch.init(Handle("handle"))
+    times = pd.Timestamp("2024-01-01") + pd.to_timedelta(range(300), unit="s")
+    rows = pd.DataFrame({"path": [f"p{i}" for i in range(300)], "sha256": "1", "at": times})
+    first = pd.concat(watch.handleInputRows(("x",), iter([rows, rows]), None))
+    assert (first.state == "pending").sum() == 300 and len(calls) < 10
+    again = pd.concat(watch.handleInputRows(("x",), iter([rows.assign(at=times + pd.Timedelta(days=1))]), None))
+    assert not (again.state == "pending").any() and len(calls) < 20
+
+
 def test_verdict_states_of_a_watched_project(spark, tmp_path):
     """Two micro-batches, then a replay of the first one: bursts become generations, and what is known changes nothing."""
     import datetime
