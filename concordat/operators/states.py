@@ -25,7 +25,7 @@ def binding_states(bindings: DataFrame, metrics: DataFrame, located: DataFrame)
     ``bindings`` has binding, metric, kind, places, rounding, percent_symbol
     and format; ``located`` has binding, actual and error.
     """
-    met = bindings.join(metrics.select("metric", "value", "unit", F.col("error").alias("metric_error"), F.lit(True).alias("there")), "metric", "left").join(located.select("binding", "actual", F.col("error").alias("place_error")), "binding", "left")
+    met = bindings.join(metrics.select("metric", "value", "unit", F.col("error").alias("metric_error"), F.lit(True).alias("there")).hint("merge"), "metric", "left").join(located.select("binding", "actual", F.col("error").alias("place_error")).hint("merge"), "binding", "left")
     usable = F.col("metric_error").isNull() & F.col("there")
     met = met.withColumn("shown", exact.render_column(F.when(usable, F.col("value")), F.col("unit"), F.col("kind"), F.col("places"), F.col("rounding"), F.col("percent_symbol")))
     actual = lx.normalise_percent(F.col("actual"), F.col("format"))

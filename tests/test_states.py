@@ -128,3 +128,18 @@ def test_names_pages_and_first_rows(spark):
     assert {r.name: r.error for r in suggest.unavailable(chosen, a, "name").collect()} == {"x": "CHOSEN_TWICE", "w": "NOT_AVAILABLE"}
     rows = spark.createDataFrame([("g", i) for i in range(5)] + [("h", 0)], "g string, v int")
     assert sorted((r.g, r.v, r.total, r.truncated) for r in suggest.first_n(rows, ["g"], ["v"], 2).collect()) == [("g", 0, 5, True), ("g", 1, 5, True), ("h", 0, 1, False)]
+
+
+def test_faults_by_name_and_shuffles_dropped(spark):
+    """Some faults at a time can be checked, and the session's setting is as before afterwards."""
+    from concordat.operators import scoring
+    from concordat.operators.scratch import shuffles_dropped
+
+    rows = spark.createDataFrame([("d", "target", "test", "1", "0.5")], "dataset string, model string, split string, seed string, value string")
+    got = {(r.scenario, r.value) for r in scoring.inject_faults(rows, ["unchanged", "missing_column"]).collect()}
+    assert got == {("unchanged", "0.5"), ("missing_column", None)}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
