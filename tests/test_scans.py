@@ -93,8 +93,14 @@ def test_revision_list_is_one_order(spark):
 
 def test_union_scans_a_total_order(spark, monkeypatch):
     """Equal intervals would be ordered by chance, and not alike in both passes."""
-    seen, real = [], scans.Runs
-    monkeypatch.setattr(scans, "Runs", lambda rows, *rest: seen.append(rows) or real(rows, *rest))
+    seen = []
+
+    class Seen(scans.Runs):
+        def __init__(self, rows, *rest):
+            seen.append(rows)
+            super().__init__(rows, *rest)
+
+    monkeypatch.setattr(scans, "Runs", Seen)
     spans = spark.createDataFrame([("d", 0, 4), ("d", 9, 12), ("d", 9, 12), ("d", 4, 6)], "doc_id string, start int, end int")
     assert sorted(map(tuple, intervals.union(spans).collect())) == [("d", 0, 6), ("d", 9, 12)]
     assert seen[0].count() == seen[0].distinct().count() == 3
