@@ -29,7 +29,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 from html.parser import HTMLParser
 
 import numpy as np
@@ -62,8 +62,8 @@ LIKE_ENDS_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 _SPACE = re.compile(r"\s+")
 #: What a node is, as bits.
 IS_SIDE, IS_HEADING, IS_ARTICLE, IS_HEADER = 1, 2, 4, 8
-#: Pairs of different child shapes of two nodes beyond which their children are matched by label and equal shape alone.
-SHAPE_PAIRS = 40_000
+#: Weights of pairs of shapes that are held at once, beside the last one; others are computed again.
+SHAPE_PAIRS = 4_000_000
 #: Cells of a table of matched children that are held at once.
 CELLS = 4_000_000
 
@@ -231,70 +231,88 @@ class Slots:
 
 
 class Matching:
-    """Simple tree matching of two trees of slots: the largest match that keeps parents and the order of siblings."""
+    """Simple tree matching of two trees of slots: the largest match that keeps parents and the order of siblings.
+
+    Matched slots stand equally deep.  So the weights of a slot of ``a`` are
+    those with the different shapes of ``b`` at its depth, found for all of
+    these at once: the children of shapes with the slot's label lie behind one
+    another in one row of running totals.
+    """
 
     def __init__(self, a: Slots, b: Slots):
         self.a, self.b = a, b
-        self.known: dict[tuple[int, int], int] = {}
-
-    def weight(self, x: int, y: int) -> int:
-        """The size of the largest match of two subtrees whose roots are matched; 0 for roots of different labels."""
-        a, b, known = self.a, self.b, self.known
-        stack = [(x, y)]
+        self.depth, depth_b = _depths(a), _depths(b)
+        self.shapes: list[dict[int, int]] = [{} for _ in range(max(depth_b) + 1)]
+        self.number = [0] * len(b.labels)
+        self.like: dict[tuple[int, str], list[int]] = {}
+        for j, d in enumerate(depth_b):
+            shapes = self.shapes[d]
+            if b.shape[j] not in shapes:
+                shapes[b.shape[j]] = len(shapes)
+                self.like.setdefault((d, b.labels[j]), []).append(j)
+            self.number[j] = shapes[b.shape[j]]
+        self.laid: dict[tuple[int, str], tuple] = {}
+        # Known rows of weights; forgotten ones are computed again, so what is held bounds memory and nothing else.
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        self.held = 0
+
+    def _lay(self, depth: int, label: str) -> tuple:
+        """Of the shapes of ``b`` with a label at a depth: their numbers, the children's numbers, where totals start, and where they end."""
+        key = depth, label
+        if key not in self.laid:
+            heads = self.like[key]
+            none = len(self.shapes[depth + 1]) if depth + 1 < len(self.shapes) else 0  # a weight of nothing, at the head of each shape's children
+            inner = [x for j in heads for x in (none, *[self.number[c] for c in self.b.children[j]])]
+            sizes = np.array([len(self.b.children[j]) + 1 for j in heads], np.int64)
+            # Each shape's totals start above all that the one before it can reach.
+            start = np.arange(len(heads), dtype=np.int64) * (len(self.a.labels) + 1)
+            self.laid[key] = np.array([self.number[j] for j in heads], np.int64), np.array(inner, np.int64), start, np.repeat(start, sizes), np.cumsum(sizes) - 1
+        return self.laid[key]
+
+    def row(self, x: int) -> np.ndarray:
+        """The sizes of the largest matches of the subtree of ``a`` at ``x`` with every shape of ``b`` at its depth, the roots matched; 0 for roots of different labels, and a 0 behind them."""
+        a = self.a
+        stack, got = [[x, 0, None]], None
         while stack:
-            i, j = stack[-1]
-            key = a.shape[i], b.shape[j]
-            if key not in known:
-                if a.labels[i] != b.labels[j]:
-                    known[key] = 0
-                elif key[0] == key[1]:
-                    known[key] = a.size[i]
-                else:
-                    missing = self._missing(i, j)
-                    if missing:
-                        stack += missing
-                        continue
-                    known[key] = 1 + self._total(a.children[i], b.children[j])
+            frame = stack[-1]
+            i, k, totals = frame
+            d, label = self.depth[i], a.labels[i]
+            if got is None and k == 0:
+                got = self.rows.get((d, a.shape[i]))
+                if got is not None:
+                    stack.pop()
+                    if not stack:
+                        break
+                    continue
+            if (d, label) not in self.like:
+                stack.pop()
+                got = np.zeros((len(self.shapes[d]) if d < len(self.shapes) else 0) + 1, np.int64)
+                continue
+            numbers, inner, start, fresh, ends = self._lay(d, label)
+            if got is not None:
+                if totals is None:
+                    totals = frame[2] = fresh.copy()
+                if len(got) > 1:
+                    totals[1:] = np.maximum(totals[1:], totals[:-1] + got[inner[1:]])
+                    np.maximum.accumulate(totals, out=totals)
+                got = None
+                k = frame[1] = k + 1
+            if k < len(a.children[i]):
+                stack.append([a.children[i][k], 0, None])
+                continue
             stack.pop()
-        return known[a.shape[x], b.shape[y]]
-
-    def _missing(self, i: int, j: int) -> list[tuple[int, int]]:
-        """Pairs of children whose weight isn't known yet, one pair for each pair of shapes."""
-        a, b = self.a, self.b
-        one = {a.shape[c]: c for c in a.children[i]}
-        two = {b.shape[c]: c for c in b.children[j]}
-        if len(one) * len(two) > SHAPE_PAIRS:
-            return []
-        return [(p, q) for s, p in one.items() for t, q in two.items() if a.labels[p] == b.labels[q] and (s, t) not in self.known]
+            got = np.zeros(len(self.shapes[d]) + 1, np.int64)
+            got[numbers] = 1 if totals is None else 1 + totals[ends] - start
+            if self.held + len(got) > SHAPE_PAIRS:
+                self.rows.clear()
+                self.held = 0
+            self.rows[d, a.shape[i]] = got
+            self.held += len(got)
+        return got
 
-    def _table(self, left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shape numbers of both rows of children and the weights of all pairs of shapes."""
-        a, b = self.a, self.b
-        one = {s: k for k, s in enumerate(dict.fromkeys(a.shape[c] for c in left))}
-        two = {s: k for k, s in enumerate(dict.fromkeys(b.shape[c] for c in right))}
-        label_a = {a.shape[c]: (a.labels[c], a.size[c]) for c in left}
-        label_b = {b.shape[c]: b.labels[c] for c in right}
-        weights = np.zeros((len(one), len(two)), np.int32)
-        if len(one) * len(two) > SHAPE_PAIRS:
-            names = {n: k for k, n in enumerate(dict.fromkeys(label_b.values()))}
-            of = np.array([names[label_b[t]] for t in two])
-            for s, k in one.items():
-                if label_a[s][0] in names:
-                    weights[k, of == names[label_a[s][0]]] = 1
-                if s in two:
-                    weights[k, two[s]] = label_a[s][1]
-        else:
-            for s, k in one.items():
-                for t, m in two.items():
-                    if label_a[s][0] == label_b[t]:
-                        weights[k, m] = self.known.get((s, t), 1)
-        return np.array([one[a.shape[c]] for c in left], np.int64), np.array([two[b.shape[c]] for c in right], np.int64), weights
-
-    def _total(self, left: list[int], right: list[int]) -> int:
-        if not left or not right:
-            return 0
-        rows, columns, weights = self._table(left, right)
-        return int(_last_row(rows, columns, weights)[-1])
+    def weight(self, x: int, y: int) -> int:
+        """The size of the largest match of two subtrees, equally deep, whose roots are matched; 0 for roots of different labels."""
+        return int(self.row(x)[self.number[y]])
 
     def pairs(self) -> list[tuple[int, int]]:
         """The matched slots (of a, of b), the roots first."""
@@ -309,22 +327,28 @@ class Matching:
             if a.shape[i] == b.shape[j]:
                 stack += zip(left, right, strict=True)
             elif left and right:
-                self.weight(i, j)
-                rows, columns, weights = self._table(left, right)
-                stack += [(left[x], right[y]) for x, y in _ordered(rows, columns, weights)]
+                columns = np.array([self.number[c] for c in right], np.int64)
+                stack += [(left[x], right[y]) for x, y in _ordered(left, columns, self.row)]
         return out
 
 
-def _last_row(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _depths(slots: Slots) -> list[int]:
+    out = [0] * len(slots.labels)
+    for i, p in enumerate(slots.parents):
+        out[i] = out[p] + 1 if p >= 0 else 0
+    return out
+
+
+def _last_row(rows: list[int], columns: np.ndarray, weights: Callable[[int], np.ndarray]) -> np.ndarray:
     """Best totals of all rows with each number of columns."""
     best = np.zeros(len(columns) + 1, np.int64)
     for r in rows:
-        best[1:] = np.maximum(best[1:], best[:-1] + weights[r, columns])
+        best[1:] = np.maximum(best[1:], best[:-1] + weights(r)[columns])
         np.maximum.accumulate(best, out=best)
     return best
 
 
-def _ordered(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
+def _ordered(rows: list[int], columns: np.ndarray, weights: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
     """The pairs of a heaviest match in order; large tables are split in halves, so that memory is bounded."""
     out, stack = [], [(0, len(rows), 0, len(columns))]
     while stack:
@@ -341,7 +365,7 @@ def _ordered(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> list
             continue
         best = np.zeros((n + 1, m + 1), np.int64)
         for k, r in enumerate(own):
-            best[k + 1, 1:] = np.maximum(best[k, 1:], best[k, :-1] + weights[r, other])
+            best[k + 1, 1:] = np.maximum(best[k, 1:], best[k, :-1] + weights(r)[other])
             np.maximum.accumulate(best[k + 1], out=best[k + 1])
         i, j = n, m
         while i and j:
@@ -453,10 +477,10 @@ class Wrapper:
         self.region = region(reference, [weight.get(i, 0) for i in range(len(reference.labels))], [a and not s for a, s in zip(_words(reference, _ARTICLES), side, strict=True)], _words(reference, HEADINGS))
 
 
-def main_text(found: Aligned, wrapper: Wrapper | None) -> str:
-    """The main text of an aligned page; without a wrapper, by the page alone."""
+def main_text(found: Aligned, wrapper: Wrapper | None, rare: Set[tuple[int, int]] = frozenset()) -> str:
+    """The main text of an aligned page; without a wrapper, by the page alone.  ``rare`` is template that its wrapper doesn't hold."""
     page, slots = found.page, found.slots
-    template = [wrapper is not None and h is not None and (k, h) in wrapper.template for k, h in zip(found.keys, found.hashes, strict=True)]
+    template = [wrapper is not None and h is not None and ((k, h) in wrapper.template or (k, h) in rare) for k, h in zip(found.keys, found.hashes, strict=True)]
     own = [0 if t else w for t, w in zip(template, found.weight, strict=True)]
     inside = list(own)
     for i in range(len(inside) - 1, 0, -1):
@@ -556,13 +580,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices([batch], rows=64, column="tree"):
             texts = []
-            for host, skeleton, template, weight, tree in zip(*[part.column(c).to_pylist() for c in ("host", "reference", "template", "weights", "tree")], strict=True):
+            for host, skeleton, template, weight, rare, tree in zip(*[part.column(c).to_pylist() for c in ("host", "reference", "template", "weights", "rare", "tree")], strict=True):
                 if host not in wrappers:
                     if len(wrappers) > 100:
                         wrappers.clear()
                     wrappers[host] = Wrapper(Slots.load(skeleton), {(t["slot"], t["text"]) for t in template or ()}, {w["slot"]: w["weight"] for w in weight or ()})
                 wrapper = wrappers[host]
-                texts.append(main_text(Aligned(Page.load(tree), wrapper.reference, cache), wrapper))
+                texts.append(main_text(Aligned(Page.load(tree), wrapper.reference, cache), wrapper, {(t["slot"], t["text"]) for t in rare or ()}))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -583,8 +607,7 @@ def extract(pages: DataFrame, induce: bool = True) -> DataFrame:
     other columns are not looked at.  Without ``induce`` every page stands
     alone, as on a host of one page.
 
-    Nodes with more than ``SHAPE_PAIRS`` pairs of different child shapes match
-    those children by label and equal shape only; no page is cut.
+    Trees of all sizes are matched by the same rule; no page is cut.
     """
     scratch = Scratch(pages.sparkSession, "wrapper")
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
@@ -595,7 +618,9 @@ def extract(pages: DataFrame, induce: bool = True) -> DataFrame:
     references = scratch.save(shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "shape")).alias("reference")), "references")
     held = trees.join(references, "host")
     slots = held.select("host", "page", "reference", "tree").mapInArrow(_slot_rows, _SLOT)
-    rows = scratch.save(slots.groupBy("host", "page", "slot").agg(F.min(F.struct("text", "weight")).alias("s")).select("host", "page", "slot", "s.*"), "slots")
+    # Slots that match none of the reference may have several texts on a page.
+    loose = F.collect_set(F.when(F.col("slot") < 0, F.col("text"))).alias("texts")
+    rows = scratch.save(slots.groupBy("host", "page", "slot").agg(F.min(F.struct("text", "weight")).alias("s"), loose).select("host", "page", "slot", "s.*", "texts"), "slots")
     # Which pages are copies: by their longest text, of those that aren't shared all over the host if they make up a tenth of the page.
     shared = _constant(rows.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"))).select("host", "slot", "text", F.lit(True).alias("shared"))
     flagged = rows.join(shared, ["host", "slot", "text"], "left").withColumn("own", F.when(F.col("shared").isNull(), F.struct("weight", "text")))
@@ -604,12 +629,15 @@ def extract(pages: DataFrame, induce: bool = True) -> DataFrame:
     once = rows.join(articles, ["host", "page"]).groupBy("host", "article", "slot").agg(F.min(F.struct("text", "weight")).alias("s"))
     counted = scratch.save(once.groupBy("host", "slot", "s.text").agg(F.count(F.lit(1)).alias("n"), F.sum("s.weight").alias("weight")), "texts")
     constant = scratch.save(_constant(counted), "constant")
-    # Slots that stand on less than a hundredth of the pages are no template, which bounds a wrapper.
+    # Template of slots that stand on less than a hundredth of the pages goes to these pages alone, which bounds a wrapper.
     pages_of = once.groupBy("host").agg(F.count_distinct("article").alias("pages"))
-    template = constant.join(pages_of, "host").where("slot >= 0 or 100 * of >= pages").groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+    placed = constant.join(pages_of, "host").withColumn("wide", F.expr("slot >= 0 or 100 * of >= pages"))
+    template = placed.where("wide").groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+    held_by = rows.where("slot < 0").select("host", "page", "slot", F.explode("texts").alias("text"))
+    rare = held_by.join(placed.where("not wide").select("host", "slot", "text"), ["host", "slot", "text"], "left_semi").groupBy("host", "page").agg(F.collect_list(F.struct("slot", "text")).alias("rare"))
     gone = constant.groupBy("host", "slot").agg(F.sum("weight").alias("gone"))
     varying = counted.where("slot >= 0").groupBy("host", "slot").agg(F.sum("weight").alias("all"))
     weights = varying.join(gone, ["host", "slot"], "left").select("host", "slot", (F.col("all") - F.coalesce("gone", F.lit(0))).alias("weight")).where("weight > 0").groupBy("host").agg(F.collect_list(F.struct("slot", "weight")).alias("weights"))
     wrappers = scratch.save(references.join(template, "host", "left").join(weights, "host", "left"), "wrappers")
-    found = trees.select("page_id", "url", "host", "tree").join(wrappers, "host")
-    return found.select("page_id", "url", "host", "reference", "template", "weights", "tree").mapInArrow(_texts, "page_id long, url string, text string")
+    found = trees.select("page_id", "url", "host", "page", "tree").join(wrappers, "host").join(scratch.save(rare, "rare"), ["host", "page"], "left")
+    return found.select("page_id", "url", "host", "reference", "template", "weights", "rare", "tree").mapInArrow(_texts, "page_id long, url string, text string")

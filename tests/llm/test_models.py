@@ -102,6 +102,32 @@ def test_deep_and_wide_pages_are_aligned_in_time(monkeypatch):
     assert time.perf_counter() - start < 15
 
 
+def test_wide_nodes_are_matched_by_the_same_rule(monkeypatch):
+    """Children that differ inside are matched by the most that they share, however many there are and whatever is held at once."""
+    # The k-th division has k paragraphs and as many headings; those of the other page have one paragraph more.
+    def slots(n, end):
+        return wrapper.Slots.of(wrapper.parse("".join("<div>" + "<p>x</p><h2>y</h2>" * k + end + "</div><h3>z</h3>" for k in range(1, n))))[0]
+
+    a, b = slots(230, ""), slots(210, "<p>x</p>")
+    # Every division meets the next one of the other page, which holds all of its children.
+    assert wrapper.Matching(a, b).weight(0, 0) == len(wrapper.Matching(a, b).pairs()) == len(b.labels)
+    a, b = slots(30, ""), slots(28, "<p>x</p>")
+    best = wrapper.Matching(a, b).pairs()
+    monkeypatch.setattr(wrapper, "SHAPE_PAIRS", 300)
+    monkeypatch.setattr(wrapper, "CELLS", 500)
+    assert wrapper.Matching(a, b).weight(0, 0) == len(wrapper.Matching(a, b).pairs()) == len(best)
+
+
+def test_template_of_few_pages_of_a_large_host(spark):
+    """Two pages of another build share a notice; whether the host has 30 pages or 300, it is template."""
+    for n in (30, 300):
+        rows = [(k, "http://a.example/", f"<div><h1>Head {k}</h1><p>words of page {k} and more of {k}</p></div>") for k in range(n)]
+        rows += [(1000 + k, "http://a.example/", f"<section><blockquote>Our shop was closed last year, sorry for that.</blockquote><h1>Other {k}</h1><p>{f'text number {k} is here '.strip() + '.' * k}</p></section>") for k in (1, 2)]
+        got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all("Our shop" not in got[1000 + k] and got[1000 + k].startswith(f"Other {k}\ntext") for k in (1, 2)), n
+        assert len(got) == n + 2
+
+
 def site(host, k, words):
     """A page of div soup without telling names; its footer is longer than its article."""
     menu = "".join(f"<li><a href=/{x}>{x} things</a></li>" for x in "abc")
