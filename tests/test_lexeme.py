@@ -139,3 +139,12 @@ def test_rounding_against_decimals():
                     wanted = x.scaleb(-x.adjusted()).quantize(Decimal(1).scaleb(-places), rule).scaleb(x.adjusted())
                     assert Decimal(text) == wanted and text == f"{wanted:.{places}E}", (x, text)
         assert Fraction(exact.text_of(Fraction(x))) == Fraction(x)
+
+
+def test_plain_displays_are_compared_as_all_others(spark):
+    shown = ["5", "5.0", "+5", "-0", "0.000", "5\\%", "5.0\\,\\%", "5\\;", "5\\, \\%", "5\\%\n", "5\n", "1,000", "1000", "1e3", "−5", "-5", ".5", "0.5", "123456789012", "1234567890123", "0." + "1" * 13, "x", "", "5\\%\\%", "5.", None]
+    rows = spark.createDataFrame([(a, b) for a in shown for b in shown], "a string, b string")
+    out = rows.select("a", "b", lx.display_matches("a", "b").alias("got"), lx._canonical_matches(F.col("a"), F.col("b")).alias("wanted")).collect()
+    assert [tuple(r) for r in out if r.got != r.wanted] == []
+    # These take no higher-order function.
+    assert rows.where(F.col("a").rlike(lx.PLAIN_DISPLAY) & F.col("b").rlike(lx.PLAIN_DISPLAY)).count() == 12**2
