@@ -148,3 +148,13 @@ def test_plain_displays_are_compared_as_all_others(spark):
     assert [tuple(r) for r in out if r.got != r.wanted] == []
     # These take no higher-order function.
     assert rows.where(F.col("a").rlike(lx.PLAIN_DISPLAY) & F.col("b").rlike(lx.PLAIN_DISPLAY)).count() == 12**2
+
+
+def test_whole_numbers_of_two_limbs_are_cut_as_all_others(spark):
+    texts = ["0", "-0", "+7", "123456789012345678", "1234567890123456789", "-" + "9" * 36, "1" + "0" * 35, "000" + "1" * 20, "0" * 40 + "5", "9" * 37]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.rlike(limbs.PLAIN).alias("plain"), limbs.limbs("t").alias("got"), limbs._any(t, limbs.WIDTH).alias("wanted"), limbs._two(t).alias("two")).collect()
+    for r in rows:
+        assert limbs.carried([tuple(x) for x in r.got]) == limbs.carried([tuple(x) for x in r.wanted]) == int(r.t), r.t
+        assert r.got == r.wanted and (not r.plain or r.got == r.two)
+    assert [r.t for r in rows if not r.plain] == [texts[-2], texts[-1]]
