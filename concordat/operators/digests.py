@@ -32,6 +32,6 @@ def merkle(rows: DataFrame, by: list[str], mark: str) -> DataFrame:
         # A tree has nodes at its own depth, at every multiple of DIGITS above that, and at the root.
         here = (F.col("digits") == level) | (F.col("digits") > level) & F.lit(level % DIGITS == 0)
         joined = nodes.where(here).withColumn("up", F.substring("prefix", F.lit(1), F.lit(level))).groupBy(*by, "n", "digits", "up")
-        above = joined.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "prefix", "node"))), ","), 256).alias("node")).withColumnRenamed("up", "prefix")
+        above = joined.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "prefix", "node"))), ","), 256).alias("node")).withColumnRenamed("up", "prefix")
         nodes = above.unionByName(nodes.where(~here)) if level else above
     return nodes.select(*by, "n", F.col("node").alias("digest"))
