@@ -262,29 +262,52 @@ class _Places:
 _CONTEXTS = sorted(((2**i, 2**j) for i in range(10) for j in range(10)), key=lambda c: (c[0] + c[1], c[0]))
 
 
+def _alone_near(text: str, start: int, end: int, before: int, after: int) -> bool:
+    """``_Places.alone`` in a text no longer than a suffix may be away: every prefix with a suffix behind it counts, so two of them settle it."""
+    prefix, suffix = text[start - before : start], text[end : end + after]
+    at, found = text.find(prefix), 0
+    while at >= 0:
+        behind = text.find(suffix, at + before)
+        if behind < 0:  # nor behind any later prefix
+            break
+        found += 1
+        if found > 1 or at + before != start or behind != end:
+            return False
+        at = text.find(prefix, at + 1)
+    return found == 1
+
+
 def _anchored(batches, most: int = 1000):
+    """(target ids, prefixes, suffixes) of each batch; lists of hashes are only made for texts longer than ``most``."""
     token = re.compile(NATIVE_TOKEN, re.ASCII)
     for batch in batches:
-        ids, rows = [], []
-        for text, targets in zip(batch.column("text").to_pylist(), batch.column("targets").to_pylist(), strict=True):
+        targets = batch.column("targets")
+        asked = targets.flatten()
+        sizes = targets.value_lengths().to_pylist()
+        ids, starts, ends = asked.field("target_id"), asked.field("start").to_pylist(), asked.field("end").to_pylist()
+        prefixes, suffixes = [None] * len(asked), [None] * len(asked)
+        at = 0
+        for text, size in zip(batch.column("text").to_pylist(), sizes, strict=True):
+            first, at = at, at + size
             spans = [m.span() for m in token.finditer(text or "")]
             nth = {s: i for i, (s, _) in enumerate(spans)}
             places = None
-            for t in targets:
-                ids.append(t["target_id"])
-                i, found = nth.get(t["start"]), (None, None)
-                if i is not None and t["start"] <= t["end"] <= len(text):
+            for k in range(first, at):
+                start, end = starts[k], ends[k]
+                i = nth.get(start)
+                if i is None or end is None or not start <= end <= len(text):
+                    continue
+                if len(text) > most:
                     places = places or _Places(text)
-                    low, high = spans[i - 1][1] if i else 0, spans[i + 1][0] if i + 1 < len(spans) else len(text)
-                    tried = set()
-                    for before, after in _CONTEXTS:
-                        size = min(before, t["start"] - low), min(after, high - t["end"])
-                        if min(size) > 0 and size not in tried and places.alone(t["start"], t["end"], *size, most):
-                            found = text[t["start"] - size[0] : t["start"]], text[t["end"] : t["end"] + size[1]]
-                            break
-                        tried.add(size)
-                rows.append(found)
-        yield ids, rows
+                low, high = spans[i - 1][1] if i else 0, spans[i + 1][0] if i + 1 < len(spans) else len(text)
+                tried = set()
+                for before, after in _CONTEXTS:
+                    context = min(before, start - low), min(after, high - end)
+                    if min(context) > 0 and context not in tried and (places.alone(start, end, *context, most) if places else _alone_near(text, start, end, *context)):
+                        prefixes[k], suffixes[k] = text[start - context[0] : start], text[end : end + context[1]]
+                        break
+                    tried.add(context)
+        yield ids, prefixes, suffixes
 
 
 def synthesise_anchors(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -292,16 +315,16 @@ def synthesise_anchors(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     Contexts stop at neighbouring numbers (W-06).  One row for each target
     with prefix and suffix, or the error NO_UNIQUE_ANCHOR.  A text is read
-    once, with all of its targets; a context's uniqueness is looked up in lists
-    of hashes, which are made once for each length.
+    once, with all of its targets; in a long one a context's uniqueness is
+    looked up in lists of hashes, which are made once for each length.
     """
     kind = targets.schema["target_id"].dataType
     asked = targets.groupBy("doc_id").agg(F.collect_list(F.struct("target_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("targets"))
     arrow = to_arrow_type(kind)
 
     def run(batches):
-        for ids, rows in _anchored(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array([p for p, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["target_id", "prefix", "suffix"])
+        for ids, prefixes, suffixes in _anchored(batches):
+            yield pa.RecordBatch.from_arrays([ids.cast(arrow), pa.array(prefixes, pa.string()), pa.array(suffixes, pa.string())], ["target_id", "prefix", "suffix"])
 
     found = documents.select("doc_id", "text").join(asked.hint("merge"), "doc_id").select("text", "targets").mapInArrow(run, f"target_id {kind.simpleString()}, prefix string, suffix string")
     return targets.select("target_id").join(found.hint("merge"), "target_id", "left").select("target_id", "prefix", "suffix", F.when(F.col("prefix").isNull(), "NO_UNIQUE_ANCHOR").alias("error"))

@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,18 @@ def test_blocks_are_found_without_a_broadcast(spark, capsys):
     found.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert {(r.hits, r.start, r.error) for r in found.collect()} == {(1, 6, None)}
+
+
+def test_short_texts_need_no_lists_of_hashes(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("ab 1") for _ in range(rng.randint(3, 40)))
+        start, end = sorted(rng.sample(range(1, len(text)), 2))
+        for before, after in ((1, 1), (2, 1), (1, 3)):
+            if before <= start and end + after <= len(text):
+                assert textscan._alone_near(text, start, end, before, after) == textscan._Places(text).alone(start, end, before, after, 1000)
+    targets = [[{"target_id": 1, "start": 6, "end": 7}], [{"target_id": 2, "start": 5, "end": 6}, {"target_id": 3, "start": 0, "end": 2}]]
+    batch = pa.RecordBatch.from_pydict({"text": ["cost [5]", "[1] [5]."], "targets": targets})
+    monkeypatch.setattr(textscan, "_Places", None)
+    ids, prefixes, suffixes = next(textscan._anchored([batch]))
+    assert (ids.to_pylist(), prefixes, suffixes) == ([1, 2, 3], ["[", " [", None], ["]", "]", None])
