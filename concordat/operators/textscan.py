@@ -63,10 +63,35 @@ def _spans(text: Column, pattern: Column) -> Column:
     return _let(zipped, lambda z: F.zip_with(z, _sums_before(F.transform(z, lambda x: x["gap"] + F.length(x["hit"]))), placed))
 
 
+#: Matches of a text that are placed without higher-order functions, which Spark interprets.
+FEW = 8
+
+
+def _cut_out(rows: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, text, ord, s) of the ``_spans`` of (doc_id, text) by a pattern whose matches aren't empty.
+
+    One pass of the pattern puts a character at both sides of every match, at
+    which the text is split: Spark compiles a longer pattern to split at anew
+    for each row.  A text that holds that character itself goes the way of
+    those with many matches.
+    """
+    text, mark = F.col("text"), "\x01"
+    met = rows.select("doc_id", "text", F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{mark}$0{mark}")), mark, -1).alias("_parts"))
+    places, at = [], F.lit(0)
+    for i in range(FEW):
+        hit = F.get("_parts", F.lit(2 * i + 1))
+        start = at + F.length(F.get("_parts", F.lit(2 * i)))
+        at = start + F.length(hit)
+        places.append(F.struct(start.alias("start"), at.alias("end"), hit.alias("text")))
+    few = (F.size("_parts") <= 2 * FEW + 1) & ~F.contains(text, F.lit(mark))
+    spans = F.when(few, F.slice(F.array(*places), F.lit(1), F.floor(F.size("_parts") / 2).cast("int"))).otherwise(_spans(text, F.lit(pattern)))
+    # From an inner explosion Spark infers a filter that repeats all of this.
+    return met.select("doc_id", "text", spans.alias("spans")).select("doc_id", "text", F.posexplode_outer("spans").alias("ord", "s")).where("s is not null")
+
+
 def number_tokens(documents: DataFrame, native: bool = False, context: int = 90) -> DataFrame:
     """X-01, F-01, F-02, F-31: (doc_id, ord, start, end, token, before, after) of every number in the text."""
-    has = documents.where(F.col("text").rlike("[0-9]"))
-    cut = has.select("doc_id", "text", F.posexplode(_spans(F.col("text"), F.lit(NATIVE_TOKEN if native else TOKEN))).alias("ord", "s"))
+    cut = _cut_out(documents.where(F.col("text").rlike("[0-9]")), NATIVE_TOKEN if native else TOKEN)
     before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - context), F.least(F.lit(context), F.col("s.start")))
     return cut.select("doc_id", "ord", "s.start", "s.end", F.col("s.text").alias("token"), before.alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(context)).alias("after"))
 
@@ -96,20 +121,33 @@ PRIORITY = {
 DYNAMIC = r"\\(?:newcommand|renewcommand|def|let|csname|ifx|ifnum|loop|foreach|catcode)\b"
 
 
+#: What a text must hold to have a region of a kind; looked up before the pattern is tried.
+NEEDS = {"comment": "%", "verbatim": "\\begin{", "preamble": "\\begin{document}", "structural": "\\", "code": "`", "display_math": "$$", "front_matter": "---", "html_comment": "<!--", "table": "\\begin{tab"}
+
+
+def _regions(text: Column, kinds: dict[str, str]) -> Column:
+    """array<struct<kind,start,end>> of the regions of the given kinds in a text."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    def one(kind: str, pattern: str) -> Column:
+        found = F.transform(_spans(text, F.lit(pattern)), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(F.contains(text, F.lit(NEEDS.get(kind, ""))) & text.rlike(pattern), found).otherwise(none)
+
+    return F.concat(none, *[one(k, p) for k, p in kinds.items()])
+
+
 def regions(documents: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """X-02, X-12: (doc_id, kind, start, end) of every region of the given kinds."""
-    out = None
-    for kind, pattern in kinds.items():
-        one = documents.where(F.col("text").rlike(pattern)).select("doc_id", F.lit(kind).alias("kind"), F.explode(_spans(F.col("text"), F.lit(pattern))).alias("s")).select("doc_id", "kind", "s.start", "s.end")
-        out = one if out is None else out.unionByName(one)
-    return out.where("start < end")
+    """X-02, X-12: (doc_id, kind, start, end) of every region of the given kinds; each text is read once for all of them."""
+    return documents.select("doc_id", F.explode(_regions(F.col("text"), kinds)).alias("s")).select("doc_id", "s.kind", "s.start", "s.end").where("start < end")
 
 
 def checkable(documents: DataFrame, tokens: DataFrame) -> DataFrame:
-    """X-02: tokens outside blocked regions; a document with dynamic macros has none."""
-    static = documents.where(~F.col("text").rlike(DYNAMIC)).select("doc_id")
-    blocked = intervals.union(regions(documents, BLOCKED)).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return intervals.overlap_join(tokens, blocked, how="left_anti").join(static.hint("merge"), "doc_id", "left_semi")
+    """X-02: tokens of these documents outside blocked regions; a document with dynamic macros is blocked as a whole."""
+    text = F.col("text")
+    whole = F.when(text.rlike(DYNAMIC), F.array(F.struct(F.lit("dynamic").alias("kind"), F.lit(0).alias("start"), F.length(text).alias("end"))))
+    found = documents.select("doc_id", F.explode(F.coalesce(whole, _regions(text, BLOCKED))).alias("s")).select("doc_id", "s.start", "s.end").where("start < end")
+    blocked = intervals.union(found).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return intervals.overlap_join(tokens, blocked, how="left_anti")
 
 
 # -- anchors --------------------------------------------------------------
@@ -206,7 +244,7 @@ def unique_or_unknown(anchors: DataFrame, hits: DataFrame) -> DataFrame:
 
 def blocks(documents: DataFrame) -> DataFrame:
     """F-32: (doc_id, block, start, end, text, identity) of paragraphs, their identity taken with all numbers masked."""
-    cut = documents.select("doc_id", F.posexplode(_spans(F.col("text"), F.lit(r"(?s)\S.*?(?=\n[ \t]*\n|\z)"))).alias("block", "s"))
+    cut = _cut_out(documents, r"(?s)\S.*?(?=\n[ \t]*\n|\z)").withColumnRenamed("ord", "block")
     return cut.select("doc_id", "block", "s.start", "s.end", F.col("s.text").alias("text"), sha256(F.regexp_replace("s.text", NATIVE_TOKEN, "<number>")).alias("identity"))
 
 

@@ -91,14 +91,19 @@ def active_exclusions(documents: DataFrame, bound: DataFrame, exclusions: DataFr
     active; one that is bound, changed or has yielded itself stops no other.
     """
     key = ["ord", "doc_id", "start", "end"]
-    over = intervals.overlap_join(exclusions.select(*key), bound.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("ord").distinct().withColumn("bound", F.lit(True))
-    met = context_hash(documents, exclusions).join(over, "ord", "left").withColumn("fresh", F.col("context").eqNullSafe(F.col("context_hash")))
-    stands = first_come(met.where("bound is null and fresh").select(*key)).withColumn("stands", F.lit(True))
-    met = met.join(stands, "ord", "left")
-    active = met.where("stands").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("ord").alias("other"))
-    twice = intervals.overlap_join(met.select(*key), active).where("other < ord").select("ord").distinct().withColumn("twice", F.lit(True))
-    error = F.when(F.col("bound"), "EXCLUSION_BOUND").when(F.col("twice"), "EXCLUSION_OVERLAP").when(~F.col("fresh"), "EXCLUSION_CHANGED")
-    return met.join(twice, "ord", "left").select(*exclusions.columns, error.alias("error"))
+    scratch = Scratch(documents.sparkSession, "active")
+    fresh = F.col("context").eqNullSafe(F.col("context_hash"))
+    met = scratch.save(context_hash(documents, exclusions).select(*exclusions.columns, fresh.alias("fresh")), "exclusions")
+    over = intervals.overlap_join(met.select(*key), bound.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("ord").distinct().withColumn("bound", F.lit(True))
+    judged = scratch.save(met.select(*key, "fresh").join(over.hint("merge"), "ord", "left"), "judged")
+    stands = first_come(judged.where("bound is null and fresh").select(*key)).withColumn("stands", F.lit(True))
+    told = scratch.save(judged.join(stands.hint("merge"), "ord", "left"), "told")
+    active = told.where("stands").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("ord").alias("other"))
+    # Of those that are bound or stand, the error is known; a fresh one that doesn't stand has yielded.
+    stale = intervals.overlap_join(told.where("bound is null and not fresh").select(*key), active).where("other < ord").select("ord").distinct().withColumn("yields", F.lit(True))
+    error = F.when(F.col("bound"), "EXCLUSION_BOUND").when(F.col("stands"), None).when(F.col("fresh") | F.col("yields"), "EXCLUSION_OVERLAP").otherwise("EXCLUSION_CHANGED")
+    errors = told.join(stale.hint("merge"), "ord", "left").select("ord", error.alias("error"))
+    return met.drop("fresh").join(errors.hint("merge"), "ord").select(*exclusions.columns, "error")
 
 
 def moved(documents: DataFrame, exclusions: DataFrame, size: int = 80) -> DataFrame:

@@ -286,3 +286,15 @@ def test_short_texts_need_no_lists_of_hashes(monkeypatch):
     monkeypatch.setattr(textscan, "_Places", None)
     ids, prefixes, suffixes = next(textscan._anchored([batch]))
     assert (ids.to_pylist(), prefixes, suffixes) == ([1, 2, 3], ["[", " [", None], ["]", "]", None])
+
+
+def test_numbers_are_cut_out_once(spark, capsys):
+    texts = ["1 \x01 2", "\x013", " ".join(map(str, range(9))), "a 1 % 2\n3 `4` 5", "\\def\\x{1} 2"]
+    d = docs(spark, *texts)
+    tokens = textscan.number_tokens(d)
+    assert sorted((r.doc_id, r.start, r.end, r.token) for r in tokens.collect()) == sorted((i, m.start(), m.end(), m.group()) for i, t in enumerate(texts) for m in NUMBER.finditer(t))
+    none = spark.createDataFrame([], "ord long, doc_id long, start int, end int, context_hash string")
+    out = ck.coverage(d, none.select("doc_id", "start", "end"), none)
+    out.explain()
+    assert "regexp" not in capsys.readouterr().out.lower()
+    assert {(r.doc_id, r.token) for r in out.where("doc_id > 2").collect()} == {(3, "1"), (3, "3"), (3, "5")}
