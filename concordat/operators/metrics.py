@@ -262,7 +262,7 @@ def duplicate_keys(evidence: DataFrame, key: list[str]) -> DataFrame:
 
 
 def group_statistics(evidence: DataFrame, by: list[str], field: str, level: str | None = None, ddof: int = 1) -> DataFrame:
-    """A-05, F-14 for every group: (by, statistics, error) from exact native sums of values and squares.
+    """A-05, F-14 for every group: (by, n, statistics, error) from exact native sums of values and squares.
 
     The last steps of a group (one row: a root and a quantile) run in Arrow
     batches; groups of equal size share the quantile.
@@ -273,7 +273,7 @@ def group_statistics(evidence: DataFrame, by: list[str], field: str, level: str
     error = F.coalesce(error, F.when(F.col("limit") > 0, "STATISTICS_LIMIT"))
     got = exact.moments_column(F.when(error.isNull(), F.struct(*limbs.SUMS)), ddof, level)
     out = grouped.withColumn("error", error).withColumn("statistics", got)
-    return out.select(*by, F.struct(*[f"statistics.{c}" for c in exact.MOMENTS]).alias("statistics"), F.coalesce("error", "statistics.error").alias("error"))
+    return out.select(*by, "n", F.struct(*[f"statistics.{c}" for c in exact.MOMENTS]).alias("statistics"), F.coalesce("error", "statistics.error").alias("error"))
 
 
 def reconciled(records: DataFrame, locations: DataFrame, key: list[str]) -> DataFrame:

@@ -158,8 +158,7 @@ _STUDENT = "(1, 12.7062047361747), (2, 4.3026527297495), (3, 3.1824463052837), (
   union all select order_key, n, null, null, null, 'STATISTICS_COUNT' from r where n = 1""")
 def confidence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-13, F-14: Student bounds of every order's mean quantity."""
-    rows = evidence(spark, sf_dir)
-    out = mx.group_statistics(rows, ["order_key"], "quantity", "0.95").join(rows.groupBy("order_key").agg(F.count(F.lit(1)).alias("n")), "order_key")
+    out = mx.group_statistics(evidence(spark, sf_dir), ["order_key"], "quantity", "0.95")
     shown = [F.round(F.col(f"statistics.{c}").cast("double"), k).alias(c) for c, k in (("mean", 6), ("lower", 4), ("upper", 4))]
     return out.select(F.col("order_key").cast("long").alias("order_key"), "n", *shown, "error").withColumn("lower", F.col("lower") + 0.0)
 

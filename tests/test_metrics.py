@@ -188,3 +188,24 @@ def test_profile_and_roles(spark):
     assert {r.column: r.role for r in profile.roles(profile.column_profile(df)).collect()} == {"code": "other", "seed": "repeat", "score": "other", "nothing": "other", "model_name": "group_by"}
     keys = {tuple(r.columns): r.is_key for r in profile.key_candidates(df, ["seed", "model_name"]).collect()}
     assert keys == {("seed", "model_name"): True, ("seed",): True, ("model_name",): False}
+
+
+def test_moments_in_whole_numbers():
+    from decimal import Decimal, localcontext
+    from fractions import Fraction
+
+    for values in ([5], [1, 1], [0, 0, 0], ["17.25", "3", "-20.000000000001"], [10**11, "-0.5", 7, 7], ["0.1"] * 9):
+        x = [Fraction(Decimal(v)) for v in values]
+        total, square = sum(x), sum(v * v for v in x)
+        for level in (None, "0.95"):
+            want, error = exact.moments(len(x), total, square, 1, level)
+            with localcontext() as c:
+                c.prec = 80
+                got = exact.plain_moments(len(x), int(total * 10**12), int(square * 10**24), 1, level)
+            assert got == ([(want or {}).get(k) for k in exact.MOMENTS], error)
+
+
+def test_group_statistics_give_the_number_of_rows(spark):
+    rows = spark.createDataFrame([("a", "1"), ("a", "3"), ("b", "2")], "g string, x string")
+    got = {r.g: (r.n, r.error, r.statistics.mean) for r in mx.group_statistics(rows, ["g"], "x").collect()}
+    assert got == {"a": (2, None, "2"), "b": (1, "STATISTICS_COUNT", None)}
