@@ -28,8 +28,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Set
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -59,13 +61,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 LIKE_ENDS_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-_SPACE = re.compile(r"\s+")
 #: What a node is, as bits.
 IS_SIDE, IS_HEADING, IS_ARTICLE, IS_HEADER = 1, 2, 4, 8
 #: Weights of pairs of shapes that are held at once, beside the last one; others are computed again.
 SHAPE_PAIRS = 4_000_000
 #: Cells of a table of matched children that are held at once.
 CELLS = 4_000_000
+#: Slots of a tree, and characters of an element's names, up to which what follows from them is kept for the next page.
+KEPT_SLOTS, KEPT_NAMES = 512, 256
 
 
 class Page:
@@ -88,6 +91,23 @@ class Page:
         return cls([names[i] for i in labels], parents, kinds, texts)
 
 
+def _spaced(text: str) -> str:
+    """The text with white space inside as one space, and none around."""
+    return " ".join(text.split())
+
+
+def _element(tag: str, names: str, role: str, hidden: bool) -> tuple[str, int]:
+    """An element's label and what it is."""
+    words = frozenset(re.split(r"[\s_-]+", names)) - {""}
+    named = frozenset(names.split()) & SIDE_WORDS or words & (SIDE_WORDS - WHOLE_NAMES)
+    side = tag in SIDE or role in SIDE_ROLES or hidden or bool(named and tag not in RUNNING)
+    article = tag in ("article", "main") or role in ("article", "main") or bool(words & {"article", "post", "entry"})
+    return " ".join([tag, *sorted(words)]), IS_SIDE * side | IS_HEADING * (tag in HEADINGS) | IS_ARTICLE * (article and not side) | IS_HEADER * (tag == "header")
+
+
+_kept_element = lru_cache(maxsize=4096)(_element)
+
+
 class _Builder(HTMLParser):
     """Builds a page; inline elements dissolve into their text."""
 
@@ -100,6 +120,9 @@ class _Builder(HTMLParser):
         self.silent: list[str] = []
         self.links = 0
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not asked for
+
     def handle_starttag(self, tag, attrs):
         if self.silent and self.silent[-1] in ENDED_BY_BLOCKS and (tag in ENDS_P or tag == "body"):
             self.silent.clear()
@@ -124,16 +147,13 @@ class _Builder(HTMLParser):
 
     def _add(self, tag, attrs):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        words = frozenset(re.split(r"[\s_-]+", names)) - {""}
         role = (attrs.get("role") or "").lower()
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
-        named = frozenset(names.split()) & SIDE_WORDS or words & (SIDE_WORDS - WHOLE_NAMES)
-        side = tag in SIDE or role in SIDE_ROLES or hidden or bool(named and tag not in RUNNING)
-        article = tag in ("article", "main") or role in ("article", "main") or bool(words & {"article", "post", "entry"})
+        label, kind = (_kept_element if len(tag) + len(names) + len(role) <= KEPT_NAMES else _element)(tag, names, role, hidden)
         page = self.page
-        page.labels.append(" ".join([tag, *sorted(words)]))
+        page.labels.append(label)
         page.parents.append(self.at)
-        page.kinds.append(IS_SIDE * side | IS_HEADING * (tag in HEADINGS) | IS_ARTICLE * (article and not side) | IS_HEADER * (tag == "header"))
+        page.kinds.append(kind)
         self.tags.append(tag)
         self.at = len(page.labels) - 1
         self.open[tag] += 1
@@ -193,11 +213,10 @@ class Slots:
         for i, p in enumerate(parents):
             if p >= 0:
                 self.children[p].append(i)
-        self.shape, self.size = [0] * len(labels), [1] * len(labels)
+        self.shape = [0] * len(labels)
         for i in range(len(labels) - 1, -1, -1):
-            below = np.array([self.shape[c] for c in self.children[i]], np.uint64).tobytes()
+            below = array("Q", [self.shape[c] for c in self.children[i]]).tobytes()
             self.shape[i] = xxhash.xxh3_64_intdigest(labels[i].encode("utf-8", "surrogatepass") + b"\0" + below)
-            self.size[i] += sum(self.size[c] for c in self.children[i])
 
     @classmethod
     def of(cls, page: Page) -> tuple[Slots, list[int]]:
@@ -206,21 +225,22 @@ class Slots:
         for i, p in enumerate(page.parents):
             if p >= 0:
                 below[p].append(i)
-        labels, parents, nodes, slot_of = [page.labels[0]], [-1], [[0]], [0] * len(page.labels)
+        names = page.labels
+        labels, parents, nodes, slot_of = [names[0]], [-1], [[0]], [0] * len(names)
         at = 0
         while at < len(nodes):
             last = None
             for n in nodes[at]:
                 for c in below[n]:
-                    if page.labels[c] != last:
-                        last = page.labels[c]
+                    if names[c] != last:
+                        last = names[c]
                         labels.append(last)
                         parents.append(at)
                         nodes.append([])
                     nodes[-1].append(c)
                     slot_of[c] = len(nodes) - 1
             at += 1
-        return cls(labels, parents), slot_of
+        return (_kept_slots(tuple(labels), tuple(parents)) if len(labels) <= KEPT_SLOTS else cls(labels, parents)), slot_of
 
     def dump(self) -> str:
         return json.dumps([self.labels, self.parents], ensure_ascii=False, separators=(",", ":"))
@@ -230,6 +250,12 @@ class Slots:
         return cls(*json.loads(text))
 
 
+@lru_cache(maxsize=256)
+def _kept_slots(labels: tuple[str, ...], parents: tuple[int, ...]) -> Slots:
+    """Slots that pages of one form share; nobody changes them."""
+    return Slots(list(labels), list(parents))
+
+
 class Matching:
     """Simple tree matching of two trees of slots: the largest match that keeps parents and the order of siblings.
 
@@ -397,6 +423,17 @@ def _side(page: Page) -> list[bool]:
     return _under(own, page.parents, IS_SIDE)
 
 
+def _placed(slots: Slots, reference: Slots | None) -> tuple[list[int], dict[int, int]]:
+    """Each slot's key, that of its match or, for one that matches none of the reference, one of its path; and the reference's slots with their matches."""
+    matched = {} if reference is None else dict(Matching(reference, slots).pairs())
+    at = {j: i for i, j in matched.items()}
+    keys, path = [], []
+    for i, p in enumerate(slots.parents):
+        path.append(xxhash.xxh3_64_intdigest(slots.labels[i].encode("utf-8", "surrogatepass"), path[p] if p >= 0 else 0))
+        keys.append(at[i] if i in at else -(path[i] >> 2) - 1)
+    return keys, matched
+
+
 class Aligned:
     """A page laid over its host's reference: keys, texts and weights of its slots."""
 
@@ -405,22 +442,12 @@ class Aligned:
         self.slots, self.slot_of = Slots.of(page)
         self.side = _side(page)
         n = len(self.slots.labels)
-        if reference is None:
-            at = {}
-        else:
-            key = reference.shape[0], self.slots.shape[0]
-            if key not in cache:
-                if len(cache) > 500:
-                    cache.clear()
-                cache[key] = {j: i for i, j in Matching(reference, self.slots).pairs()}
-            at = cache[key]
-        # Slots that match none of the reference are told apart by their path.
-        self.keys, path = [0] * n, [0] * n
-        for i in range(n):
-            p = self.slots.parents[i]
-            path[i] = xxhash.xxh3_64_intdigest(self.slots.labels[i].encode("utf-8", "surrogatepass"), path[p] if p >= 0 else 0)
-            self.keys[i] = at[i] if i in at else -(path[i] >> 2) - 1
-        self.matched = {i: j for j, i in at.items()}
+        key = reference and reference.shape[0], self.slots.shape[0]
+        if key not in cache:
+            if len(cache) > 500:
+                cache.clear()
+            cache[key] = _placed(self.slots, reference)
+        self.keys, self.matched = cache[key]
         texts: list[list[str]] = [[] for _ in range(n)]
         self.weight = [0] * n
         last = None
@@ -431,7 +458,7 @@ class Aligned:
                 if not linked and not self.side[node]:
                     self.weight[s] += len(text.strip())
             last = node
-        self.texts = ["" if not t else _SPACE.sub(" ", "".join(t)).strip() for t in texts]
+        self.texts = [_spaced("".join(t)) if t else "" for t in texts]
         self.hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 if t else None for t in self.texts]
 
     def whole(self) -> int:
@@ -509,7 +536,7 @@ def _blocks(found: Aligned, top: int, template: list[bool], article: bool) -> li
 
     def flush():
         nonlocal text, linked, total
-        joined = _SPACE.sub(" ", "".join(text)).strip()
+        joined = _spaced("".join(text))
         # Outside of an article, blocks that are mostly links are menus.
         if joined and (article or 2 * linked < total):
             out.append(joined)

@@ -102,6 +102,17 @@ def test_deep_and_wide_pages_are_aligned_in_time(monkeypatch):
     assert time.perf_counter() - start < 15
 
 
+def test_pages_of_one_form_share_their_slots():
+    """op2: what follows from a page's form alone is found once; pages of other forms, and large ones, have their own."""
+    html = "<body><div class='top nav'>{0}</div><article><h1>{0}</h1><p>{0}\u00a0 \n b\x1c c</p></article></body>"
+    a, b, c = (wrapper.Aligned(wrapper.parse(x), None, {}) for x in (html.format("one"), html.format("two"), html.format("three") + "<div>x</div>"))
+    assert a.slots is b.slots and a.slots is not c.slots and a.texts != b.texts
+    assert [wrapper.main_text(x, None) for x in (a, b, c)] == [f"{n}\n{n} b c" for n in ("one", "two", "three")]
+    large = "".join(f"<div class='c{i}'>x</div>" for i in range(wrapper.KEPT_SLOTS + 1))
+    d, e = (wrapper.Aligned(wrapper.parse(large), None, {}) for _ in range(2))
+    assert d.slots is not e.slots and d.slots.shape == e.slots.shape and d.keys == e.keys
+
+
 def test_wide_nodes_are_matched_by_the_same_rule(monkeypatch):
     """Children that differ inside are matched by the most that they share, however many there are and whatever is held at once."""
     # The k-th division has k paragraphs and as many headings; those of the other page have one paragraph more.
