@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import partial
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from concordat.functions.lexeme import sha256
 from concordat.operators import intervals, textscan
@@ -84,18 +90,85 @@ def context_hash(documents: DataFrame, spans: DataFrame, size: int = 80) -> Data
     return met.withColumn("context", sha256(F.substring("text", low + 1, F.col("end") + size - low))).drop("text")
 
 
-def active_exclusions(documents: DataFrame, bound: DataFrame, exclusions: DataFrame) -> DataFrame:
+#: Marks of one document that a task takes in turn; in documents with more they are joined.
+MOST_MARKS = 100_000
+
+
+def active_exclusions(documents: DataFrame, bound: DataFrame, exclusions: DataFrame, most: int = MOST_MARKS) -> DataFrame:
     """J-20, C-24: adds ``error`` to exclusions: EXCLUSION_BOUND, EXCLUSION_OVERLAP or EXCLUSION_CHANGED.
 
     An exclusion yields to earlier ones (by ``ord``, which is unique) that are
     active; one that is bound, changed or has yielded itself stops no other.
+    Documents are dealt to tasks, which take each one's exclusions in order;
+    those of a document with more than ``most`` marks meet by overlap joins.
     """
-    key = ["ord", "doc_id", "start", "end"]
     scratch = Scratch(documents.sparkSession, "active")
     fresh = F.col("context").eqNullSafe(F.col("context_hash"))
-    met = scratch.save(context_hash(documents, exclusions).select(*exclusions.columns, fresh.alias("fresh")), "exclusions")
-    over = intervals.overlap_join(met.select(*key), bound.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("ord").distinct().withColumn("bound", F.lit(True))
-    judged = scratch.save(met.select(*key, "fresh").join(over.hint("merge"), "ord", "left"), "judged")
+    met = context_hash(documents, exclusions).select(*exclusions.columns, fresh.alias("_fresh"), F.lit(False).alias("_bound"))
+    marks = scratch.save(met.unionByName(bound.select("doc_id", "start", "end", F.lit(True).alias("_bound")), allowMissingColumns=True), "marks")
+    large = scratch.save(marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("doc_id"), "large")
+    # Places may be of a narrower type than those of bound spans.
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in exclusions.schema]
+    if large.isEmpty():
+        return _in_turn(marks, exclusions.columns).select(*columns, "error")
+    out = _in_turn(marks.join(large, "doc_id", "left_anti"), exclusions.columns)
+    return out.unionByName(_by_joins(marks.join(large, "doc_id", "left_semi"), exclusions.columns, scratch)).select(*columns, "error")
+
+
+def _in_turn(marks: DataFrame, columns: list[str]) -> DataFrame:
+    """``active_exclusions`` of whole documents, each in one task: its bound spans, then its exclusions in order."""
+    ordered = marks.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("_bound"), "ord", "start")
+    fields = [StructField(c, marks.schema[c].dataType) for c in columns]
+    return ordered.mapInArrow(partial(_judged, columns=columns), StructType([*fields, StructField("error", StringType())]))
+
+
+def _meets(spans: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a span overlaps one of the given ones (starts, ends), which are sorted and don't overlap."""
+    before = bisect_left(spans[0], end)
+    return before > 0 and spans[1][before - 1] > start
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _judged(batches, columns: list[str]):
+    doc = None
+    bound, active = ([], []), ([], [])
+    for batch in batches:
+        errors = []
+        for d, is_bound, fresh, start, end in zip(*[_values(batch.column(c)) for c in ("doc_id", "_bound", "_fresh", "start", "end")], strict=True):
+            if d != doc or d is None:
+                doc, bound, active = d, ([], []), ([], [])
+            placed = d is not None and start is not None and end is not None and start < end
+            if is_bound:
+                if placed and bound[0] and start <= bound[1][-1]:
+                    bound[1][-1] = max(end, bound[1][-1])
+                elif placed:
+                    bound[0].append(start)
+                    bound[1].append(end)
+            elif placed and _meets(bound, start, end):
+                errors.append("EXCLUSION_BOUND")
+            elif placed and _meets(active, start, end):
+                errors.append("EXCLUSION_OVERLAP")
+            elif fresh:
+                errors.append(None)
+                if placed:
+                    at = bisect_left(active[0], start)
+                    active[0].insert(at, start)
+                    active[1].insert(at, end)
+            else:
+                errors.append("EXCLUSION_CHANGED")
+        kept = batch.filter(pa.compute.invert(batch.column("_bound")))
+        yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in columns], pa.array(errors, pa.string())], [*columns, "error"])
+
+
+def _by_joins(marks: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """``active_exclusions`` of documents with any number of marks."""
+    key = ["ord", "doc_id", "start", "end"]
+    met, bound = marks.where("not _bound"), marks.where("_bound").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    over = intervals.overlap_join(met.select(*key), bound).select("ord").distinct().withColumn("bound", F.lit(True))
+    judged = scratch.save(met.select(*key, F.col("_fresh").alias("fresh")).join(over.hint("merge"), "ord", "left"), "judged")
     stands = first_come(judged.where("bound is null and fresh").select(*key)).withColumn("stands", F.lit(True))
     told = scratch.save(judged.join(stands.hint("merge"), "ord", "left"), "told")
     active = told.where("stands").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("ord").alias("other"))
@@ -103,7 +176,7 @@ def active_exclusions(documents: DataFrame, bound: DataFrame, exclusions: DataFr
     stale = intervals.overlap_join(told.where("bound is null and not fresh").select(*key), active).where("other < ord").select("ord").distinct().withColumn("yields", F.lit(True))
     error = F.when(F.col("bound"), "EXCLUSION_BOUND").when(F.col("stands"), None).when(F.col("fresh") | F.col("yields"), "EXCLUSION_OVERLAP").otherwise("EXCLUSION_CHANGED")
     errors = told.join(stale.hint("merge"), "ord", "left").select("ord", error.alias("error"))
-    return met.drop("fresh").join(errors.hint("merge"), "ord").select(*exclusions.columns, "error")
+    return met.join(errors.hint("merge"), "ord").select(*columns, "error")
 
 
 def moved(documents: DataFrame, exclusions: DataFrame, size: int = 80) -> DataFrame:
