@@ -145,9 +145,9 @@ def checkable(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     """X-02: tokens of these documents outside blocked regions; a document with dynamic macros is blocked as a whole."""
     text = F.col("text")
     whole = F.when(text.rlike(DYNAMIC), F.array(F.struct(F.lit("dynamic").alias("kind"), F.lit(0).alias("start"), F.length(text).alias("end"))))
-    found = documents.select("doc_id", F.explode(F.coalesce(whole, _regions(text, BLOCKED))).alias("s")).select("doc_id", "s.start", "s.end").where("start < end")
-    blocked = intervals.union(found).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return intervals.overlap_join(tokens, blocked, how="left_anti")
+    found = documents.select("doc_id", F.explode(F.coalesce(whole, _regions(text, BLOCKED))).alias("s")).select("doc_id", F.col("s.start").alias("r_start"), F.col("s.end").alias("r_end"))
+    # Regions of one kind don't overlap, so a place is in as many as there are kinds at most: merging them would cost more than it spares.
+    return intervals.overlap_join(tokens, found.where("r_start < r_end"), how="left_anti")
 
 
 # -- anchors --------------------------------------------------------------

@@ -211,7 +211,12 @@ def change_exclusions(documents: DataFrame, bound: DataFrame, declared: DataFram
     """
     once = requests.groupBy("name").agg(F.count(F.lit(1)).alias("_asked"))
     held = declared.select("name", F.lit(True).alias("_held")).distinct()
-    numbers = textscan.checkable(documents, textscan.number_tokens(documents, context=0)).select("doc_id", "start", "end", F.lit(True).alias("_number"))
+    scratch = Scratch(documents.sparkSession, "exclusions")
+    # Read twice; of all numbers only those that are asked for can matter.
+    places = requests.where("action = 'exclude'").select("doc_id", "start", "end").distinct()
+    tokens = textscan.number_tokens(documents, context=0).select("doc_id", "start", "end")
+    asked = scratch.save(tokens.join(places.hint("merge"), ["doc_id", "start", "end"], "left_semi"), "numbers")
+    numbers = textscan.checkable(documents, asked).withColumn("_number", F.lit(True))
     met = requests.join(once, "name").join(held, "name", "left").join(numbers, ["doc_id", "start", "end"], "left")
     new, gone = F.col("action") == "exclude", F.col("action") == "remove"
     error = (
@@ -221,7 +226,6 @@ def change_exclusions(documents: DataFrame, bound: DataFrame, declared: DataFram
         .when(new & F.col("_number").isNull(), "BUILDER_SELECTION")
         .when(gone & F.col("_held").isNull(), "EXCLUSION_MISSING")
     )
-    scratch = Scratch(documents.sparkSession, "exclusions")
     judged = scratch.save(met.select(*requests.columns, error.alias("error")), "judged")
     kept = declared.join(judged.where("error is null and action = 'remove'").select("name"), "name", "left_anti")
     last = declared.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_last")).crossJoin(requests.agg(F.min("ord").alias("_first")))  # two single rows
