@@ -68,22 +68,26 @@ def project_wandb(runs: DataFrame, history: DataFrame, metrics: list[str], ident
     """S-06, S-07, F-39: long rows of unsampled histories (run_id, row, values map with _step and _timestamp); a metric absent from a row is missing."""
     wanted = terminal(runs, "wandb").where("error is null").select("run_id", "config", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
     met = wanted.join(history, "run_id", "left")
-    raw = F.try_element_at("values", F.col("metric"))
-    value = measurement(raw)
-    there = F.col("row").isNotNull()
     w = Window.partitionBy("run_id", "metric").orderBy("row")
-    stamp = F.try_element_at("values", F.lit("_timestamp")).try_cast("double")
-    return met.select(
+    # What is sorted for the records' numbers are the few values that are kept, not the maps that hold them, once for each metric.
+    inner = [F.try_element_at("config", F.lit(i)).alias(f"_identity_{k}") for k, i in enumerate(identity)]
+    stamp = F.try_element_at("values", F.lit("_timestamp")).try_cast("double").alias("_stamp")
+    step = F.try_element_at("values", F.lit("_step")).try_cast("long").alias("step")
+    narrow = met.select("run_id", "metric", "row", F.try_element_at("values", F.col("metric")).alias("_raw"), step, stamp, *inner)
+    numbered = narrow.withColumn("record_index", (F.row_number().over(w) - 1).cast("long"))
+    value = measurement(F.col("_raw"))
+    there = F.col("row").isNotNull()
+    return numbered.select(
         "run_id",
         "metric",
-        (F.row_number().over(w) - 1).cast("long").alias("record_index"),
+        "record_index",
         F.when(there, value["value"]).alias("value"),
         F.when(~there, "not_logged").otherwise(value["status"]).alias("status"),
-        F.try_element_at("values", F.lit("_step")).try_cast("long").alias("step"),
-        stamp.cast("long").alias("timestamp"),
+        "step",
+        F.col("_stamp").cast("long").alias("timestamp"),
         F.when(there, "s").alias("timestamp_unit"),
-        F.timestamp_seconds(stamp).alias("at"),
-        *[F.try_element_at("config", F.lit(i)).alias(i) for i in identity],
+        F.timestamp_seconds("_stamp").alias("at"),
+        *[F.col(f"_identity_{k}").alias(i) for k, i in enumerate(identity)],
     )
 
 
