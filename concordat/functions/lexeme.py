@@ -49,7 +49,7 @@ def decimal_gate(text) -> Column:
     t = _c(text)
     error = (
         F.when(t.isNull(), "INVALID_NUMBER")
-        .when(F.lower(t).rlike(r"^[+\-]?(nan|s?nan[0-9]*|inf|infinity)$"), "NONFINITE_NUMBER")
+        .when(t.rlike(r"(?i)^[+\-]?(nan|s?nan[0-9]*|inf|infinity)$"), "NONFINITE_NUMBER")
         .when(~t.rlike(DECIMAL), "INVALID_NUMBER")
         .when((digits(t) > MAX_DIGITS) | (F.abs(exponent(t)) > MAX_EXPONENT) | F.regexp_extract(t, r"[eE][+\-]?0*([0-9]*)$", 1).rlike("^[0-9]{5,}"), "NUMBER_LIMIT")
     )
@@ -118,7 +118,7 @@ def display_matches(actual, expected) -> Column:
     a, b = _c(actual), _c(expected)
     value = lambda t: F.substring_index(t, "\\", 1).try_cast(FAST)
     plainly = (value(a) == value(b)) & (a.endswith("\\%") == b.endswith("\\%"))
-    return F.when(a.rlike(PLAIN_DISPLAY) & b.rlike(PLAIN_DISPLAY), plainly).otherwise(_canonical_matches(a, b))
+    return F.when(a.isNull() | b.isNull(), None).when(a.rlike(PLAIN_DISPLAY) & b.rlike(PLAIN_DISPLAY), plainly).otherwise(_canonical_matches(a, b))
 
 
 def _canonical_matches(actual: Column, expected: Column) -> Column:

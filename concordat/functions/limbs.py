@@ -92,7 +92,7 @@ def gated(rows: DataFrame, is_number: Column) -> DataFrame:
     return rows.withColumn("wide", F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & is_number)
 
 
-def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more: dict[str, tuple[Column, str]] | None = None, narrow: bool = False) -> DataFrame:
     """One row (keys, the columns ``SUMS``, those of ``more``) for each group of ``rows``, which ``gated`` has marked.
 
     ``squares`` says of which rows sums of squares are wanted.  ``more`` gives
@@ -100,7 +100,9 @@ def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more:
     ``bit_or``.
 
     All rows go through one aggregation of plain sums.  Only wide numbers are
-    cut into limbs, summed by group and power, and joined to it.
+    cut into limbs, summed by group and power, and joined to it.  ``narrow``
+    says that there are none: nothing is joined then, and a wide number fails the
+    job.
     """
     wanted = F.lit(False) if squares is None else squares
     more = more or {}
@@ -123,6 +125,10 @@ def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more:
         product(whole, whole).alias("high"), product(whole, rest).alias("cross"), product(rest, rest).alias("low"),
         *[combine[how](f"more_{k}").alias(k) for k, (_, how) in more.items()],
     )
+    if narrow:
+        fits = F.when(F.col("wide") > 0, F.raise_error(F.lit("a number declared as narrow does not fit DECIMAL(24,12)")).cast("decimal(38,12)")).otherwise(F.col("total"))
+        no_limbs = F.lit(None).cast("array<struct<power:int,limb:decimal(38,0)>>")
+        return main.withColumns({"total": fits, "limbs": no_limbs, "squares": no_limbs}).select(*keys, *SUMS, *more)
     none = F.lit(None).cast("decimal(18,0)")
     parts = F.transform(limbs("lexeme"), lambda x: F.struct(x["power"].alias("power"), x["limb"].alias("limb"), none.alias("product")))
     if squares is not None:

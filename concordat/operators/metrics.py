@@ -146,8 +146,7 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     typed = [F.when(F.lit(types[k] == "string"), F.col(k)).otherwise(_typed_column(F.col(k), types[k])).alias(f"k{i}") for i, k in enumerate(keys)]
     identity = [c for c in evidence.columns if c in types and c not in fields]
     marks = [lx.fingerprint(*identity).alias("row_key") if identity else F.lit("").alias("row_key")] if fingerprints else []
-    lexemes = [F.lit(fields[0]).alias("field"), F.col(fields[0]).cast("string").alias("lexeme")] if len(fields) == 1 else [F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme")]
-    cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *lexemes)
+    cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *_lexemes(fields))
     value = limbs.gated(cells.join(conf, ["field", *names[4:]]), F.col("field").isin([f for f in fields if types[f] != "string"]))
     canon = F.when(F.col("fast").isNotNull(), limbs.canonical_fast(F.col("fast"))).otherwise(F.coalesce(lx.canonical("lexeme"), F.col("lexeme")))
     more: dict[str, tuple[Column, str]] = {}
@@ -169,6 +168,13 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     return out.withColumns({"digest": digest, "seeds_ok": ok}).select("metric", *limbs.SUMS, "digest", "seeds_ok")
 
 
+def _lexemes(fields: list[str]) -> list[Column]:
+    """The columns field and lexeme, a row for each field."""
+    if len(fields) == 1:
+        return [F.lit(fields[0]).alias("field"), F.col(fields[0]).cast("string").alias("lexeme")]
+    return [F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme")]
+
+
 def _seed_counts(expected: Column, most: int) -> dict[str, tuple[Column, str]]:
     """What is counted of a selection's seeds: all, those expected, and a bit for each expected one that there is; ``most`` is the longest declared list."""
     place = F.array_position(expected, F.col("seed"))
@@ -207,16 +213,31 @@ def batch_matrix(evidence: DataFrame, group_by: list[str], fields: list[str], ho
     exact lexeme of a number of any length.  A group with a null identity is an
     error row of its own (MISSING_IDENTITY).
     """
-    long = evidence.select(*group_by, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "lexeme"))
+    sums = batch_sums(evidence, group_by, fields, how, expected_count, seed, expected_seeds)
+    return sums.select(*group_by, "field", "n", F.when(F.col("error").isNull(), batch_value(how)).alias("value"), "error")
+
+
+def batch_value(how: str = "mean") -> Column:
+    """The value of a row of ``batch_sums``; null where it is in error."""
+    return F.when(F.col("error").isNull(), F.col("n").cast("string")) if how == "count" else exact.reduced_column(F.col("total"), F.col("limbs"), F.col("n") if how == "mean" else F.lit(1))
+
+
+def batch_sums(evidence: DataFrame, group_by: list[str], fields: list[str], how: str = "mean", expected_count: int | None = None, seed: str | None = None, expected_seeds: list[str] | None = None, narrow: bool = False) -> DataFrame:
+    """``batch_matrix`` before the last division: the group columns, field, n, total, limbs and error; no Python, so rows stay dealt as they were.
+
+    ``narrow`` declares that all numbers fit DECIMAL(24,12), which spares a
+    second aggregation; one that doesn't fails the job.
+    """
+    long = evidence.select(*group_by, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *_lexemes(fields))
     wanted = None if expected_seeds is None else F.array(*map(F.lit, expected_seeds)).cast("array<string>")
-    grouped = limbs.sums(limbs.gated(long, F.lit(True)), [*group_by, "field"], more=None if wanted is None else _seed_counts(wanted, len(expected_seeds)))
+    grouped = limbs.sums(limbs.gated(long, F.lit(True)), [*group_by, "field"], more=None if wanted is None else _seed_counts(wanted, len(expected_seeds)), narrow=narrow)
     seeds_ok = F.lit(None).cast("boolean") if wanted is None else _seeds_hold(F.lit(len(expected_seeds)), len(expected_seeds))
     missing = F.lit(False)
     for c in group_by:
         missing |= F.col(c).isNull()
     error = F.when(missing, "MISSING_IDENTITY").otherwise(reduced(F.col("n"), F.col("nulls"), F.col("bad"), F.lit(how), F.lit(expected_count), seeds_ok))
-    value = F.col("n").cast("string") if how == "count" else exact.reduced_column(F.when(error.isNull(), F.col("total")), F.col("limbs"), F.col("n") if how == "mean" else F.lit(1))
-    return grouped.select(*group_by, "field", "n", F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    total = F.coalesce("total", F.lit(0).cast("decimal(38,12)"))
+    return grouped.select(*group_by, "field", "n", F.when(error.isNull(), total).alias("total"), F.when(error.isNull(), F.col("limbs")).alias("limbs"), error.alias("error"))
 
 
 def derive(metrics: DataFrame, derived: list[Derived]) -> DataFrame:

@@ -42,9 +42,21 @@ class Scratch:
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within this, shuffle files go as soon as the query that wrote them has ended, not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", True):
+        yield
+
+
+@contextmanager
+def dealt_by_part(spark: SparkSession) -> Iterator[None]:
+    """Within this, tables that are dealt by some of the keys of a join in the same way are joined as they lie."""
+    with _set(spark, "spark.sql.requireAllClusterKeysForCoPartition", False):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, name: str, value: bool) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, True)
+    spark.conf.set(name, value)
     try:
         yield
     finally:

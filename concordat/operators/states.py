@@ -26,14 +26,20 @@ def binding_states(bindings: DataFrame, metrics: DataFrame, located: DataFrame)
     and format; ``located`` has binding, actual and error.
     """
     met = bindings.join(metrics.select("metric", "value", "unit", F.col("error").alias("metric_error"), F.lit(True).alias("there")).hint("merge"), "metric", "left").join(located.select("binding", "actual", F.col("error").alias("place_error")).hint("merge"), "binding", "left")
+    return judged(met)
+
+
+def judged(met: DataFrame, *keep: str) -> DataFrame:
+    """``binding_states`` of bindings that already have their metric (value, unit, metric_error, there) and their place (actual, place_error) beside them; ``keep`` names further columns to pass on."""
     usable = F.col("metric_error").isNull() & F.col("there")
     met = met.withColumn("shown", exact.render_column(F.when(usable, F.col("value")), F.col("unit"), F.col("kind"), F.col("places"), F.col("rounding"), F.col("percent_symbol")))
     actual = lx.normalise_percent(F.col("actual"), F.col("format"))
     first = F.when(F.col("actual").isNull() & F.col("place_error").isNull(), "ANCHOR_MISSING").otherwise(F.col("place_error"))
-    error = F.coalesce(F.when(F.col("there").isNull(), "UNKNOWN_METRIC"), "metric_error", first, "shown.error", lx._let(actual, lambda x: lx.parse_display(x)["error"]))
-    same = lx.display_matches(actual, F.col("shown.text"))
-    status = F.when(error.isNotNull() | same.isNull(), "unknown").when(same, "pass").otherwise("mismatch")
-    return met.select("binding", "metric", status.alias("status"), F.when(status == "unknown", F.coalesce(error, F.lit("UNSUPPORTED_DISPLAY"))).alias("error"), "actual", F.col("shown.text").alias("expected"))
+    error = F.coalesce(F.when(F.col("there").isNull(), "UNKNOWN_METRIC"), "metric_error", first, "shown.error", F.when(~F.coalesce(actual.rlike(lx.PLAIN_DISPLAY), F.lit(False)), lx._let(actual, lambda x: lx.parse_display(x)["error"])))
+    # Each is worked out once, however often it is named below.
+    met = met.withColumns({"_error": error, "_same": lx.display_matches(actual, F.col("shown.text"))})
+    met = met.withColumn("_status", F.when(F.col("_error").isNotNull() | F.col("_same").isNull(), "unknown").when(F.col("_same"), "pass").otherwise("mismatch"))
+    return met.select("binding", "metric", F.col("_status").alias("status"), F.when(F.col("_status") == "unknown", F.coalesce("_error", F.lit("UNSUPPORTED_DISPLAY"))).alias("error"), "actual", F.col("shown.text").alias("expected"), *keep)
 
 
 def claim_states(claims: DataFrame, metrics: DataFrame) -> DataFrame:

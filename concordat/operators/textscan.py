@@ -224,16 +224,50 @@ def between_hits(documents: DataFrame, anchors: DataFrame, most: int = 1000) ->
     Prefix hits may overlap.  ``anchors`` has anchor_id, doc_id, prefix, suffix.
     """
     met = documents.select("doc_id", "text").join(anchors.where("length(prefix) > 0 and length(suffix) > 0").hint("merge"), "doc_id").where(F.contains("text", F.col("prefix")))
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace("prefix", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    pieces = F.transform(F.split("text", quoted, -1), lambda p: F.length(p))
-    # Splitting before each hit gives pieces whose lengths add up to the hits' places; a hit at 0 makes no empty piece.
-    starts = _let(pieces, lambda all_: _let(F.slice(all_, F.lit(1), F.greatest(F.size(all_) - 1, F.lit(0))), lambda g: F.zip_with(g, _sums_before(g), lambda x, before: x + before)))
-    starts = F.when(F.startswith("text", F.col("prefix")), F.array_distinct(F.array_prepend(starts, F.lit(0)))).otherwise(starts)
-    hit = met.select("anchor_id", "doc_id", "text", "suffix", F.explode(starts).alias("p"), F.length("prefix").alias("n")).withColumn("start", F.col("p") + F.col("n"))
+    hit = met.select("anchor_id", "doc_id", "text", "suffix", F.explode(_prefix_hits(F.col("text"), F.col("prefix"))).alias("p"), F.length("prefix").alias("n")).withColumn("start", F.col("p") + F.col("n"))
     end = F.expr("locate(suffix, text, start + 1) - 1")
     return hit.withColumn("end", end).where((F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") <= most)).select("anchor_id", "doc_id", "start", "end")
 
 
+def _prefix_hits(text: Column, prefix: Column) -> Column:
+    """Where a prefix, not empty, occurs in a text; its hits may overlap."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(prefix, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.transform(F.split(text, quoted, -1), lambda p: F.length(p))
+    # Splitting before each hit gives pieces whose lengths add up to the hits' places; a hit at 0 makes no empty piece.
+    starts = _let(pieces, lambda all_: _let(F.slice(all_, F.lit(1), F.greatest(F.size(all_) - 1, F.lit(0))), lambda g: F.zip_with(g, _sums_before(g), lambda x, before: x + before)))
+    return F.when(F.startswith(text, prefix), F.array_distinct(F.array_prepend(starts, F.lit(0)))).otherwise(starts)
+
+
+def sole_places(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """X-07, A-28 where each row has its own text, prefix and suffix: adds start, end and error as ``unique_or_unknown`` gives them for ``between_hits``.
+
+    Nothing is joined or exploded.  Two places at most are found by searching;
+    only a text that holds the prefix more often is cut at each of its hits.
+    """
+    text, prefix, suffix = F.col("text"), F.col("prefix"), F.col("suffix")
+    there = (F.length(prefix) > 0) & (F.length(suffix) > 0)
+    # Places from 1, as Spark's search has them; 0 is none.
+    out = rows.withColumn("_p1", F.when(there, F.coalesce(F.position(prefix, text), F.lit(0))).otherwise(0))
+    out = out.withColumn("_p2", F.when(F.col("_p1") > 0, F.position(prefix, text, F.col("_p1") + 1)).otherwise(0))
+    out = out.withColumn("_p3", F.when(F.col("_p2") > 0, F.position(prefix, text, F.col("_p2") + 1)).otherwise(0))
+
+    def place(p: Column) -> Column:
+        start = p + F.length(prefix) - 1
+        return F.struct(start.alias("start"), (F.position(suffix, text, start + 1) - 1).alias("end"))
+
+    held = lambda s: (s["end"] >= s["start"]) & (s["end"] - s["start"] <= most)
+    for i in (1, 2):
+        out = out.withColumn(f"_s{i}", F.when(F.col(f"_p{i}") > 0, place(F.col(f"_p{i}"))))
+        out = out.withColumn(f"_s{i}", F.when(held(F.col(f"_s{i}")), F.col(f"_s{i}")))
+    few = F.when(F.col("_s1").isNull(), F.array("_s2")).when(F.col("_s2").isNull(), F.array("_s1")).otherwise(F.array("_s1", "_s2"))
+    many = F.filter(F.transform(_prefix_hits(text, prefix), lambda p: place(p + 1)), held)
+    out = out.withColumn("_hits", F.array_compact(F.when(F.col("_p3") > 0, many).otherwise(few)))
+    one = F.size("_hits") == 1
+    error = F.when(F.size("_hits") == 0, "ANCHOR_MISSING").when(~one, "ANCHOR_AMBIGUOUS")
+    hit = F.when(one, F.get("_hits", F.lit(0)))
+    return out.select(*rows.columns, hit["start"].alias("start"), hit["end"].alias("end"), error.alias("error"))
+
+
 def unique_or_unknown(anchors: DataFrame, hits: DataFrame) -> DataFrame:
     """A-28, N3: (anchor_id, hits, start, end, error): the one place of each anchor, counting every hit, also in comments."""
     n = hits.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("hits"), F.min("start").alias("start"), F.min("end").alias("end"))

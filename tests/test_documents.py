@@ -298,3 +298,15 @@ def test_numbers_are_cut_out_once(spark, capsys):
     out.explain()
     assert "regexp" not in capsys.readouterr().out.lower()
     assert {(r.doc_id, r.token) for r in out.where("doc_id > 2").collect()} == {(3, "1"), (3, "3"), (3, "5")}
+
+
+def test_sole_places_equal_joined_ones(spark):
+    texts = ["", None, "a5b", "ab", "a5b a6b", "a5 a6b", "a a a7b", "aa7b", "a7", "aaa", "x a" + "7" * 1001 + "b a8b", "a" + "7" * 1001 + "b", "a\U0001f6000b.", "a1b a2 a3", "b a1b"]
+    contexts = [("a", "b"), ("aa", "b"), ("a", "bb"), ("", "b"), (".", "b"), ("a ", "b"), ("\U0001f600", "b")]
+    rows = spark.createDataFrame([(f"{i}/{j}", t, p, s) for i, t in enumerate(texts) for j, (p, s) in enumerate(contexts)], "anchor_id string, text string, prefix string, suffix string")
+    documents, anchors = rows.select(F.col("anchor_id").alias("doc_id"), "text"), rows.select("anchor_id", F.col("anchor_id").alias("doc_id"), "prefix", "suffix")
+    want = textscan.unique_or_unknown(anchors, textscan.between_hits(documents, anchors))
+    columns = ["anchor_id", "start", "end", "error"]
+    got = textscan.sole_places(rows)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert {r.error for r in got.collect()} == {None, "ANCHOR_MISSING", "ANCHOR_AMBIGUOUS"}

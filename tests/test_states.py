@@ -143,3 +143,35 @@ def test_faults_by_name_and_shuffles_dropped(spark):
     with shuffles_dropped(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name) == before
+
+
+def test_experiments_under_faults_stay_where_they_were_dealt(spark):
+    """The sums, the documents and the join of both need no shuffle besides the two that deal the lines."""
+    from concordat.operators.scratch import dealt_by_part
+    from concordat.plans import queries_review
+
+    with dealt_by_part(spark):
+        found = queries_review._fault_states(spark, "/root/testdata/sf0.001", ["unchanged", "duplicate_key", "anchor_missing"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(dataset") == 2 == plan.count("REPARTITION_BY_NUM")
+
+
+def test_scenarios_that_share_evidence_have_the_same(spark):
+    rows = spark.createDataFrame([("d", m, s, k, f"0.{k}") for m in ("target", "decoy") for s in ("test", "train") for k in "123"], "dataset string, model string, split string, seed string, value string")
+    got = {}
+    for r in scoring.inject_faults(rows).collect():
+        got.setdefault(r.scenario, []).append(tuple(r[c] for c in rows.columns))
+    names = [s for s, _, _ in scoring.SCENARIOS]
+    assert all(sorted(got.get(s, [])) == sorted(got.get(scoring.evidence_scenario(s), [])) for s in names)
+    assert len({scoring.evidence_scenario(s) for s in names}) == 10 and len(got["duplicate_key"]) == 13
+
+
+def test_numbers_declared_narrow(spark):
+    from concordat.operators import metrics as mx
+
+    rows = spark.createDataFrame([("a", "1.5"), ("a", "2"), ("b", "x"), ("c", None)], "g string, v string")
+    plain, narrow = ({r.g: (r.n, r.total, r.error) for r in mx.batch_sums(rows, ["g"], ["v"], narrow=k).collect()} for k in (False, True))
+    assert plain == narrow and narrow["b"][2] == narrow["c"][2] == "INVALID_NUMBER"
+    wide = mx.batch_sums(rows.unionByName(spark.createDataFrame([("a", "10000000000000")], "g string, v string")), ["g"], ["v"], narrow=True)
+    with pytest.raises(Exception, match="narrow"):
+        wide.collect()
