@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import lexeme as lx
+from concordat.operators.declared import declared
 
 #: Digits of a limb of a sum, and of one of a product.
 WIDTH, HALF = 18, 9
@@ -70,12 +71,21 @@ def products(text) -> Column:
     return F.flatten(F.transform(small, lambda a: F.transform(small, lambda b: F.struct((a["power"] + b["power"]).alias("power"), (a["limb"] * b["limb"]).cast("decimal(18,0)").alias("limb")))))
 
 
-def canonical_fast(value: Column) -> Column:
-    """``lexeme.canonical`` of a DECIMAL(24,12), without pattern matching."""
-    text = value.cast("string")
-    digits = F.ltrim(F.translate(text, "-.", ""), F.lit("0"))
-    bare = F.rtrim(digits, F.lit("0"))
-    return F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), bare, F.lit("e"), (F.length(digits) - F.length(bare) - 12).cast("string")))
+def with_canonical(rows: DataFrame, name: str) -> DataFrame:
+    """Adds ``lexeme.canonical`` of ``lexeme``, or the lexeme itself where it is no number, to rows that ``gated`` has marked.
+
+    Of what is below 9e6 the zeros at the end are divided away, 16, 8, 4, 2 and
+    1 at a time, in whole numbers and step by step: as one expression this is
+    more than the JVM compiles.
+    """
+    kept = rows.columns
+    units = F.when(F.abs("fast") < 9_000_000, (F.col("fast") * F.lit(10**12).cast("decimal(13,0)")).cast("long"))
+    out = rows.select(*kept, units.alias("_units"), F.lit(-12).alias("_power"))
+    for k in (16, 8, 4, 2, 1):
+        ends = F.col("_units") % 10**k == 0
+        out = out.select(*kept, F.when(ends, F.expr(f"_units div {10**k}L")).otherwise(F.col("_units")).alias("_units"), F.when(ends, F.col("_power") + k).otherwise(F.col("_power")).alias("_power"))
+    short = F.when(F.col("_units") == 0, "0").otherwise(F.concat(F.col("_units").cast("string"), F.lit("e"), F.col("_power").cast("string")))
+    return out.select(*kept, F.when(F.col("_units").isNotNull(), short).otherwise(F.coalesce(lx._let(F.col("lexeme"), lx.canonical), F.col("lexeme"))).alias(name))
 
 
 def beyond_limits(text) -> Column:
@@ -92,7 +102,7 @@ def gated(rows: DataFrame, is_number: Column) -> DataFrame:
     return rows.withColumn("wide", F.col("lexeme").isNotNull() & ~F.col("bad") & F.col("fast").isNull() & is_number)
 
 
-def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more: dict[str, tuple[Column, str]] | None = None, narrow: bool = False) -> DataFrame:
+def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more: dict[str, tuple[Column, str]] | None = None, narrow: bool = False, few: bool = False) -> DataFrame:
     """One row (keys, the columns ``SUMS``, those of ``more``) for each group of ``rows``, which ``gated`` has marked.
 
     ``squares`` says of which rows sums of squares are wanted.  ``more`` gives
@@ -102,7 +112,8 @@ def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more:
     All rows go through one aggregation of plain sums.  Only wide numbers are
     cut into limbs, summed by group and power, and joined to it.  ``narrow``
     says that there are none: nothing is joined then, and a wide number fails the
-    job.
+    job.  ``few`` says that the groups are as few as declarations: their plain sums
+    are taken at once, and limbs are only made where these count wide numbers.
     """
     wanted = F.lit(False) if squares is None else squares
     more = more or {}
@@ -125,7 +136,10 @@ def sums(rows: DataFrame, keys: list[str], squares: Column | None = None, more:
         product(whole, whole).alias("high"), product(whole, rest).alias("cross"), product(rest, rest).alias("low"),
         *[combine[how](f"more_{k}").alias(k) for k, (_, how) in more.items()],
     )
-    if narrow:
+    if few:
+        taken = main.collect()
+        main = declared(main.sparkSession, [tuple(r) for r in taken], main.schema.simpleString())
+    if narrow or few and not any(r["wide"] for r in taken):
         fits = F.when(F.col("wide") > 0, F.raise_error(F.lit("a number declared as narrow does not fit DECIMAL(24,12)")).cast("decimal(38,12)")).otherwise(F.col("total"))
         no_limbs = F.lit(None).cast("array<struct<power:int,limb:decimal(38,0)>>")
         return main.withColumns({"total": fits, "limbs": no_limbs, "squares": no_limbs}).select(*keys, *SUMS, *more)

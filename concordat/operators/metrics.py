@@ -86,8 +86,8 @@ def evaluate(evidence: DataFrame, metrics: list[Metric], types: dict[str, str],
 
     ``evidence`` has the declared columns as text.  Metrics with the same set
     of selector columns share one scan and one aggregation with exact partial
-    sums (``functions.limbs``).  One job computes all of them and gives one row
-    for each declared metric, from which the values are made at once: the
+    sums (``functions.limbs``).  The sums of a set are one job, and one row for
+    each declared metric, from which the values are made at once: the
     result is a local table.  ``health`` (source, error) makes every metric of
     a failed source unknown.  Without ``fingerprints`` the marks of the
     selected rows are not computed.
@@ -148,21 +148,20 @@ def _selected(evidence: DataFrame, group: list[Metric], keys: list[str], seed: s
     marks = [lx.fingerprint(*identity).alias("row_key") if identity else F.lit("").alias("row_key")] if fingerprints else []
     cells = evidence.select(*typed, *marks, (F.col(seed) if seed else F.lit(None)).cast("string").alias("seed"), *_lexemes(fields))
     value = limbs.gated(cells.join(conf, ["field", *names[4:]]), F.col("field").isin([f for f in fields if types[f] != "string"]))
-    canon = F.when(F.col("fast").isNotNull(), limbs.canonical_fast(F.col("fast"))).otherwise(F.coalesce(lx.canonical("lexeme"), F.col("lexeme")))
     more: dict[str, tuple[Column, str]] = {}
     seeded = bool(seed) and any(m.expected_seeds is not None for m in group)
     if seeded:
         most = max(len(m.expected_seeds or []) for m in group)
         more |= _seed_counts(F.col("expected_seeds"), most)
     statistics = F.col("reduce") == "statistics" if any(m.reduce == "statistics" for m in group) else None
-    out = limbs.sums(value, ["metric"], statistics, more)
+    sums = limbs.sums(value, ["metric"], statistics, more, few=True)
     selector = conf.select("metric", lx.fingerprint(*[n for n in names[1:] if n != "expected_seeds"]).alias("selector"), F.size("expected_seeds").alias("seeds_expected"))
-    out = out.join(selector, "metric")
+    out = sums.join(selector, "metric")
     digest = F.lit(None).cast("string")
     if fingerprints:
         # A-11, T-07: the selected (key, value) rows as a multiset; equal numbers written differently are equal.
-        marks_of = value.select("metric", F.sha2(F.concat_ws("|", "row_key", F.coalesce(canon, F.lit("null"))), 256).alias("mark"))
-        out = out.join(digests.merkle(marks_of, ["metric"], "mark").select("metric", F.col("digest").alias("rows_digest")), "metric")
+        marks_of = limbs.with_canonical(value, "canon").select("metric", F.sha2(F.concat_ws("|", "row_key", F.coalesce("canon", F.lit("null"))), 256).alias("mark"))
+        out = out.join(digests.merkle(marks_of, ["metric"], "mark", sums.select("metric", "n")).select("metric", F.col("digest").alias("rows_digest")), "metric")
         digest = lx.sha256(F.concat_ws("|", "selector", F.col("n").cast("string"), "rows_digest"))
     ok = _seeds_hold(F.col("seeds_expected"), most) if seeded else F.lit(None).cast("boolean")
     return out.withColumns({"digest": digest, "seeds_ok": ok}).select("metric", *limbs.SUMS, "digest", "seeds_ok")

@@ -209,3 +209,14 @@ def test_group_statistics_give_the_number_of_rows(spark):
     rows = spark.createDataFrame([("a", "1"), ("a", "3"), ("b", "2")], "g string, x string")
     got = {r.g: (r.n, r.error, r.statistics.mean) for r in mx.group_statistics(rows, ["g"], "x").collect()}
     assert got == {"a": (2, None, "2"), "b": (1, "STATISTICS_COUNT", None)}
+
+
+def test_canonical_texts_in_steps(spark):
+    """With whole numbers step by step as by patterns, on both sides of where the former end."""
+    from concordat.functions import lexeme as lx
+    from concordat.functions import limbs
+
+    texts = ["0", "-0.000", "0.05", "-12.50", "+007.10", "1200000", "8999999.999999999999", "9000000", "-9000001.5", "123456789012.5", "1e-3", "12345678901234567890", ".5", "5.", "0.000000000001", "1.0000000000000000", "x", "NaN", None]
+    rows = limbs.gated(spark.createDataFrame([(t,) for t in texts], "lexeme string"), F.lit(True))
+    for r in limbs.with_canonical(rows, "canon").withColumn("want", F.coalesce(lx.canonical("lexeme"), "lexeme")).collect():
+        assert r.canon == r.want, r
